@@ -198,7 +198,7 @@ class EMEngine:
         v, n = _c("vote"), _c("n")
         ta, tb = m.vote_terms(v, self._pdict("cur"))
         aggs = [F.sum(n * ta).alias("_sa"), F.sum(n * tb).alias("_sb"),
-                F.min(F.struct("annotator_id", "vote")).alias("_lead")]
+                F.min(_c("annotator_id") * 2 + _c("vote")).alias("_lead")]
         aggs += [F.first(f"{s}_cur").alias(f"{s}_cur") for s in m.scalars]
         if with_prev:
             pa, pb = m.vote_terms(v, self._pdict("prev"))
@@ -234,8 +234,7 @@ class EMEngine:
 
     # ----------------------------------------------------------- one iteration
     def _m_rows(self, rows: DataFrame, post: DataFrame, broadcast_post: bool) -> DataFrame:
-        keep = post.select(*self.gk, "_g", "_g0", F.col("_lead.annotator_id").alias("_la"),
-                           F.col("_lead.vote").alias("_lv"))
+        keep = post.select(*self.gk, "_g", "_g0", "_lead")
         keep = F.broadcast(keep) if broadcast_post else keep.hint("shuffle_hash")
         return rows.join(keep, self.gk)
 
@@ -251,7 +250,8 @@ class EMEngine:
         st = F.broadcast(st) if self.store.broadcast_params else st
         rows = rows.join(st, self.ak)
         v, n, g = _c("vote"), _c("n"), _c("_g")
-        lead = (_c("annotator_id") == _c("_la")) & (v == _c("_lv"))
+        # exactly one "lead" row per prompt: its smallest (annotator, vote)
+        lead = (_c("annotator_id") * 2 + v) == _c("_lead")
         sums = m.m_sums(v, n, g)
         aggs = [e.alias(k) for k, e in sums.items()]
         aggs += [F.max(F.abs(g - _c("_g0"))).alias("_shift"),
@@ -261,18 +261,47 @@ class EMEngine:
         a = rows.groupBy(*self.ak).agg(*aggs)
         newp = m.m_params({k: _c(k) for k in sums})
         a = a.withColumns({f"{p}_cur": e for p, e in newp.items()})
-        # group-level scalars (π₁) and the group's shift, joined back on the group key
-        grp = a.groupBy(*self.store.group_cols).agg(
-            F.max("_shift").alias("_gshift"), F.sum("_gsum").alias("_tgs"), F.sum("_gcnt").alias("_tgc"))
-        sc = m.m_scalars(_c("_tgs"), _c("_tgc"))
-        grp = grp.withColumns({f"{s}_cur": e for s, e in sc.items()})
-        prev_sc = state.groupBy(*self.store.group_cols).agg(
-            *[F.first(f"{s}_cur").alias(f"{s}_prev") for s in m.scalars]) if m.scalars else None
-        if prev_sc is not None:
-            grp = grp.join(prev_sc, self.store.group_cols)
-        out = a.join(F.broadcast(grp), self.store.group_cols)
-        cols = [*self.ak] + [f"{p}_{s}" for p in m.params + m.scalars for s in ("cur", "prev")]
-        return out.select(*cols, F.col("_gshift").alias("shift"))
+        cols = [*self.ak] + [f"{p}_{s}" for p in m.params for s in ("cur", "prev")]
+        return a.select(*cols, "_shift", "_gsum", "_gcnt")
+
+    def group_stats(self, stepped: DataFrame, state: DataFrame,
+                    worker_truth: DataFrame | None) -> list:
+        """Per-group shift, L1 against worker truth, next scalars (one small job)."""
+        m = self.model
+        gc = self.store.group_cols
+        p = {q: _c(f"{q}_cur") for q in m.params}
+        acc = stepped.select(*self.ak, m.accuracy(p).alias("_acc"), "_shift", "_gsum", "_gcnt")
+        if worker_truth is not None:
+            wt = worker_truth.select(*self.ak, F.col("true_acc").cast("double").alias("_true"))
+            acc = acc.join(wt, self.ak, "left")
+            l1 = F.avg(F.abs(_c("_true") - _c("_acc")))
+        else:
+            l1 = F.lit(None).cast("double")
+        aggs = [F.max("_shift").alias("max_gamma_shift"), l1.alias("l1_parameter_loss"),
+                F.sum("_gsum").alias("_tgs"), F.sum("_gcnt").alias("_tgc")]
+        out = acc.groupBy(*gc).agg(*aggs)
+        if m.scalars:
+            prev = state.groupBy(*gc).agg(*[F.first(f"{s}_cur").alias(f"{s}_prev") for s in m.scalars])
+            out = out.join(prev, gc)
+            out = out.withColumns({f"{s}_cur": e for s, e in m.m_scalars(_c("_tgs"), _c("_tgc")).items()})
+        return out.collect()
+
+    def with_scalars(self, stepped: DataFrame, stats: list) -> DataFrame:
+        """Next state: stepped params plus the group scalars (a bounded
+        table with one row per group, built from the collected stats)."""
+        m = self.model
+        gc = self.store.group_cols
+        base = stepped.select(*self.ak, *[f"{p}_{s}" for p in m.params for s in ("cur", "prev")])
+        if not m.scalars:
+            return base
+        schema = self.store.cold.select(*gc).schema
+        from pyspark.sql.types import DoubleType, StructField, StructType
+        fields = list(schema.fields) + [StructField(f"{s}_{w}", DoubleType()) for s in m.scalars
+                                        for w in ("cur", "prev")]
+        rows = [tuple(r[g] for g in gc) + tuple(float(r[f"{s}_{w}"]) for s in m.scalars for w in ("cur", "prev"))
+                for r in stats]
+        sc = self.spark.createDataFrame(rows, StructType(fields))
+        return base.join(F.broadcast(sc), gc)
 
 
 def _norm_groups(votes: DataFrame, group_cols) -> tuple[DataFrame, list[str], bool]:
@@ -328,54 +357,35 @@ def fit(votes: DataFrame | VoteStore, model: str = "onecoin", *, prior_mode: str
         if done:
             keep = [r for r in all_groups if r not in done]
             active = spark.createDataFrame(keep, schema=store.cold.select(*gcols).schema)
-        run_store = store.restrict(active)
-        run_eng = EMEngine(run_store, em_model, prior) if active is not None else eng
+        run_eng = EMEngine(store.restrict(active), em_model, prior) if active is not None else eng
         run_state = st if active is None else st.join(F.broadcast(active), gcols, "left_semi")
-        nxt = run_eng.step(run_state.drop("shift") if "shift" in run_state.columns else run_state)
-        if frozen is not None:
-            nxt = nxt.unionByName(frozen.withColumn("shift", F.lit(0.0)), allowMissingColumns=False)
-        nxt = nxt.checkpoint(eager=True)
-        # one small action: per-group shift, scalars and L1 against worker truth
-        acc = _accuracy_table(em_model, nxt, store.annotator_keys).join(
-            nxt.select(*store.annotator_keys, "shift"), store.annotator_keys)
-        if worker_truth is not None:
-            wt = worker_truth.select(*store.annotator_keys, F.col("true_acc").cast("double"))
-            acc = acc.join(wt, store.annotator_keys, "left")
-            l1 = F.avg(F.abs(_c("true_acc") - _c("inferred_acc")))
-        else:
-            l1 = F.lit(None).cast("double")
-        sc_aggs = [F.first(f"{s}_cur").alias(s) for s in em_model.scalars]
-        stats_df = acc.join(nxt.select(*store.annotator_keys, *[f"{s}_cur" for s in em_model.scalars]),
-                            store.annotator_keys) if em_model.scalars else acc
-        stats = stats_df.groupBy(*gcols).agg(F.max("shift").alias("max_gamma_shift"),
-                                             l1.alias("l1_parameter_loss"), *sc_aggs).collect()
+        stepped = run_eng.step(run_state).checkpoint(eager=True)
+        stats = run_eng.group_stats(stepped, run_state, worker_truth)
         if all_groups is None:
             all_groups = [tuple(r[g] for g in gcols) for r in stats]
         for r in stats:
             key = tuple(r[g] for g in gcols)
-            if key in done:
-                continue
             row = {g: r[g] for g in gcols}
             row.update(iteration=it, l1_parameter_loss=r["l1_parameter_loss"],
                        max_gamma_shift=float(r["max_gamma_shift"]))
             for s in em_model.scalars:
-                row[s] = float(r[s])
+                row[s] = float(r[f"{s}_cur"])
             history.append(row)
             iters[key] = it
             if tol is not None and r["max_gamma_shift"] < tol:
                 done.add(key)
+        nxt = run_eng.with_scalars(stepped, stats)
+        if frozen is not None:
+            nxt = nxt.unionByName(frozen)
         if track_frames:
             frames.append(_accuracy_table(em_model, nxt, store.annotator_keys)
                           .select(*store.annotator_keys, "inferred_acc").withColumn("iteration", F.lit(it)))
         st = nxt
         if done:
             dk = spark.createDataFrame(list(done), schema=store.cold.select(*gcols).schema)
-            frozen = st.join(F.broadcast(dk), gcols, "left_semi").drop("shift")
+            frozen = st.join(F.broadcast(dk), gcols, "left_semi")
             if len(done) == len(all_groups):
                 break
-        else:
-            frozen = None
-    st = st.drop("shift")
     trust = eng.posterior_table(st, "prev")
     params = _accuracy_table(em_model, st, store.annotator_keys)
     hist_schema = ", ".join([f"{g} {store.cold.schema[g].simpleString().split(':')[-1]}" for g in gcols]
