@@ -283,3 +283,169 @@ _PRIOR = f"""pr AS MATERIALIZED (
 def q_prior_injection(spark, sf):
     f = fitted(spark, sf, k=3, with_prior=True)
     return f.trust.select("prompt_id", r6("trust_weight").alias("trust_weight"))
+
+
+# ------------------------------------------------------------------ preference algebra
+from crowdtrust.operators import preference as pf  # noqa: E402
+from crowdtrust.operators import prepare as pp  # noqa: E402
+
+
+@register("d2_preference_logit", S.with_(S.LOGPS) + f"SELECT prompt_id, round({S.LOGIT}, 6) AS logit FROM logps")
+def q_logit(spark, sf):
+    lp = fx.logps(spark, sf)
+    return lp.select("prompt_id", r6(pf.preference_logit()).alias("logit"))
+
+
+@register("d3_model_prior", S.with_(S.LOGPS) + f"SELECT prompt_id, round(1 / (1 + exp(-0.1e0 * {S.LOGIT})), 6) AS prior FROM logps")
+def q_prior(spark, sf):
+    return pf.model_prior(fx.logps(spark, sf)).select("prompt_id", r6("prior").alias("prior"))
+
+
+_WL = """wl AS (SELECT vt.prompt_id, vt.annotator_id, vt.vote,
+         CASE WHEN vote = 1 THEN (pi_a - pi_b) - (ref_a - ref_b) ELSE (pi_b - pi_a) - (ref_b - ref_a) END AS zw
+  FROM votes vt JOIN logps USING (prompt_id))"""
+
+
+@register("d4_hard_label_loss", S.with_(S.VOTES, S.LOGPS, _WL) + f"""
+SELECT round(avg({S.softplus('-0.1e0 * zw')}), 6) AS mean_loss, count(*)::BIGINT AS n_votes FROM wl""")
+def q_hard_loss(spark, sf):
+    l = pf.hard_label_loss(fx.votes(spark, sf), fx.logps(spark, sf))
+    return l.agg(r6(F.avg("loss")).alias("mean_loss"), F.count(F.lit(1)).cast("bigint").alias("n_votes"))
+
+
+@register("d5_projected_loss_k5", _OC.rstrip() + ",\n" + S.LOGPS + f"""
+, pl AS (SELECT prompt_id, g * {S.softplus(f'-0.1e0 * {S.LOGIT}')} + (1 - g) * {S.softplus(f'0.1e0 * {S.LOGIT}')} AS loss
+         FROM g{K} JOIN logps USING (prompt_id)),
+  nv AS (SELECT prompt_id, count(*) AS n FROM votes GROUP BY prompt_id)
+SELECT round(sum(n * loss) / sum(n), 6) AS projected_loss, sum(n)::BIGINT AS n_votes FROM pl JOIN nv USING (prompt_id)""")
+def q_proj_loss(spark, sf):
+    f = fitted(spark, sf)
+    out = pf.projected_loss_mean(f.trust, fx.logps(spark, sf), fx.votes(spark, sf))
+    return out.select(r6("projected_loss").alias("projected_loss"), "n_votes")
+
+
+@register("d5_projected_loss_per_prompt_k5", _OC.rstrip() + ",\n" + S.LOGPS + f"""
+SELECT prompt_id, round(g * {S.softplus(f'-0.1e0 * {S.LOGIT}')} + (1 - g) * {S.softplus(f'0.1e0 * {S.LOGIT}')}, 6) AS loss
+FROM g{K} JOIN logps USING (prompt_id)""")
+def q_proj_loss_pp(spark, sf):
+    pl = pf.projected_loss(fitted(spark, sf).trust, fx.logps(spark, sf))
+    return pl.select("prompt_id", r6("loss").alias("loss"))
+
+
+@register("d6_oracle_loss", S.with_(S.TRUTH, S.LOGPS) + f"""
+SELECT round(avg({S.softplus('-0.1e0 * CASE WHEN truth_is_a = 1 THEN (pi_a - pi_b) - (ref_a - ref_b) ELSE (pi_b - pi_a) - (ref_b - ref_a) END')}), 6) AS mean_loss,
+       count(*)::BIGINT AS n_prompts
+FROM truth JOIN logps USING (prompt_id)""")
+def q_oracle_loss(spark, sf):
+    l = pf.oracle_loss(fx.truth(spark, sf), fx.logps(spark, sf))
+    return l.agg(r6(F.avg("loss")).alias("mean_loss"), F.count(F.lit(1)).cast("bigint").alias("n_prompts"))
+
+
+@register("d7_reward_margin", S.with_(S.LOGPS) + f"SELECT round(avg(0.1e0 * {S.LOGIT}), 6) AS reward_margin FROM logps")
+def q_margin(spark, sf):
+    return pf.reward_margin(fx.logps(spark, sf)).select(r6("reward_margin").alias("reward_margin"))
+
+
+@register("d8_golden_accuracy", S.with_(S.TRUTH, S.LOGPS) + f"""
+SELECT round(avg(((1 / (1 + exp(-0.1e0 * {S.LOGIT})) > 0.5)::INT = truth_is_a)::INT), 6) AS accuracy
+FROM logps JOIN truth USING (prompt_id)""")
+def q_golden(spark, sf):
+    pr = pf.model_prior(fx.logps(spark, sf))
+    return pf.golden_accuracy(pr, fx.truth(spark, sf)).select(r6("accuracy").alias("accuracy"))
+
+
+@register("d9_policy_accuracy", S.with_(S.TRUTH, S.LOGPS) + """
+SELECT round(avg(((pi_a > pi_b)::INT = truth_is_a)::INT), 6) AS accuracy FROM logps JOIN truth USING (prompt_id)""")
+def q_policy_acc(spark, sf):
+    return pf.policy_accuracy(fx.logps(spark, sf), fx.truth(spark, sf)).select(r6("accuracy").alias("accuracy"))
+
+
+@register("d10_reward_accuracy", S.with_(S.TRUTH, S.LOGPS) + f"""
+SELECT round(avg((({S.LOGIT} > 0)::INT = truth_is_a)::INT), 6) AS accuracy FROM logps JOIN truth USING (prompt_id)""")
+def q_reward_acc(spark, sf):
+    return pf.reward_accuracy(fx.logps(spark, sf), fx.truth(spark, sf)).select(r6("accuracy").alias("accuracy"))
+
+
+# ------------------------------------------------------------------ pairs, orientation, preparation
+def _prompts(spark, sf):
+    return pp.orient_pairs(fx.pairs(spark, sf))
+
+
+@register("b2_pairs", S.with_(S.PAIRS) + """
+SELECT prompt_id, chosen_id, rejected_id, lang, length(chosen)::BIGINT AS chosen_chars,
+       length(rejected)::BIGINT AS rejected_chars FROM pairs""")
+def q_pairs(spark, sf):
+    p = fx.pairs(spark, sf)
+    return p.select("prompt_id", "chosen_id", "rejected_id", "lang",
+                    F.length("chosen").cast("bigint").alias("chosen_chars"),
+                    F.length("rejected").cast("bigint").alias("rejected_chars"))
+
+
+@register("p1_orientation", S.with_(S.PAIRS) + """
+SELECT prompt_id, truth_is_a, length(text_a)::BIGINT AS a_chars, md5(text_b) AS b_md5 FROM prompts""")
+def q_orient(spark, sf):
+    p = _prompts(spark, sf)
+    return p.select("prompt_id", "truth_is_a", F.length("text_a").cast("bigint").alias("a_chars"),
+                    F.md5("text_b").alias("b_md5"))
+
+
+@register("b3_pair_votes", S.with_(S.PAIRS, S.PAIR_VOTES) + "SELECT prompt_id, annotator_id, vote FROM pv")
+def q_pair_votes(spark, sf):
+    return fx.pair_votes(_prompts(spark, sf))
+
+
+@register("p5_oracle_votes", S.with_(S.PAIRS) + """
+SELECT prompt_id, 999::BIGINT AS annotator_id, truth_is_a AS vote FROM prompts""")
+def q_oracle_votes(spark, sf):
+    return pp.oracle_votes(_prompts(spark, sf))
+
+
+@register("p2_seeded_sample_cap", S.with_(S.TRUTH) + f"""
+SELECT prompt_id FROM truth ORDER BY {S.h("'42|shuffle|' || prompt_id::VARCHAR")}, prompt_id LIMIT 1000""")
+def q_seeded(spark, sf):
+    return pp.seeded_sample(fx.truth(spark, sf), "prompt_id", 1000).select("prompt_id")
+
+
+@register("p3_dense_prompt_ids", """
+SELECT o_orderkey::BIGINT AS o_orderkey, (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1)::BIGINT AS prompt_id
+FROM orders""")
+def q_dense_ids(spark, sf):
+    o = fx.read_table(spark, sf, "orders").select(F.col("o_orderkey").cast("bigint"), "o_orderdate")
+    return pp.sequential_prompt_ids(o, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "prompt_id")
+
+
+@register("p4_regular_graph_trim", S.with_(S.TRUTH) + """
+SELECT prompt_id FROM (SELECT prompt_id, row_number() OVER (ORDER BY prompt_id) - 1 AS i FROM truth)
+WHERE i < (7 * (((SELECT count(*) FROM truth) * 3) // 7)) // 3""")
+def q_trim(spark, sf):
+    kept, _, _ = pp.regular_graph_trim(fx.truth(spark, sf), 3, 7)
+    return kept.select("prompt_id")
+
+
+@register("p6_annotator_accuracy", S.with_(S.VOTES, S.TRUTH) + """
+SELECT annotator_id, count(*)::BIGINT AS n_votes, round(avg((vote = truth_is_a)::INT), 6) AS accuracy
+FROM votes JOIN truth USING (prompt_id) GROUP BY annotator_id""")
+def q_ann_acc(spark, sf):
+    c = pp.vote_correctness(pp.validate_votes(fx.votes(spark, sf)), fx.truth(spark, sf))
+    return c.groupBy("annotator_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_votes"),
+                                         r6(F.avg("correct")).alias("accuracy"))
+
+
+@register("p7_winner_loser", S.with_(S.VOTES, S.LOGPS, _WL) + """
+SELECT prompt_id, count(*)::BIGINT AS n_votes, round(sum(zw), 6) AS sum_winner_logit FROM wl GROUP BY prompt_id""")
+def q_winner_loser(spark, sf):
+    j = pp.winner_loser(fx.votes(spark, sf).join(fx.logps(spark, sf), "prompt_id"))
+    zw = pf.preference_logit("pi_w", "pi_l", "ref_w", "ref_l")
+    return j.groupBy("prompt_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_votes"),
+                                      r6(F.sum(zw)).alias("sum_winner_logit"))
+
+
+@register("j1_votes_with_text", S.with_(S.PAIRS, S.PAIR_VOTES) + """
+SELECT pv.prompt_id, pv.annotator_id, pv.vote, length(text_a)::BIGINT AS a_chars, length(text_b)::BIGINT AS b_chars
+FROM pv JOIN prompts USING (prompt_id)""")
+def q_votes_text(spark, sf):
+    pr = _prompts(spark, sf)
+    from crowdtrust.operators.text import votes_with_text
+    j, _orphans = votes_with_text(fx.pair_votes(pr), pr)
+    return j.select("prompt_id", "annotator_id", "vote", F.length("text_a").cast("bigint").alias("a_chars"),
+                    F.length("text_b").cast("bigint").alias("b_chars"))

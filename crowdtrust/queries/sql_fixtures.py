@@ -123,3 +123,33 @@ def onecoin_history(k: int) -> str:
         l1 = f"(SELECT avg(abs(true_acc - alpha)) FROM worker_truth JOIN a{i} USING (annotator_id))"
         rows.append(f"SELECT {i} AS iteration, round({l1}, 6) AS l1_parameter_loss, round({shift}, 6) AS max_gamma_shift")
     return "\nUNION ALL\n".join(rows)
+
+
+def softplus(x: str) -> str:
+    return f"(greatest({x}, 0e0) + ln(1 + exp(-abs({x}))))"
+
+
+LOGIT = "((pi_a - pi_b) - (ref_a - ref_b))"
+
+PAIRS = f"""lab AS (SELECT d.doc_id, d.text, d.lang, l.quality FROM documents d JOIN labels l USING (doc_id)),
+good AS (SELECT doc_id AS chosen_id, text AS chosen, lang, {h("doc_id::VARCHAR")} AS hh FROM lab WHERE quality = 1),
+nl AS (SELECT lang, count(*) AS n_lang FROM good GROUP BY lang),
+ranked AS (SELECT chosen_id, lang, row_number() OVER (PARTITION BY lang ORDER BY hh, chosen_id) - 1 AS pos FROM good),
+bad AS (SELECT doc_id AS rejected_id, text AS rejected, lang FROM lab WHERE quality = 0),
+slots AS (SELECT b.rejected_id, b.lang, ({h("b.rejected_id::VARCHAR")} + r.k) % nl.n_lang AS pos
+          FROM bad b JOIN nl USING (lang) JOIN range(0, 10) r(k) ON r.k < least(nl.n_lang, 10)),
+pr AS (SELECT s.rejected_id, rk.chosen_id, s.lang FROM slots s JOIN ranked rk USING (lang, pos)),
+pairs AS (SELECT (row_number() OVER (ORDER BY pr.rejected_id, pr.chosen_id) - 1)::BIGINT AS prompt_id,
+                 g.chosen, b.rejected, pr.lang, pr.chosen_id::BIGINT AS chosen_id, pr.rejected_id::BIGINT AS rejected_id
+          FROM pr JOIN good g USING (chosen_id) JOIN bad b USING (rejected_id)),
+prompts AS (SELECT prompt_id, CASE WHEN o = 1 THEN chosen ELSE rejected END AS text_a,
+                   CASE WHEN o = 1 THEN rejected ELSE chosen END AS text_b, o AS truth_is_a
+            FROM (SELECT *, ({h("'42|orient|' || prompt_id::VARCHAR")} % 2)::INT AS o FROM pairs))"""
+
+PAIR_VOTES = f"""pv AS (
+  SELECT prompt_id, annotator_id,
+         (CASE WHEN {h("concat_ws('|', prompt_id::VARCHAR, 'v', slot::VARCHAR)")} / 4294967296e0 < {band('annotator_id')}
+               THEN truth_is_a ELSE 1 - truth_is_a END)::INT AS vote
+  FROM (SELECT prompt_id, truth_is_a, slot,
+               ({h("concat_ws('|', prompt_id::VARCHAR, 'a', slot::VARCHAR)")} % 30)::BIGINT AS annotator_id
+        FROM prompts, range(0, 3) s(slot)))"""
