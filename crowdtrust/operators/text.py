@@ -106,28 +106,43 @@ def votes_with_text(votes: DataFrame, prompts: DataFrame) -> tuple[DataFrame, Da
     return votes.join(p, "prompt_id"), votes.join(p, "prompt_id", "left_anti")
 
 
+PAD_TOKEN = " pad"  # sentinel: contains a space, so the tokeniser never produces it
+
+
 def side_bigrams(prompts: DataFrame, vocab: DataFrame, vocab_size: int, max_len: int | None = None,
                  include_pad: bool = False) -> DataFrame:
     """(prompt_id, side, prev_id, token_id, cnt): bigram occurrences per side.
 
-    With ``max_len`` and ``include_pad`` the sequence is padded to ``max_len``
-    and the pad positions count, as the reference's unmasked sum does."""
-    st = side_tokens(prompts)
-    if max_len is not None:
-        st = st.filter(F.col("pos") < max_len)
-    st = _vocab_join(st, vocab, vocab_size).select("prompt_id", "side", "pos", "token_id")
-    if max_len is not None and include_pad:
-        n = st.groupBy("prompt_id", "side").agg(F.count(F.lit(1)).alias("_n"))
-        sides = prompts.select("prompt_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("side"))
-        n = sides.join(n, ["prompt_id", "side"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-        pads = n.select("prompt_id", "side", F.explode(F.sequence(F.col("_n"), F.lit(max_len - 1))).alias("pos")) \
-            .filter(F.col("pos") < max_len).withColumn("token_id", F.lit(PAD_ID))
-        st = st.unionByName(pads)
-    # the next token of position p is the token at p + 1 of the same side
-    nxt = st.select("prompt_id", "side", (F.col("pos") - 1).alias("pos"), F.col("token_id").alias("next_id"))
-    bg = st.join(nxt, ["prompt_id", "side", "pos"])
-    return bg.groupBy("prompt_id", "side", F.col("token_id").alias("prev_id"), F.col("next_id").alias("token_id")) \
+    Bigrams are formed inside each row from the token array (slice +
+    arrays_zip, no shuffle), counted per side, then mapped to ids with two
+    broadcast joins against the size-capped vocabulary.  With ``max_len`` and
+    ``include_pad`` the sequence is padded to ``max_len`` and the pad
+    positions count, as the reference's unmasked sum does."""
+    parts = []
+    for side, col in (("a", "text_a"), ("b", "text_b")):
+        t = tokens(col)
+        if max_len is not None:
+            t = F.slice(t, 1, max_len)
+            if include_pad:
+                t = F.concat(t, F.array_repeat(F.lit(PAD_TOKEN), F.lit(max_len) - F.size(t)))
+        parts.append(prompts.select("prompt_id", F.lit(side).alias("side"), t.alias("_t")))
+    st = parts[0].unionByName(parts[1])
+    m = F.greatest(F.size("_t") - 1, F.lit(0))
+    pairs = st.select("prompt_id", "side", F.explode(F.arrays_zip(F.slice("_t", 1, m).alias("p"),
+                                                                    F.slice("_t", 2, m).alias("q"))).alias("_z"))
+    cnt = pairs.groupBy("prompt_id", "side", F.col("_z.p").alias("prev_tok"), F.col("_z.q").alias("tok")) \
         .agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
+    v = vocab.select("token", "token_id")
+    v = F.broadcast(v) if vocab_size <= BROADCAST_ROW_LIMIT else v
+
+    def to_id(df, col, out):
+        j = df.join(v.withColumnRenamed("token", col).withColumnRenamed("token_id", out), col, "left")
+        return j.withColumn(out, F.when(F.col(col) == PAD_TOKEN, F.lit(PAD_ID))
+                            .otherwise(F.coalesce(F.col(out), F.lit(UNK_ID))))
+
+    ids = to_id(to_id(cnt, "prev_tok", "prev_id"), "tok", "token_id")
+    # distinct unknown words share the unk id: add their counts up
+    return ids.groupBy("prompt_id", "side", "prev_id", "token_id").agg(F.sum("cnt").cast("bigint").alias("cnt"))
 
 
 def bigram_model(bigrams: DataFrame, weights: DataFrame | None, vocab_size: int, add_k: float = 1.0) -> DataFrame:

@@ -449,3 +449,114 @@ def q_votes_text(spark, sf):
     j, _orphans = votes_with_text(fx.pair_votes(pr), pr)
     return j.select("prompt_id", "annotator_id", "vote", F.length("text_a").cast("bigint").alias("a_chars"),
                     F.length("text_b").cast("bigint").alias("b_chars"))
+
+
+# ------------------------------------------------------------------ text
+from crowdtrust.operators import text as tx  # noqa: E402
+
+VOCAB = 1000
+
+
+def _vocab(spark, sf):
+    return tx.build_vocab(fx.read_table(spark, sf, "documents"), ["text"], VOCAB)
+
+
+@register("k2_vocab", S.with_(S.vocab_cte(VOCAB)) + "SELECT token, token_id, count FROM vocab")
+def q_vocab(spark, sf):
+    return _vocab(spark, sf)
+
+
+@register("k1_token_ids_pad128", S.with_(S.PAIRS, S.vocab_cte(VOCAB), S.SIDE_TOKENS) + """
+, arr AS (SELECT prompt_id, side, list_resize(list(token_id ORDER BY pos), 128, 0) AS ids
+          FROM sid WHERE pos < 128 GROUP BY prompt_id, side),
+  ntok AS (SELECT prompt_id, side, count(*)::INT AS n FROM stok GROUP BY prompt_id, side)
+SELECT p.prompt_id,
+       array_to_string(coalesce(a.ids, list_resize([]::INT[], 128, 0)), ' ') AS ids_a,
+       array_to_string(coalesce(b.ids, list_resize([]::INT[], 128, 0)), ' ') AS ids_b,
+       coalesce(na.n, 0) AS n_tok_a, coalesce(nb.n, 0) AS n_tok_b
+FROM prompts p
+LEFT JOIN arr a ON a.prompt_id = p.prompt_id AND a.side = 'a'
+LEFT JOIN arr b ON b.prompt_id = p.prompt_id AND b.side = 'b'
+LEFT JOIN ntok na ON na.prompt_id = p.prompt_id AND na.side = 'a'
+LEFT JOIN ntok nb ON nb.prompt_id = p.prompt_id AND nb.side = 'b'""")
+def q_token_ids(spark, sf):
+    t = tx.token_ids(_prompts(spark, sf), _vocab(spark, sf), VOCAB, 128)
+    return t.select("prompt_id", F.array_join("ids_a", " ").alias("ids_a"), F.array_join("ids_b", " ").alias("ids_b"),
+                    "n_tok_a", "n_tok_b")
+
+
+@register("k1_token_counts_whole", S.with_(S.PAIRS, S.vocab_cte(VOCAB), S.SIDE_TOKENS) + """
+SELECT prompt_id, side, count(*)::BIGINT AS n_tokens, sum(token_id)::BIGINT AS id_sum,
+       sum((token_id = 1)::INT)::BIGINT AS n_unk
+FROM sid GROUP BY prompt_id, side""")
+def q_token_counts(spark, sf):
+    st = tx._vocab_join(tx.side_tokens(_prompts(spark, sf)), _vocab(spark, sf), VOCAB)
+    return st.groupBy("prompt_id", "side").agg(F.count(F.lit(1)).cast("bigint").alias("n_tokens"),
+                                               F.sum("token_id").cast("bigint").alias("id_sum"),
+                                               F.sum((F.col("token_id") == tx.UNK_ID).cast("int")).cast("bigint")
+                                               .alias("n_unk"))
+
+
+_PAIR_EM = ["pvc AS (SELECT prompt_id, annotator_id, vote, count(*)::BIGINT AS n FROM pv GROUP BY ALL)"] + \
+    S.onecoin_ctes(K, votes_cte="pvc")
+
+_BIGRAM_MODEL = f"""
+, wb AS (SELECT prev_id, token_id, sum(cnt * CASE WHEN side = 'a' THEN g ELSE 1 - g END) AS c
+         FROM big JOIN g{K} USING (prompt_id) GROUP BY prev_id, token_id),
+  wctx AS (SELECT prev_id, sum(c) AS c_prev FROM wb GROUP BY prev_id),
+  pol AS (SELECT prev_id, token_id, ln((c + 1) / (c_prev + {VOCAB}e0)) AS logp, ln(1 / (c_prev + {VOCAB}e0)) AS unseen
+          FROM wb JOIN wctx USING (prev_id)),
+  rb AS (SELECT prev_id, token_id, sum(cnt)::DOUBLE AS c FROM big GROUP BY prev_id, token_id),
+  rctx AS (SELECT prev_id, sum(c) AS c_prev FROM rb GROUP BY prev_id),
+  ref AS (SELECT prev_id, token_id, ln((c + 1) / (c_prev + {VOCAB}e0)) AS logp, ln(1 / (c_prev + {VOCAB}e0)) AS unseen
+          FROM rb JOIN rctx USING (prev_id))"""
+
+
+@register("t2_weighted_bigram_model", S.with_(S.PAIRS, S.PAIR_VOTES, *_PAIR_EM, S.vocab_cte(VOCAB), S.SIDE_TOKENS)
+          + _BIGRAM_MODEL + "\nSELECT prev_id, token_id, round(logp, 6) AS logp FROM pol")
+def q_bigram(spark, sf):
+    m = _text_models(spark, sf)
+    return m["pol"].select("prev_id", "token_id", r6("logp").alias("logp"))
+
+
+_TEXT: dict = {}
+
+
+def _text_models(spark, sf):
+    key = (id(spark), sf)
+    if key not in _TEXT:
+        pr = _prompts(spark, sf)
+        vocab = _vocab(spark, sf)
+        trust = em.fit(fx.pair_votes(pr), "onecoin", max_iter=K, tol=None).trust.checkpoint(eager=True)
+        big = tx.side_bigrams(pr, vocab, VOCAB).checkpoint(eager=True)
+        pol = tx.bigram_model(big, trust, VOCAB)
+        ref = tx.bigram_model(big, None, VOCAB)
+        _TEXT[key] = {"prompts": pr, "big": big, "pol": pol, "ref": ref, "trust": trust}
+    return _TEXT[key]
+
+
+@register("d1_sequence_logps", S.with_(S.PAIRS, S.PAIR_VOTES, *_PAIR_EM, S.vocab_cte(VOCAB), S.SIDE_TOKENS)
+          + _BIGRAM_MODEL + f"""
+, ctxp AS (SELECT DISTINCT prev_id, unseen FROM pol), ctxr AS (SELECT DISTINCT prev_id, unseen FROM ref),
+  sp AS (SELECT b.prompt_id, b.side, sum(b.cnt * coalesce(p.logp, c.unseen, -ln({VOCAB}e0))) AS lp
+         FROM big b LEFT JOIN pol p USING (prev_id, token_id) LEFT JOIN ctxp c USING (prev_id) GROUP BY ALL),
+  sr AS (SELECT b.prompt_id, b.side, sum(b.cnt * coalesce(p.logp, c.unseen, -ln({VOCAB}e0))) AS lp
+         FROM big b LEFT JOIN ref p USING (prev_id, token_id) LEFT JOIN ctxr c USING (prev_id) GROUP BY ALL)
+SELECT pr.prompt_id,
+       round(coalesce((SELECT lp FROM sp WHERE sp.prompt_id = pr.prompt_id AND side = 'a'), 0), 6) AS pi_a,
+       round(coalesce((SELECT lp FROM sp WHERE sp.prompt_id = pr.prompt_id AND side = 'b'), 0), 6) AS pi_b,
+       round(coalesce((SELECT lp FROM sr WHERE sr.prompt_id = pr.prompt_id AND side = 'a'), 0), 6) AS ref_a,
+       round(coalesce((SELECT lp FROM sr WHERE sr.prompt_id = pr.prompt_id AND side = 'b'), 0), 6) AS ref_b
+FROM prompts pr""")
+def q_seq_logps(spark, sf):
+    m = _text_models(spark, sf)
+    pol = tx.sequence_logps(m["big"], m["pol"], VOCAB)
+    ref = tx.sequence_logps(m["big"], m["ref"], VOCAB)
+    t = tx.logps_table(pol, ref, m["prompts"])
+    return t.select("prompt_id", *[r6(c).alias(c) for c in ("pi_a", "pi_b", "ref_a", "ref_b")])
+
+
+@register("k3_pair_features")
+def q_pair_features(spark, sf):
+    f = tx.pair_features(_prompts(spark, sf), 64)
+    return f.select("prompt_id", "len_diff", F.aggregate("phi", F.lit(0.0), lambda a, x: a + F.abs(x)).alias("l1_phi"))

@@ -153,3 +153,27 @@ PAIR_VOTES = f"""pv AS (
   FROM (SELECT prompt_id, truth_is_a, slot,
                ({h("concat_ws('|', prompt_id::VARCHAR, 'a', slot::VARCHAR)")} % 30)::BIGINT AS annotator_id
         FROM prompts, range(0, 3) s(slot)))"""
+
+
+def tokens_sql(text: str) -> str:
+    return (f"list_filter(string_split(trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), "
+            f"lambda x: length(x) > 0)")
+
+
+def vocab_cte(vocab_size: int) -> str:
+    return f"""dtok AS (SELECT unnest({tokens_sql('text')}) AS token FROM documents),
+dcnt AS (SELECT token, count(*)::BIGINT AS count FROM dtok GROUP BY token),
+vocab AS (SELECT token, (row_number() OVER (ORDER BY count DESC, token) - 1 + 2)::INT AS token_id, count
+          FROM dcnt ORDER BY count DESC, token LIMIT {vocab_size - 2})"""
+
+
+SIDE_TOKENS = f"""stok AS (
+  SELECT prompt_id, 'a' AS side, unnest(generate_series(0, len(t) - 1)) AS pos, unnest(t) AS token
+  FROM (SELECT prompt_id, {tokens_sql('text_a')} AS t FROM prompts)
+  UNION ALL
+  SELECT prompt_id, 'b' AS side, unnest(generate_series(0, len(t) - 1)) AS pos, unnest(t) AS token
+  FROM (SELECT prompt_id, {tokens_sql('text_b')} AS t FROM prompts)),
+sid AS (SELECT prompt_id, side, pos, coalesce(token_id, 1) AS token_id FROM stok LEFT JOIN vocab USING (token)),
+big AS (SELECT x.prompt_id, x.side, x.token_id AS prev_id, y.token_id AS token_id, count(*)::BIGINT AS cnt
+        FROM sid x JOIN sid y ON x.prompt_id = y.prompt_id AND x.side = y.side AND y.pos = x.pos + 1
+        GROUP BY ALL)"""
