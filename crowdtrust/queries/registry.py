@@ -560,3 +560,113 @@ def q_seq_logps(spark, sf):
 def q_pair_features(spark, sf):
     f = tx.pair_features(_prompts(spark, sf), 64)
     return f.select("prompt_id", "len_diff", F.aggregate("phi", F.lit(0.0), lambda a, x: a + F.abs(x)).alias("l1_phi"))
+
+
+# ------------------------------------------------------------------ robustness
+from crowdtrust.operators import robustness as rb  # noqa: E402
+from crowdtrust.plans.sweep import run_stress_sweep  # noqa: E402
+
+
+@register("r1_sparsify_l2", S.with_(S.VOTES) + f"""
+SELECT prompt_id, annotator_id, vote FROM (
+  SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY {S.VOTE_ORDER}, annotator_id, vote) AS r FROM votes)
+WHERE r <= 2""")
+def q_sparsify(spark, sf):
+    return rb.sparsify(fx.votes(spark, sf), 2).select("prompt_id", "annotator_id", "vote")
+
+
+@register("r3_restrict_crowd_n50", S.with_(S.VOTES, S.RANKS) + """
+SELECT prompt_id, annotator_id, vote FROM votes JOIN ranks USING (annotator_id) WHERE crowd_rank < 50""")
+def q_restrict(spark, sf):
+    return rb.restrict_crowd(fx.votes(spark, sf), 50).select("prompt_id", "annotator_id", "vote")
+
+
+@register("r2_corrupt_adv15", S.with_(S.VOTES, S.RANKS, S.WORKER_TRUTH) + f"""
+, rl AS (SELECT annotator_id, {S.role_sql('crowd_rank', 'n_total::DOUBLE', '0.15e0')} AS role FROM ranks)
+SELECT prompt_id, annotator_id,
+       (CASE WHEN role = 'adversary' THEN 1 - vote WHEN role = 'spammer' THEN {S.COIN} ELSE vote END)::INT AS vote
+FROM votes JOIN rl USING (annotator_id)""")
+def q_corrupt(spark, sf):
+    v, _ = rb.corrupt(fx.votes(spark, sf), None, 0.15)
+    return v
+
+
+@register("r2_corrupt_truth_adv15", S.with_(S.VOTES, S.RANKS, S.WORKER_TRUTH) + f"""
+, rl AS (SELECT annotator_id, {S.role_sql('crowd_rank', 'n_total::DOUBLE', '0.15e0')} AS role FROM ranks)
+SELECT annotator_id, round(CASE WHEN role = 'adversary' THEN 1 - true_acc WHEN role = 'spammer' THEN 0.5e0
+                          ELSE true_acc END, 6) AS true_acc
+FROM worker_truth JOIN rl USING (annotator_id)""")
+def q_corrupt_truth(spark, sf):
+    _, wt = rb.corrupt(fx.votes(spark, sf), fx.worker_truth(spark, sf), 0.15)
+    return wt.select("annotator_id", r6("true_acc").alias("true_acc"))
+
+
+@register("r9_balanced_assignment", S.with_(S.TRUTH) + f"""
+, st AS (SELECT prompt_id, slot, {S.h("concat_ws('|', '42|assign', prompt_id::VARCHAR, slot::VARCHAR)")} AS hh
+         FROM truth, range(0, 3) s(slot)),
+  a AS (SELECT prompt_id, slot, ((row_number() OVER (ORDER BY hh, prompt_id, slot) - 1) % 100)::BIGINT AS annotator_id
+        FROM st)
+SELECT prompt_id, slot, annotator_id,
+       (row_number() OVER (PARTITION BY prompt_id, annotator_id ORDER BY slot) > 1)::INT AS collision FROM a""")
+def q_assignment(spark, sf):
+    a = rb.balanced_assignment(fx.truth(spark, sf), 3, 100)
+    return a.select("prompt_id", "slot", F.col("annotator_id").cast("bigint"), "collision")
+
+
+@register("r9_assignment_report", S.with_(S.TRUTH) + f"""
+, st AS (SELECT prompt_id, slot, {S.h("concat_ws('|', '42|assign', prompt_id::VARCHAR, slot::VARCHAR)")} AS hh
+         FROM truth, range(0, 3) s(slot)),
+  a AS (SELECT prompt_id, slot, ((row_number() OVER (ORDER BY hh, prompt_id, slot) - 1) % 100) AS annotator_id FROM st),
+  c AS (SELECT *, (row_number() OVER (PARTITION BY prompt_id, annotator_id ORDER BY slot) > 1)::INT AS collision FROM a)
+SELECT (SELECT min(r) FROM (SELECT count(*) AS r FROM c GROUP BY annotator_id))::BIGINT AS min_tasks,
+       (SELECT max(r) FROM (SELECT count(*) AS r FROM c GROUP BY annotator_id))::BIGINT AS max_tasks,
+       (SELECT count(DISTINCT annotator_id) FROM c)::BIGINT AS n_workers,
+       (SELECT sum(collision) FROM c)::BIGINT AS collisions, (SELECT count(*) FROM c)::BIGINT AS n_edges""")
+def q_assignment_report(spark, sf):
+    return rb.assignment_report(rb.balanced_assignment(fx.truth(spark, sf), 3, 100))
+
+
+_SWEEPS: dict = {}
+
+
+def _sweep(spark, sf):
+    key = (id(spark), sf)
+    if key not in _SWEEPS:
+        _SWEEPS[key] = run_stress_sweep(fx.votes(spark, sf), fx.worker_truth(spark, sf))
+    return _SWEEPS[key]
+
+
+@register("r4_sweep_matrix")
+def q_sweep_matrix(spark, sf):
+    m = _sweep(spark, sf).matrix
+    return m.select("variable_tested", "L", "Adv", "N", r6("Error").alias("Error"))
+
+
+@register("r5_failure_points")
+def q_failure(spark, sf):
+    return rb.failure_points(_sweep(spark, sf).matrix)
+
+
+@register("r6_heatmap")
+def q_heatmap(spark, sf):
+    return _sweep(spark, sf).heatmap
+
+
+@register("r7_error_vs_n")
+def q_error_n(spark, sf):
+    return _sweep(spark, sf).error_vs_n
+
+
+@register("r10_edge_case_frames")
+def q_edge_frames(spark, sf):
+    return _sweep(spark, sf).edge_frames
+
+
+@register("r8_majority_vs_em_worst")
+def q_worst(spark, sf):
+    """Majority vote vs EM on the most adversarial heatmap configuration."""
+    cfgs = [rb.Config(0, "worst", rb.L_GRID[0], rb.ADV_GRID[-1], rb.BASE_N)]
+    pv, wt = rb.perturbed_votes(fx.votes(spark, sf), fx.worker_truth(spark, sf), cfgs)
+    pv = pv.drop("config_id").checkpoint(eager=True)
+    res = em.fit(pv, "onecoin")
+    return rb.majority_vs_em(pv, res.trust, fx.truth(spark, sf))

@@ -177,3 +177,19 @@ sid AS (SELECT prompt_id, side, pos, coalesce(token_id, 1) AS token_id FROM stok
 big AS (SELECT x.prompt_id, x.side, x.token_id AS prev_id, y.token_id AS token_id, count(*)::BIGINT AS cnt
         FROM sid x JOIN sid y ON x.prompt_id = y.prompt_id AND x.side = y.side AND y.pos = x.pos + 1
         GROUP BY ALL)"""
+
+RANKS = f"""ranks AS (
+  SELECT annotator_id, (row_number() OVER (ORDER BY hh, annotator_id) - 1) AS crowd_rank,
+         count(*) OVER () AS n_total
+  FROM (SELECT DISTINCT annotator_id, {h("'42|crowd|' || annotator_id::VARCHAR")} AS hh FROM votes))"""
+
+
+def role_sql(rank: str, crowd: str, adv: str) -> str:
+    spam = f"greatest(0e0, 0.40e0 - {adv})"
+    return (f"(CASE WHEN {rank} < floor({crowd} * {adv}) THEN 'adversary' "
+            f"WHEN {rank} < floor({crowd} * {adv}) + floor({crowd} * {spam}) THEN 'spammer' ELSE 'honest' END)")
+
+
+_COIN_KEY = "concat_ws('|', '42|coin', prompt_id::VARCHAR, annotator_id::VARCHAR)"
+COIN = f"(({h(_COIN_KEY)} / 4294967296e0) < 0.5)::INT"
+VOTE_ORDER = h("concat_ws('|', '42|sparse', prompt_id::VARCHAR, annotator_id::VARCHAR, vote::VARCHAR)")
