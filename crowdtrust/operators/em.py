@@ -346,6 +346,9 @@ def fit(votes: DataFrame | VoteStore, model: str = "onecoin", *, prior_mode: str
         prior = prior.withColumn(_G, F.lit(0))
     if worker_truth is not None and internal_group and _G not in worker_truth.columns:
         worker_truth = worker_truth.withColumn(_G, F.lit(0))
+    if worker_truth is not None:
+        # per-annotator table read by every iteration's stats: materialise once
+        worker_truth = worker_truth.select(*store.annotator_keys, "true_acc").checkpoint(eager=True)
     eng = EMEngine(store, em_model, prior)
     st = state if state is not None else eng.initial_state(init)
     history, frames, iters = [], [], {}
@@ -377,6 +380,9 @@ def fit(votes: DataFrame | VoteStore, model: str = "onecoin", *, prior_mode: str
         nxt = run_eng.with_scalars(stepped, stats)
         if frozen is not None:
             nxt = nxt.unionByName(frozen)
+        if frozen is not None or em_model.scalars:
+            # small table; cut its lineage so frozen groups do not chain up
+            nxt = nxt.checkpoint(eager=True)
         if track_frames:
             frames.append(_accuracy_table(em_model, nxt, store.annotator_keys)
                           .select(*store.annotator_keys, "inferred_acc").withColumn("iteration", F.lit(it)))

@@ -171,7 +171,7 @@ def perturbed_votes(votes: DataFrame, worker_truth: DataFrame, configs: list[Con
     spark = votes.sparkSession
     cfg = spark.createDataFrame([(c.config_id, c.L, float(c.Adv), c.N) for c in configs],
                                 "config_id int, L int, Adv double, N int")
-    ranks = annotator_ranks(votes, seed)
+    ranks = annotator_ranks(votes, seed).checkpoint(eager=True)  # one row per annotator
     n_total = ranks.count()
     rj = _ranks_joinable(ranks)
     ids = F.array(*[F.lit(c.config_id) for c in configs])
