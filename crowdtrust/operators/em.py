@@ -316,6 +316,12 @@ def _accuracy_table(model, state: DataFrame, ak: list[str]) -> DataFrame:
     return state.select(*ak, *[p[q].alias(q) for q in model.params], model.accuracy(p).alias("inferred_acc"))
 
 
+def build_store(votes: DataFrame, group_cols=(), **kw) -> VoteStore:
+    """A vote store that several fits can share (bench, sweeps, joint loop)."""
+    votes, gcols, _ = _norm_groups(votes, group_cols)
+    return VoteStore.build(votes, gcols, **kw)
+
+
 def fit(votes: DataFrame | VoteStore, model: str = "onecoin", *, prior_mode: str = "textbook",
         max_iter: int = DEFAULT_MAX_ITER, tol: float | None = DEFAULT_TOL,
         prior: DataFrame | None = None, worker_truth: DataFrame | None = None,
@@ -334,6 +340,8 @@ def fit(votes: DataFrame | VoteStore, model: str = "onecoin", *, prior_mode: str
     em_model = make_model(model, prior_mode)
     internal_group = False
     if isinstance(votes, VoteStore):
+        if not votes.group_cols:
+            raise ValueError("build a shared store with em.build_store()")
         store = votes
     else:
         votes, gcols, internal_group = _norm_groups(votes, group_cols)
