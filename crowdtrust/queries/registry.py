@@ -670,3 +670,127 @@ def q_worst(spark, sf):
     pv = pv.drop("config_id").checkpoint(eager=True)
     res = em.fit(pv, "onecoin")
     return rb.majority_vs_em(pv, res.trust, fx.truth(spark, sf))
+
+
+# ------------------------------------------------------------------ model runs (T1, T3–T5, D11, IO8–IO11, M6, M10, M11)
+from crowdtrust.operators import models as md  # noqa: E402
+from crowdtrust.plans import joint as jt  # noqa: E402
+from crowdtrust.session import scratch_path  # noqa: E402
+from crowdtrust.sources import io as cio  # noqa: E402
+
+_RUNS: dict = {}
+
+
+def _runs(spark, sf):
+    key = (id(spark), sf)
+    if key not in _RUNS:
+        data = jt.preference_data(spark, sf)
+        static = jt.static_runs(data)
+        joint = jt.joint_run(data, epochs=3)
+        folder = scratch_path(spark, "run_metrics")
+        jt.write_metrics(static.metrics.unionByName(joint.metrics), folder)
+        _RUNS[key] = {"data": data, "static": static, "joint": joint, "folder": folder}
+    return _RUNS[key]
+
+
+def _metric_cols(df):
+    return df.select("run", F.col("epoch").cast("int"), r6("train_loss").alias("train_loss"),
+                     r6("test_accuracy").alias("test_accuracy"),
+                     r6("test_reward_accuracy").alias("test_reward_accuracy"))
+
+
+@register("t1_soft_label_fit")
+def q_soft_fit(spark, sf):
+    """The static-EM soft-label model's P(A preferred) for every prompt."""
+    r = _runs(spark, sf)
+    pred = md.predict_prior(r["static"].models["static_em"], jt.scoring_table(r["data"]))
+    return pred.select("prompt_id", r6("prior").alias("p_a"))
+
+
+@register("t3_run_metrics")
+def q_run_metrics(spark, sf):
+    return _metric_cols(_runs(spark, sf)["static"].metrics)
+
+
+@register("t4_joint_history")
+def q_joint(spark, sf):
+    m = _runs(spark, sf)["joint"].metrics
+    return m.select(F.col("epoch").cast("int"), r6("train_loss").alias("train_loss"),
+                    r6("test_accuracy").alias("test_accuracy"),
+                    r6("test_reward_accuracy").alias("test_reward_accuracy"),
+                    r6("reward_margin").alias("reward_margin"))
+
+
+@register("t5_batch_inference")
+def q_inference(spark, sf):
+    r = _runs(spark, sf)
+    path = scratch_path(spark, "joint_model")
+    md.save_model(r["joint"].models["joint"], path)
+    test = jt.scoring_table(r["data"]).join(r["data"].truth.filter("is_test").select("prompt_id"), "prompt_id")
+    out = md.load_and_score(path, test)
+    return out.select("prompt_id", r6("p_a").alias("p_a"), "prefers_a")
+
+
+@register("m10_run_comparison")
+def q_run_comparison(spark, sf):
+    """IO11 written files → IO10 glob scan → M10 comparison with the oracle gap."""
+    r = _runs(spark, sf)
+    scanned = cio.scan_metric_files(spark, f"{r['folder']}/*_metrics.csv")
+    cmp = metrics.run_comparison(scanned)
+    return cmp.select("run", "label", "epoch", r6("train_loss").alias("train_loss"),
+                      r6("test_accuracy").alias("test_accuracy"), r6("oracle_gap").alias("oracle_gap"))
+
+
+@register("m11_phase_summary")
+def q_phase_summary(spark, sf):
+    """One (phase, metric, value) row per reported number."""
+    r = _runs(spark, sf)
+    truth = fx.truth(spark, sf)
+    votes = fx.votes(spark, sf)
+    maj = baselines.majority_vote(votes).select("prompt_id", F.col("label").cast("double").alias("trust_weight"))
+    f = fitted(spark, sf)
+    rows = [
+        metrics.label_accuracy(maj, truth).select(F.lit("1 crowd").alias("phase"),
+                                                  F.lit("majority_accuracy").alias("metric"), "accuracy"),
+        metrics.label_accuracy(f.trust, truth).select(F.lit("2 em").alias("phase"),
+                                                      F.lit("em_accuracy").alias("metric"), "accuracy"),
+        metrics.em_objective(f.trust, truth, f.params, fx.worker_truth(spark, sf)).select(
+            F.lit("2 em").alias("phase"), F.lit("em_loss").alias("metric"), F.col("em_loss").alias("accuracy")),
+    ]
+    allm = r["static"].metrics.unionByName(r["joint"].metrics)
+    rows.append(allm.select(F.lit("3 models").alias("phase"),
+                            F.concat(F.col("run"), F.lit("_e"), F.col("epoch").cast("string"),
+                                     F.lit("_test_accuracy")).alias("metric"),
+                            F.col("test_accuracy").alias("accuracy")))
+    out = metrics.phase_summary(rows)
+    return out.select("phase", "metric", r6("accuracy").alias("value"))
+
+
+@register("m6_scatter_frames_k5", _OC + "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT {i}::INT AS frame, annotator_id, round(alpha, 6) AS inferred_acc, true_acc FROM a{i} "
+    f"JOIN worker_truth USING (annotator_id)" for i in range(1, K + 1)) + ")")
+def q_scatter(spark, sf):
+    """IO8 one CSV folder per iteration → IO9 natural-order scan → J8/M6 join by id."""
+    res = em.fit(fx.votes(spark, sf), "onecoin", max_iter=K, tol=None, track_frames=True)
+    folder = scratch_path(spark, "frames")
+    fr = res.frames.checkpoint(eager=True)
+    for i in range(1, K + 1):  # K small per-iteration tables, written as the reference's frame files
+        cio.write_table(fr.filter(F.col("iteration") == i).drop("iteration").coalesce(1),
+                        f"{folder}/frame_{i}.csv", fmt="csv")
+    scanned = cio.scan_frames_natural(spark, folder, "frame_*.csv")
+    sc = metrics.scatter_frames(scanned, fx.worker_truth(spark, sf))
+    return sc.select(F.col("frame").cast("int"), "annotator_id", r6("inferred_acc").alias("inferred_acc"),
+                     F.col("true_acc").cast("double"))
+
+
+@register("io8_partitioned_frames_k5", _OC + "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT 'standalone' AS run_id, {i}::INT AS iteration, annotator_id, round(alpha, 6) AS inferred_acc FROM a{i}"
+    for i in range(1, K + 1)) + ")")
+def q_partitioned_frames(spark, sf):
+    """IO8: frames appended to one table partitioned by (run_id, iteration), read back."""
+    res = em.fit(fx.votes(spark, sf), "onecoin", max_iter=K, tol=None, track_frames=True)
+    folder = scratch_path(spark, "tracking")
+    cio.append_frames(res.frames, folder, "standalone")
+    back = spark.read.parquet(folder)
+    return back.select("run_id", F.col("iteration").cast("int"), "annotator_id",
+                       r6("inferred_acc").alias("inferred_acc"))

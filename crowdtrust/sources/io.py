@@ -75,7 +75,10 @@ def scan_frames_natural(spark: SparkSession, path: str, pattern: str = "*.csv")
     """IO9: read a folder of per-iteration CSV frames; the frame number is
     the first number in the file name, ordered numerically."""
     df = spark.read.option("header", True).csv(os.path.join(path, pattern))
-    df = df.withColumn("file_name", F.col("_metadata.file_name"))
+    # plain ``frame_<i>.csv`` files or Spark's folders of that name with part files
+    fname, fpath = F.col("_metadata.file_name"), F.col("_metadata.file_path")
+    df = df.withColumn("file_name", F.when(fname.startswith("part-"), F.element_at(F.split(fpath, "/"), -2))
+                       .otherwise(fname))
     return (df.withColumn("frame", F.regexp_extract("file_name", r"(\d+)", 1).cast("int"))
             .select(F.col("annotator_id").cast("bigint"), F.col("inferred_acc").cast("double"), "frame", "file_name"))
 
@@ -84,7 +87,8 @@ def scan_metric_files(spark: SparkSession, path_glob: str) -> DataFrame:
     """IO10: glob-scan ``*_metrics.csv``; run name from the file name; rows
     without an epoch are skipped."""
     df = spark.read.option("header", True).csv(path_glob)
-    df = df.withColumn("run", F.regexp_replace(F.col("_metadata.file_name"), "_metrics\\.csv$", ""))
+    # a plain file ``<run>_metrics.csv`` or Spark's folder of that name with part files
+    df = df.withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_metrics\.csv(/[^/]*)?$", 1))
     if "epoch" not in df.columns:
         return spark.createDataFrame([], "run string, epoch int, train_loss double, test_accuracy double")
     return df.select("run", F.col("epoch").cast("int"), F.col("train_loss").cast("double"),
