@@ -794,3 +794,50 @@ def q_partitioned_frames(spark, sf):
     back = spark.read.parquet(folder)
     return back.select("run_id", F.col("iteration").cast("int"), "annotator_id",
                        r6("inferred_acc").alias("inferred_acc"))
+
+
+# ------------------------------------------------------------------ streaming
+from crowdtrust.streaming import trust as stm  # noqa: E402
+
+EV_K = 5  # batch EM iterations that freeze the annotator accuracies of the stream
+
+_EV_VOTES = """ev AS (SELECT event_id, ts, (event_id % 500)::BIGINT AS prompt_id, user_id::BIGINT AS annotator_id,
+                      (value > 20)::INT AS vote FROM events),
+evc AS (SELECT prompt_id, annotator_id, vote, count(*)::BIGINT AS n FROM ev GROUP BY ALL)"""
+_EV_OC = S.with_(_EV_VOTES, *S.onecoin_ctes(EV_K + 1, votes_cte="evc"))
+
+
+def _event_alpha(spark, sf):
+    v = fx.event_votes(fx.read_table(spark, sf, "events")).select("prompt_id", "annotator_id", "vote")
+    return em.fit(v, "onecoin", max_iter=EV_K, tol=None).params.select("annotator_id", "alpha").checkpoint(eager=True)
+
+
+def _stream_trust(spark, sf):
+    path = scratch_path(spark, "x1_trust")
+    stream = stm.event_vote_stream(spark, sf, glob="events.parquet")
+    stm.run_changelog(stm.stream_trust(stream, _event_alpha(spark, sf)), path)
+    return stm.latest_rows(spark, path, ["prompt_id"])
+
+
+@register("x1_stream_trust", _EV_OC + f"""
+SELECT prompt_id, (SELECT count(*) FROM ev WHERE ev.prompt_id = g.prompt_id)::BIGINT AS n_votes,
+       round(g, 6) AS trust_weight FROM g{EV_K + 1} g""")
+def q_stream_trust(spark, sf):
+    """Streaming E-step with frozen α equals the next batch E-step."""
+    return _stream_trust(spark, sf).select("prompt_id", "n_votes", r6("trust_weight").alias("trust_weight"))
+
+
+@register("x2_windowed_agreement", _EV_OC + f"""
+, lab AS (SELECT prompt_id, (round(g, 6) > 0.5)::INT AS label FROM g{EV_K + 1})
+SELECT annotator_id, epoch(date_trunc('day', ts))::BIGINT AS window_start, count(*)::BIGINT AS n_votes,
+       sum((vote = label)::INT)::BIGINT AS n_agree, round(avg((vote = label)::INT), 6) AS agreement
+FROM ev JOIN lab USING (prompt_id) GROUP BY ALL""")
+def q_windowed_agreement(spark, sf):
+    """Daily agreement of each annotator with the stream's trusted label."""
+    labels = stm.trusted_labels(_stream_trust(spark, sf)).checkpoint(eager=True)
+    path = scratch_path(spark, "x2_agreement")
+    stream = stm.event_vote_stream(spark, sf, glob="events.parquet")
+    stm.run_changelog(stm.windowed_agreement(stream, labels), path)
+    out = stm.latest_rows(spark, path, ["annotator_id", "window_start"])
+    return out.select("annotator_id", F.unix_timestamp("window_start").cast("bigint").alias("window_start"),
+                      "n_votes", "n_agree", r6("agreement").alias("agreement"))
