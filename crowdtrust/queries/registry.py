@@ -841,3 +841,34 @@ def q_windowed_agreement(spark, sf):
     out = stm.latest_rows(spark, path, ["annotator_id", "window_start"])
     return out.select("annotator_id", F.unix_timestamp("window_start").cast("bigint").alias("window_start"),
                       "n_votes", "n_agree", r6("agreement").alias("agreement"))
+
+
+# ------------------------------------------------------------------ CSV round trips (IO2–IO4, IO6)
+@register("io6_io3_prompts_csv_roundtrip", S.with_(S.PAIRS) + """
+SELECT prompt_id, truth_is_a, length(text_a)::BIGINT AS a_chars, md5(text_a) AS a_md5, md5(text_b) AS b_md5
+FROM prompts""")
+def q_prompts_csv(spark, sf):
+    """Prompts written as quoted CSV (IO6) and read back as multiLine CSV (IO3)."""
+    path = scratch_path(spark, "prompts_csv")
+    cio.write_table(_prompts(spark, sf).select("prompt_id", "text_a", "text_b", "truth_is_a"), path, fmt="csv")
+    p = cio.read_prompts_csv(spark, path)
+    return p.select("prompt_id", "truth_is_a", F.length("text_a").cast("bigint").alias("a_chars"),
+                    F.md5("text_a").alias("a_md5"), F.md5("text_b").alias("b_md5"))
+
+
+@register("io2_votes_csv_roundtrip", S.with_(S.VOTES) + "SELECT prompt_id, annotator_id, vote FROM votes")
+def q_votes_csv(spark, sf):
+    """Votes written as CSV (IO6) and read back with a fixed schema (IO2)."""
+    path = scratch_path(spark, "votes_csv")
+    cio.write_table(fx.votes(spark, sf), path, fmt="csv")
+    return cio.read_votes(spark, path)
+
+
+@register("io4_worker_truth_fallback", S.with_(S.WORKER_TRUTH) + "SELECT annotator_id, true_acc FROM worker_truth")
+def q_worker_truth_fallback(spark, sf):
+    """Worker truth written under the first-generation column name
+    ``true_accuracy``; the reader skips a missing first path and renames (IO4)."""
+    folder = scratch_path(spark, "true_params")
+    cio.write_table(fx.worker_truth(spark, sf).withColumnRenamed("true_acc", "true_accuracy"),
+                    f"{folder}/legacy/true_params.csv", fmt="csv")
+    return cio.read_worker_truth(spark, [f"{folder}/current/03_true_params.csv", f"{folder}/legacy/true_params.csv"])

@@ -60,7 +60,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).option("quoteAll", True).csv(path)
+        # RFC 4180 quoting (quotes doubled), so text with quotes and newlines round-trips (IO3)
+        w.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
     else:
         w.format(fmt).save(path)
 
