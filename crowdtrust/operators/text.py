@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crowdtrust.functions.columns import hash32
 from crowdtrust.operators.votes import BROADCAST_ROW_LIMIT
 
 # Special token ids and the reference's sequence length.
@@ -203,7 +204,7 @@ def pair_features(prompts: DataFrame, num_features: int = 64) -> DataFrame:
     token-count difference; built from explode/groupBy, no UDF."""
     st = side_tokens(prompts)
     sign = F.when(F.col("side") == "a", F.lit(1.0)).otherwise(F.lit(-1.0))
-    b = st.select("prompt_id", F.pmod(F.xxhash64("token"), F.lit(num_features)).cast("int").alias("bucket"),
+    b = st.select("prompt_id", F.pmod(hash32(F.col("token")), F.lit(num_features)).cast("int").alias("bucket"),
                   sign.alias("s"))
     agg = b.groupBy("prompt_id", "bucket").agg(F.sum("s").alias("v"))
     per = agg.groupBy("prompt_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "v"))).alias("_m"))

@@ -556,10 +556,18 @@ def q_seq_logps(spark, sf):
     return t.select("prompt_id", *[r6(c).alias(c) for c in ("pi_a", "pi_b", "ref_a", "ref_b")])
 
 
-@register("k3_pair_features")
+@register("k3_pair_features", S.with_(S.PAIRS) + f"""
+, tk AS (SELECT prompt_id, 1e0 AS s, unnest({S.tokens_sql('text_a')}) AS token FROM prompts
+         UNION ALL SELECT prompt_id, -1e0 AS s, unnest({S.tokens_sql('text_b')}) AS token FROM prompts),
+  bk AS (SELECT prompt_id, {S.h('token')} % 64 AS bucket, sum(s) AS v FROM tk GROUP BY ALL),
+  l1 AS (SELECT prompt_id, sum(abs(v)) AS l1_phi FROM bk GROUP BY prompt_id)
+SELECT p.prompt_id, (len({S.tokens_sql('p.text_a')}) - len({S.tokens_sql('p.text_b')}))::DOUBLE AS len_diff,
+       round(coalesce(l1.l1_phi, 0e0), 6) AS l1_phi
+FROM prompts p LEFT JOIN l1 USING (prompt_id)""")
 def q_pair_features(spark, sf):
     f = tx.pair_features(_prompts(spark, sf), 64)
-    return f.select("prompt_id", "len_diff", F.aggregate("phi", F.lit(0.0), lambda a, x: a + F.abs(x)).alias("l1_phi"))
+    l1 = F.aggregate("phi", F.lit(0.0), lambda a, x: a + F.abs(x))
+    return f.select("prompt_id", "len_diff", F.round(l1, 6).alias("l1_phi"))
 
 
 # ------------------------------------------------------------------ robustness
