@@ -26,15 +26,15 @@ import re
 from pyspark.sql import DataFrame
 
 from .common import id_and_text, per_process
-from .tokens import _PLAIN, _SPLIT_PLAIN, _WORD_END, MAX_UNIT_CHARS, MAX_UNITS, byte_alphabet, units
+from .tokens import _PLAIN, _SPLIT_PLAIN, _WORD, Units, byte_alphabet
 
 SCHEMA = "doc_id long, ids binary, n_tokens long, ids_sha256 string, decoded string, decoded_sha256 string"
 #: Compatible and incompatible pairs remembered by one Python worker.
 MAX_PAIRS = 1_000_000
 
 
-class BacktrackingBPE(dict):
-    """unit -> its ids as little-endian uint32 bytes (see ``tokens.units``).
+class BacktrackingBPE(Units):
+    """Units by backtracking (see ``tokens.Units``).
 
     Inside, tokens are numbered by merge rank: 0..255 single bytes, 256 + i
     the result of merge i.
@@ -45,6 +45,7 @@ class BacktrackingBPE(dict):
         import numpy as np
         from tokenizers.pre_tokenizers import ByteLevel
 
+        super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -142,26 +143,14 @@ class BacktrackingBPE(dict):
             return [p.encode().decode("latin-1") for p in _SPLIT_PLAIN.findall(text)]
         return [p.translate(self.to_bytes) for p, _ in self.split(text)]
 
-    def __missing__(self, unit: str) -> bytes:
-        """Only pieces are kept, as if they were units, and long ones are not."""
-        if unit[-1:] in ".,;:!?" and unit[-2:-1] in _WORD_END:  # the mark is a piece of its own
-            return self[unit[:-1]] + self[unit[-1]]
-        if self.cut_added and self.cut_added.search(unit):
+    def ids(self, unit: str) -> bytes:
+        word = _WORD.fullmatch(unit)
+        if not word and self.cut_added and self.cut_added.search(unit):
             parts = self.cut_added.split(unit)
-            out = b"".join(array.array("I", [self.added[p]]).tobytes() if k % 2 else self[p] for k, p in enumerate(parts))
-        elif _PLAIN.fullmatch(unit) and len(pieces := _SPLIT_PLAIN.findall(unit)) > 1:
-            return b"".join(map(self.__getitem__, pieces))
-        else:
-            out = array.array("I", [self.public_id[r] for p in self._pieces(unit) for r in self.piece(p)]).tobytes()
-        if len(unit) <= MAX_UNIT_CHARS:
-            self[unit] = out
-        return out
-
-    def encode(self, text: str) -> bytes:
-        out = b"".join(map(self.__getitem__, units(text)))
-        if len(self) > MAX_UNITS:
-            self.clear()
-        return out
+            return b"".join(array.array("I", [self.added[p]]).tobytes() if k % 2 else self.bare(p) for k, p in enumerate(parts))
+        if not word and _PLAIN.fullmatch(unit) and len(pieces := _SPLIT_PLAIN.findall(unit)) > 1:
+            return self.together(pieces)
+        return array.array("I", [self.public_id[r] for p in self._pieces(unit) for r in self.piece(p)]).tobytes()
 
     def decode(self, ids: bytes) -> str:
         import numpy as np

@@ -36,7 +36,7 @@ from .tokens import unit_encoder
 SHARD_IDS = 1 << 19
 #: A pair is replaced only if it occurs at least so often in its shard.
 MIN_COUNT = 64
-ROUND_SHARE = 4
+ROUND_SHARE = 8
 _HASH_BITS = 18
 #: Most bytes of per-part offsets that are broadcast; a shuffled join beyond.
 BROADCAST_BYTES = 32 << 20
@@ -49,49 +49,51 @@ def compress(ids, doc_ends, terminals: int, min_count: int = MIN_COUNT):
     """(rules r x 2, symbols, mask of symbols that end a document)."""
     import numpy as np
 
-    s, last = np.asarray(ids, dtype=np.uint32), np.asarray(doc_ends, dtype=bool)
+    s, last = np.array(ids, dtype=np.uint32), np.array(doc_ends, dtype=bool)
     rules = [np.zeros((0, 2), np.uint32)]
-    n_rules, ceiling = 0, None
+    n_rules, turn, ceiling = 0, 0, len(s)
+    slots = 1 << _HASH_BITS
     while len(s) > 1:
-        open_ = ~last[:-1]
-        h = (s[:-1] * np.uint32(0x9E3779B1) + s[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - _HASH_BITS)
-        counts = np.bincount(h[open_], minlength=1 << _HASH_BITS)
-        # a slot of the table counts one pair or several: an upper bound for each
-        top = int(counts.max())
-        if ceiling is not None:
-            top = min(top, ceiling)
-        least = max(min_count, top // ROUND_SHARE)
-        at = np.flatnonzero((counts >= least)[h] & open_)
-        if len(at) == 0:
-            if least <= min_count:
-                break
-            ceiling = least - 1
-            continue
-        pairs, which, often = np.unique(s[at].astype(np.uint64) << np.uint64(32) | s[at + 1], return_inverse=True, return_counts=True)
-        keep = (often >= least)[which]
+        # another hash each time, so that two pairs do not share a slot for long
+        h = (s[:-1] * np.uint32(0x9E3779B1 + 2 * turn) + s[1:] * np.uint32(0x85EBCA77 + 6 * turn)) >> np.uint32(32 - _HASH_BITS)
+        turn += 1
+        closed = np.flatnonzero(last[:-1])
+        h[closed] = slots
+        counts = np.bincount(h, minlength=slots + 1)
+        counts[slots] = 0
+        least = max(min_count, min(int(counts.max()), ceiling) // ROUND_SHARE)
+        hot = counts >= least
+        at = np.flatnonzero(hot[h])
+        # of pairs that share a slot one is counted, exactly
+        number = np.cumsum(hot) - 1
+        which = number[h[at]]
+        pair = s[at].astype(np.uint64) << np.uint64(32) | s[at + 1]
+        counted = np.zeros(int(number[-1]) + 1, dtype=np.uint64)
+        counted[which] = pair
+        keep = counted[which] == pair
+        keep &= (np.bincount(which[keep], minlength=len(counted)) >= least)[which]
         at, which = at[keep], which[keep]
         # of overlapping pairs every other one, from the left
         run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-        keep = (at - at[np.repeat(run, np.diff(run, append=len(at)))]) % 2 == 0 if len(at) else keep[:0]
+        keep = (at - at[np.repeat(run, np.diff(run, append=len(at)))]) % 2 == 0
         at, which = at[keep], which[keep]
-        keep = (np.bincount(which, minlength=len(pairs)) >= 2)[which]
+        keep = (np.bincount(which, minlength=len(counted)) >= 2)[which]
         at, which = at[keep], which[keep]
         if len(at) == 0:
             if least <= min_count:
                 break
-            ceiling = least - 1
+            ceiling = least
             continue
-        ceiling = None if least > min_count else ceiling
-        taken, number = np.unique(which, return_inverse=True)
-        s = s.copy()
-        last = last.copy()
-        s[at] = (terminals + n_rules + number).astype(np.uint32)
+        taken = np.zeros(len(counted), dtype=bool)
+        taken[which] = True
+        s[at] = (terminals + n_rules - 1 + np.cumsum(taken)[which]).astype(np.uint32)
         last[at] = last[at + 1]
         stay = np.ones(len(s), bool)
         stay[at + 1] = False
         s, last = s[stay], last[stay]
-        rules.append(np.stack([pairs[taken] >> np.uint64(32), pairs[taken] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
-        n_rules += len(taken)
+        new = counted[taken]
+        rules.append(np.stack([new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        n_rules += len(new)
     return np.concatenate(rules), s, last
 
 

@@ -14,8 +14,8 @@ import re
 
 from .common import per_process
 
-#: Units remembered by one Python worker; the table is emptied beyond it.
-MAX_UNITS = 800_000
+#: Units remembered by one Python worker.
+MAX_UNITS = 1_400_000
 #: Longer units are encoded but not remembered.
 MAX_UNIT_CHARS = 64
 
@@ -26,15 +26,16 @@ _L = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PLAIN = re.compile(f"[\\t\\n\\r -~{_L}]*")
 _SPLIT_PLAIN = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[0-9]+| ?[^\\s{_L}0-9]+|\\s+(?!\\S)|\\s+")
 
+_WORD = re.compile(f" ?[{_L}]+")
 _WORD_END = frozenset(c for c in map(chr, range(0x250)) if re.match(f"[0-9{_L}]", c))
 
 
-def units(text: str) -> list[str]:
-    """The text cut before every blank that follows a non-blank."""
+def after_blanks(text: str) -> list[str]:
+    """The text cut at every blank that follows a non-blank (these blanks left out)."""
     if _AFTER_SPACE.search(text):
-        return _CUT.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+        first, *rest = _CUT.split(text)
+        return [first, *[x[1:] for x in rest]]
+    return text.split(" ")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -44,39 +45,76 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b if b in printable else next(spare)) for b in range(256)}
 
 
-class UnitEncoder(dict):
-    """unit -> its ids as little-endian uint32 bytes."""
+class Units(dict):
+    """word -> ids of a blank and the word, as little-endian uint32 bytes, in
+    bounded memory: once the table has ``MAX_UNITS`` / 2 entries it becomes
+    the older half, from which words are taken over as they come up again.
+    ``bare`` does without the blank."""
+
+    def __init__(self):
+        self.older: dict[str, bytes] = {}
+        self.bares: dict[str, bytes] = {}
+
+    def ids(self, unit: str) -> bytes:
+        """The ids of a unit that is not remembered."""
+        raise NotImplementedError
+
+    def bare(self, unit: str) -> bytes:
+        out = self.bares.get(unit)
+        if out is None:
+            if len(self.bares) > MAX_UNITS // 8:
+                self.bares.clear()
+            out = self.ids(unit)
+            if len(unit) <= MAX_UNIT_CHARS:
+                self.bares[unit] = out
+        return out
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.older.get(word)
+        if out is None:
+            if word[-1:] in ".,;:!?" and word[-2:-1] in _WORD_END:  # the mark is a piece of its own
+                out = self[word[:-1]] + self.bare(word[-1])
+            else:
+                out = self.ids(" " + word)
+        if len(word) < MAX_UNIT_CHARS:
+            self[word] = out
+        return out
+
+    def together(self, pieces: list[str]) -> bytes:
+        return b"".join([self[p[1:]] if p[0] == " " else self.bare(p) for p in pieces])
+
+    def encode(self, text: str) -> bytes:
+        """All ids of the text."""
+        first, *rest = after_blanks(text)
+        out = self.bare(first) + b"".join(map(self.__getitem__, rest))
+        if len(self) > MAX_UNITS // 2:
+            self.older = self.copy()
+            self.clear()
+        return out
+
+
+class UnitEncoder(Units):
+    """Units by the ``tokenizers`` library: ids as ``Tokenizer.encode`` gives them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.alphabet = byte_alphabet()
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
-    def __missing__(self, unit: str) -> bytes:
-        if unit[-1:] in ".,;:!?" and unit[-2:-1] in _WORD_END:  # the mark is a piece of its own
-            return self[unit[:-1]] + self[unit[-1]]
-        if _PLAIN.fullmatch(unit) and not any(a in unit for a in self.added):
-            pieces = _SPLIT_PLAIN.findall(unit)
-            if len(pieces) > 1:  # a piece is a unit, too; only pieces are kept
-                return b"".join(map(self.__getitem__, pieces))
+    def ids(self, unit: str) -> bytes:
+        word = _WORD.fullmatch(unit)
+        if word or _PLAIN.fullmatch(unit) and not any(a in unit for a in self.added):
+            pieces = [unit] if word else _SPLIT_PLAIN.findall(unit)
+            if len(pieces) > 1:
+                return self.together(pieces)
             mapped = unit.encode().decode("latin-1").translate(self.alphabet)
-            out = array.array("I", [t.id for t in self.library.model.tokenize(mapped)]).tobytes()
-        else:
-            out = array.array("I", self.library.encode(unit, add_special_tokens=False).ids).tobytes()
-        if len(unit) <= MAX_UNIT_CHARS:
-            self[unit] = out
-        return out
-
-    def encode(self, text: str) -> bytes:
-        """All ids of the text, as ``Tokenizer.encode`` gives them."""
-        out = b"".join(map(self.__getitem__, units(text)))
-        if len(self) > MAX_UNITS:
-            self.clear()
-        return out
+            return array.array("I", [t.id for t in self.library.model.tokenize(mapped)]).tobytes()
+        return array.array("I", self.library.encode(unit, add_special_tokens=False).ids).tobytes()
 
 
 def unit_encoder(path: str) -> UnitEncoder:
