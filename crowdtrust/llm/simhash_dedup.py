@@ -29,6 +29,8 @@ from .common import fresh, id_and_text, mix64, written
 from .components import connected_components
 
 BITS = 64
+#: Partitions of the bits. Any number gives the same links: fewer make rarer values and more probes.
+PARTITIONS = 3
 #: Slots of the histogram per partition (fixes the size of what is broadcast).
 SLOTS = 1 << 16
 #: Slots with more distinct fingerprints are split by further bits.
@@ -177,9 +179,7 @@ def link_fingerprints(distinct: DataFrame, distance: int = 3) -> DataFrame:
     import numpy as np
 
     spark: SparkSession = distinct.sparkSession
-    n = distinct.count()
-    # wide enough for values to be rare among n fingerprints; any m gives the same links
-    m = max(2, min(distance + 1, BITS // max(n.bit_length(), 1)))
+    m = min(PARTITIONS, distance + 1)
     groups = bit_groups(distinct, m)
     group_masks = [np.uint64(sum(1 << b for b in g)) for g in groups]
     ways = [flips(g, distance) for g in groups]
@@ -259,6 +259,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, id_col:
     roots = linked.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     linked = linked.join(roots, "root").select("fp", "component_id")
     classes = distinct.join(linked, "fp", "left").select(F.col("fp").alias("of"), F.coalesce("component_id", "first_doc").alias("component_id"))
+    classes = written(classes, "simhash-classes")  # so that the join below may split a common fingerprint
     return fps.join(classes, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -266,7 +267,7 @@ def keep_one(docs: DataFrame, width: int = 3, distance: int = 3, id_col: str = "
     """The documents, one of each component: the one with the smallest id.
     Rows with that id but repeated are kept once; rows with a null id cannot
     be named and stay."""
-    found = written(near_duplicates(docs, width, distance, id_col, text_col), "simhash-classes")
+    found = written(near_duplicates(docs, width, distance, id_col, text_col), "simhash-found")
     first = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     name = fresh(docs.columns, "kept_id")
     of = docs[id_col].cast("long")
