@@ -274,7 +274,8 @@ def repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_c
     keyed = _keyed(docs, id_col, text_col)
     kept = written(suffixes(keyed, min_words), "suffix-kept")
     whole = kept.filter("x is null").select("th", "d", "n_words")
-    stands = whole.groupBy("th").agg(F.min("d").alias("of"), F.count("*").alias("n"))
+    # written, so that the join below may split a text that very many documents have
+    stands = written(whole.groupBy("th").agg(F.min("d").alias("of"), F.count("*").alias("n")), "suffix-texts")
     copies = whole.join(stands.filter("n > 1").select("th", "of"), "th").filter("d <> of").distinct()
     hits = runs(kept.filter("x is not null").select("h", "th", "x"), ["h"], ["th", "x"], "th")
     xs = hits.groupBy("th").agg(F.collect_list("x").alias("xs"))  # one document's suffixes
