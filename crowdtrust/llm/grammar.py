@@ -33,10 +33,10 @@ from .common import id_and_text
 from .tokens import unit_encoder
 
 #: A shard is closed once it has so many ids (a longer document is a shard of its own).
-SHARD_IDS = 1 << 19
+SHARD_IDS = 1 << 18
 #: A pair is replaced only if it occurs at least so often in its shard.
 MIN_COUNT = 64
-ROUND_SHARE = 8
+ROUND_SHARE = 64
 _HASH_BITS = 18
 #: Most bytes of per-part offsets that are broadcast; a shuffled join beyond.
 BROADCAST_BYTES = 32 << 20
@@ -110,12 +110,29 @@ def expand(symbols, rules, terminals: int):
     import numpy as np
 
     s = np.asarray(symbols, dtype=np.uint32)
-    while len(at := np.flatnonzero(s >= terminals)):
-        pair = rules[s[at] - np.uint32(terminals)]
-        s = np.repeat(s, 1 + (s >= terminals))
+    # what every rule stands for, one after another
+    flat = np.asarray(rules, dtype=np.uint32).ravel()
+    sizes = np.full(len(rules), 2, dtype=np.int64)
+    while len(at := np.flatnonzero(flat >= terminals)):
+        owner = np.repeat(np.arange(len(rules)), sizes)
+        pair = rules[flat[at] - np.uint32(terminals)]
+        sizes += np.bincount(owner[at], minlength=len(rules))
+        flat = np.repeat(flat, 1 + (flat >= terminals))
         at = at + np.arange(len(at))
-        s[at], s[at + 1] = pair[:, 0], pair[:, 1]
-    return s
+        flat[at], flat[at + 1] = pair[:, 0], pair[:, 1]
+    rule = np.flatnonzero(s >= terminals)
+    if len(rule) == 0:
+        return s
+    number = s[rule] - np.uint32(terminals)
+    size = np.ones(len(s), dtype=np.int64)
+    size[rule] = sizes[number]
+    to = (np.cumsum(size) - size)[rule]
+    of = (np.cumsum(sizes) - sizes)[number]
+    long = size[rule]
+    within = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
+    out = np.repeat(s, size)
+    out[np.repeat(to, long) + within] = flat[np.repeat(of, long) + within]
+    return out
 
 
 def read_range(shard: dict, lo: int, hi: int):

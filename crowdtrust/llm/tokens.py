@@ -103,7 +103,12 @@ class UnitEncoder(Units):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.alphabet = byte_alphabet()
+        alphabet = byte_alphabet()
+        #: plain character -> its bytes in the vocabulary's alphabet
+        self.spelled = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in range(0x250)}
+        self.merge = self.library.model.tokenize
+        #: tokens of their own, without a merge (the vocabulary's words in its alphabet)
+        self.whole = {t: array.array("I", [i]).tobytes() for t, i in self.library.get_vocab(with_added_tokens=False).items() if [x.id for x in self.merge(t)] == [i]}
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
     def ids(self, unit: str) -> bytes:
@@ -112,8 +117,8 @@ class UnitEncoder(Units):
             pieces = [unit] if word else _SPLIT_PLAIN.findall(unit)
             if len(pieces) > 1:
                 return self.together(pieces)
-            mapped = unit.encode().decode("latin-1").translate(self.alphabet)
-            return array.array("I", [t.id for t in self.library.model.tokenize(mapped)]).tobytes()
+            mapped = unit.translate(self.spelled)
+            return self.whole.get(mapped) or array.array("I", [t.id for t in self.merge(mapped)]).tobytes()
         return array.array("I", self.library.encode(unit, add_special_tokens=False).ids).tobytes()
 
 

@@ -1,0 +1,75 @@
+import re
+import zlib
+
+import numpy as np
+from public_tokenizers import path
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from brute import documents, repeated_words, simhash_classes
+from conftest import SF0001
+from crowdtrust.llm import langid, secret_scan
+from test_packing import check_pieces
+
+
+def by_hand(rows, classify):
+    """(doc_id, text) rows through plain versions of the first four stages."""
+    rows = [(d, t) for d, t in rows if classify(t)[2]]
+    classes = simhash_classes(rows)
+    rows = [(d, t) for d, t in rows if classes[d][1] == d]
+    cut, _, copies = repeated_words(rows)
+    out = []
+    for d, t in rows:
+        if d in copies:
+            continue
+        if cut.get(d):
+            words = re.findall(r"[^\x20\x09-\x0D]+", t)
+            if not (left := [w for i, w in enumerate(words) if i not in cut[d]]):
+                continue
+            t = left
+        out.append((d, t))
+    return out
+
+
+def test_stages_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    classify = langid.classifier(langid.learn(docs))
+    columns, kept = docs.columns, docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        before = kept
+        kept = stage(spark, kept, SF0001)
+        assert kept.columns == columns, name
+        if k == 2:
+            uncut = {r.doc_id: r.text for r in before.collect()}
+            cut = {r.doc_id: r.text for r in kept.collect()}
+    want = by_hand(rows, classify)
+    assert sorted(cut) == sorted(d for d, _ in want) and len(cut) < len(uncut) + 1
+    for d, t in want:
+        assert cut[d] == t if isinstance(t, str) else re.findall(r"[^\x20\x09-\x0D]+", cut[d]) == t
+    final = {r.doc_id: r for r in kept.collect()}
+    spans = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(list(cut.items()), "doc_id long, text string")).collect()}
+    for d, r in final.items():
+        merged: list[list[int]] = []
+        for x in spans[d]:
+            if merged and x.start <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], x.end)
+            else:
+                merged.append([x.start, x.end])
+        kept_at = [0, *(e for _, e in merged)], [*(b for b, _ in merged), len(cut[d])]
+        assert r.text == secret_scan.MASK.join(cut[d][a:b] for a, b in zip(*kept_at, strict=True)) and r.n_chars == len(r.text)
+
+    library = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    ids = {d: [*library.encode(r.text, add_special_tokens=False).ids, 0] for d, r in final.items()}
+    pieces = corpus_pipeline.run(spark, SF0001).collect()
+    for p in pieces:
+        assert p.ids_crc32 == zlib.crc32(np.array(ids[p.doc_id][p.start: p.start + p.length], dtype="<u4").tobytes())
+    check_pieces([(p.doc_id, p.start, p.length, ids[p.doc_id][p.start: p.start + p.length], p.sequence_id, p.offset) for p in pieces], ids)
+
+
+def test_odd_tables(spark):
+    for rows in ([], [(1, None), (2, ""), (None, None), (3, "123"), (3, "123")]):
+        docs = documents(spark, rows)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, None)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, None).collect() == []
