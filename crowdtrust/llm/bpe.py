@@ -183,9 +183,9 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
 
         bpe = backtracking_bpe(vocabulary)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids = [bpe.encode(t) for t in part.column("text").to_pylist()]
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                ids = bpe.encode_all(part.column("text"))
                 back = [bpe.decode(x) for x in ids]
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()),

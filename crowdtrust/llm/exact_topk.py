@@ -53,7 +53,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: s
     components, and rows without id, take no part; a repeated vec_id counts
     once (the least of its vectors); shorter vectors are as if filled up with
     zeros; an empty table gives no rows; other columns are not read.  Products
-    must fit 64 bits.
+    must stay below 2^61.
     """
     import numpy as np
 
@@ -62,7 +62,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: s
     dim = dimension(rows)
     largest = rows.agg(F.max(F.expr("array_max(transform(v, x -> abs(x)))"))).first()[0] or 0.0
     exact_float = dim * (largest * scale + 1) ** 2 < 2.0 ** 53
-    norm = rows.agg(F.max(F.expr(f"aggregate(v, 0d, (s, x) -> s + floor({scale} * x) * floor({scale} * x))"))).first()[0] or 0.0
+    norm = rows.agg(F.max(F.expr(f"aggregate(v, 0d, (s, x) -> s + pow(abs({scale} * x) + 1, 2))"))).first()[0] or 0.0
     queries = rows.filter(is_query)
     # groups of queries: ranges of the id, each of at most GROUP ids
     numbered = queries.select("vec_id").withColumn("part", F.spark_partition_id())

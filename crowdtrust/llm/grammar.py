@@ -196,9 +196,10 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_c
 
         room = SHARD_IDS
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                held.append(units.encode(text.as_py()) + end)
-                names.append(doc_id.as_py())
+            some = (batch.slice(lo, 2048) for lo in range(0, batch.num_rows, 2048))
+            for doc_id, ids in (x for b in some for x in zip(b.column("doc_id").to_pylist(), units.encode_all(b.column("text")), strict=True)):
+                held.append(ids + end)
+                names.append(doc_id)
                 room -= len(held[-1]) // 4
                 if room <= 0:
                     yield close()

@@ -48,9 +48,9 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_c
         units, end = unit_encoder(vocabulary), array("I", [end_id]).tobytes()
         ranks, before = [0] * capacity, 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                b = batch.slice(lo, 256)
-                ids = [units.encode(t) + end for t in b.column("text").to_pylist()]
+            for lo in range(0, batch.num_rows, 2048):
+                b = batch.slice(lo, 2048)
+                ids = [x + end for x in units.encode_all(b.column("text"))]
                 rows = []
                 for x in ids:
                     full, rem = divmod(len(x) // 4, capacity)
