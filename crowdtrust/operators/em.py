@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from crowdtrust.functions.columns import clip, two_class_posterior
 from crowdtrust.operators.votes import VoteStore
 from crowdtrust.session import checkpoint_root
+from crowdtrust.sources.io import dense_ids
 
 # Fixed values of the reference models.
 ONECOIN_INIT_ALPHA = 0.6
@@ -245,10 +246,6 @@ class EMEngine:
         if self.store.hot is not None:
             joined.append(self._m_rows(self.store.hot, self._posteriors(self.store.hot, state, True), True))
         rows = joined[0] if len(joined) == 1 else joined[0].unionByName(joined[1])
-        # carry the current params of each annotator into the aggregate
-        st = state.select(*self.ak, *[f"{p}_cur" for p in m.params])
-        st = F.broadcast(st) if self.store.broadcast_params else st
-        rows = rows.join(st, self.ak)
         v, n, g = _c("vote"), _c("n"), _c("_g")
         # exactly one "lead" row per prompt: its smallest (annotator, vote)
         lead = (_c("annotator_id") * 2 + v) == _c("_lead")
@@ -257,8 +254,10 @@ class EMEngine:
         aggs += [F.max(F.abs(g - _c("_g0"))).alias("_shift"),
                  F.sum(F.when(lead, g).otherwise(F.lit(0.0))).alias("_gsum"),
                  F.sum(F.when(lead, F.lit(1)).otherwise(F.lit(0))).cast("double").alias("_gcnt")]
-        aggs += [F.first(f"{p}_cur").alias(f"{p}_prev") for p in m.params]
         a = rows.groupBy(*self.ak).agg(*aggs)
+        # the current params become the previous ones: joined to the aggregate, a row per annotator, not to the votes
+        st = state.select(*self.ak, *[_c(f"{p}_cur").alias(f"{p}_prev") for p in m.params])
+        a = a.join(F.broadcast(st) if self.store.broadcast_params else st, self.ak)
         newp = m.m_params({k: _c(k) for k in sums})
         a = a.withColumns({f"{p}_cur": e for p, e in newp.items()})
         cols = [*self.ak] + [f"{p}_{s}" for p in m.params for s in ("cur", "prev")]
@@ -327,7 +326,7 @@ def fit(votes: DataFrame | VoteStore, model: str = "onecoin", *, prior_mode: str
         prior: DataFrame | None = None, worker_truth: DataFrame | None = None,
         group_cols=(), track_frames: bool = False, init: dict | None = None,
         state: DataFrame | None = None, num_buckets: int | None = None,
-        hot_threshold: int | None = None, compacted: bool = False) -> EMResult:
+        hot_threshold: int | None = None, compacted: bool = False, dense: bool = False) -> EMResult:
     """Run EM until ``max|Δγ| < tol`` or ``max_iter``.
 
     ``votes``: (group.., prompt_id, annotator_id, vote) or a built store.
@@ -336,10 +335,15 @@ def fit(votes: DataFrame | VoteStore, model: str = "onecoin", *, prior_mode: str
     ``group_cols``: fit every group (configuration) independently in the same
     jobs; a group that converged keeps its parameters while others go on.
     ``tol=None`` runs exactly ``max_iter`` iterations.
+    ``dense``: also list the ids below the largest one that have no vote, as
+    arrays over 0..max do: γ = 0.5 and the parameters of an empty sum
+    (without groups only).
+    A store that the fit built itself is gone when it returns.
     """
     em_model = make_model(model, prior_mode)
     internal_group = False
-    if isinstance(votes, VoteStore):
+    owned = not isinstance(votes, VoteStore)
+    if not owned:
         if not votes.group_cols:
             raise ValueError("build a shared store with em.build_store()")
         store = votes
@@ -401,6 +405,9 @@ def fit(votes: DataFrame | VoteStore, model: str = "onecoin", *, prior_mode: str
             if len(done) == len(all_groups):
                 break
     trust = eng.posterior_table(st, "prev")
+    if owned:  # nothing of the store outlives the fit
+        trust = trust.checkpoint(eager=True)
+        store.drop()
     params = _accuracy_table(em_model, st, store.annotator_keys)
     hist_schema = ", ".join([f"{g} {store.cold.schema[g].simpleString().split(':')[-1]}" for g in gcols]
                             + ["iteration int", "l1_parameter_loss double", "max_gamma_shift double"]
@@ -413,6 +420,11 @@ def fit(votes: DataFrame | VoteStore, model: str = "onecoin", *, prior_mode: str
             fr = fr.unionByName(f)
     if internal_group:
         trust, params, hist = trust.drop(_G), params.drop(_G), hist.drop(_G)
+        if dense:
+            unseen = em_model.unseen_params()
+            acc = sum(unseen.values()) / len(unseen)
+            trust = dense_ids(trust, "prompt_id", {"trust_weight": INIT_GAMMA})
+            params = dense_ids(params, "annotator_id", unseen | {"inferred_acc": acc})
         fr = fr.drop(_G) if fr is not None else None
         st_out = st
     else:

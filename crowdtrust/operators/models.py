@@ -8,23 +8,21 @@ The DPO objective with a linear policy is a binomial GLM:
 so minimising the soft-label loss γ·L_A + (1−γ)·L_B (D5) is a binomial
 regression with fractional label γ, the frozen reference as an offset and
 no intercept.  MLlib's ``GeneralizedLinearRegression`` fits it with IRLS on
-the cluster (features ≤ 4096); wider feature spaces use a weighted
-``LogisticRegression`` on rows duplicated with weights γ and 1−γ.
+the cluster (its limit is 4096 features); wider
+feature spaces are hashed down to that (K3), which is why no other solver is needed.
 Hard-label baselines, oracle fits and static-EM fits differ only in the
 label column.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crowdtrust.operators.preference import DEFAULT_BETA
 
-GLM_MAX_FEATURES = 4096  # IRLS limit of MLlib's GLM
-
 
 def training_table(features: DataFrame, logps: DataFrame | None, labels: DataFrame, label_col: str,
                    weight: DataFrame | None = None, beta: float = DEFAULT_BETA) -> DataFrame:
@@ -51,11 +49,12 @@ def training_table(features: DataFrame, logps: DataFrame | None, labels: DataFra
     return t.select("prompt_id", array_to_vector(vec).alias("features"), "offset", "label", "weight")
 
 
-def fit_preference_model(train: DataFrame, reg_param: float = 1e-3, max_iter: int = 25) -> GeneralizedLinearRegressionModel:
+def fit_preference_model(train: DataFrame, reg_param: float = 1e-3, max_iter: int = 25,
+                         tol: float = 1e-6) -> GeneralizedLinearRegressionModel:
     """Soft-label preference regression (binomial GLM, offset, no intercept)."""
     glr = GeneralizedLinearRegression(family="binomial", link="logit", fitIntercept=False, offsetCol="offset",
                                       weightCol="weight", labelCol="label", featuresCol="features",
-                                      regParam=reg_param, maxIter=max_iter)
+                                      regParam=reg_param, maxIter=max_iter, tol=tol)
     return glr.fit(train)
 
 
@@ -69,11 +68,11 @@ def policy_logps_from_model(model: GeneralizedLinearRegressionModel, table: Data
                             beta: float = DEFAULT_BETA) -> DataFrame:
     """The fitted policy as a log-ratio table: ``pi_diff`` = π_A − π_B and
     ``ref_diff`` = ref_A − ref_B, so that β·(pi_diff − ref_diff) = w·Δφ."""
-    p = model.transform(table)
-    # prediction = σ(w·x + offset)  →  w·x = logit(prediction) − offset
-    wx = F.log(F.col("prediction") / (1.0 - F.col("prediction"))) - F.col("offset")
+    terms = F.zip_with(vector_to_array("features"), F.array(*[F.lit(float(c)) for c in model.coefficients]), lambda x, w: x * w)
+    wx = F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
     ref_diff = -F.col("offset") / F.lit(beta)
-    return p.select("prompt_id", (wx / F.lit(beta) + ref_diff).alias("pi_diff"), ref_diff.alias("ref_diff"))
+    return table.select("prompt_id", wx.alias("_wx"), ref_diff.alias("ref_diff")).select(
+        "prompt_id", (F.col("_wx") / F.lit(beta) + F.col("ref_diff")).alias("pi_diff"), "ref_diff", F.col("_wx").alias("beta_z"))
 
 
 def baseline_labels(votes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -94,13 +93,3 @@ def load_and_score(path: str, table: DataFrame) -> DataFrame:
     out = m.transform(table)
     return out.select("prompt_id", F.col("prediction").alias("p_a"),
                       (F.col("prediction") > 0.5).cast("int").alias("prefers_a"))
-
-
-def soft_labels_to_weighted_rows(table: DataFrame) -> DataFrame:
-    """For wide feature spaces: each prompt becomes two rows (label 1 with
-    weight w·γ, label 0 with weight w·(1−γ)) for a weighted LogisticRegression."""
-    a = table.select("prompt_id", "features", "offset", F.lit(1.0).alias("label2"),
-                     (F.col("weight") * F.col("label")).alias("w2"))
-    b = table.select("prompt_id", "features", "offset", F.lit(0.0).alias("label2"),
-                     (F.col("weight") * (1.0 - F.col("label"))).alias("w2"))
-    return a.unionByName(b)

@@ -3,10 +3,11 @@ votes, vote validation and winner/loser orientation (SURVEY §2.2)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crowdtrust.functions.columns import hash32
+from crowdtrust.session import scratch_path
 
 ORACLE_ANNOTATOR = 999  # fixed value: the dummy annotator id of oracle votes
 
@@ -15,24 +16,31 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx",
                 num_partitions: int | None = None) -> DataFrame:
     """Append a 0-based sequential index in ``order_cols`` order.
 
-    Distributed zipWithIndex: range-partition and sort inside partitions,
-    count rows per partition, turn the counts (one row per partition, a
-    bounded table) into offsets and add the in-partition row number.  No
-    global single-task window.  ``order_cols`` must identify rows uniquely
-    for the index to be deterministic.
+    Distributed zipWithIndex: the rows are range-partitioned, sorted inside
+    their partition and written once to the shared folder together with their
+    partition and place in it.  Rows per partition are counted on that written
+    table and become offsets (one row per partition).  Counting and numbering
+    read the same rows, so no second range partitioning with other bounds can
+    come between them.  No global single-task window.  Pass the columns that
+    are needed alone: a heavy payload is better joined back by its key.
+    ``order_cols`` must identify rows uniquely for the index to be
+    deterministic; ids are 0..n-1 in any case.
     """
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = ranged.withColumn("_row", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33))
+    ranged = ranged.withColumn("_row", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)).drop("_mid")
+    path = scratch_path(spark, "dense_index")
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
     counts = ranged.groupBy("_pid").agg(F.count("*").alias("_cnt"))
     # one row per partition: the offset table is bounded by the partition count
-    from pyspark.sql import Window
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
     out = ranged.join(F.broadcast(offsets), "_pid")
-    return out.withColumn(name, (F.col("_off") + F.col("_row")).cast("bigint")).drop("_pid", "_mid", "_row", "_off")
+    return out.withColumn(name, (F.col("_off") + F.col("_row")).cast("bigint")).drop("_pid", "_row", "_off")
 
 
 def orientation_bit(prompt_id: Column | str, seed: int = 42) -> Column:
@@ -76,8 +84,8 @@ def regular_graph_trim(prompts: DataFrame, workers_per_task: int, n_annotators:
     total = prompts.count()
     r = (total * workers_per_task) // n_annotators
     tasks = (n_annotators * r) // workers_per_task
-    indexed = dense_index(prompts, [id_col], "_i")
-    return indexed.filter(F.col("_i") < tasks).drop("_i"), r, tasks
+    kept = dense_index(prompts.select(id_col), [id_col], "_i").filter(F.col("_i") < tasks).select(id_col)
+    return prompts.join(kept, id_col, "left_semi"), r, tasks
 
 
 def oracle_votes(prompts: DataFrame) -> DataFrame:

@@ -3,9 +3,9 @@
 The reference re-simulates a crowd for every grid point and fits EM on each
 one after the other.  Here a *real* vote table is perturbed
 deterministically – fewer votes per prompt (R1), a share of corrupted
-annotators (R2), a smaller crowd (R3) – for every configuration at once: the
-votes are replicated once per configuration with an ``explode`` over the
-(small, fixed) configuration list, and one batched EM fit keyed by
+annotators (R2), another crowd size over which the same votes are spread – for
+every configuration at once: a vote is replicated for the configurations (a
+small, fixed list) that take it, and one batched EM fit keyed by
 ``config_id`` (E12) scores all of them in the same jobs.
 """
 
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from crowdtrust.functions.columns import hash32, unit_hash
 from crowdtrust.operators import em
 from crowdtrust.operators.baselines import majority_vote
-from crowdtrust.operators.prepare import dense_index
+from crowdtrust.operators.prepare import dense_index, hard_label
 from crowdtrust.operators.votes import BROADCAST_ROW_LIMIT, MIN_HOT_THRESHOLD
+from crowdtrust.session import scratch_path
 
 # Fixed values of the reference sweep.
 BASE_N, BASE_L, BASE_ADV = 400, 3, 0.10
@@ -43,26 +44,33 @@ def vote_order(seed: int = 42) -> Column:
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list, limit_col: Column,
-                  hot_threshold: int = MIN_HOT_THRESHOLD) -> DataFrame:
-    """Rows ranked ``<= limit_col`` inside each ``keys`` group.
-
-    Hot groups (more than ``hot_threshold`` rows; at most n/hot_threshold of
-    them, so the table is bounded and broadcast) are first split into
-    ``ceil(count / hot_threshold)`` salted sub-groups: each sub-group keeps
-    its own top rows, then only those candidates are ranked per group.  No
-    group – however large – is sorted inside one task."""
+                  hot_threshold: int = MIN_HOT_THRESHOLD, rank_name: str | None = None) -> DataFrame:
+    """Rows ranked ``<= limit_col`` inside each ``keys`` group (``rank_name``
+    keeps the rank, from 1).
+
+    Hot groups are first dealt, row by row, to ``ceil(count / threshold)``
+    salted sub-groups: each sub-group keeps its own top rows, then only those
+    candidates are ranked per group.  No group – however large – is sorted
+    inside one task.  The threshold grows with the input, so that at most four
+    times as many groups are hot as there are shuffle partitions: a bounded
+    table, which is broadcast."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
-    hot = counts.filter(F.col("_cnt") > hot_threshold).select(
-        *keys, F.ceil(F.col("_cnt") / F.lit(hot_threshold)).cast("int").alias("_s"))
+    total = counts.agg(F.coalesce(F.sum("_cnt"), F.lit(0))).first()[0]
+    threshold = max(hot_threshold, total // (4 * parts))
+    hot = counts.filter(F.col("_cnt") > threshold).select(
+        *keys, F.ceil(F.col("_cnt") / F.lit(threshold)).cast("int").alias("_s"))
     x = df.join(F.broadcast(hot), keys, "left")
-    salt = F.when(F.col("_s").isNull(), F.lit(0)).otherwise(
-        F.pmod(F.xxhash64(*[_c(o) for o in order]), F.col("_s")))
+    # by row, not by value: equal rows go to different sub-groups, too
+    salt = F.when(F.col("_s").isNull(), F.lit(0)).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("_s")))
     x = x.withColumn("_salt", salt)
     w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
     cand = x.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= limit_col)
     # candidates per group are at most limit * salts rows
     w2 = Window.partitionBy(*keys).orderBy(*order)
     out = cand.withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= limit_col)
+    if rank_name:
+        out = out.withColumn(rank_name, F.col("_r"))
     return out.drop("_s", "_salt", "_r1", "_r")
 
 
@@ -106,11 +114,12 @@ def corrupt_vote(role_col: Column, seed: int = 42) -> Column:
             .otherwise(F.col("vote"))).cast("int")
 
 
-def corrupt_truth(role_col: Column) -> Column:
+def corrupt_truth(role_col: Column, acc: Column | None = None) -> Column:
     """Worker truth after R2: flip → 1 − acc, coin → 0.5."""
-    return (F.when(role_col == "adversary", 1.0 - F.col("true_acc"))
+    acc = F.col("true_acc") if acc is None else acc
+    return (F.when(role_col == "adversary", 1.0 - acc)
             .when(role_col == "spammer", F.lit(0.5))
-            .otherwise(F.col("true_acc")))
+            .otherwise(acc))
 
 
 def _ranks_joinable(ranks: DataFrame) -> DataFrame:
@@ -164,30 +173,53 @@ def sweep_configs(l_grid=L_GRID, adv_grid=ADV_GRID, n_grid=N_GRID, base_n=BASE_N
     return out
 
 
+def config_table(spark, configs: list[Config]) -> DataFrame:
+    return spark.createDataFrame([(c.config_id, c.variable_tested, c.L, float(c.Adv), c.N) for c in configs],
+                                 "config_id int, variable_tested string, L int, Adv double, N int")
+
+
+def crowd_worker(rank: Column, n_total: int, crowd: Column) -> Column:
+    """The worker of a crowd of size ``crowd`` (0-based) that casts a vote of
+    the annotator with this rank among ``n_total``: rank modulo crowd.  For a
+    crowd larger than the annotators, each annotator's prompts are dealt to
+    several workers, so that there are as many as the configuration says."""
+    shares = F.ceil(crowd / F.lit(float(n_total)))
+    share = F.pmod(hash32(F.concat(F.lit("crowd share|"), F.col("prompt_id").cast("string"))), shares)
+    return F.pmod(rank + F.lit(n_total) * share, crowd).cast("bigint")
+
+
 def perturbed_votes(votes: DataFrame, worker_truth: DataFrame, configs: list[Config], seed: int = 42,
                     hot_threshold: int = MIN_HOT_THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """All configurations in one plan: (config_id, prompt_id, annotator_id, vote)
-    and (config_id, annotator_id, true_acc) rewritten per configuration."""
+    """All configurations in one written table: (config_id, prompt_id,
+    annotator_id, vote), and (config_id, annotator_id, true_acc) with the true
+    accuracy of each worker's votes.
+
+    No vote is lost but to L: all votes are spread over the N workers of a
+    configuration (:func:`crowd_worker`).  Votes are ranked inside their
+    prompt once, by an order that no configuration changes, and those beyond
+    the largest L go first; a vote is then replicated for the configurations
+    that take its rank, and for no other."""
     spark = votes.sparkSession
-    cfg = spark.createDataFrame([(c.config_id, c.L, float(c.Adv), c.N) for c in configs],
-                                "config_id int, L int, Adv double, N int")
     ranks = annotator_ranks(votes, seed).checkpoint(eager=True)  # one row per annotator
     n_total = ranks.count()
-    rj = _ranks_joinable(ranks)
-    ids = F.array(*[F.lit(c.config_id) for c in configs])
-    # the configuration list is fixed and small: explode it, then look its
-    # parameters up in a broadcast table of one row per configuration
-    v = votes.join(rj, "annotator_id").withColumn("config_id", F.explode(ids)).join(F.broadcast(cfg), "config_id")
-    v = v.filter(F.col("crowd_rank") < F.col("N"))
-    crowd = F.least(F.col("N"), F.lit(n_total)).cast("double")
-    v = v.withColumn("role", role(F.col("crowd_rank"), crowd, F.col("Adv")))
-    v = v.withColumn("vote", corrupt_vote(F.col("role"), seed))
-    v = sparsify(v.select("config_id", "prompt_id", "annotator_id", "vote", "L"), F.col("L"), seed,
-                 ["config_id"], hot_threshold)
-    wt = worker_truth.join(rj, "annotator_id").withColumn("config_id", F.explode(ids)).join(F.broadcast(cfg), "config_id")
-    wt = wt.filter(F.col("crowd_rank") < F.col("N")).withColumn(
-        "role", role(F.col("crowd_rank"), crowd, F.col("Adv")))
-    wt = wt.select("config_id", "annotator_id", corrupt_truth(F.col("role")).alias("true_acc"))
+    truth = worker_truth.select("annotator_id", F.col("true_acc").cast("double").alias("_acc"))
+    most = max(c.L for c in configs)
+    ranked = top_per_group(votes.select("prompt_id", "annotator_id", "vote").withColumn("_h", vote_order(seed)), ["prompt_id"],
+                           ["_h", "annotator_id", "vote"], F.lit(most), hot_threshold, rank_name="_rank").drop("_h")
+    ranked = ranked.join(_ranks_joinable(ranks.join(truth, "annotator_id", "left")), "annotator_id")
+    # the configuration list is fixed and small
+    cfg = F.array(*[F.struct(F.lit(c.config_id).alias("config_id"), F.lit(c.L).alias("L"), F.lit(float(c.Adv)).alias("Adv"),
+                             F.lit(c.N).alias("N")) for c in configs])
+    v = ranked.withColumn("c", F.explode(F.filter(cfg, lambda c: c["L"] >= F.col("_rank"))))
+    v = v.withColumn("worker", crowd_worker(F.col("crowd_rank"), n_total, F.col("c.N")))
+    v = v.withColumn("role", role(F.col("worker"), F.col("c.N").cast("double"), F.col("c.Adv")))
+    v = v.select(F.col("c.config_id").alias("config_id"), "prompt_id", F.col("worker").alias("annotator_id"),
+                 corrupt_vote(F.col("role"), seed).alias("vote"),
+                 corrupt_truth(F.col("role"), F.col("_acc")).alias("true_acc"))
+    path = scratch_path(spark, "perturbed_votes")
+    v.write.parquet(path)
+    v = spark.read.schema(v.schema).parquet(path)
+    wt = v.groupBy("config_id", "annotator_id").agg(F.avg("true_acc").alias("true_acc"))
     return v.select("config_id", "prompt_id", "annotator_id", "vote"), wt
 
 
@@ -200,22 +232,22 @@ def run_sweep(votes: DataFrame, worker_truth: DataFrame, configs: list[Config] |
     pv, wt = perturbed_votes(votes, worker_truth, configs, seed)
     res = em.fit(pv, "onecoin", max_iter=max_iter, tol=tol, worker_truth=wt, group_cols=["config_id"],
                  track_frames=track_frames)
-    last = Window.partitionBy("config_id").orderBy(F.desc("iteration"))
-    err = (res.history.withColumn("_r", F.row_number().over(last)).filter(F.col("_r") == 1)
-           .select("config_id", F.col("l1_parameter_loss").alias("Error"), F.col("iteration").alias("iterations")))
-    cfg = spark.createDataFrame([(c.config_id, c.variable_tested, c.L, float(c.Adv), c.N) for c in configs],
-                                "config_id int, variable_tested string, L int, Adv double, N int")
-    return cfg.join(err, "config_id", "left"), res
+    err = res.history.groupBy("config_id").agg(F.max_by("l1_parameter_loss", "iteration").alias("Error"),
+                                               F.max("iteration").alias("iterations"))
+    return config_table(spark, configs).join(err, "config_id", "left"), res
 
 
 def failure_points(matrix: DataFrame, threshold: float = ERROR_THRESHOLD, base_n: int = BASE_N,
                    base_l: int = BASE_L, base_adv: float = BASE_ADV, l_grid=L_GRID, adv_grid=ADV_GRID,
-                   n_grid=N_GRID) -> DataFrame:
-    """Edge L (max failing L at base adv/N), edge Adv (min failing adv at
-    base L/N), edge N (min failing N of the scale rows), with the
-    reference's defaults when nothing fails."""
+                   n_grid=N_GRID, any_adv: bool = False) -> DataFrame:
+    """Edge L (max failing L at base adv/N; ``any_adv``: at any adversary
+    share, since the grid of shares need not hold the base one), edge Adv (min
+    failing adv at base L/N), edge N (min failing N of the scale rows), with
+    the reference's defaults when nothing fails."""
     bad = F.col("Error") > threshold
-    bad_l = bad & (F.col("Adv") == base_adv) & (F.col("N") == base_n)
+    bad_l = bad & (F.col("N") == base_n)
+    if not any_adv:
+        bad_l = bad_l & (F.col("Adv") == base_adv)
     bad_a = bad & (F.col("L") == base_l) & (F.col("N") == base_n)
     bad_n = bad & (F.col("variable_tested") == "Scale")
     return matrix.agg(
@@ -224,6 +256,14 @@ def failure_points(matrix: DataFrame, threshold: float = ERROR_THRESHOLD, base_n
         F.coalesce(F.min(F.when(bad_n, F.col("N"))), F.lit(n_grid[0])).alias("edge_N"))
 
 
+def worst_config(matrix: DataFrame, min_l: int = 3) -> Config:
+    """The heatmap configuration with the largest error among those with
+    at least ``min_l`` votes per prompt (with one vote, EM is majority vote)."""
+    r = (matrix.filter((F.col("variable_tested") == "Heatmap") & (F.col("L") >= min_l))
+         .orderBy(F.desc(F.round("Error", 6)), "config_id").first())
+    return Config(int(r["config_id"]), "worst", int(r["L"]), float(r["Adv"]), int(r["N"]))
+
+
 def heatmap(matrix: DataFrame, adv_values=ADV_GRID) -> DataFrame:
     """L × Adv pivot of the error, L descending, percent column labels."""
     h = matrix.filter(F.col("variable_tested") == "Heatmap")
@@ -247,7 +287,7 @@ def majority_vs_em(votes: DataFrame, trust: DataFrame, truth: DataFrame, group_c
     maj = majority_vote(votes, keys).join(truth, "prompt_id").groupBy(*keys).agg(
         F.avg((F.col("label") == F.col("truth_is_a")).cast("double")).alias("majority_accuracy"))
     emv = trust.join(truth, "prompt_id").groupBy(*keys).agg(
-        F.avg(((F.col("trust_weight") > 0.5).cast("int") == F.col("truth_is_a")).cast("double")).alias("em_accuracy"))
+        F.avg((hard_label(F.round("trust_weight", 6)) == F.col("truth_is_a")).cast("double")).alias("em_accuracy"))
     if keys:
         out = maj.join(emv, keys)
     else:
@@ -281,7 +321,8 @@ def assignment_report(assign: DataFrame) -> DataFrame:
 
 
 def edge_case_configs(edges: dict, base_n: int = BASE_N, base_l: int = BASE_L, base_adv: float = BASE_ADV) -> list[Config]:
-    """The three isolated failures plus the golden-standard set."""
+    """The three isolated failures plus the golden-standard set.
+    Fixed values: the names of the four cases."""
     gl, ga, gn = GOLDEN
     return [Config(0, "isolated_sparsity_failure", int(edges["edge_L"]), base_adv, base_n),
             Config(1, "isolated_adversarial_failure", base_l, float(edges["edge_Adv"]), base_n),

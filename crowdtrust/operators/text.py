@@ -22,11 +22,15 @@ caller asks for fixed-length id arrays.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crowdtrust.functions.columns import hash32
+from crowdtrust.operators.prepare import dense_index
 from crowdtrust.operators.votes import BROADCAST_ROW_LIMIT
+from crowdtrust.session import checkpoint_root
 
 # Special token ids and the reference's sequence length.
 PAD_ID = 0
@@ -50,18 +54,21 @@ def side_tokens(prompts: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def build_vocab(texts: DataFrame, text_cols: list[str], vocab_size: int) -> DataFrame:
+def build_vocab(texts: DataFrame, text_cols: list[str], vocab_size: int | None) -> DataFrame:
     """K2: (token, token_id, count) for the ``vocab_size − 2`` most frequent
-    tokens (ties by token); ids start after the pad and unk ids."""
+    tokens (ties by token), all of them with ``None``; ids start after the pad
+    and unk ids.  The whole vocabulary is numbered across partitions."""
     parts = [texts.select(F.explode(tokens(c)).alias("token")) for c in text_cols]
     allt = parts[0]
     for p in parts[1:]:
         allt = allt.unionByName(p)
     counts = allt.groupBy("token").agg(F.count(F.lit(1)).cast("bigint").alias("count"))
+    if vocab_size is None:
+        every = dense_index(counts.withColumn("_n", -F.col("count")), ["_n", "token"], "_i")
+        return every.select("token", (F.col("_i") + FIRST_WORD_ID).cast("int").alias("token_id"), "count")
     k = max(vocab_size - FIRST_WORD_ID, 0)
     top = counts.orderBy(F.desc("count"), "token").limit(k)
     # the top-k table has at most k rows, so one ordered window over it is bounded
-    from pyspark.sql import Window
     w = Window.orderBy(F.desc("count"), "token")
     return top.select("token", (F.row_number().over(w) - 1 + FIRST_WORD_ID).cast("int").alias("token_id"), "count")
 
@@ -165,27 +172,37 @@ def bigram_model(bigrams: DataFrame, weights: DataFrame | None, vocab_size: int,
     ctx = pair.groupBy("prev_id").agg(F.sum("c").alias("c_prev"))
     j = pair.join(ctx, "prev_id")
     logp = F.log((F.col("c") + F.lit(add_k)) / (F.col("c_prev") + F.lit(add_k * vocab_size)))
-    return j.select("prev_id", "token_id", logp.alias("logp"),
-                    F.log(F.lit(add_k) / (F.col("c_prev") + F.lit(add_k * vocab_size))).alias("unseen_logp"))
+    j = j.select("prev_id", "token_id", logp.alias("logp"),
+                 F.log(F.lit(add_k) / (F.col("c_prev") + F.lit(add_k * vocab_size))).alias("unseen_logp"))
+    checkpoint_root(bigrams.sparkSession)
+    return j.checkpoint(eager=True)  # counted, joined and reduced to its contexts below: made once
 
 
 def sequence_logps(bigrams: DataFrame, model: DataFrame, vocab_size: int, add_k: float = 1.0,
-                   n_model_rows: int | None = None) -> DataFrame:
+                   n_model_rows: int | None = None, per_tokens: int | None = None) -> DataFrame:
     """(prompt_id, side, logp) = Σ cnt · log p(tok | prev) per side.
 
     Unseen bigrams of a seen context use the context's unseen log-prob;
     unseen contexts fall back to log(1 / vocab_size).  The model table is
     broadcast only when its counted size is under the broadcast limit;
-    otherwise it is a shuffle join (AQE splits skewed bigram keys)."""
+    otherwise it is a shuffle join (AQE splits skewed bigram keys).  The
+    contexts (at most a row per vocabulary entry) have a limit of their own.
+    ``per_tokens``: the mean over the whole text times so many tokens, so
+    that texts of unlike length compare."""
     seen = model.select("prev_id", "token_id", "logp")
     ctx = model.groupBy("prev_id").agg(F.first("unseen_logp").alias("unseen_logp"))
     if n_model_rows is None:
         n_model_rows = seen.count()
     if n_model_rows <= BROADCAST_ROW_LIMIT:
-        seen, ctx = F.broadcast(seen), F.broadcast(ctx)
+        seen = F.broadcast(seen)
+    if min(n_model_rows, vocab_size) <= BROADCAST_ROW_LIMIT:
+        ctx = F.broadcast(ctx)
     j = bigrams.join(seen, ["prev_id", "token_id"], "left").join(ctx, "prev_id", "left")
-    lp = F.coalesce("logp", "unseen_logp", F.lit(float(-__import__("math").log(vocab_size))))
-    return j.groupBy("prompt_id", "side").agg(F.sum(F.col("cnt") * lp).alias("logp"))
+    lp = F.coalesce("logp", "unseen_logp", F.lit(-math.log(vocab_size)))
+    total = F.sum(F.col("cnt") * lp)
+    if per_tokens:
+        total = total / F.sum("cnt") * F.lit(float(per_tokens))
+    return j.groupBy("prompt_id", "side").agg(total.alias("logp"))
 
 
 def logps_table(pol: DataFrame, ref: DataFrame, prompts: DataFrame) -> DataFrame:

@@ -34,6 +34,7 @@ from crowdtrust.session import checkpoint_root, scratch_path, unique_table_name
 
 # Fixed engineering defaults (not reference values).
 ROWS_PER_BUCKET = 4_000_000       # ~100 MB of compacted vote rows per bucket
+MAX_BUCKETS = 100_000             # Spark's limit; beyond 4e11 rows the buckets grow instead
 MIN_HOT_THRESHOLD = 100_000       # never call a prompt hot below this many votes
 BROADCAST_ROW_LIMIT = 2_000_000   # broadcast per-annotator params up to this size
 
@@ -83,6 +84,7 @@ class VoteStore:
     num_buckets: int
     hot_threshold: int
     tables: list[str] = field(default_factory=list)
+    paths: list[str] = field(default_factory=list)
 
     @property
     def prompt_keys(self) -> list[str]:
@@ -107,12 +109,24 @@ class VoteStore:
         cold = self.cold.join(F.broadcast(active), self.group_cols, "left_semi")
         hot = None if self.hot is None else self.hot.join(F.broadcast(active), self.group_cols, "left_semi")
         return VoteStore(cold, hot, self.group_cols, self.n_votes, self.n_rows, self.n_annotators,
-                         self.n_hot_prompts, self.num_buckets, self.hot_threshold, self.tables)
+                         self.n_hot_prompts, self.num_buckets, self.hot_threshold, self.tables, self.paths)
 
     def drop(self) -> None:
+        """Take the store out of the catalog and delete its files (both are
+        its own: they lie in folders that ``build`` made)."""
         spark = self.cold.sparkSession
         for t in self.tables:
             spark.sql(f"DROP TABLE IF EXISTS {t}")
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for p in self.paths:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+
+    def __enter__(self) -> "VoteStore":
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.drop()
 
     @classmethod
     def build(cls, votes: DataFrame, group_cols: list[str] | tuple = (), *,
@@ -130,7 +144,7 @@ class VoteStore:
                       F.count_distinct(*(group_cols + ["annotator_id"])).alias("a")).first()
         n_votes, n_rows, n_ann = int(st["v"] or 0), int(st["r"] or 0), int(st["a"] or 0)
         shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        b = num_buckets or max(shuffle, math.ceil(n_rows / ROWS_PER_BUCKET))
+        b = num_buckets or min(MAX_BUCKETS, max(shuffle, math.ceil(n_rows / ROWS_PER_BUCKET)))
         t = hot_threshold if hot_threshold is not None else max(MIN_HOT_THRESHOLD, n_votes // (4 * b))
         # at most n_votes / t prompts can exceed t votes: a bounded table
         hot_keys = (comp.groupBy(*pkeys).agg(F.sum("n").alias("cnt")).filter(F.col("cnt") > t)
@@ -139,9 +153,11 @@ class VoteStore:
         tables = []
         cold_src = comp if n_hot == 0 else comp.join(F.broadcast(hot_keys), pkeys, "left_anti")
         name = unique_table_name("ct_votes")
+        store_path = scratch_path(spark, name)
         (cold_src.repartition(b, *pkeys).write.mode("overwrite")
-         .option("path", scratch_path(spark, name)).bucketBy(b, *pkeys).saveAsTable(name))
+         .option("path", store_path).bucketBy(b, *pkeys).saveAsTable(name))
         tables.append(name)
+        paths = [store_path]
         cold = spark.table(name)
         hot = None
         if n_hot:
@@ -149,5 +165,6 @@ class VoteStore:
             (comp.join(F.broadcast(hot_keys), pkeys, "left_semi")
              .repartition(b, *(pkeys + ["annotator_id", "vote"])).write.mode("overwrite").parquet(path))
             hot = spark.read.parquet(path)
+            paths.append(path)
         comp.unpersist()
-        return cls(cold, hot, group_cols, n_votes, n_rows, n_ann, n_hot, b, t, tables)
+        return cls(cold, hot, group_cols, n_votes, n_rows, n_ann, n_hot, b, t, tables, paths)

@@ -28,14 +28,16 @@ from crowdtrust.functions.columns import softplus, unit_hash
 from crowdtrust.operators import em
 from crowdtrust.operators import models as md
 from crowdtrust.operators import text as tx
-from crowdtrust.operators.preference import DEFAULT_BETA
+from crowdtrust.operators.preference import DEFAULT_BETA, golden_accuracy
 from crowdtrust.operators.prepare import orient_pairs
 from crowdtrust.sources import fixtures as fx
-from crowdtrust.sources.io import write_table
+from crowdtrust.sources.io import append_frames, write_table
 
 TEST_SHARE = 0.2       # fixed split of the prompts held out for accuracy
-NUM_FEATURES = 64      # hashed pair features (K3)
-VOCAB_SIZE = 1000      # vocabulary of the reference bigram model (K2)
+NUM_FEATURES = 256     # hashed pair features (K3)
+PER_TOKENS = 10        # log-probs are means over whole texts, times so many tokens: with β = 0.1 the offset is the difference per token
+LENGTH_UNIT = 100.0    # the length difference is counted in hundreds of tokens
+TRACKED = (0, 15, 29)  # annotators whose accuracy is listed per epoch
 
 
 @dataclass
@@ -52,18 +54,27 @@ def split_flag(seed: int = 42) -> F.Column:
         < F.lit(TEST_SHARE)
 
 
-def preference_data(spark: SparkSession, sf_dir: str) -> PreferenceData:
+def preference_data(spark: SparkSession, sf_dir: str, num_features: int = NUM_FEATURES,
+                    max_len: int | None = None) -> PreferenceData:
+    """Whole texts and the whole vocabulary; ``max_len`` scores token ids cut
+    and padded to that length instead, padding included (K1, Q14).  With
+    ``num_features=0`` the length difference is the only feature."""
     prompts = orient_pairs(fx.pairs(spark, sf_dir)).checkpoint(eager=True)
     truth = prompts.select("prompt_id", "truth_is_a", split_flag().alias("is_test")).checkpoint(eager=True)
     train_ids = truth.filter(~F.col("is_test")).select("prompt_id")
     votes = fx.pair_votes(prompts).join(train_ids, "prompt_id", "left_semi")
-    vocab = tx.build_vocab(fx.read_table(spark, sf_dir, "documents"), ["text"], VOCAB_SIZE)
-    # the reference scores token ids truncated/padded to 128, padding included (K1, Q14)
-    big = tx.side_bigrams(prompts, vocab, VOCAB_SIZE, max_len=tx.MAX_LEN, include_pad=True).checkpoint(eager=True)
-    ref_lp = tx.sequence_logps(big, tx.bigram_model(big, None, VOCAB_SIZE), VOCAB_SIZE)
+    vocab = tx.build_vocab(fx.read_table(spark, sf_dir, "documents"), ["text"], None)
+    size = vocab.count() + tx.FIRST_WORD_ID
+    big = tx.side_bigrams(prompts, vocab, size, max_len=max_len, include_pad=max_len is not None).checkpoint(eager=True)
+    ref_lp = tx.sequence_logps(big, tx.bigram_model(big, None, size), size, per_tokens=None if max_len else PER_TOKENS)
     ref = tx.logps_table(ref_lp, ref_lp, prompts).select("prompt_id", F.col("pi_a").alias("ref_a"),
                                                          F.col("pi_b").alias("ref_b")).checkpoint(eager=True)
-    feats = tx.pair_features(prompts, NUM_FEATURES).checkpoint(eager=True)
+    if num_features:
+        feats = tx.pair_features(prompts, num_features)
+    else:
+        feats = prompts.select("prompt_id", (F.size(tx.tokens("text_a")) - F.size(tx.tokens("text_b"))).cast("double").alias("len_diff"),
+                               F.array().cast("array<double>").alias("phi"))
+    feats = feats.withColumn("len_diff", F.col("len_diff") / F.lit(LENGTH_UNIT)).checkpoint(eager=True)
     return PreferenceData(prompts, votes, truth, feats, ref)
 
 
@@ -88,8 +99,7 @@ def run_metrics(run: str, epoch: int, model, train: DataFrame, data: PreferenceD
     code does); test_reward_accuracy = r_A > r_B (D10, as the write-up says);
     reward_margin = mean β·z on the train rows."""
     lp = md.policy_logps_from_model(model, scoring_table(data), beta)
-    z = F.col("pi_diff") - F.col("ref_diff")
-    bz = F.lit(beta) * z
+    bz = F.col("beta_z")
     tr = lp.join(train.select("prompt_id", "label", "weight"), "prompt_id")
     loss = F.col("label") * softplus(-bz) + (1.0 - F.col("label")) * softplus(bz)
     a = tr.agg((F.sum(F.col("weight") * loss) / F.sum("weight")).alias("train_loss"),
@@ -97,7 +107,7 @@ def run_metrics(run: str, epoch: int, model, train: DataFrame, data: PreferenceD
     te = lp.join(data.truth.filter("is_test"), "prompt_id")
     b = te.agg(F.avg(((F.col("pi_diff") > 0).cast("int") == F.col("truth_is_a")).cast("double"))
                .alias("test_accuracy"),
-               F.avg(((z > 0).cast("int") == F.col("truth_is_a")).cast("double")).alias("test_reward_accuracy"))
+               F.avg(((bz > 0).cast("int") == F.col("truth_is_a")).cast("double")).alias("test_reward_accuracy"))
     return (a.crossJoin(b)  # two single-row aggregates
             .select(F.lit(run).alias("run"), F.lit(epoch).alias("epoch"), "train_loss", "test_accuracy",
                     "test_reward_accuracy", "reward_margin"))
@@ -110,12 +120,15 @@ class RunResult:
     trust: DataFrame       # γ of the static EM fit
     joint_trust: DataFrame | None
     joint_params: DataFrame | None
+    frames: DataFrame | None = None   # (run, epoch, annotator_id, inferred_acc) of a joint run
+    tracked: DataFrame | None = None  # (epoch, annotator_id, alpha) of the tracked annotators
 
 
-def static_runs(data: PreferenceData, em_iter: int = em.DEFAULT_MAX_ITER) -> RunResult:
+def static_runs(data: PreferenceData, em_iter: int = em.DEFAULT_MAX_ITER, em_tol: float | None = em.DEFAULT_TOL,
+                **fit) -> RunResult:
     """Oracle, baseline and static-EM fits (one epoch each: the GLM is full batch)."""
     share, n = md.baseline_labels(data.votes)
-    res = em.fit(data.votes, "onecoin", max_iter=em_iter)
+    res = em.fit(data.votes, "onecoin", max_iter=em_iter, tol=em_tol)
     trust = res.trust.checkpoint(eager=True)
     runs = {
         "oracle": design(data, data.truth.filter(~F.col("is_test")), "truth_is_a", None),
@@ -125,7 +138,7 @@ def static_runs(data: PreferenceData, em_iter: int = em.DEFAULT_MAX_ITER) -> Run
     models, rows = {}, []
     for name, train in runs.items():
         train = train.checkpoint(eager=True)
-        models[name] = md.fit_preference_model(train)
+        models[name] = md.fit_preference_model(train, **fit)
         rows.append(run_metrics(name, 1, models[name], train, data))
     out = rows[0]
     for r in rows[1:]:
@@ -133,33 +146,55 @@ def static_runs(data: PreferenceData, em_iter: int = em.DEFAULT_MAX_ITER) -> Run
     return RunResult(out.checkpoint(eager=True), models, trust, None, None)
 
 
-def joint_run(data: PreferenceData, epochs: int = 3, beta: float = DEFAULT_BETA) -> RunResult:
-    """T4: prior ← model; one warm E+M step (E8); refit on γ; metrics per epoch."""
-    store = em.build_store(data.votes)
+def joint_run(data: PreferenceData, epochs: int = 3, beta: float = DEFAULT_BETA, folder: str | None = None,
+              tracked: tuple = TRACKED, **fit) -> RunResult:
+    """T4: prior ← model; one warm E+M step (E8); refit on γ; per epoch the
+    metrics, the golden accuracy of the prior (0.5 before the first model) on
+    the train prompts, the accuracies of the tracked annotators and a frame of
+    all of them.
+
+    With ``folder`` the metrics are appended epoch by epoch (IO11), the frames
+    by run and epoch (IO8), and γ and α at the end (IO7)."""
+    spark = data.prompts.sparkSession
     _, n = md.baseline_labels(data.votes)
     score = scoring_table(data).checkpoint(eager=True)
-    state, model, prior = None, None, None
-    rows, res = [], None
-    for epoch in range(1, epochs + 1):
-        if model is not None:
-            prior = md.predict_prior(model, score).select("prompt_id", "prior").checkpoint(eager=True)
-        res = em.fit(store, "onecoin", max_iter=1, tol=None, prior=prior, state=state)
-        state = res.state
-        gamma = res.trust.checkpoint(eager=True)
-        train = design(data, gamma, "trust_weight", n).checkpoint(eager=True)
-        model = md.fit_preference_model(train)
-        rows.append(run_metrics("joint", epoch, model, train, data, beta).checkpoint(eager=True))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    params = res.params.checkpoint(eager=True)
-    trust = res.trust.checkpoint(eager=True)
-    store.drop()
-    return RunResult(out, {"joint": model}, trust, trust, params)
+    train_truth = data.truth.filter(~F.col("is_test"))
+    state, model = None, None
+    rows, frames = [], []
+    with em.build_store(data.votes) as store:
+        for epoch in range(1, epochs + 1):
+            if model is None:
+                prior = None
+                golden = train_truth.agg(F.avg((F.lit(0) == F.col("truth_is_a")).cast("double")).alias("prior_accuracy"))
+            else:
+                prior = md.predict_prior(model, score).select("prompt_id", "prior").checkpoint(eager=True)
+                golden = golden_accuracy(prior, train_truth).select(F.col("accuracy").alias("prior_accuracy"))
+            res = em.fit(store, "onecoin", max_iter=1, tol=None, prior=prior, state=state)
+            state = res.state
+            gamma = res.trust.checkpoint(eager=True)
+            train = design(data, gamma, "trust_weight", n).checkpoint(eager=True)
+            model = md.fit_preference_model(train, **fit)
+            m = run_metrics("joint", epoch, model, train, data, beta).crossJoin(golden)  # single-row aggregates
+            rows.append(m.checkpoint(eager=True))
+            frames.append(res.params.select(F.lit("joint").alias("run"), F.lit(epoch).alias("epoch"), "annotator_id",
+                                            "inferred_acc").checkpoint(eager=True))
+            if folder:
+                write_table(rows[-1].drop("run"), f"{folder}/joint_metrics.csv", fmt="csv", mode="append")
+                append_frames(frames[-1].withColumnRenamed("epoch", "iteration").drop("run"), f"{folder}/frames", "joint")
+        params = res.params.checkpoint(eager=True)
+    out, fr = rows[0], frames[0]
+    for r, f in zip(rows[1:], frames[1:]):
+        out, fr = out.unionByName(r), fr.unionByName(f)
+    if folder:
+        write_table(gamma, f"{folder}/joint_trust")
+        write_table(params, f"{folder}/joint_params")
+        gamma, params = spark.read.parquet(f"{folder}/joint_trust"), spark.read.parquet(f"{folder}/joint_params")
+    track = fr.filter(F.col("annotator_id").isin(*tracked)).select("epoch", "annotator_id", F.col("inferred_acc").alias("alpha"))
+    return RunResult(out, {"joint": model}, gamma, gamma, params, fr, track)
 
 
 def write_metrics(metrics: DataFrame, folder: str) -> None:
-    """IO11: one ``<run>_metrics.csv`` folder per run (header, all fields quoted)."""
+    """IO11: one ``<run>_metrics.csv`` folder per run (header, all fields quoted); a row per epoch."""
     runs = [r["run"] for r in metrics.select("run").distinct().collect()]  # a handful of run names
     for run in runs:
         write_table(metrics.filter(F.col("run") == run).drop("run").coalesce(1), f"{folder}/{run}_metrics.csv",

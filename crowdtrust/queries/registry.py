@@ -102,6 +102,21 @@ def q_votes_per_task(spark, sf):
     return votes_per_task_histogram(fx.votes(spark, sf))
 
 
+# ------------------------------------------------------------------ E-step with saturated and unknown annotators
+@register("e1_estep_saturated_unknown", S.with_(S.VOTES, S.COMPACT) + f"""
+, al AS (SELECT annotator_id, {S.clip("CASE annotator_id % 4 WHEN 0 THEN 1e0 WHEN 1 THEN 0e0 WHEN 2 THEN 0.8e0 ELSE 0.6e0 END", "1e-4", "1 - 1e-4")} AS alpha
+         FROM (SELECT DISTINCT annotator_id FROM v)),
+  s AS (SELECT prompt_id, sum(n * CASE WHEN vote = 1 THEN ln(alpha) ELSE ln(1 - alpha) END) AS sa,
+               sum(n * CASE WHEN vote = 1 THEN ln(1 - alpha) ELSE ln(alpha) END) AS sb FROM v JOIN al USING (annotator_id) GROUP BY prompt_id)
+SELECT prompt_id, round({S.posterior("ln(0.5e0) + sa", "ln(0.5e0) + sb")}, 6) AS trust_weight FROM s""")
+def q_estep_edges(spark, sf):
+    """E1 alone: accuracies of exactly 1 and 0, and every fourth annotator missing from the table."""
+    m = F.pmod(F.col("annotator_id"), F.lit(4))
+    alpha = fx.votes(spark, sf).select("annotator_id").distinct().filter(m < 3).select(
+        "annotator_id", F.when(m == 0, 1.0).when(m == 1, 0.0).otherwise(0.8).alias("alpha"))
+    return baselines.onecoin_e_step(fx.votes(spark, sf), alpha).select("prompt_id", r6("trust_weight").alias("trust_weight"))
+
+
 # ------------------------------------------------------------------ majority vote
 _MAJ = """maj AS (
   SELECT prompt_id, count(*)::BIGINT AS n_votes, sum(vote)::BIGINT AS votes_a FROM votes GROUP BY prompt_id
@@ -414,6 +429,22 @@ def q_dense_ids(spark, sf):
     return pp.sequential_prompt_ids(o, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "prompt_id")
 
 
+@register("p3_dense_ids_with_payload", """
+SELECT *, (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1)::BIGINT AS prompt_id FROM (
+  SELECT o_orderkey::BIGINT AS o_orderkey, o_orderdate, o_orderpriority FROM orders)""")
+def q_dense_ids_payload(spark, sf):
+    o = fx.read_table(spark, sf, "orders").select(F.col("o_orderkey").cast("bigint"), "o_orderdate", "o_orderpriority")
+    return pp.sequential_prompt_ids(o, ["o_orderdate", "o_orderkey"])
+
+
+@register("p4_trim_with_text", S.with_(S.PAIRS) + """
+SELECT prompt_id, length(text_a)::BIGINT AS a_chars FROM prompts
+WHERE prompt_id < (7 * (((SELECT count(*) FROM prompts) * 3) // 7)) // 3""")
+def q_trim_text(spark, sf):
+    kept, _, _ = pp.regular_graph_trim(_prompts(spark, sf), 3, 7)
+    return kept.select("prompt_id", F.length("text_a").cast("bigint").alias("a_chars"))
+
+
 @register("p4_regular_graph_trim", S.with_(S.TRUTH) + """
 SELECT prompt_id FROM (SELECT prompt_id, row_number() OVER (ORDER BY prompt_id) - 1 AS i FROM truth)
 WHERE i < (7 * (((SELECT count(*) FROM truth) * 3) // 7)) // 3""")
@@ -504,15 +535,15 @@ _BIGRAM_MODEL = f"""
 , wb AS (SELECT prev_id, token_id, sum(cnt * CASE WHEN side = 'a' THEN g ELSE 1 - g END) AS c
          FROM big JOIN g{K} USING (prompt_id) GROUP BY prev_id, token_id),
   wctx AS (SELECT prev_id, sum(c) AS c_prev FROM wb GROUP BY prev_id),
-  pol AS (SELECT prev_id, token_id, ln((c + 1) / (c_prev + {VOCAB}e0)) AS logp, ln(1 / (c_prev + {VOCAB}e0)) AS unseen
+  pol AS (SELECT prev_id, token_id, ln((c + 1) / (c_prev + {S.VOCAB_SIZE})) AS logp, ln(1 / (c_prev + {S.VOCAB_SIZE})) AS unseen
           FROM wb JOIN wctx USING (prev_id)),
   rb AS (SELECT prev_id, token_id, sum(cnt)::DOUBLE AS c FROM big GROUP BY prev_id, token_id),
   rctx AS (SELECT prev_id, sum(c) AS c_prev FROM rb GROUP BY prev_id),
-  ref AS (SELECT prev_id, token_id, ln((c + 1) / (c_prev + {VOCAB}e0)) AS logp, ln(1 / (c_prev + {VOCAB}e0)) AS unseen
+  ref AS (SELECT prev_id, token_id, ln((c + 1) / (c_prev + {S.VOCAB_SIZE})) AS logp, ln(1 / (c_prev + {S.VOCAB_SIZE})) AS unseen
           FROM rb JOIN rctx USING (prev_id))"""
 
 
-@register("t2_weighted_bigram_model", S.with_(S.PAIRS, S.PAIR_VOTES, *_PAIR_EM, S.vocab_cte(VOCAB), S.SIDE_TOKENS)
+@register("t2_weighted_bigram_model", S.with_(S.PAIRS, S.PAIR_VOTES, *_PAIR_EM, S.vocab_cte(None), S.SIDE_TOKENS)
           + _BIGRAM_MODEL + "\nSELECT prev_id, token_id, round(logp, 6) AS logp FROM pol")
 def q_bigram(spark, sf):
     m = _text_models(spark, sf)
@@ -526,21 +557,22 @@ def _text_models(spark, sf):
     key = (id(spark), sf)
     if key not in _TEXT:
         pr = _prompts(spark, sf)
-        vocab = _vocab(spark, sf)
+        vocab = tx.build_vocab(fx.read_table(spark, sf, "documents"), ["text"], None)  # the whole vocabulary
+        size = vocab.count() + tx.FIRST_WORD_ID
         trust = em.fit(fx.pair_votes(pr), "onecoin", max_iter=K, tol=None).trust.checkpoint(eager=True)
-        big = tx.side_bigrams(pr, vocab, VOCAB).checkpoint(eager=True)
-        pol = tx.bigram_model(big, trust, VOCAB)
-        ref = tx.bigram_model(big, None, VOCAB)
-        _TEXT[key] = {"prompts": pr, "big": big, "pol": pol, "ref": ref, "trust": trust}
+        big = tx.side_bigrams(pr, vocab, size).checkpoint(eager=True)
+        pol = tx.bigram_model(big, trust, size)
+        ref = tx.bigram_model(big, None, size)
+        _TEXT[key] = {"prompts": pr, "big": big, "pol": pol, "ref": ref, "trust": trust, "size": size}
     return _TEXT[key]
 
 
-@register("d1_sequence_logps", S.with_(S.PAIRS, S.PAIR_VOTES, *_PAIR_EM, S.vocab_cte(VOCAB), S.SIDE_TOKENS)
+@register("d1_sequence_logps", S.with_(S.PAIRS, S.PAIR_VOTES, *_PAIR_EM, S.vocab_cte(None), S.SIDE_TOKENS)
           + _BIGRAM_MODEL + f"""
 , ctxp AS (SELECT DISTINCT prev_id, unseen FROM pol), ctxr AS (SELECT DISTINCT prev_id, unseen FROM ref),
-  sp AS (SELECT b.prompt_id, b.side, sum(b.cnt * coalesce(p.logp, c.unseen, -ln({VOCAB}e0))) AS lp
+  sp AS (SELECT b.prompt_id, b.side, sum(b.cnt * coalesce(p.logp, c.unseen, -ln({S.VOCAB_SIZE}))) AS lp
          FROM big b LEFT JOIN pol p USING (prev_id, token_id) LEFT JOIN ctxp c USING (prev_id) GROUP BY ALL),
-  sr AS (SELECT b.prompt_id, b.side, sum(b.cnt * coalesce(p.logp, c.unseen, -ln({VOCAB}e0))) AS lp
+  sr AS (SELECT b.prompt_id, b.side, sum(b.cnt * coalesce(p.logp, c.unseen, -ln({S.VOCAB_SIZE}))) AS lp
          FROM big b LEFT JOIN ref p USING (prev_id, token_id) LEFT JOIN ctxr c USING (prev_id) GROUP BY ALL)
 SELECT pr.prompt_id,
        round(coalesce((SELECT lp FROM sp WHERE sp.prompt_id = pr.prompt_id AND side = 'a'), 0), 6) AS pi_a,
@@ -550,8 +582,8 @@ SELECT pr.prompt_id,
 FROM prompts pr""")
 def q_seq_logps(spark, sf):
     m = _text_models(spark, sf)
-    pol = tx.sequence_logps(m["big"], m["pol"], VOCAB)
-    ref = tx.sequence_logps(m["big"], m["ref"], VOCAB)
+    pol = tx.sequence_logps(m["big"], m["pol"], m["size"])
+    ref = tx.sequence_logps(m["big"], m["ref"], m["size"])
     t = tx.logps_table(pol, ref, m["prompts"])
     return t.select("prompt_id", *[r6(c).alias(c) for c in ("pi_a", "pi_b", "ref_a", "ref_b")])
 
@@ -638,46 +670,87 @@ _SWEEPS: dict = {}
 
 
 def _sweep(spark, sf):
+    """The whole sweep with K iterations per configuration (the oracle unrolls
+    them; convergence is the tests' matter)."""
     key = (id(spark), sf)
     if key not in _SWEEPS:
-        _SWEEPS[key] = run_stress_sweep(fx.votes(spark, sf), fx.worker_truth(spark, sf))
+        _SWEEPS[key] = run_stress_sweep(fx.votes(spark, sf), fx.worker_truth(spark, sf), max_iter=K, tol=None)
     return _SWEEPS[key]
 
 
-@register("r4_sweep_matrix")
+_SWEEP_SQL = S.with_(S.VOTES, S.RANKS, S.WORKER_TRUTH, S.TRUTH, S.RANKED_VOTES, *S.sweep_ctes("m", S.config_rows(rb.sweep_configs()), K))
+
+
+def _points_sql(any_adv: bool) -> str:
+    bad = f"Error > {rb.ERROR_THRESHOLD}e0"
+    bad_l = f"{bad} AND N = {rb.BASE_N}" + ("" if any_adv else f" AND Adv = {rb.BASE_ADV}e0")
+    return f"""SELECT coalesce(max(L) FILTER ({bad_l}), {rb.L_GRID[0]})::INT AS "edge_L",
+       coalesce(min(Adv) FILTER ({bad} AND L = {rb.BASE_L} AND N = {rb.BASE_N}), {rb.ADV_GRID[-1]}e0)::DOUBLE AS "edge_Adv",
+       coalesce(min(N) FILTER ({bad} AND variable_tested = 'Scale'), {rb.N_GRID[0]})::INT AS "edge_N" FROM mm"""
+
+
+@register("r4_sweep_matrix", _SWEEP_SQL + 'SELECT variable_tested, L AS "L", Adv AS "Adv", N AS "N", round(Error, 6) AS "Error" FROM mm')
 def q_sweep_matrix(spark, sf):
     m = _sweep(spark, sf).matrix
     return m.select("variable_tested", "L", "Adv", "N", r6("Error").alias("Error"))
 
 
-@register("r5_failure_points")
+@register("r5_failure_points", _SWEEP_SQL + _points_sql(False))
 def q_failure(spark, sf):
     return rb.failure_points(_sweep(spark, sf).matrix)
 
 
-@register("r6_heatmap")
+@register("r5_failure_points_any_adv", _SWEEP_SQL + _points_sql(True))
+def q_failure_any(spark, sf):
+    return rb.failure_points(_sweep(spark, sf).matrix, any_adv=True)
+
+
+@register("r6_heatmap", _SWEEP_SQL + "SELECT L AS \"L\", " + ", ".join(
+    f'round(max(Error) FILTER (Adv = {a}e0), 6) AS "{round(a * 100)}%"' for a in rb.ADV_GRID)
+    + " FROM mm WHERE variable_tested = 'Heatmap' GROUP BY L ORDER BY L DESC")
 def q_heatmap(spark, sf):
-    return _sweep(spark, sf).heatmap
+    h = _sweep(spark, sf).heatmap
+    return h.select("L", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in h.columns[1:]])
 
 
-@register("r7_error_vs_n")
+@register("r7_error_vs_n", _SWEEP_SQL + f"""SELECT N AS "N", round(Error, 6) AS "Error", (Error > {rb.ERROR_THRESHOLD}e0)::INT AS failed
+FROM mm WHERE variable_tested = 'Scale' ORDER BY N""")
 def q_error_n(spark, sf):
-    return _sweep(spark, sf).error_vs_n
+    return _sweep(spark, sf).error_vs_n.select("N", r6("Error").alias("Error"), "failed")
+
 
+_GL, _GA, _GN = rb.GOLDEN
+_EDGE_CONFIGS = f"""SELECT 0 AS config_id, 'a' AS variable_tested, "edge_L" AS L, {rb.BASE_ADV}e0 AS Adv, {rb.BASE_N} AS N FROM points
+  UNION ALL SELECT 1, 'b', {rb.BASE_L}, "edge_Adv", {rb.BASE_N} FROM points
+  UNION ALL SELECT 2, 'c', {rb.BASE_L}, {rb.BASE_ADV}e0, "edge_N" FROM points
+  UNION ALL SELECT 3, 'd', {_GL}, {_GA}e0, {_GN}"""
+_EDGE_SQL = ",\n".join([_SWEEP_SQL.rstrip(), f"points AS MATERIALIZED ({_points_sql(False)})", *S.sweep_ctes("e", _EDGE_CONFIGS, K)])
 
-@register("r10_edge_case_frames")
+
+@register("r10_edge_case_frames", _EDGE_SQL + "\n" + "\nUNION ALL\n".join(
+    f"SELECT config_id, {i}::INT AS iteration, annotator_id, round(alpha, 6) AS inferred_acc FROM ea{i}" for i in range(1, K + 1)))
 def q_edge_frames(spark, sf):
-    return _sweep(spark, sf).edge_frames
+    fr = _sweep(spark, sf).edge_frames
+    return fr.select("config_id", F.col("iteration").cast("int"), "annotator_id", r6("inferred_acc").alias("inferred_acc"))
+
 
+_WORST_SQL = ",\n".join([_SWEEP_SQL.rstrip(), f"""worst AS (
+  SELECT config_id FROM mm WHERE variable_tested = 'Heatmap' AND L >= 3 ORDER BY round(Error, 6) DESC, config_id LIMIT 1),
+maj AS (SELECT prompt_id, (avg(vote) > 0.5)::INT AS label FROM mw JOIN worst USING (config_id) GROUP BY prompt_id),
+acc AS (SELECT (SELECT avg((label = truth_is_a)::INT) FROM maj JOIN truth USING (prompt_id)) AS ma,
+               (SELECT avg(((round(g, 6) > 0.5)::INT = truth_is_a)::INT) FROM mg{K} JOIN worst USING (config_id) JOIN truth USING (prompt_id)) AS ea)"""])
 
-@register("r8_majority_vs_em_worst")
+
+@register("r8_majority_vs_em_worst", _WORST_SQL + "\nSELECT round(ma, 6) AS majority_accuracy, round(ea, 6) AS em_accuracy, round(ea - ma, 6) AS lift FROM acc")
 def q_worst(spark, sf):
-    """Majority vote vs EM on the most adversarial heatmap configuration."""
-    cfgs = [rb.Config(0, "worst", rb.L_GRID[0], rb.ADV_GRID[-1], rb.BASE_N)]
-    pv, wt = rb.perturbed_votes(fx.votes(spark, sf), fx.worker_truth(spark, sf), cfgs)
-    pv = pv.drop("config_id").checkpoint(eager=True)
-    res = em.fit(pv, "onecoin")
-    return rb.majority_vs_em(pv, res.trust, fx.truth(spark, sf))
+    """Majority vote vs EM on the configuration with the largest error among
+    those with three or more votes per prompt (with one, EM is majority vote)."""
+    worst = rb.worst_config(_sweep(spark, sf).matrix)
+    pv, _ = rb.perturbed_votes(fx.votes(spark, sf), fx.worker_truth(spark, sf), [worst])
+    pv = pv.drop("config_id")
+    res = em.fit(pv, "onecoin", max_iter=K, tol=None)
+    out = rb.majority_vs_em(pv, res.trust, fx.truth(spark, sf))
+    return out.select(*[r6(c).alias(c) for c in ("majority_accuracy", "em_accuracy", "lift")])
 
 
 # ------------------------------------------------------------------ model runs (T1, T3–T5, D11, IO8–IO11, M6, M10, M11)
@@ -687,16 +760,22 @@ from crowdtrust.session import scratch_path  # noqa: E402
 from crowdtrust.sources import io as cio  # noqa: E402
 
 _RUNS: dict = {}
+EPOCHS = 3
+#: The models with one feature (the length difference) and no penalty, and K EM iterations: SQL can follow them.
+_EXACT = {"reg_param": 0.0, "max_iter": 60, "tol": 1e-13}
 
 
-def _runs(spark, sf):
-    key = (id(spark), sf)
+def _runs(spark, sf, one_feature=False):
+    key = (id(spark), sf, one_feature)
     if key not in _RUNS:
-        data = jt.preference_data(spark, sf)
-        static = jt.static_runs(data)
-        joint = jt.joint_run(data, epochs=3)
+        data = jt.preference_data(spark, sf, num_features=0 if one_feature else jt.NUM_FEATURES)
         folder = scratch_path(spark, "run_metrics")
-        jt.write_metrics(static.metrics.unionByName(joint.metrics), folder)
+        if one_feature:
+            static = jt.static_runs(data, em_iter=K, em_tol=None, **_EXACT)
+            joint = jt.joint_run(data, epochs=EPOCHS, folder=folder, **_EXACT)
+        else:
+            static, joint = jt.static_runs(data), jt.joint_run(data, epochs=EPOCHS, folder=folder)
+        jt.write_metrics(static.metrics, folder)
         _RUNS[key] = {"data": data, "static": static, "joint": joint, "folder": folder}
     return _RUNS[key]
 
@@ -707,6 +786,9 @@ def _metric_cols(df):
                      r6("test_reward_accuracy").alias("test_reward_accuracy"))
 
 
+_ONE = S.with_(*S.one_feature_ctes(K, EPOCHS))
+
+
 @register("t1_soft_label_fit")
 def q_soft_fit(spark, sf):
     """The static-EM soft-label model's P(A preferred) for every prompt."""
@@ -715,63 +797,150 @@ def q_soft_fit(spark, sf):
     return pred.select("prompt_id", r6("prior").alias("p_a"))
 
 
+@register("t1_one_feature_fit", _ONE + "SELECT prompt_id, round(1 / (1 + exp(-(w * x + o))), 6) AS p_a FROM f, tw")
+def q_soft_fit_one(spark, sf):
+    r = _runs(spark, sf, True)
+    pred = md.predict_prior(r["static"].models["static_em"], jt.scoring_table(r["data"]))
+    return pred.select("prompt_id", r6("prior").alias("p_a"))
+
+
 @register("t3_run_metrics")
 def q_run_metrics(spark, sf):
     return _metric_cols(_runs(spark, sf)["static"].metrics)
 
 
+@register("t3_one_feature_metrics", _ONE + """SELECT run, epoch, round(train_loss, 6) AS train_loss, round(test_accuracy, 6) AS test_accuracy,
+  round(test_reward_accuracy, 6) AS test_reward_accuracy FROM runs WHERE run <> 'joint'""")
+def q_run_metrics_one(spark, sf):
+    return _metric_cols(_runs(spark, sf, True)["static"].metrics)
+
+
+def _joint_cols(m):
+    return m.select(F.col("epoch").cast("int"), *[r6(c).alias(c) for c in (
+        "train_loss", "test_accuracy", "test_reward_accuracy", "reward_margin", "prior_accuracy")])
+
+
 @register("t4_joint_history")
 def q_joint(spark, sf):
-    m = _runs(spark, sf)["joint"].metrics
-    return m.select(F.col("epoch").cast("int"), r6("train_loss").alias("train_loss"),
-                    r6("test_accuracy").alias("test_accuracy"),
-                    r6("test_reward_accuracy").alias("test_reward_accuracy"),
-                    r6("reward_margin").alias("reward_margin"))
+    return _joint_cols(_runs(spark, sf)["joint"].metrics)
 
 
-@register("t5_batch_inference")
-def q_inference(spark, sf):
-    r = _runs(spark, sf)
+_GOLDEN_SQL = " UNION ALL ".join(
+    [f"SELECT 1 AS epoch, (SELECT avg((truth_is_a = 0)::INT) FROM f WHERE NOT is_test) AS prior_accuracy"]
+    + [f"SELECT {e}, (SELECT avg(((prior > 0.5)::INT = truth_is_a)::INT) FROM jp{e} JOIN f USING (prompt_id) WHERE NOT is_test)" for e in range(2, EPOCHS + 1)])
+
+
+@register("t4_one_feature_joint", _ONE + f"""SELECT epoch, round(train_loss, 6) AS train_loss, round(test_accuracy, 6) AS test_accuracy,
+  round(test_reward_accuracy, 6) AS test_reward_accuracy, round(reward_margin, 6) AS reward_margin, round(prior_accuracy, 6) AS prior_accuracy
+FROM runs JOIN ({_GOLDEN_SQL}) USING (epoch) WHERE run = 'joint'""")
+def q_joint_one(spark, sf):
+    return _joint_cols(_runs(spark, sf, True)["joint"].metrics)
+
+
+@register("t4_one_feature_frames", _ONE + " UNION ALL ".join(
+    f"SELECT {e} AS epoch, annotator_id, round(alpha, 6) AS inferred_acc, (annotator_id IN {jt.TRACKED})::INT AS tracked FROM ja{e}"
+    for e in range(1, EPOCHS + 1)))
+def q_joint_frames(spark, sf):
+    """T4: the frames of every epoch as read back from their table (IO8), the tracked annotators marked."""
+    r = _runs(spark, sf, True)
+    fr = spark.read.parquet(f"{r['folder']}/frames").filter("run_id = 'joint'")
+    tracked = r["joint"].tracked.select("epoch", "annotator_id", F.lit(1).alias("t"))
+    return (fr.select(F.col("iteration").cast("int").alias("epoch"), "annotator_id", "inferred_acc").join(tracked, ["epoch", "annotator_id"], "left")
+            .select("epoch", "annotator_id", r6("inferred_acc").alias("inferred_acc"), F.coalesce("t", F.lit(0)).alias("tracked")))
+
+
+def _inference(spark, sf, one_feature):
+    r = _runs(spark, sf, one_feature)
     path = scratch_path(spark, "joint_model")
     md.save_model(r["joint"].models["joint"], path)
     test = jt.scoring_table(r["data"]).join(r["data"].truth.filter("is_test").select("prompt_id"), "prompt_id")
     out = md.load_and_score(path, test)
-    return out.select("prompt_id", r6("p_a").alias("p_a"), "prefers_a")
+    return out.select("prompt_id", r6("p_a").alias("p_a"), (F.round("p_a", 6) > 0.5).cast("int").alias("prefers_a"))
 
 
-@register("m10_run_comparison")
-def q_run_comparison(spark, sf):
+@register("t5_batch_inference")
+def q_inference(spark, sf):
+    return _inference(spark, sf, False)
+
+
+@register("t5_one_feature_inference", _ONE + f"""SELECT prompt_id, p_a, (p_a > 0.5)::INT AS prefers_a
+FROM (SELECT prompt_id, round(1 / (1 + exp(-(w * x + o))), 6) AS p_a FROM f, j{EPOCHS}w WHERE is_test)""")
+def q_inference_one(spark, sf):
+    return _inference(spark, sf, True)
+
+
+def _comparison(spark, sf, one_feature):
     """IO11 written files → IO10 glob scan → M10 comparison with the oracle gap."""
-    r = _runs(spark, sf)
+    r = _runs(spark, sf, one_feature)
     scanned = cio.scan_metric_files(spark, f"{r['folder']}/*_metrics.csv")
     cmp = metrics.run_comparison(scanned)
     return cmp.select("run", "label", "epoch", r6("train_loss").alias("train_loss"),
                       r6("test_accuracy").alias("test_accuracy"), r6("oracle_gap").alias("oracle_gap"))
 
 
-@register("m11_phase_summary")
-def q_phase_summary(spark, sf):
-    """One (phase, metric, value) row per reported number."""
-    r = _runs(spark, sf)
-    truth = fx.truth(spark, sf)
-    votes = fx.votes(spark, sf)
+@register("m10_run_comparison")
+def q_run_comparison(spark, sf):
+    return _comparison(spark, sf, False)
+
+
+@register("m10_one_feature_comparison", _ONE + """SELECT run, CASE run WHEN 'oracle' THEN 'Oracle' WHEN 'baseline' THEN 'Baseline'
+    WHEN 'static_em' THEN 'Static EM' ELSE 'Joint EM' END AS label, m.epoch, round(train_loss, 6) AS train_loss,
+  round(test_accuracy, 6) AS test_accuracy, round(oacc - test_accuracy, 6) AS oracle_gap
+FROM runs m LEFT JOIN (SELECT epoch, test_accuracy AS oacc FROM runs WHERE run = 'oracle') o USING (epoch)""")
+def q_run_comparison_one(spark, sf):
+    return _comparison(spark, sf, True)
+
+
+def _phases(spark, sf, one_feature):
+    """One (phase, metric, value) row per reported number: the crowd, EM
+    alone, the stress test's worst errors (along L at the lowest adversary
+    share, along the share at the base L, along N, and over all), the worst
+    configuration with and without EM, and the preference models."""
+    r = _runs(spark, sf, one_feature)
+    truth, votes = fx.truth(spark, sf), fx.votes(spark, sf)
     maj = baselines.majority_vote(votes).select("prompt_id", F.col("label").cast("double").alias("trust_weight"))
-    f = fitted(spark, sf)
+    f, m = fitted(spark, sf), _sweep(spark, sf).matrix
+    worst = q_worst(spark, sf)
+    heat = F.col("variable_tested") == "Heatmap"
+    row = lambda df, phase, metric, col: df.select(F.lit(phase).alias("phase"), F.lit(metric).alias("metric"), F.col(col).alias("value"))
     rows = [
-        metrics.label_accuracy(maj, truth).select(F.lit("1 crowd").alias("phase"),
-                                                  F.lit("majority_accuracy").alias("metric"), "accuracy"),
-        metrics.label_accuracy(f.trust, truth).select(F.lit("2 em").alias("phase"),
-                                                      F.lit("em_accuracy").alias("metric"), "accuracy"),
-        metrics.em_objective(f.trust, truth, f.params, fx.worker_truth(spark, sf)).select(
-            F.lit("2 em").alias("phase"), F.lit("em_loss").alias("metric"), F.col("em_loss").alias("accuracy")),
-    ]
-    allm = r["static"].metrics.unionByName(r["joint"].metrics)
-    rows.append(allm.select(F.lit("3 models").alias("phase"),
-                            F.concat(F.col("run"), F.lit("_e"), F.col("epoch").cast("string"),
-                                     F.lit("_test_accuracy")).alias("metric"),
-                            F.col("test_accuracy").alias("accuracy")))
-    out = metrics.phase_summary(rows)
-    return out.select("phase", "metric", r6("accuracy").alias("value"))
+        row(metrics.label_accuracy(maj, truth), "1 crowd", "majority_accuracy", "accuracy"),
+        row(metrics.label_accuracy(f.trust, truth), "2 em", "em_accuracy", "accuracy"),
+        row(metrics.em_objective(f.trust, truth, f.params, fx.worker_truth(spark, sf)), "2 em", "em_loss", "em_loss"),
+        *[row(m.filter(which).agg(F.max("Error").alias("e")), "3 stress", name, "e") for name, which in (
+            ("worst_L_error", heat & (F.col("Adv") == rb.ADV_GRID[0])), ("worst_adversary_error", heat & (F.col("L") == rb.BASE_L)),
+            ("worst_N_error", ~heat), ("worst_error", F.lit(True)))],
+        row(worst, "4 robustness", "without_em_accuracy", "majority_accuracy"), row(worst, "4 robustness", "with_em_accuracy", "em_accuracy"),
+        r["static"].metrics.unionByName(r["joint"].metrics.drop("prior_accuracy")).select(
+            F.lit("5 models").alias("phase"), F.concat(F.col("run"), F.lit("_e"), F.col("epoch").cast("string"), F.lit("_test_accuracy")).alias("metric"),
+            F.col("test_accuracy").alias("value"))]
+    return metrics.phase_summary(rows).select("phase", "metric", r6("value").alias("value"))
+
+
+@register("m11_phase_summary")
+def q_phase_summary(spark, sf):
+    return _phases(spark, sf, False)
+
+
+_M11 = ",\n".join([_WORST_SQL, *S.one_feature_ctes(K, EPOCHS), S.COMPACT, *S.onecoin_ctes(K)])
+
+
+@register("m11_one_feature_phase_summary", _M11 + f"""
+SELECT phase, metric, round(value, 6) AS value FROM (
+  SELECT '1 crowd' AS phase, 'majority_accuracy' AS metric, (SELECT avg((label = truth_is_a)::INT) FROM
+    (SELECT prompt_id, (avg(vote) > 0.5)::INT AS label FROM votes GROUP BY prompt_id) JOIN truth USING (prompt_id)) AS value
+  UNION ALL SELECT '2 em', 'em_accuracy', (SELECT avg(((g > 0.5)::INT = truth_is_a)::INT) FROM g{K} JOIN truth USING (prompt_id))
+  UNION ALL SELECT '2 em', 'em_loss', (SELECT avg((g - truth_is_a) * (g - truth_is_a)) FROM g{K} JOIN truth USING (prompt_id))
+    + (SELECT avg((alpha - true_acc) * (alpha - true_acc)) FROM a{K} JOIN worker_truth USING (annotator_id))
+  UNION ALL SELECT '3 stress', 'worst_L_error', max(Error) FROM mm WHERE variable_tested = 'Heatmap' AND Adv = {rb.ADV_GRID[0]}e0
+  UNION ALL SELECT '3 stress', 'worst_adversary_error', max(Error) FROM mm WHERE variable_tested = 'Heatmap' AND L = {rb.BASE_L}
+  UNION ALL SELECT '3 stress', 'worst_N_error', max(Error) FROM mm WHERE variable_tested = 'Scale'
+  UNION ALL SELECT '3 stress', 'worst_error', max(Error) FROM mm
+  UNION ALL SELECT '4 robustness', 'without_em_accuracy', ma FROM acc
+  UNION ALL SELECT '4 robustness', 'with_em_accuracy', ea FROM acc
+  UNION ALL SELECT '5 models', run || '_e' || epoch || '_test_accuracy', test_accuracy FROM runs)""")
+def q_phase_summary_one(spark, sf):
+    return _phases(spark, sf, True)
 
 
 @register("m6_scatter_frames_k5", _OC + "SELECT * FROM (" + " UNION ALL ".join(
@@ -851,6 +1020,24 @@ def q_windowed_agreement(spark, sf):
                       "n_votes", "n_agree", r6("agreement").alias("agreement"))
 
 
+@register("x2_files_in_any_order", S.with_(_EV_VOTES) + """
+SELECT annotator_id, epoch(date_trunc('day', ts))::BIGINT AS window_start, count(*)::BIGINT AS n_votes,
+       sum((vote = prompt_id % 2)::INT)::BIGINT AS n_agree FROM ev GROUP BY ALL""")
+def q_windowed_any_order(spark, sf):
+    """X2 over four files, the newest first, a micro-batch each, with half of the events delivered twice."""
+    folder = scratch_path(spark, "x2_events")
+    ev = fx.read_table(spark, sf, "events").withColumn("q", F.expr("date_diff(date'2024-02-01', cast(ts as date)) div 8"))
+    for q in range(5):
+        ev.filter(F.least("q", F.lit(4)) == q).drop("q").write.parquet(f"{folder}/events_{q}.parquet")
+    ev.filter("event_id % 2 = 0").drop("q").write.parquet(f"{folder}/events_again.parquet")
+    labels = spark.range(500).select(F.col("id").alias("prompt_id"), (F.col("id") % 2).cast("int").alias("label"))
+    path = scratch_path(spark, "x2_any_order")
+    stream = stm.event_vote_stream(spark, f"{folder}/events_*.parquet", files_per_trigger=1, glob="part-*.parquet")
+    stm.run_changelog(stm.windowed_agreement(stream, labels), path)
+    out = stm.latest_rows(spark, path, ["annotator_id", "window_start"])
+    return out.select("annotator_id", F.unix_timestamp("window_start").cast("bigint").alias("window_start"), "n_votes", "n_agree")
+
+
 # ------------------------------------------------------------------ CSV round trips (IO2–IO4, IO6)
 @register("io6_io3_prompts_csv_roundtrip", S.with_(S.PAIRS) + """
 SELECT prompt_id, truth_is_a, length(text_a)::BIGINT AS a_chars, md5(text_a) AS a_md5, md5(text_b) AS b_md5

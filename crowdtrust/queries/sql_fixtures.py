@@ -65,28 +65,33 @@ def clip(x: str, lo: str, hi: str) -> str:
     return f"least(greatest({x}, {lo}), {hi})"
 
 
-def onecoin_ctes(k: int, votes_cte: str = "v", prior_cte: str | None = None) -> list[str]:
-    """a0..ak (alpha per annotator) and g1..gk (gamma per prompt)."""
-    ctes = [f"a0 AS MATERIALIZED (SELECT DISTINCT annotator_id, 0.6e0 AS alpha FROM {votes_cte})"]
+def onecoin_ctes(k: int, votes_cte: str = "v", prior_cte: str | None = None, p: str = "") -> list[str]:
+    """{p}a0..{p}ak (alpha per annotator) and {p}g1..{p}gk (gamma per prompt)."""
+    ctes = [f"{p}a0 AS MATERIALIZED (SELECT DISTINCT annotator_id, 0.6e0 AS alpha FROM {votes_cte})"]
     for i in range(1, k + 1):
-        if prior_cte:
-            pa = f"ln({clip('coalesce(pr.prior, 0.5e0)', '1e-9', '1 - 1e-9')})"
-            pb = f"ln(1 - {clip('coalesce(pr.prior, 0.5e0)', '1e-9', '1 - 1e-9')})"
-            src = f"s{i} LEFT JOIN {prior_cte} pr USING (prompt_id)"
-        else:
-            pa = pb = "ln(0.5e0)"
-            src = f"s{i}"
-        ctes.append(f"""s{i} AS MATERIALIZED (
+        ctes += onecoin_step(f"{p}a{i-1}", f"{p}s{i}", f"{p}g{i}", f"{p}a{i}", votes_cte, prior_cte)
+    return ctes
+
+
+def onecoin_step(before: str, s: str, g: str, a: str, votes_cte: str, prior_cte: str | None = None) -> list[str]:
+    """One E-step with the accuracies ``before`` (sums ``s``, posteriors ``g``) and the M-step ``a``."""
+    if prior_cte:
+        pa = f"ln({clip('coalesce(pr.prior, 0.5e0)', '1e-9', '1 - 1e-9')})"
+        pb = f"ln(1 - {clip('coalesce(pr.prior, 0.5e0)', '1e-9', '1 - 1e-9')})"
+        src = f"{s} LEFT JOIN {prior_cte} pr USING (prompt_id)"
+    else:
+        pa = pb = "ln(0.5e0)"
+        src = s
+    return [f"""{s} AS MATERIALIZED (
   SELECT vv.prompt_id,
          sum(n * CASE WHEN vote = 1 THEN ln(alpha) ELSE ln(1 - alpha) END) AS sa,
          sum(n * CASE WHEN vote = 1 THEN ln(1 - alpha) ELSE ln(alpha) END) AS sb
-  FROM {votes_cte} vv JOIN a{i-1} USING (annotator_id) GROUP BY vv.prompt_id)""")
-        ctes.append(f"g{i} AS MATERIALIZED (SELECT prompt_id, {posterior(f'{pa} + sa', f'{pb} + sb')} AS g FROM {src})")
-        ctes.append(f"""a{i} AS MATERIALIZED (
+  FROM {votes_cte} vv JOIN {before} USING (annotator_id) GROUP BY vv.prompt_id)""",
+            f"{g} AS MATERIALIZED (SELECT prompt_id, {posterior(f'{pa} + sa', f'{pb} + sb')} AS g FROM {src})",
+            f"""{a} AS MATERIALIZED (
   SELECT annotator_id,
          {clip('sum(n * CASE WHEN vote = 1 THEN g ELSE 1 - g END) / greatest(sum(n)::DOUBLE, 1e0)', '1e-4', '1 - 1e-4')} AS alpha
-  FROM {votes_cte} vv JOIN g{i} USING (prompt_id) GROUP BY annotator_id)""")
-    return ctes
+  FROM {votes_cte} vv JOIN {g} USING (prompt_id) GROUP BY annotator_id)"""]
 
 
 def twocoin_ctes(k: int, legacy: bool = False, votes_cte: str = "v") -> list[str]:
@@ -132,16 +137,16 @@ def softplus(x: str) -> str:
 LOGIT = "((pi_a - pi_b) - (ref_a - ref_b))"
 
 PAIRS = f"""lab AS (SELECT d.doc_id, d.text, d.lang, l.quality FROM documents d JOIN labels l USING (doc_id)),
-good AS (SELECT doc_id AS chosen_id, text AS chosen, lang, {h("doc_id::VARCHAR")} AS hh FROM lab WHERE quality = 1),
-nl AS (SELECT lang, count(*) AS n_lang FROM good GROUP BY lang),
-ranked AS (SELECT chosen_id, lang, row_number() OVER (PARTITION BY lang ORDER BY hh, chosen_id) - 1 AS pos FROM good),
-bad AS (SELECT doc_id AS rejected_id, text AS rejected, lang FROM lab WHERE quality = 0),
-slots AS (SELECT b.rejected_id, b.lang, ({h("b.rejected_id::VARCHAR")} + r.k) % nl.n_lang AS pos
-          FROM bad b JOIN nl USING (lang) JOIN range(0, 10) r(k) ON r.k < least(nl.n_lang, 10)),
-pr AS (SELECT s.rejected_id, rk.chosen_id, s.lang FROM slots s JOIN ranked rk USING (lang, pos)),
-pairs AS (SELECT (row_number() OVER (ORDER BY pr.rejected_id, pr.chosen_id) - 1)::BIGINT AS prompt_id,
-                 g.chosen, b.rejected, pr.lang, pr.chosen_id::BIGINT AS chosen_id, pr.rejected_id::BIGINT AS rejected_id
-          FROM pr JOIN good g USING (chosen_id) JOIN bad b USING (rejected_id)),
+good AS (SELECT doc_id AS chosen_id, text AS chosen, lang, count(*) OVER (PARTITION BY lang) AS n,
+                row_number() OVER (PARTITION BY lang ORDER BY {h("doc_id::VARCHAR")}, doc_id) - 1 AS pos FROM lab WHERE quality = 1),
+bad AS (SELECT doc_id AS rejected_id, text AS rejected, lang, count(*) OVER (PARTITION BY lang) AS n,
+               row_number() OVER (PARTITION BY lang ORDER BY {h("doc_id::VARCHAR")}, doc_id) - 1 AS pos FROM lab WHERE quality = 0),
+nl AS (SELECT g.lang, g.n AS ng, b.n AS nb FROM (SELECT DISTINCT lang, n FROM good) g JOIN (SELECT DISTINCT lang, n FROM bad) b USING (lang)),
+slots AS (SELECT lang, ng, nb, unnest(range(greatest(ng, nb))) AS slot FROM nl),
+pr AS (SELECT g.chosen_id, b.rejected_id, s.lang, s.slot, g.chosen, b.rejected FROM slots s
+       JOIN good g ON g.lang = s.lang AND g.pos = s.slot % s.ng JOIN bad b ON b.lang = s.lang AND b.pos = s.slot % s.nb),
+pairs AS (SELECT (row_number() OVER (ORDER BY rejected_id, chosen_id, slot) - 1)::BIGINT AS prompt_id,
+                 chosen, rejected, lang, chosen_id::BIGINT AS chosen_id, rejected_id::BIGINT AS rejected_id FROM pr),
 prompts AS (SELECT prompt_id, CASE WHEN o = 1 THEN chosen ELSE rejected END AS text_a,
                    CASE WHEN o = 1 THEN rejected ELSE chosen END AS text_b, o AS truth_is_a
             FROM (SELECT *, ({h("'42|orient|' || prompt_id::VARCHAR")} % 2)::INT AS o FROM pairs))"""
@@ -160,11 +165,13 @@ def tokens_sql(text: str) -> str:
             f"lambda x: length(x) > 0)")
 
 
-def vocab_cte(vocab_size: int) -> str:
+def vocab_cte(vocab_size: int | None) -> str:
+    """The most frequent tokens, or all of them."""
+    cap = "" if vocab_size is None else f"ORDER BY count DESC, token LIMIT {vocab_size - 2}"
     return f"""dtok AS (SELECT unnest({tokens_sql('text')}) AS token FROM documents),
 dcnt AS (SELECT token, count(*)::BIGINT AS count FROM dtok GROUP BY token),
 vocab AS (SELECT token, (row_number() OVER (ORDER BY count DESC, token) - 1 + 2)::INT AS token_id, count
-          FROM dcnt ORDER BY count DESC, token LIMIT {vocab_size - 2})"""
+          FROM dcnt {cap})"""
 
 
 SIDE_TOKENS = f"""stok AS (
@@ -193,3 +200,106 @@ def role_sql(rank: str, crowd: str, adv: str) -> str:
 _COIN_KEY = "concat_ws('|', '42|coin', prompt_id::VARCHAR, annotator_id::VARCHAR)"
 COIN = f"(({h(_COIN_KEY)} / 4294967296e0) < 0.5)::INT"
 VOTE_ORDER = h("concat_ws('|', '42|sparse', prompt_id::VARCHAR, annotator_id::VARCHAR, vote::VARCHAR)")
+
+
+# ---------------------------------------------------------------- the stress sweep
+RANKED_VOTES = f"""rk AS MATERIALIZED (
+  SELECT v.prompt_id, v.annotator_id, v.vote, crowd_rank, n_total, true_acc,
+         row_number() OVER (PARTITION BY v.prompt_id ORDER BY {VOTE_ORDER.replace("prompt_id", "v.prompt_id").replace("annotator_id", "v.annotator_id").replace("vote::", "v.vote::")},
+                            v.annotator_id, v.vote) AS r
+  FROM votes v JOIN ranks USING (annotator_id) LEFT JOIN worker_truth USING (annotator_id))"""
+
+
+def config_rows(configs) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(
+        f"({c.config_id}, '{c.variable_tested}', {c.L}, {c.Adv}e0, {c.N})" for c in configs) + ") t(config_id, variable_tested, L, Adv, N)"
+
+
+def sweep_ctes(p: str, configs_sql: str, k: int) -> list[str]:
+    """Perturbed votes and k one-coin iterations of every configuration:
+    {p}w workers' votes, {p}t true accuracies, {p}g1.. posteriors, {p}a1.. accuracies, {p}m the matrix."""
+    worker = f"((crowd_rank + n_total * ({h("'crowd share|' || prompt_id::VARCHAR")} % ceil(N / n_total::DOUBLE)::BIGINT)) % N)"
+    role = role_sql("worker", "N::DOUBLE", "Adv")
+    ctes = [f"{p}c AS MATERIALIZED ({configs_sql})",
+            f"""{p}x AS (SELECT config_id, prompt_id, annotator_id, vote, true_acc, worker, {role} AS role
+  FROM (SELECT *, {worker} AS worker FROM rk JOIN {p}c ON r <= L))""",
+            f"""{p}w AS MATERIALIZED (
+  SELECT config_id, prompt_id, worker::BIGINT AS annotator_id,
+         (CASE WHEN role = 'adversary' THEN 1 - vote WHEN role = 'spammer' THEN {COIN} ELSE vote END)::INT AS vote,
+         CASE WHEN role = 'adversary' THEN 1 - true_acc WHEN role = 'spammer' THEN 0.5e0 ELSE true_acc END AS true_acc FROM {p}x)""",
+            f"{p}t AS MATERIALIZED (SELECT config_id, annotator_id, avg(true_acc) AS true_acc FROM {p}w GROUP BY ALL)",
+            f"{p}v AS MATERIALIZED (SELECT config_id, prompt_id, annotator_id, vote, count(*)::BIGINT AS n FROM {p}w GROUP BY ALL)",
+            f"{p}a0 AS MATERIALIZED (SELECT DISTINCT config_id, annotator_id, 0.6e0 AS alpha FROM {p}v)"]
+    for i in range(1, k + 1):
+        ctes.append(f"""{p}s{i} AS MATERIALIZED (
+  SELECT config_id, prompt_id, sum(n * CASE WHEN vote = 1 THEN ln(alpha) ELSE ln(1 - alpha) END) AS sa,
+         sum(n * CASE WHEN vote = 1 THEN ln(1 - alpha) ELSE ln(alpha) END) AS sb
+  FROM {p}v JOIN {p}a{i-1} USING (config_id, annotator_id) GROUP BY ALL)""")
+        ctes.append(f"{p}g{i} AS MATERIALIZED (SELECT config_id, prompt_id, {posterior('ln(0.5e0) + sa', 'ln(0.5e0) + sb')} AS g FROM {p}s{i})")
+        ctes.append(f"""{p}a{i} AS MATERIALIZED (
+  SELECT config_id, annotator_id,
+         {clip('sum(n * CASE WHEN vote = 1 THEN g ELSE 1 - g END) / greatest(sum(n)::DOUBLE, 1e0)', '1e-4', '1 - 1e-4')} AS alpha
+  FROM {p}v JOIN {p}g{i} USING (config_id, prompt_id) GROUP BY ALL)""")
+    ctes.append(f"""{p}m AS MATERIALIZED (SELECT c.config_id, variable_tested, L, Adv, N, Error FROM {p}c c LEFT JOIN (
+  SELECT config_id, avg(abs(true_acc - alpha)) AS Error FROM {p}a{k} JOIN {p}t USING (config_id, annotator_id) GROUP BY config_id) USING (config_id))""")
+    return ctes
+
+
+# ---------------------------------------------------------------- one-feature preference models
+VOCAB_SIZE = "(SELECT count(*) + 2e0 FROM vocab)"
+
+REF_MODEL = f"""rb AS (SELECT prev_id, token_id, sum(cnt)::DOUBLE AS c FROM big GROUP BY prev_id, token_id),
+  rctx AS (SELECT prev_id, sum(c) AS c_prev FROM rb GROUP BY prev_id),
+  ref AS MATERIALIZED (SELECT prev_id, token_id, ln((c + 1) / (c_prev + {VOCAB_SIZE})) AS logp, ln(1 / (c_prev + {VOCAB_SIZE})) AS unseen
+          FROM rb JOIN rctx USING (prev_id)),
+  ctxr AS (SELECT DISTINCT prev_id, unseen FROM ref)"""
+
+NEWTON_STEPS = 15
+
+
+def newton_ctes(p: str, src: str) -> list[str]:
+    """{p}w: the weight w of the regression y ~ sigmoid(w x + o) with case weights wt, without intercept."""
+    ctes = [f"{p}w0 AS MATERIALIZED (SELECT 0e0 AS w)"]
+    for i in range(1, NEWTON_STEPS + 1):
+        ctes.append(f"""{p}w{i} AS MATERIALIZED (SELECT any_value(w) + sum(wt * x * (y - q)) / sum(wt * x * x * q * (1 - q)) AS w
+  FROM (SELECT *, 1 / (1 + exp(-(w * x + o))) AS q FROM {src}, {p}w{i-1}))""")
+    ctes.append(f"{p}w AS MATERIALIZED (SELECT w FROM {p}w{NEWTON_STEPS})")
+    return ctes
+
+
+def run_metrics_sql(run: str, epoch: int, src: str, w: str) -> str:
+    loss = f"(y * {softplus('-(w * x)')} + (1 - y) * {softplus('(w * x)')})"
+    return f"""SELECT '{run}' AS run, {epoch} AS epoch, (SELECT sum(wt * {loss}) / sum(wt) FROM {src}, {w}) AS train_loss,
+  (SELECT avg((((w * x) / 0.1e0 - o / 0.1e0 > 0)::INT = truth_is_a)::INT) FROM f, {w} WHERE is_test) AS test_accuracy,
+  (SELECT avg(((w * x > 0)::INT = truth_is_a)::INT) FROM f, {w} WHERE is_test) AS test_reward_accuracy,
+  (SELECT avg(w * x) FROM {src}, {w}) AS reward_margin"""
+
+
+def one_feature_ctes(k: int, epochs: int) -> list[str]:
+    """f (features and offsets of all prompts), static and joint runs, and their metrics ``runs``."""
+    ctes = [PAIRS, PAIR_VOTES, vocab_cte(None), SIDE_TOKENS, REF_MODEL, f"""sr AS (
+  SELECT b.prompt_id, b.side, sum(b.cnt * coalesce(p.logp, c.unseen, -ln({VOCAB_SIZE}))) / sum(b.cnt) * 10e0 AS lp
+  FROM big b LEFT JOIN ref p USING (prev_id, token_id) LEFT JOIN ctxr c USING (prev_id) GROUP BY ALL)""",
+            f"""f AS MATERIALIZED (SELECT prompt_id, truth_is_a, (len({tokens_sql('text_a')}) - len({tokens_sql('text_b')}))::DOUBLE / 100e0 AS x,
+         -0.1e0 * (coalesce(a.lp, 0) - coalesce(b.lp, 0)) AS o, ({h("'42|split|' || prompt_id::VARCHAR")} / 4294967296e0 < 0.2e0) AS is_test
+  FROM prompts LEFT JOIN (SELECT prompt_id, lp FROM sr WHERE side = 'a') a USING (prompt_id)
+               LEFT JOIN (SELECT prompt_id, lp FROM sr WHERE side = 'b') b USING (prompt_id))""",
+            "pvt AS MATERIALIZED (SELECT pv.* FROM pv JOIN f USING (prompt_id) WHERE NOT is_test)",
+            "pvc AS MATERIALIZED (SELECT prompt_id, annotator_id, vote, count(*)::BIGINT AS n FROM pvt GROUP BY ALL)",
+            "nv AS MATERIALIZED (SELECT prompt_id, count(*)::DOUBLE AS wt, avg(vote) AS share FROM pvt GROUP BY prompt_id)",
+            *onecoin_ctes(k, votes_cte="pvc", p="p"),
+            "so AS MATERIALIZED (SELECT f.*, truth_is_a::DOUBLE AS y, 1e0 AS wt FROM f WHERE NOT is_test)",
+            "sb AS MATERIALIZED (SELECT f.*, share AS y, wt FROM f JOIN nv USING (prompt_id))",
+            f"ss AS MATERIALIZED (SELECT f.*, g AS y, wt FROM f JOIN pg{k} USING (prompt_id) JOIN nv USING (prompt_id))",
+            *newton_ctes("o", "so"), *newton_ctes("b", "sb"), *newton_ctes("t", "ss"),
+            "ja0 AS MATERIALIZED (SELECT DISTINCT annotator_id, 0.6e0 AS alpha FROM pvc)"]
+    runs = [run_metrics_sql("oracle", 1, "so", "ow"), run_metrics_sql("baseline", 1, "sb", "bw"), run_metrics_sql("static_em", 1, "ss", "tw")]
+    for e in range(1, epochs + 1):
+        if e > 1:
+            ctes.append(f"jp{e} AS MATERIALIZED (SELECT prompt_id, 1 / (1 + exp(-(w * x + o))) AS prior FROM f, j{e-1}w)")
+        ctes += onecoin_step(f"ja{e-1}", f"js{e}", f"jg{e}", f"ja{e}", "pvc", f"jp{e}" if e > 1 else None)
+        ctes.append(f"jx{e} AS MATERIALIZED (SELECT f.*, g AS y, wt FROM f JOIN jg{e} USING (prompt_id) JOIN nv USING (prompt_id))")
+        ctes += newton_ctes(f"j{e}", f"jx{e}")
+        runs.append(run_metrics_sql("joint", e, f"jx{e}", f"j{e}w"))
+    ctes.append("runs AS MATERIALIZED (" + "\n UNION ALL ".join(runs) + ")")
+    return ctes

@@ -70,41 +70,41 @@ def worker_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- B2 pairs
-PAIRS_PER_REJECTED = 10
-
-
-def pairs(spark: SparkSession, sf_dir: str, per_rejected: int = PAIRS_PER_REJECTED) -> DataFrame:
-    """Preference pairs: a high-quality document (chosen) against a
-    low-quality one (rejected) of the same language.
-
-    Chosen documents are ranked inside their language by (hash, id); each
-    rejected document takes ``per_rejected`` consecutive ranks starting at a
-    hash of its own id.  This is an equi-join on (lang, rank) – no pair
-    enumeration inside a language, so a language holding a third of all
-    documents costs the same per row as any other.
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preference pairs: high-quality documents (chosen) against low-quality
+    ones (rejected) of the same language.
+
+    Both sides are ranked inside their language by (hash, id).  With n chosen
+    and m rejected documents there are max(n, m) pairs, number i being chosen
+    i mod n with rejected i mod m, so every labelled document of a language
+    that has both kinds occurs at least once and the output is linear.  Only
+    ids are ranked and numbered; the texts are joined last.
     """
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
-    lab = docs.join(labels, "doc_id")
-    good = lab.filter(F.col("quality") == 1).select(
-        F.col("doc_id").alias("chosen_id"), F.col("text").alias("chosen"), "lang",
-        hash32(F.col("doc_id").cast("string")).alias("h"))
-    bad = lab.filter(F.col("quality") == 0).select(
-        F.col("doc_id").alias("rejected_id"), F.col("text").alias("rejected"), "lang")
-    # rank of every chosen doc inside its language, without a per-language window
-    ranked = dense_index(good.select("chosen_id", "lang", "h"), ["lang", "h", "chosen_id"], "g")
-    first = ranked.groupBy("lang").agg(F.min("g").alias("g0"), F.count("*").alias("n_lang"))
-    ranked = ranked.join(first, "lang").select(
-        "chosen_id", "lang", (F.col("g") - F.col("g0")).alias("pos"), "n_lang")
-    counts = first.select("lang", "n_lang")
-    slots = (bad.select("rejected_id", "lang").join(counts, "lang")
-             .withColumn("k", F.explode(F.sequence(F.lit(0), F.least(F.col("n_lang"), F.lit(per_rejected)) - 1)))
-             .select("rejected_id", "lang",
-                     F.pmod(hash32(F.col("rejected_id").cast("string")) + F.col("k"), F.col("n_lang")).alias("pos")))
-    chosen_ids = slots.join(ranked.select("lang", "pos", "chosen_id"), ["lang", "pos"])
-    out = (chosen_ids.join(bad.select("rejected_id", "rejected"), "rejected_id")
-           .join(good.select("chosen_id", "chosen"), "chosen_id"))
-    out = dense_index(out, ["rejected_id", "chosen_id"], "prompt_id")
+    docs = read_table(spark, sf_dir, "documents")
+    lab = docs.select("doc_id", "lang").join(labels, "doc_id").withColumn("h", hash32(F.col("doc_id").cast("string")))
+
+    def ranked(quality: int, name: str) -> tuple[DataFrame, DataFrame]:
+        own = lab.filter(F.col("quality") == quality).select("lang", "h", F.col("doc_id").alias(name))
+        own = dense_index(own, ["lang", "h", name], "g")
+        first = own.groupBy("lang").agg(F.min("g").alias("g0"), F.count("*").alias(f"n_{name}"))  # a row per language
+        return own.join(F.broadcast(first), "lang").select("lang", name, (F.col("g") - F.col("g0")).alias("pos")), first.drop("g0")
+
+    good, n_good = ranked(1, "chosen_id")
+    bad, n_bad = ranked(0, "rejected_id")
+    counts = F.broadcast(n_good.join(n_bad, "lang"))
+    slots = F.greatest("n_chosen_id", "n_rejected_id")
+
+    def spread(side: DataFrame, name: str) -> DataFrame:
+        """Rank r of n stands in slots r, r + n, r + 2n, ... of the language."""
+        n = F.col(f"n_{name}")
+        x = side.join(counts, "lang").filter(F.col("pos") < slots)
+        return x.select("lang", name, F.explode(F.sequence(F.col("pos"), slots - 1, n)).alias("slot"))
+
+    ids = spread(good, "chosen_id").join(spread(bad, "rejected_id"), ["lang", "slot"])
+    ids = dense_index(ids.select("rejected_id", "chosen_id", "slot", "lang"), ["rejected_id", "chosen_id", "slot"], "prompt_id")
+    out = (ids.join(docs.select(F.col("doc_id").alias("chosen_id"), F.col("text").alias("chosen")), "chosen_id")
+           .join(docs.select(F.col("doc_id").alias("rejected_id"), F.col("text").alias("rejected")), "rejected_id"))
     return out.select(F.col("prompt_id").cast("bigint"), "chosen", "rejected", "lang",
                       F.col("chosen_id").cast("bigint"), F.col("rejected_id").cast("bigint"))
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crowdtrust.operators.prepare import dense_index
+
 VOTES_SCHEMA = T.StructType([T.StructField("prompt_id", T.LongType()), T.StructField("annotator_id", T.LongType()),
                              T.StructField("vote", T.IntegerType())])
 PROMPTS_SCHEMA = T.StructType([T.StructField("prompt_id", T.LongType()), T.StructField("text_a", T.StringType()),
@@ -17,10 +19,17 @@ WORKER_TRUTH_SCHEMA = T.StructType([T.StructField("annotator_id", T.LongType()),
                                     T.StructField("true_acc", T.DoubleType())])
 
 
-def read_pairs(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """IO1: raw (chosen, rejected) pairs of one split."""
+def read_pairs(spark: SparkSession, path: str, fmt: str = "parquet", first: int | None = None,
+               order_cols: list[str] | None = None) -> DataFrame:
+    """IO1: raw (chosen, rejected) pairs of one split; ``first`` keeps the
+    first so many rows in ``order_cols`` order (numbered across partitions,
+    no single sorting task)."""
     r = spark.read.schema(PAIRS_SCHEMA) if fmt == "json" else spark.read
-    return r.format(fmt).load(path)
+    df = r.format(fmt).load(path)
+    if first is None:
+        return df
+    keys = order_cols or ["chosen", "rejected"]
+    return dense_index(df, keys, "_i").filter(F.col("_i") < first).drop("_i")
 
 
 def read_votes(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -81,7 +90,8 @@ def scan_frames_natural(spark: SparkSession, path: str, pattern: str = "*.csv")
     df = df.withColumn("file_name", F.when(fname.startswith("part-"), F.element_at(F.split(fpath, "/"), -2))
                        .otherwise(fname))
     return (df.withColumn("frame", F.regexp_extract("file_name", r"(\d+)", 1).cast("int"))
-            .select(F.col("annotator_id").cast("bigint"), F.col("inferred_acc").cast("double"), "frame", "file_name"))
+            .select(F.col("annotator_id").cast("bigint"), F.col("inferred_acc").cast("double"), "frame", "file_name")
+            .orderBy("frame", "annotator_id"))
 
 
 def scan_metric_files(spark: SparkSession, path_glob: str) -> DataFrame:
@@ -101,6 +111,6 @@ def dense_ids(df: DataFrame, id_col: str, defaults: dict, max_id: int | None = N
     spark = df.sparkSession
     if max_id is None:
         max_id = df.agg(F.max(id_col)).first()[0]
-    spine = spark.range(0, (max_id or -1) + 1).withColumnRenamed("id", id_col)
+    spine = spark.range(0, 0 if max_id is None else max_id + 1).withColumnRenamed("id", id_col)
     out = spine.join(df, id_col, "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})

@@ -5,9 +5,9 @@ accuracies: the one-coin E-step is two running sums per prompt
 (Σ ln(v ? α : 1−α), Σ ln(v ? 1−α : α)), so the streaming aggregate is
 incrementally exact and equals the batch E-step on all votes seen so far.
 
-X2 – annotator agreement with the trusted label per event-time window, with
-a watermark that bounds the state and drops duplicate deliveries of the same
-event inside the watermark.
+X2 – annotator agreement with the trusted label per event-time window,
+without loss in whatever order the files come, or with a watermark that the
+caller names to bound the state.  Repeated deliveries of an event count once.
 
 Both run on any streaming source of votes.  Results go to a change-log
 table: every micro-batch appends the rows it updated, tagged with its
@@ -18,11 +18,12 @@ latest row per key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crowdtrust.functions.columns import clip, two_class_posterior
+from crowdtrust.functions.columns import two_class_posterior
+from crowdtrust.operators.baselines import vote_accuracy
 from crowdtrust.operators.prepare import hard_label
 from crowdtrust.operators.votes import BROADCAST_ROW_LIMIT
 from crowdtrust.session import scratch_path
@@ -34,12 +35,14 @@ EVENTS_SCHEMA = T.StructType([
     T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 
-def event_vote_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1,
+def event_vote_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = None,
                       glob: str = "events*.parquet") -> DataFrame:
-    """Vote stream over the parquet event files of a folder."""
-    ev = (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", glob)
-          .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
-    return event_votes(ev)
+    """Vote stream over the parquet event files of a folder (B5).  A
+    micro-batch takes all files there are, unless ``files_per_trigger`` says less."""
+    ev = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", glob)
+    if files_per_trigger:
+        ev = ev.option("maxFilesPerTrigger", files_per_trigger)
+    return event_votes(ev.parquet(folder))
 
 
 def _sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
@@ -51,9 +54,10 @@ def stream_trust(votes: DataFrame, alpha: DataFrame, alpha_col: str = "alpha") -
 
     ``votes`` is a streaming (or static) frame of (prompt_id, annotator_id,
     vote); ``alpha`` a static per-annotator table, broadcast after a size
-    check, otherwise a shuffled stream-static join."""
-    a = alpha.select("annotator_id", clip(F.col(alpha_col).cast("double"), 0.0, 1.0).alias("_a"))
-    j = votes.join(_sized_broadcast(a), "annotator_id")
+    check, otherwise a shuffled stream-static join.  Annotators that it does
+    not list vote with the initial accuracy.  The state is one row per prompt
+    for good: a late vote still counts."""
+    j = vote_accuracy(votes, alpha, alpha_col)
     la, l1a = F.log(F.col("_a")), F.log(1.0 - F.col("_a"))
     agg = j.groupBy("prompt_id").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_votes"),
@@ -65,12 +69,20 @@ def stream_trust(votes: DataFrame, alpha: DataFrame, alpha_col: str = "alpha") -
 
 
 def windowed_agreement(votes: DataFrame, labels: DataFrame, window: str = "1 day",
-                       watermark: str = "1 hour", label_col: str = "label") -> DataFrame:
+                       watermark: str | None = None, label_col: str = "label") -> DataFrame:
     """Per (annotator, event-time window) the number of votes and the
-    share that agree with the trusted label; duplicate events inside the
-    watermark are dropped."""
-    v = (votes.withColumn("ts", F.col("ts").cast("timestamp"))  # event time in the session time zone
-         .withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"]))
+    share that agree with the trusted label; an event that is delivered
+    again counts once.
+
+    Without ``watermark`` no vote is ever late: files may arrive in any order
+    and the state (event ids and window counts) grows with the stream.  A
+    watermark bounds the state; the caller thereby says that votes later than
+    it may be dropped."""
+    v = votes.withColumn("ts", F.col("ts").cast("timestamp"))  # event time in the session time zone
+    if watermark:
+        v = v.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
+    else:
+        v = v.dropDuplicates(["event_id"])
     lab = labels.select("prompt_id", F.col(label_col).cast("int").alias("_label"))
     j = v.join(_sized_broadcast(lab), "prompt_id")
     agg = j.groupBy(F.window("ts", window).alias("w"), "annotator_id").agg(
@@ -101,8 +113,9 @@ def run_changelog(stream: DataFrame, path: str, checkpoint: str | None = None, a
 def latest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Current view of a change-log table: the newest row per key."""
     df = spark.read.parquet(path)
-    w = Window.partitionBy(*keys).orderBy(F.col("batch_id").desc())
-    return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "batch_id")
+    values = [c for c in df.columns if c not in (*keys, "batch_id")]
+    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
+    return newest.select(*keys, "_v.*").select(*[c for c in df.columns if c != "batch_id"])
 
 
 def trusted_labels(trust: DataFrame, col: str = "trust_weight") -> DataFrame:
