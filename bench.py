@@ -21,9 +21,11 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from crowdtrust.operators import baselines, em, metrics, preference as pf, text as tx  # noqa: E402
 from crowdtrust.operators.votes import vote_profile  # noqa: E402
+from crowdtrust.operators.prepare import orient_pairs  # noqa: E402
 from crowdtrust.plans.sweep import run_stress_sweep  # noqa: E402
-from crowdtrust.session import build_session  # noqa: E402
+from crowdtrust.session import build_session, scratch_path  # noqa: E402
 from crowdtrust.sources import fixtures as fx  # noqa: E402
+from crowdtrust.streaming.trust import event_vote_stream, run_changelog, stream_trust  # noqa: E402
 
 
 def force(df):
@@ -80,16 +82,23 @@ def main() -> None:
     timed("d4_d5_d9_preference_scoring", preference)
 
     def text_logps():
-        from crowdtrust.queries.registry import VOCAB, _prompts, _vocab
-        prompts = _prompts(spark, sf_dir)
-        voc = _vocab(spark, sf_dir)
-        trust = em.fit(fx.pair_votes(prompts), "onecoin").trust.checkpoint(eager=True)
-        big = tx.side_bigrams(prompts, voc, VOCAB).checkpoint(eager=True)
-        pol = tx.sequence_logps(big, tx.bigram_model(big, trust, VOCAB), VOCAB)
-        ref = tx.sequence_logps(big, tx.bigram_model(big, None, VOCAB), VOCAB)
+        prompts = orient_pairs(fx.pairs(spark, sf_dir)).checkpoint(eager=True)
+        voc = tx.build_vocab(fx.read_table(spark, sf_dir, "documents"), ["text"], None).checkpoint(eager=True)
+        size = voc.count() + tx.FIRST_WORD_ID
+        trust = em.fit(fx.pair_votes(prompts), "onecoin").trust
+        big = tx.side_bigrams(prompts, voc, size).checkpoint(eager=True)
+        pol = tx.sequence_logps(big, tx.bigram_model(big, trust, size), size)
+        ref = tx.sequence_logps(big, tx.bigram_model(big, None, size), size)
         force(tx.logps_table(pol, ref, prompts))
     timed("d1_t2_text_bigram_logps", text_logps)
 
+    def stream():
+        path = scratch_path(spark, "bench_x1")
+        alpha = res1.params.select("annotator_id", "alpha")
+        run_changelog(stream_trust(event_vote_stream(spark, sf_dir, glob="events.parquet"), alpha), path)
+    timed("x1_stream_trust", stream)
+    extra["x1_events_per_sec"] = round(fx.read_table(spark, sf_dir, "events").count() / times["x1_stream_trust"])
+
     if os.environ.get("BENCH_SWEEP", "1") == "1":
         def sweep():
             rep = run_stress_sweep(votes, wt, edge_cases=False)

@@ -47,11 +47,6 @@ def softplus(x) -> Column:
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
 
 
-def neg_log_sigmoid(x) -> Column:
-    """-log(sigmoid(x)) = softplus(-x)."""
-    return softplus(-_col(x))
-
-
 def two_class_posterior(log_a, log_b) -> Column:
     """exp(a)/(exp(a)+exp(b)) with the max shift used by the reference E-steps."""
     a, b = _col(log_a), _col(log_b)

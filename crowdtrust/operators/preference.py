@@ -22,10 +22,6 @@ def preference_logit(pi_a="pi_a", pi_b="pi_b", ref_a="ref_a", ref_b="ref_b") ->
     return (c(pi_a) - c(pi_b)) - (c(ref_a) - c(ref_b))
 
 
-def with_logit(logps: DataFrame) -> DataFrame:
-    return logps.withColumn("logit", preference_logit())
-
-
 def model_prior(logps: DataFrame, beta: float = DEFAULT_BETA) -> DataFrame:
     """D3: P(A preferred) = σ(β·logit), once per prompt."""
     return logps.select("prompt_id", sigmoid(F.lit(beta) * preference_logit()).alias("prior"))
@@ -86,10 +82,3 @@ def reward_accuracy(logps: DataFrame, truth: DataFrame) -> DataFrame:
     j = logps.join(truth, "prompt_id")
     return j.agg(F.avg(((preference_logit() > 0).cast("int") == F.col("truth_is_a")).cast("double"))
                  .alias("accuracy"))
-
-
-def epoch_metrics(run: str, epoch: int, loss: DataFrame, accuracy: DataFrame) -> DataFrame:
-    """One (run, epoch, train_loss, test_accuracy) row from two 1-row aggregates."""
-    a = loss.select(F.col(loss.columns[0]).alias("train_loss")).withColumn("_k", F.lit(0))
-    b = accuracy.select(F.col(accuracy.columns[0]).alias("test_accuracy")).withColumn("_k", F.lit(0))
-    return a.join(b, "_k").select(F.lit(run).alias("run"), F.lit(epoch).alias("epoch"), "train_loss", "test_accuracy")

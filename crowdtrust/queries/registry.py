@@ -117,6 +117,37 @@ def q_estep_edges(spark, sf):
     return baselines.onecoin_e_step(fx.votes(spark, sf), alpha).select("prompt_id", r6("trust_weight").alias("trust_weight"))
 
 
+@register("e2_standalone_m_step", S.with_(S.VOTES, S.COMPACT) + f"""
+, s AS (SELECT prompt_id, sum(n * CASE WHEN vote = 1 THEN ln(0.7e0) ELSE ln(0.3e0) END) AS sa,
+               sum(n * CASE WHEN vote = 1 THEN ln(0.3e0) ELSE ln(0.7e0) END) AS sb FROM v GROUP BY prompt_id),
+  g AS (SELECT prompt_id, {S.posterior('ln(0.5e0) + sa', 'ln(0.5e0) + sb')} AS g FROM s)
+SELECT annotator_id, round({S.clip('sum(n * CASE WHEN vote = 1 THEN g ELSE 1 - g END) / greatest(sum(n)::DOUBLE, 1e0)', '1e-4', '1 - 1e-4')}, 6) AS alpha
+FROM v JOIN g USING (prompt_id) GROUP BY annotator_id""")
+def q_standalone_m(spark, sf):
+    """E2 alone: accuracies from the posteriors under one accuracy for all."""
+    v = compact_votes(fx.votes(spark, sf))
+    alpha = v.select("annotator_id").distinct().withColumn("alpha", F.lit(0.7))
+    out = baselines.onecoin_m_step(v, baselines.onecoin_e_step(v, alpha))
+    return out.select("annotator_id", r6("alpha").alias("alpha"))
+
+
+@register("e4_e5_standalone_steps", S.with_(S.VOTES, S.COMPACT) + f"""
+, s AS (SELECT prompt_id, sum(n * CASE WHEN vote = 1 THEN ln(0.8e0) ELSE ln(0.2e0) END) AS sa,
+               sum(n * CASE WHEN vote = 1 THEN ln(0.35e0) ELSE ln(0.65e0) END) AS sb FROM v GROUP BY prompt_id),
+  g AS (SELECT prompt_id, {S.posterior('ln(0.4e0) + sa', 'ln(0.6e0) + sb')} AS g FROM s)
+SELECT annotator_id,
+  round({S.clip('sum(CASE WHEN vote = 1 THEN n * g ELSE 0e0 END) / (sum(n * g) + 1e-6)', '1e-6', '1 - 1e-6')}, 6) AS alpha,
+  round({S.clip('sum(CASE WHEN vote = 0 THEN n * (1 - g) ELSE 0e0 END) / (sum(n * (1 - g)) + 1e-6)', '1e-6', '1 - 1e-6')}, 6) AS beta,
+  round((SELECT avg(g) FROM g), 6) AS pi1
+FROM v JOIN g USING (prompt_id) GROUP BY annotator_id""")
+def q_standalone_twocoin(spark, sf):
+    """E4 and E5 alone: one two-coin E-step and M-step from given parameters."""
+    v = compact_votes(fx.votes(spark, sf))
+    params = v.select("annotator_id").distinct().select("annotator_id", F.lit(0.8).alias("alpha"), F.lit(0.65).alias("beta"))
+    new, pi1 = baselines.twocoin_m_step(v, baselines.twocoin_e_step(v, params, 0.4))
+    return new.crossJoin(pi1).select("annotator_id", *[r6(c).alias(c) for c in ("alpha", "beta", "pi1")])  # pi1 is one row
+
+
 # ------------------------------------------------------------------ majority vote
 _MAJ = """maj AS (
   SELECT prompt_id, count(*)::BIGINT AS n_votes, sum(vote)::BIGINT AS votes_a FROM votes GROUP BY prompt_id
@@ -165,6 +196,15 @@ def q_oc_history(spark, sf):
                     r6("max_gamma_shift").alias("max_gamma_shift"))
 
 
+@register("m5_onecoin_history_deltas_k5", _OC + f"""SELECT iteration, round(l1_parameter_loss, 6) AS l1_parameter_loss,
+  round(l1_parameter_loss - lag(l1_parameter_loss) OVER (ORDER BY iteration), 6) AS l1_delta FROM (""" + " UNION ALL ".join(
+    f"SELECT {i} AS iteration, (SELECT avg(abs(true_acc - alpha)) FROM worker_truth JOIN a{i} USING (annotator_id)) AS l1_parameter_loss"
+    for i in range(1, K + 1)) + ")")
+def q_oc_deltas(spark, sf):
+    h = metrics.history_with_deltas(fitted(spark, sf).history)
+    return h.select("iteration", r6("l1_parameter_loss").alias("l1_parameter_loss"), r6("l1_delta").alias("l1_delta"))
+
+
 @register("m1_onecoin_summary_k5", _OC + f"""
 SELECT (SELECT round(avg(((g > 0.5)::INT = truth_is_a)::INT), 6) FROM g{K} JOIN truth USING (prompt_id)) AS accuracy,
        (SELECT round(avg(abs(true_acc - alpha)), 6) FROM a{K} JOIN worker_truth USING (annotator_id)) AS l1_parameter_loss""")
@@ -219,7 +259,7 @@ def q_hist(spark, sf):
 SELECT annotator_id, round(alpha, 6) AS alpha FROM a{K} WHERE annotator_id IN (0, 15, 48)""")
 def q_tracked(spark, sf):
     p = fitted(spark, sf).params
-    m = metrics.tracked_workers(p, [0, 15, 48], "alpha")
+    m = metrics.tracked_workers(p, [0, 15, 48], "alpha")  # fixed values: the tracked ids
     return m.select(F.explode("worker_acc").alias("annotator_id", "alpha")).select(
         "annotator_id", r6("alpha").alias("alpha"))
 
@@ -484,6 +524,9 @@ def q_votes_text(spark, sf):
 
 # ------------------------------------------------------------------ text
 from crowdtrust.operators import text as tx  # noqa: E402
+from crowdtrust.plans import joint as jt  # noqa: E402
+from crowdtrust.session import scratch_path  # noqa: E402
+from crowdtrust.sources import io as cio  # noqa: E402
 
 VOCAB = 1000
 
@@ -516,6 +559,38 @@ def q_token_ids(spark, sf):
                     "n_tok_a", "n_tok_b")
 
 
+@register("io5_token_tables", S.with_(S.PAIRS, S.PAIR_VOTES, S.vocab_cte(VOCAB), S.SIDE_TOKENS) + f"""
+, arr AS (SELECT prompt_id, side, sum(token_id)::BIGINT AS ids FROM sid WHERE pos < 128 GROUP BY prompt_id, side),
+  tok AS (SELECT p.prompt_id, truth_is_a, coalesce(a.ids, 0) AS sum_a, coalesce(b.ids, 0) AS sum_b,
+                 ({S.h("'42|split|' || p.prompt_id::VARCHAR")} / 4294967296e0 < 0.2e0) AS is_test
+          FROM prompts p LEFT JOIN arr a ON a.prompt_id = p.prompt_id AND a.side = 'a' LEFT JOIN arr b ON b.prompt_id = p.prompt_id AND b.side = 'b')
+SELECT 'noisy' AS split, prompt_id, annotator_id, vote AS label, sum_a, sum_b FROM pv JOIN tok USING (prompt_id) WHERE NOT is_test
+UNION ALL SELECT 'oracle', prompt_id, 999, truth_is_a, sum_a, sum_b FROM tok WHERE NOT is_test
+UNION ALL SELECT 'test', prompt_id, 999, truth_is_a, sum_a, sum_b FROM tok WHERE is_test""")
+def q_token_tables(spark, sf):
+    """IO5: the token tables of noisy votes, oracle votes and the test split, written and read back."""
+    prompts = _prompts(spark, sf).withColumn("is_test", jt.split_flag()).checkpoint(eager=True)
+    ids = tx.token_ids(prompts, _vocab(spark, sf), VOCAB, 128).select("prompt_id", "ids_a", "ids_b").checkpoint(eager=True)
+    train, test = prompts.filter("not is_test"), prompts.filter("is_test")
+    folder = scratch_path(spark, "token_tables")
+    for name, votes in (("noisy", fx.pair_votes(train)), ("oracle", pp.oracle_votes(train)), ("test", pp.oracle_votes(test))):
+        cio.write_table(votes.join(ids, "prompt_id"), f"{folder}/split={name}")
+    back = spark.read.parquet(folder)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return back.select("split", "prompt_id", "annotator_id", F.col("vote").alias("label"), total("ids_a").alias("sum_a"), total("ids_b").alias("sum_b"))
+
+
+@register("io1_pairs_first_200", S.with_(S.PAIRS) + """
+SELECT md5(chosen) AS chosen_md5, md5(rejected) AS rejected_md5, count(*)::BIGINT AS n FROM (
+  SELECT chosen, rejected FROM pairs ORDER BY chosen, rejected LIMIT 200) GROUP BY ALL""")
+def q_pairs_io(spark, sf):
+    """IO1: pairs written as JSON lines and read back, the first 200 in text order."""
+    path = scratch_path(spark, "pairs_json")
+    cio.write_table(fx.pairs(spark, sf).select("chosen", "rejected"), path, fmt="json")
+    p = cio.read_pairs(spark, path, fmt="json", first=200)
+    return p.groupBy(F.md5("chosen").alias("chosen_md5"), F.md5("rejected").alias("rejected_md5")).agg(F.count("*").cast("bigint").alias("n"))
+
+
 @register("k1_token_counts_whole", S.with_(S.PAIRS, S.vocab_cte(VOCAB), S.SIDE_TOKENS) + """
 SELECT prompt_id, side, count(*)::BIGINT AS n_tokens, sum(token_id)::BIGINT AS id_sum,
        sum((token_id = 1)::INT)::BIGINT AS n_unk
@@ -755,9 +830,6 @@ def q_worst(spark, sf):
 
 # ------------------------------------------------------------------ model runs (T1, T3–T5, D11, IO8–IO11, M6, M10, M11)
 from crowdtrust.operators import models as md  # noqa: E402
-from crowdtrust.plans import joint as jt  # noqa: E402
-from crowdtrust.session import scratch_path  # noqa: E402
-from crowdtrust.sources import io as cio  # noqa: E402
 
 _RUNS: dict = {}
 EPOCHS = 3
