@@ -30,6 +30,8 @@ CURVES, DIMS, KEY_BITS = 24, 8, 7
 #: Window to either side, as a share of the vectors, and at least.
 WINDOW_SHARE, MIN_WINDOW = 0.016, 256
 BLOCK = 4096
+#: Pairs scored at once.
+PAIRS = 100_000
 SEED = 20
 
 
@@ -202,36 +204,36 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
                 if len(ids) > 1:
                     ids, parts = [np.concatenate(ids)], [np.concatenate(parts)]
                 c_ids, c = ids[0], parts[0]
-                for lo in range(a, b, 1024):
-                    q_ids = own[lo: min(lo + 1024, b)]
-                    s = v[lo: min(lo + 1024, b)] @ c.T
-                    s[q_ids[:, None] == c_ids[None, :]] = -np.inf
-                    if s.shape[1] > k:  # the k best; of equal scores the smaller ids
-                        by_id = np.argsort(c_ids, kind="stable")
-                        top = by_id[np.argsort(-s[:, by_id], axis=1, kind="stable")[:, :k]] if s.shape[1] <= 4 * k else best(s, c_ids, k)
-                    else:
-                        top = np.tile(np.arange(s.shape[1]), (len(s), 1))
-                    i = np.repeat(np.arange(len(s)), top.shape[1])
-                    j = top.ravel()
-                    ok = np.isfinite(s[i, j])
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[i[ok]]), pa.array(c_ids[j[ok]]), pa.array(exactly(v[lo + i[ok]], c[j[ok]]))],
-                                                     names=["query_id", "vec_id", "score"])
+                some = max(1, PAIRS // len(c_ids))
+                for lo in range(a, b, some):
+                    hi = min(lo + some, b)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in best(own[lo:hi], v[lo:hi], c_ids, c, k)], names=["query_id", "vec_id", "score"])
 
     found = dealt.mapInArrow(score, "query_id long, vec_id long, score double")
     merged = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return top_per_query(merged, k)
 
 
-def best(s, ids, k: int):
-    """Columns of each row's k highest scores, ties to smaller ids."""
+def best(q_ids, q, c_ids, c, k: int):
+    """(query ids, ids, scores): each query's k highest scores among the
+    candidates but itself, ties to smaller ids.  A matrix product finds those
+    that may be among them, up to its rounding; they are scored exactly."""
     import numpy as np
 
-    kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-    out = np.empty((len(s), k), dtype=np.int64)
-    for i in range(len(s)):
-        j = np.flatnonzero(s[i] >= kth[i])
-        out[i] = j[np.lexsort((ids[j], -s[i, j]))[:k]]
-    return out
+    s = q @ c.T
+    s[q_ids[:, None] == c_ids[None, :]] = -np.inf
+    if s.shape[1] > k:
+        slack = 1e-12 * np.sqrt((q ** 2).sum(axis=1)) * np.sqrt((c ** 2).sum(axis=1).max())
+        kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - slack
+    else:
+        kth = np.full(len(s), -np.inf)
+    i, j = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
+    exact = exactly(q[i], c[j])
+    order = np.lexsort((c_ids[j], -exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    first = np.searchsorted(i, np.arange(len(s)))
+    keep = np.arange(len(i)) - first[i] < k
+    return q_ids[i[keep]], c_ids[j[keep]], exact[keep]
 
 
 def exactly(a, b):

@@ -64,10 +64,8 @@ def search(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: s
     exact_float = dim * (largest * scale + 1) ** 2 < 2.0 ** 53
     norm = rows.agg(F.max(F.expr(f"aggregate(v, 0d, (s, x) -> s + pow(abs({scale} * x) + 1, 2))"))).first()[0] or 0.0
     queries = rows.filter(is_query)
-    # groups of queries: ranges of the id, each of at most GROUP ids
-    numbered = queries.select("vec_id").withColumn("part", F.spark_partition_id())
     out = None
-    for lo, hi in _id_ranges(numbered.select("vec_id"), GROUP):
+    for lo, hi in _id_ranges(queries.select("vec_id"), GROUP):
         group = queries.filter(F.col("vec_id").between(lo, hi)).orderBy("vec_id").toArrow()  # GROUP rows at most
         ids = group.column("vec_id").to_numpy()
         q = quantised(matrix(group.column("v").combine_chunks(), dim), scale)
@@ -126,16 +124,15 @@ def _search_group(spark, rows, ids, q, k, scale, dim, exact_float, norm):
 
         bins = rows.mapInArrow(count, "i long, b long, n long").groupBy("i", "b").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("i").orderBy(F.col("b").desc())
-        bins = bins.withColumn("upto", F.sum("n").over(down))
-        need_of = F.element_at(F.array(*[F.lit(int(x)) for x in need]), (F.col("i") + 1).cast("int")) if n <= 64 else None
-        held = bins.toArrow() if need_of is None else bins.filter(F.col("upto") - F.col("n") < need_of).toArrow()
+        sought = spark.createDataFrame([(i, int(x)) for i, x in enumerate(need)], "i long, need long")  # a row per query of the group
+        held = (bins.withColumn("upto", F.sum("n").over(down)).join(F.broadcast(sought), "i")
+                .filter("upto >= need and upto - n < need").toArrow())
         i, b, c, upto = (held.column(x).to_numpy() for x in ("i", "b", "n", "upto"))
-        fits = (upto >= need[i]) & (upto - c < need[i])
         there = np.zeros(n, dtype=bool)
-        there[i[fits]] = True
+        there[i] = True
         few |= ~there
-        need[i[fits]] -= (upto - c)[fits]
-        low[i[fits]] += b[fits] * step[i[fits]]
+        need[i] -= upto - c
+        low[i] += b * step[i]
         width = np.where(there, np.minimum(step, width), 1)
         low = np.where(few, -bound, low)
         width = np.where(few, 1, width)
