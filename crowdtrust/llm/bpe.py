@@ -29,6 +29,8 @@ from .common import id_and_text, per_process
 from .tokens import _PLAIN, _SPLIT_PLAIN, _WORD, Units, byte_alphabet
 
 SCHEMA = "doc_id long, ids binary, n_tokens long, ids_sha256 string, decoded string, decoded_sha256 string"
+#: Pieces of text whose ids a worker remembers (see ``tokens.Units``).
+WORKER_UNITS = 1_200_000
 #: Compatible and incompatible pairs remembered by one Python worker.
 MAX_PAIRS = 1_000_000
 
@@ -40,12 +42,12 @@ class BacktrackingBPE(Units):
     the result of merge i.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, max_units: int | None = None):
         import ahocorasick
         import numpy as np
         from tokenizers.pre_tokenizers import ByteLevel
 
-        super().__init__()
+        super().__init__(max_units)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -162,7 +164,7 @@ class BacktrackingBPE(Units):
 
 
 def backtracking_bpe(path: str) -> BacktrackingBPE:
-    return per_process(("backtracking", path), lambda: BacktrackingBPE(path))
+    return per_process(("backtracking", path), lambda: BacktrackingBPE(path, WORKER_UNITS))
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

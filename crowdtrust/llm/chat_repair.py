@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import written
+from .common import small_batches, written
 
 # fixed values: roles, costs and the template
 ROLES = ("system", "user", "assistant")
@@ -161,6 +161,7 @@ def repair(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     not read.
     """
     spark = messages.sparkSession
+    small_batches(spark)
     kind = messages.schema[conv_col].dataType
     # text order of the ids serves: only equality matters
     m = messages.select(F.col(conv_col).cast("string").alias("conv"), F.col(turn_col).cast("long").alias("turn"),

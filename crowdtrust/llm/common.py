@@ -38,12 +38,27 @@ def fresh(taken: Iterable[str], base: str) -> str:
     return base
 
 
+#: Most bytes of rows in an Arrow batch between the JVM and Python (a larger row is a batch of its own).
+ARROW_BYTES = 6 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on Arrow batches to ``ARROW_BYTES``: by
+    default a batch of long texts takes 64 MB, several times over, in each
+    task.  Results do not depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int("".join(c for c in spark.conf.get(key, "67108864") if c.isdigit()))
+    if now > ARROW_BYTES:
+        spark.conf.set(key, ARROW_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id (long, may be null) and the text (null becomes empty)."""
+    """Only the id (long, may be null) and the text (null becomes empty), in small batches."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 

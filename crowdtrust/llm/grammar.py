@@ -34,10 +34,14 @@ from .tokens import unit_encoder
 
 #: A shard is closed once it has so many ids (a longer document is a shard of its own).
 SHARD_IDS = 1 << 18
+#: Pieces of text whose ids a worker remembers (see ``tokens.Units``).
+WORKER_UNITS = 1_200_000
 #: A pair is replaced only if it occurs at least so often in its shard.
 MIN_COUNT = 64
+#: The last round is one that shortens its shard by a smaller share than this.
+MIN_GAIN = 0.004
 ROUND_SHARE = 64
-_HASH_BITS = 18
+_HASH_BITS = 17
 #: Most bytes of per-part offsets that are broadcast; a shuffled join beyond.
 BROADCAST_BYTES = 32 << 20
 
@@ -79,11 +83,12 @@ def compress(ids, doc_ends, terminals: int, min_count: int = MIN_COUNT):
         at, which = at[keep], which[keep]
         keep = (np.bincount(which, minlength=len(counted)) >= 2)[which]
         at, which = at[keep], which[keep]
-        if len(at) == 0:
+        if len(at) < max(1, MIN_GAIN * len(s)):
             if least <= min_count:
                 break
             ceiling = least
-            continue
+            if len(at) == 0:
+                continue
         taken = np.zeros(len(counted), dtype=bool)
         taken[which] = True
         s[at] = (terminals + n_rules - 1 + np.cumsum(taken)[which]).astype(np.uint32)
@@ -168,7 +173,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_c
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        units = unit_encoder(vocabulary)
+        units = unit_encoder(vocabulary, WORKER_UNITS)
         terminals = max(units.library.get_vocab_size(with_added_tokens=True), end_id + 1)
         end = np.array([end_id], dtype="<u4").tobytes()
         schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("ids_before", pa.int64()), ("n_ids", pa.int64()), ("terminals", pa.int64()),

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, small_batches
 
 #: Learning documents per language and bytes of each dictionary.
 SAMPLE_DOCS, DICTIONARY_BYTES = 500, 64 << 10
@@ -102,6 +102,7 @@ def classifier(dictionaries: dict[str, bytes]):
 
 def with_language(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str, names: tuple[str, str, str]) -> DataFrame:
     """The rows with three more columns: language, score, accepted."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches):

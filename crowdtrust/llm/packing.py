@@ -62,6 +62,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_c
                     [pa.array([part] * len(ids), pa.int32()), b.column("doc_id"), pa.array(ids, pa.binary()), pa.array(n, pa.int64()),
                      pa.array(full, pa.int64()), pa.array(rem, pa.int32()), pa.array(rank, pa.int64()), pa.array(full_before, pa.int64())],
                     names=["part", "doc_id", "ids", "n", "full", "rem", "rank_in_part", "full_before"])
+        pa.default_memory_pool().release_unused()  # the worker may stay, the memory is needed elsewhere
 
     return written(id_and_text(docs, id_col, text_col).mapInArrow(run, _TOKENS), "packing-ids")
 

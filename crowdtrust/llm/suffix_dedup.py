@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, mix64, per_process, written
+from .common import fresh, mix64, per_process, small_batches, written
 
 #: Words in the grams that minimisers are chosen from, and grams per choice.
 GRAM, WINDOW = 8, 26
@@ -107,7 +107,8 @@ def minimisers(grams):
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """d (the id; null: the least long), th (hash of the text), text."""
+    """d (the id; null: the least long), th (hash of the text), text, in small batches."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("th"), text.alias("text"))
 

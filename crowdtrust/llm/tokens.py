@@ -15,12 +15,12 @@ import re
 from .common import per_process
 
 #: Units remembered by one Python worker.
-MAX_UNITS = 600_000
+MAX_UNITS = 400_000
 #: Longer units are encoded but not remembered.
 MAX_UNIT_CHARS = 64
 
 #: Text bytes that are handled at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 6 << 20
 
 #: A blank after white space, as :data:`_AFTER_SPACE`, in Arrow's regular expressions.
 _ODD = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
@@ -132,7 +132,10 @@ class Units(dict):
         start = np.cumsum(size) - size
         n = size[code]
         ids = np.frombuffer(b"".join(found), dtype="<u4")
-        flat = ids[np.repeat(start[code] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        kind = np.int32 if n.sum() < 1 << 31 else np.int64
+        place = np.repeat((start[code] - (np.cumsum(n) - n)).astype(kind), n)
+        place += np.arange(len(place), dtype=kind)
+        flat = ids[place]
         ends = np.cumsum(np.add.reduceat(n, first)).tolist()
         out = [self.encode(t.as_py()) if o else flat[a:b].tobytes() for t, o, a, b in zip(texts, odd, [0, *ends], ends, strict=False)]
         if len(self) > MAX_UNITS // 2:
