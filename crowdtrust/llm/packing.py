@@ -31,10 +31,14 @@ BROADCAST_BYTES = 32 << 20
 #: The simplex ends after so many pivots, or at this relative gap to its bound; what it then leaves over is cut, not padded.
 MAX_PIVOTS, GAP = 600, 1e-3
 
+#: Pieces of text whose ids a worker remembers (see ``tokens.Units``): memory against time.
+WORKER_UNITS = 600_000
+
 _TOKENS = "part int, doc_id long, ids binary, n long, full long, rem int, rank_in_part long, full_before long"
 
 
-def tokenised(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenised(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text",
+              worker_units: int | None = None) -> DataFrame:
     """Written table: a row per document with its ids and, within the task
     that made it, its rank among equal remainders and the full pieces before."""
 
@@ -45,7 +49,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_c
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        units, end = unit_encoder(vocabulary), array("I", [end_id]).tobytes()
+        units, end = unit_encoder(vocabulary, worker_units), array("I", [end_id]).tobytes()
         ranks, before = [0] * capacity, 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
@@ -199,7 +203,8 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple], int, in
     return rows, sequences, tape
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text",
+         worker_units: int = WORKER_UNITS) -> DataFrame:
     """Every document's ids (the text's, then ``end_id``) packed into
     sequences of ``capacity`` ids; one row per piece.
 
@@ -212,7 +217,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 1024
     columns are not read.
     """
     spark = docs.sparkSession
-    ids = tokenised(docs, vocabulary, end_id, capacity, id_col, text_col)
+    ids = tokenised(docs, vocabulary, end_id, capacity, id_col, text_col, worker_units)
     counts = ids.groupBy("part", "rem").agg(F.count("*").alias("n_docs"), F.sum("full").alias("n_full"))
     counts = written(counts, "packing-counts")  # parts x capacity rows of a few bytes
     histogram = {r["rem"]: r["n"] for r in counts.filter("rem > 0").groupBy("rem").agg(F.sum("n_docs").alias("n")).collect()}  # < capacity rows

@@ -14,7 +14,7 @@ import re
 
 from .common import per_process
 
-#: Units remembered by one Python worker.
+#: Units remembered by one Python worker, about 210 bytes each, unless the caller says otherwise.
 MAX_UNITS = 400_000
 #: Longer units are encoded but not remembered.
 MAX_UNIT_CHARS = 64
@@ -52,11 +52,12 @@ def byte_alphabet() -> dict[int, str]:
 
 class Units(dict):
     """word -> ids of a blank and the word, as little-endian uint32 bytes, in
-    bounded memory: once the table has ``MAX_UNITS`` / 2 entries it becomes
+    bounded memory: once the table has ``max_units`` / 2 entries it becomes
     the older half, from which words are taken over as they come up again.
     ``bare`` does without the blank."""
 
-    def __init__(self):
+    def __init__(self, max_units: int | None = None):
+        self.max_units = max_units or MAX_UNITS
         self.older: dict[str, bytes] = {}
         self.bares: dict[str, bytes] = {}
 
@@ -67,7 +68,7 @@ class Units(dict):
     def bare(self, unit: str) -> bytes:
         out = self.bares.get(unit)
         if out is None:
-            if len(self.bares) > MAX_UNITS // 8:
+            if len(self.bares) > self.max_units // 8:
                 self.bares.clear()
             out = self.ids(unit)
             if len(unit) <= MAX_UNIT_CHARS:
@@ -92,7 +93,7 @@ class Units(dict):
         """All ids of the text."""
         first, *rest = after_blanks(text)
         out = self.bare(first) + b"".join(map(self.__getitem__, rest))
-        if len(self) > MAX_UNITS // 2:
+        if len(self) > self.max_units // 2:
             self.older = self.copy()
             self.clear()
         return out
@@ -138,7 +139,7 @@ class Units(dict):
         flat = ids[place]
         ends = np.cumsum(np.add.reduceat(n, first)).tolist()
         out = [self.encode(t.as_py()) if o else flat[a:b].tobytes() for t, o, a, b in zip(texts, odd, [0, *ends], ends, strict=False)]
-        if len(self) > MAX_UNITS // 2:
+        if len(self) > self.max_units // 2:
             self.older = self.copy()
             self.clear()
         return out
@@ -147,10 +148,10 @@ class Units(dict):
 class UnitEncoder(Units):
     """Units by the ``tokenizers`` library: ids as ``Tokenizer.encode`` gives them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, max_units: int | None = None):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(max_units)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -173,5 +174,5 @@ class UnitEncoder(Units):
         return array.array("I", self.library.encode(unit, add_special_tokens=False).ids).tobytes()
 
 
-def unit_encoder(path: str) -> UnitEncoder:
-    return per_process(("units", path), lambda: UnitEncoder(path))
+def unit_encoder(path: str, max_units: int | None = None) -> UnitEncoder:
+    return per_process(("units", path, max_units), lambda: UnitEncoder(path, max_units))
