@@ -36,7 +36,8 @@ def mask_secrets(spark, docs, sf_dir):
 
 def pack_sequences(spark, docs, sf_dir):
     """A row per piece of a document in a sequence of 1024 ids."""
-    pieces = packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=1024)
+    # a smaller memory than by default: the workers that packed have served four stages before
+    pieces = packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=1024, worker_units=400_000)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
