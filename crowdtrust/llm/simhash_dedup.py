@@ -269,12 +269,14 @@ def keep_one(docs: DataFrame, width: int = 3, distance: int = 3, id_col: str = "
     be named and stay."""
     found = written(near_duplicates(docs, width, distance, id_col, text_col), "simhash-found")
     first = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    name = fresh(docs.columns, "kept_id")
+    # an anti join: what goes is the smaller side, and null ids are never in it
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct().join(first, "doc_id", "left_anti")
+    name = fresh(docs.columns, "gone_id")
     of = docs[id_col].cast("long")
-    keep = first.select(F.col("doc_id").alias(name))
+    kept = docs.join(gone.select(F.col("doc_id").alias(name)), of == F.col(name), "left_anti")
     if first.filter("n > 1").isEmpty():
-        return docs.filter(docs[id_col].isNull()).union(docs.join(keep, of == F.col(name), "left_semi"))
+        return kept
     again = first.filter("n > 1").select(F.col("doc_id").alias(name))
-    once = docs.join(again, of == F.col(name), "left_semi").dropDuplicates([id_col])
-    rest = docs.join(keep, of == F.col(name), "left_semi").join(again, of == F.col(name), "left_anti")
-    return docs.filter(docs[id_col].isNull()).union(rest).union(once)
+    own = kept[id_col].cast("long")
+    once = kept.join(again, own == F.col(name), "left_semi").dropDuplicates([id_col])
+    return kept.join(again, own == F.col(name), "left_anti").union(once)
