@@ -14,7 +14,8 @@ first ``WINDOW`` words.
 2. Matches are extended left to the next kept suffix and right to the full
    length: all passages that begin in the ``WINDOW`` words up to such a suffix
    are sorted and compared with their neighbours, exactly.
-3. Equal passages: the first by (doc_id, position) is the original.  A word is
+3. Equal passages: the first by (doc_id, text, position) is the original;
+   different texts under one doc_id, or without one, are documents of their own.  A word is
    *repeated* if it lies in a later copy and in no original; so of every
    passage one whole occurrence stays.
 
@@ -241,15 +242,15 @@ def suffixes(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def passages(docs_with_suffixes: DataFrame, min_words: int) -> DataFrame:
-    """From (d, text, xs) all passages that begin in the WINDOW words up to a
-    suffix in ``xs``: g, g2 (96 bits of hash), d, x."""
+    """From (d, th, text, xs) all passages that begin in the WINDOW words up to
+    a suffix in ``xs``: g, g2 (96 bits of hash), d, th, x."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for d, text, xs in zip(batch.column("d").to_pylist(), batch.column("text"), batch.column("xs"), strict=True):
+            for d, th, text, xs in zip(batch.column("d").to_pylist(), batch.column("th").to_pylist(), batch.column("text"), batch.column("xs"), strict=True):
                 w = words(text.as_buffer().to_pybytes())[2]
                 g = window_hashes(w, min_words)
                 g2 = window_hashes(w, min_words, 2)
@@ -260,9 +261,9 @@ def passages(docs_with_suffixes: DataFrame, min_words: int) -> DataFrame:
                 x = np.flatnonzero(np.cumsum(near)[: len(g)] > 0)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(g[x].view(np.int64)), pa.array((g2[x] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(np.full(len(x), d)),
-                    pa.array(x.astype(np.int32))], names=["g", "g2", "d", "x"])
+                    pa.array(np.full(len(x), th)), pa.array(x.astype(np.int32))], names=["g", "g2", "d", "th", "x"])
 
-    return docs_with_suffixes.select("d", "text", "xs").mapInArrow(run, "g long, g2 int, d long, x int")
+    return docs_with_suffixes.select("d", "th", "text", "xs").mapInArrow(run, "g long, g2 int, d long, th long, x int")
 
 
 def repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -282,11 +283,12 @@ def repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_c
     xs = hits.groupBy("th").agg(F.collect_list("x").alias("xs"))  # one document's suffixes
     xs = xs.join(stands.select("th", "of"), "th").withColumnRenamed("of", "d")
     texts = keyed.join(xs, ["th", "d"]).dropDuplicates(["th", "d"]) if _has_repeated_rows(whole) else keyed.join(xs, ["th", "d"])
-    same = runs(passages(texts, min_words), ["g", "g2"], ["d", "x"], "d")
-    found = same.groupBy("d").agg(
+    # different texts may share an id (all that have none do): a passage belongs to its text
+    same = runs(passages(texts, min_words), ["g", "g2"], ["d", "th", "x"], "d")
+    found = same.groupBy("th", "d").agg(
         F.collect_list(F.when(F.col("before"), F.struct("x", "partner"))).alias("later"),
-        F.collect_list(F.when(~F.col("before"), F.struct("x", "partner"))).alias("first"))  # one document's passages
-    return found.join(stands.select("th", F.col("of").alias("d")), "d"), copies
+        F.collect_list(F.when(~F.col("before"), F.struct("x", "partner"))).alias("first"))  # one text's passages
+    return found, copies
 
 
 def _has_repeated_rows(whole: DataFrame) -> bool:
@@ -323,8 +325,9 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
 
     Null text counts as empty; texts of fewer than ``min_words`` words have no
     spans; rows repeated in full are one document; documents with a null id
-    and equal texts, too; an empty table gives no rows; other columns are not
-    read.
+    and equal texts, too; different texts under one id (or a null one) are
+    compared like any others, and their spans bear that id; an empty table
+    gives no rows; other columns are not read.
     """
     texts, copies = repeats(docs, min_words, id_col, text_col)
 

@@ -89,6 +89,26 @@ def test_repeated_rows_and_null_ids(spark):
     assert sx.cut_repeats(documents(spark, [])).collect() == [] and sx.repeated_spans(documents(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("shared", [None, 7])
+def test_texts_that_share_an_id(spark, shared):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    clean = " ".join(f"z{i}" for i in range(300))
+    # the same passage at the same place of two texts, one that repeats another document's, a clean and a short one
+    rows = [(shared, f"{a} one"), (shared, f"{a} two"), (shared, " ".join(f"y{i}" for i in range(200)) + f" {b} end"), (shared, clean),
+            (shared, " ".join(f"s{i}" for i in range(55))), (1, f"{b} head"), (9, f"nine {c} {b}"), (shared, f"new {c}")]
+    out = sorted((r.doc_id or 0, r.text) for r in sx.cut_repeats(documents(spark, rows).repartition(3)).collect())
+    kept = sorted(t for _, t in out)
+    assert len(out) == len(rows) and (shared or 0, clean) in out and (shared or 0, rows[4][1]) in out
+    for passage in (a, b, c):  # every passage stays once
+        assert sum(passage in t for t in kept) == 1
+    assert {"one", "two"} & set(kept)
+    b_owner = 1 if shared else 0  # the least id; null comes first
+    assert [d for d, t in out if b in t] == [b_owner] and [d for d, t in out if c in t] == [shared or 0]
+    spans = sx.repeated_spans(documents(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.end_word - r.first_word) for r in spans if r.repeated) == sorted(
+        [(shared or 0, 60), (7 if shared else 1, 60), (9, 120)])
+
+
 def test_every_long_passage_keeps_a_suffix():
     import numpy as np
 
