@@ -1,11 +1,12 @@
 """Token-id files compressed by Re-Pair grammars.
 
 A shard is a run of whole documents in ascending doc_id order, of about
-``SHARD_IDS`` ids.  Re-Pair replaces frequent pairs of neighbouring symbols by
-a new symbol (a rule) until no pair is frequent any more.  A round here takes
-every pair that occurs at least 1 / ``ROUND_SHARE`` times as often as the most
-frequent one, left to right without overlaps, since one pair at a time would
-pass over the shard thousands of times.  Pairs never cross a document's end.
+``SHARD_IDS`` ids.  Re-Pair replaces repeated pairs of neighbouring symbols by
+a new symbol (a rule) until no pair occurs twice.  A round here takes every
+pair that occurs at least 1 / ``ROUND_SHARE`` times as often as the most
+frequent one, where pairs overlap the more frequent one, since one pair at a
+time would pass over the shard thousands of times.  Pairs never cross a
+document's end.
 
 File format: Parquet rows, one per shard:
 
@@ -33,15 +34,13 @@ from .common import id_and_text
 from .tokens import unit_encoder
 
 #: A shard is closed once it has so many ids (a longer document is a shard of its own).
-SHARD_IDS = 1 << 18
+SHARD_IDS = 1 << 19
 #: Pieces of text whose ids a worker remembers (see ``tokens.Units``).
 WORKER_UNITS = 1_200_000
-#: A pair is replaced only if it occurs at least so often in its shard.
-MIN_COUNT = 64
-#: The last round is one that shortens its shard by a smaller share than this.
-MIN_GAIN = 0.004
-ROUND_SHARE = 64
-_HASH_BITS = 17
+#: A pair is replaced if it occurs so often in its shard, without overlaps.
+MIN_COUNT = 2
+ROUND_SHARE = 4
+_HASH_BITS = 18
 #: Most bytes of per-part offsets that are broadcast; a shuffled join beyond.
 BROADCAST_BYTES = 32 << 20
 
@@ -58,45 +57,51 @@ def compress(ids, doc_ends, terminals: int, min_count: int = MIN_COUNT):
     n_rules, turn, ceiling = 0, 0, len(s)
     slots = 1 << _HASH_BITS
     while len(s) > 1:
-        # another hash each time, so that two pairs do not share a slot for long
-        h = (s[:-1] * np.uint32(0x9E3779B1 + 2 * turn) + s[1:] * np.uint32(0x85EBCA77 + 6 * turn)) >> np.uint32(32 - _HASH_BITS)
-        turn += 1
-        closed = np.flatnonzero(last[:-1])
-        h[closed] = slots
-        counts = np.bincount(h, minlength=slots + 1)
-        counts[slots] = 0
-        least = max(min_count, min(int(counts.max()), ceiling) // ROUND_SHARE)
-        hot = counts >= least
-        at = np.flatnonzero(hot[h])
-        # of pairs that share a slot one is counted, exactly
-        number = np.cumsum(hot) - 1
-        which = number[h[at]]
+        free = ~last[:-1]
+        # of a run of one symbol every other pair, from the left
+        same = np.flatnonzero((s[:-1] == s[1:]) & free)
+        run = np.flatnonzero(np.diff(same, prepend=-2) != 1)
+        free[same[(same - same[np.repeat(run, np.diff(run, append=len(same)))]) % 2 == 1]] = False
+        at = np.flatnonzero(free)
+        # a slot counts at least as much as each of its pairs
+        h = ((s[:-1] * np.uint32(0x9E3779B1) + s[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - _HASH_BITS))[at]
+        counts = np.bincount(h, minlength=slots)
+        least = max(min_count, 2, min(int(counts.max()), ceiling) // ROUND_SHARE)
+        at = at[counts[h] >= least]
         pair = s[at].astype(np.uint64) << np.uint64(32) | s[at + 1]
-        counted = np.zeros(int(number[-1]) + 1, dtype=np.uint64)
-        counted[which] = pair
-        keep = counted[which] == pair
-        keep &= (np.bincount(which[keep], minlength=len(counted)) >= least)[which]
-        at, which = at[keep], which[keep]
-        # of overlapping pairs every other one, from the left
-        run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-        keep = (at - at[np.repeat(run, np.diff(run, append=len(at)))]) % 2 == 0
-        at, which = at[keep], which[keep]
-        keep = (np.bincount(which, minlength=len(counted)) >= 2)[which]
-        at, which = at[keep], which[keep]
-        if len(at) < max(1, MIN_GAIN * len(s)):
-            if least <= min_count:
+        order = np.argsort(pair)
+        first = np.flatnonzero(np.diff(pair[order], prepend=~pair[order[:1]]) != 0)
+        n = np.diff(first, append=len(at))
+        often = n >= least
+        if not often.any():
+            if least <= max(min_count, 2):
                 break
-            ceiling = least
-            if len(at) == 0:
-                continue
-        taken = np.zeros(len(counted), dtype=bool)
-        taken[which] = True
+            ceiling = least - 1
+            continue
+        ceiling = int(n.max())
+        # a pair's number, or -1; and its rank: more frequent ones first, else by a hash that changes
+        names = pair[order[first[often]]]
+        which = np.empty(len(at), dtype=np.int64)
+        which[order] = np.repeat(np.where(often, np.cumsum(often) - 1, -1), n)
+        at, which = at[which >= 0], which[which >= 0]
+        rank = n[often].astype(np.uint64) << np.uint64(32) | names * np.uint64(0x9E3779B97F4A7C15 + 2 * turn) >> np.uint64(32)
+        turn += 1
+        # overlapping pairs: only one that is ahead of both neighbours, so the first in rank loses no occurrence
+        mine = rank[which]
+        touch = np.diff(at) == 1
+        keep = np.ones(len(at), dtype=bool)
+        keep[1:] &= ~(touch & (mine[:-1] >= mine[1:]))
+        keep[:-1] &= ~(touch & (mine[1:] > mine[:-1]))
+        left = np.bincount(which[keep], minlength=len(names))
+        keep &= (left >= 2)[which]
+        at, which = at[keep], which[keep]
+        taken = left >= 2
         s[at] = (terminals + n_rules - 1 + np.cumsum(taken)[which]).astype(np.uint32)
         last[at] = last[at + 1]
         stay = np.ones(len(s), bool)
         stay[at + 1] = False
         s, last = s[stay], last[stay]
-        new = counted[taken]
+        new = names[taken]
         rules.append(np.stack([new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         n_rules += len(new)
     return np.concatenate(rules), s, last

@@ -86,6 +86,28 @@ def test_grammar_round_trip_and_ranges():
     assert len(grammar.compress(np.tile([1, 2, 3, 4], 9000), np.arange(36000) % 3600 == 3599, 50)[1]) < 1000
 
 
+def repeated_pairs(symbols, last):
+    """Pairs that occur twice without overlap, documents' ends apart."""
+    count, end = {}, {}
+    for i, pair in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True)):
+        if not last[i] and end.get(pair, -1) < i:
+            count[pair], end[pair] = count.get(pair, 0) + 1, i + 1
+    return [p for p, n in count.items() if n > 1]
+
+
+def test_grammar_leaves_no_repeated_pair():
+    r = np.random.default_rng(3)
+    phrases = [r.integers(0, 500, r.integers(2, 30)) for _ in range(300)]
+    ring = np.concatenate([[1000 + 3 * i, 1000 + 3 * ((i + 1) % 9), 1000 + 3 * ((i + 2) % 9), 2000 + i] for i in range(9)])  # every pair meets another
+    for ids in (np.concatenate([phrases[i] for i in r.integers(0, 300, 2000)]), np.tile(np.arange(700), 2), ring, r.integers(0, 3, 5000), np.array([7, 7, 7, 7, 7, 8, 7, 7])):
+        ends = np.zeros(len(ids), bool)
+        ends[[len(ids) // 3, -1]] = True
+        rules, symbols, last = grammar.compress(ids, ends, 5000)
+        assert (grammar.expand(symbols, rules, 5000) == ids).all() and not repeated_pairs(symbols, last)
+    assert len(grammar.compress(np.tile(np.arange(700), 2), np.arange(1400) == 1399, 5000)[1]) == 2
+    assert len(grammar.compress(np.arange(5) % 2, np.ones(5, bool), 50)[1]) == 5
+
+
 def test_token_files(spark, library, monkeypatch):
     rows = [(5, "five " * 400), (2, None), (9, "Nine.\nlines"), (None, "no id"), (3, ""), (7, "seven " * 900), (2, None), (-4, "minus")]
     df = documents(spark, rows).repartition(4)
