@@ -9,9 +9,11 @@ curves are merged and ranked.
 
 Largest inner products become least distances by one more component: with R
 the longest vector's length, x is placed as (x, sqrt(R^2 - |x|^2)) / R and a
-query as (q, 0) / |q|.
+query as (q, 0) / |q|.  A few long vectors would crowd all others together
+there, so vectors are split into bands of similar length, each with an R, a
+grid and curves of its own.  Every band is searched.
 
-A window is a share of the vectors (``WINDOW_SHARE``; ``MIN_WINDOW`` at
+A window is a share of the band's vectors (``WINDOW_SHARE``; ``MIN_WINDOW`` at
 least), since on data without structure the neighbours found depend on the
 share that is looked at.  It is handled in blocks of at most ``BLOCK`` vectors,
 so memory doesn't grow with it.  Vectors that are equal have equal keys and
@@ -30,6 +32,8 @@ CURVES, DIMS, KEY_BITS = 24, 8, 7
 #: Window to either side, as a share of the vectors, and at least.
 WINDOW_SHARE, MIN_WINDOW = 0.016, 256
 BLOCK = 4096
+#: Lengths are counted in steps of 2^(1 / (2 x LENGTH_STEPS)); a band spans so many steps.
+LENGTH_STEPS, BAND_STEPS = 8, 5
 #: Pairs scored at once.
 PAIRS = 100_000
 SEED = 20
@@ -76,6 +80,26 @@ def curves(dim: int):
     return directions / np.sqrt((directions ** 2).sum(axis=1, keepdims=True)), r.random((CURVES, DIMS))
 
 
+def bands(steps: list[tuple[int, int, float, float]]) -> list[tuple[float, float]]:
+    """(least, greatest) squared length of each band, the longest vectors
+    first, from (step, vectors, least, greatest) of each step of length.  A
+    band reaches over ``BAND_STEPS`` steps, further while a window holds it
+    whole, and takes in all that are shorter once these are no more than it
+    has: short vectors do not crowd it."""
+    steps = sorted(steps, reverse=True)
+    below = sum(n for _, n, _, _ in steps)
+    out: list[list[float]] = []
+    top = held = 0
+    for step, n, least, greatest in steps:
+        if not out or not (top - step < BAND_STEPS or held + n <= MIN_WINDOW or below <= held):
+            out.append([least, greatest])
+            top, held = step, 0
+        out[-1][0] = least
+        held += n
+        below -= n
+    return [(a, b) for a, b in out]
+
+
 def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score (inner product of the original
     vectors): the k nearest found for each query, nearest first, ties to the
@@ -93,58 +117,71 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     rows = usable(vectors, id_col, vector_col, "ann-vectors").filter(F.exists("v", lambda x: x != 0))
     dim = dimension(rows)
     square = F.expr("aggregate(v, 0d, (s, x) -> s + x * x)")
-    n, longest = rows.agg(F.count("*"), F.max(square)).first()
-    if not n:
+    lengths = rows.select(square.alias("s")).groupBy(F.floor(F.log2(F.greatest("s", F.lit(1e-300))) * LENGTH_STEPS).alias("step")).agg(F.count("*"), F.min("s"), F.max("s")).collect()  # a row per step
+    if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    longest = float(np.sqrt(longest))
-    window = max(MIN_WINDOW, int(np.ceil(n * WINDOW_SHARE)))
-    reach = -(-window // BLOCK)  # neighbouring blocks to either side
-    block = -(-window // reach)
+    parted = bands([tuple(r) for r in lengths])
+    longest = [max(float(np.sqrt(b)), 1e-150) for _, b in parted]
+    # the first band whose least length is not above the vector's
+    band = F.coalesce(*[F.when(F.col("s") >= a, F.lit(i)) for i, (a, _) in enumerate(parted[:-1])], F.lit(len(parted) - 1))
+    banded = rows.withColumn("s", square).withColumn("band", band.cast("int")).drop("s")
     projections, shifts = curves(dim + 1)
 
-    def placed(v, as_query):
+    def placed(v, r):
+        """Projections of candidates in a band with longest length r, or of queries (r is None)."""
         length = np.sqrt((v ** 2).sum(axis=1))
-        if as_query:
+        if r is None:
             y = np.concatenate([v / length[:, None], np.zeros((len(v), 1))], axis=1)
         else:
-            y = np.concatenate([v, np.sqrt(np.maximum(longest ** 2 - length ** 2, 0))[:, None]], axis=1) / longest
+            y = np.concatenate([v, np.sqrt(np.maximum(r ** 2 - length ** 2, 0))[:, None]], axis=1) / r
         return np.einsum("nd,cdk->cnk", y, projections, optimize=True)
 
     def moments(batches):
         import pyarrow as pa
 
-        total = np.zeros((3, CURVES, DIMS))
+        total = np.zeros((len(longest), 3, CURVES, DIMS))
         for batch in batches:
-            y = placed(matrix(batch.column("v"), dim), False)
-            total += np.stack([np.full((CURVES, DIMS), y.shape[1]), y.sum(axis=1), (y ** 2).sum(axis=1)])
+            of, v = batch.column("band").to_numpy(), matrix(batch.column("v"), dim)
+            for b in np.unique(of):
+                y = placed(v[of == b], longest[b])
+                total[b] += np.stack([np.full((CURVES, DIMS), y.shape[1]), y.sum(axis=1), (y ** 2).sum(axis=1)])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "t"])
 
-    total = np.zeros(3 * CURVES * DIMS)
-    for r in rows.select("v").mapInArrow(moments, "i long, t double").groupBy("i").agg(F.sum("t").alias("t")).collect():  # 3 x CURVES x DIMS rows
+    total = np.zeros(len(longest) * 3 * CURVES * DIMS)
+    for r in banded.select("band", "v").mapInArrow(moments, "i long, t double").groupBy("i").agg(F.sum("t").alias("t")).collect():  # bands x 3 x CURVES x DIMS rows
         total[r["i"]] = r["t"]
-    count, first, second = total.reshape(3, CURVES, DIMS)
+    count, first, second = total.reshape(len(longest), 3, CURVES, DIMS).swapaxes(0, 1)
     mean = first / count
     spread = np.sqrt(np.maximum(second / count - mean ** 2, 1e-18))
+    # vectors, blocks and neighbouring blocks to either side of each band
+    sizes = [int(c) for c in count[:, 0, 0]]
+    windows = [max(MIN_WINDOW, int(np.ceil(n * WINDOW_SHARE))) for n in sizes]
+    reaches = [-(-w // BLOCK) for w in windows]
+    blocks = [-(-w // r) for w, r in zip(windows, reaches, strict=True)]
 
     def keys(as_query):
         def run(batches):
             import pyarrow as pa
 
             for batch in batches:
-                ids, v = batch.column("vec_id").to_numpy(), matrix(batch.column("v"), dim)
-                for at in range(0, len(ids), BLOCK):
-                    y = (placed(v[at: at + BLOCK], as_query) - mean[:, None]) / spread[:, None]
-                    unit = np.clip((y + 3) / 6, 0, 1) / 2 + shifts[:, None] / 2  # the shift moves the grid by up to half the curve's range
-                    cells = np.minimum((unit * (1 << KEY_BITS)).astype(np.int64), (1 << KEY_BITS) - 1)
-                    key = hilbert_keys(cells.reshape(-1, DIMS), KEY_BITS)
-                    m = y.shape[1]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(np.arange(CURVES, dtype=np.int32), m)), pa.array(key), pa.array(np.tile(ids[at: at + BLOCK], CURVES)),
-                         pa.array(np.full(m * CURVES, as_query))], names=["curve", "key", "vec_id", "query"])
+                all_ids, of, vs = batch.column("vec_id").to_numpy(), batch.column("band").to_numpy(), matrix(batch.column("v"), dim)
+                for b in range(len(longest)):
+                    own = slice(None) if as_query else of == b
+                    ids, v = all_ids[own], vs[own]
+                    for at in range(0, len(ids), BLOCK):
+                        y = (placed(v[at: at + BLOCK], None if as_query else longest[b]) - mean[b][:, None]) / spread[b][:, None]
+                        unit = np.clip((y + 3) / 6, 0, 1) / 2 + shifts[:, None] / 2  # the shift moves the grid by up to half the curve's range
+                        cells = np.minimum((unit * (1 << KEY_BITS)).astype(np.int64), (1 << KEY_BITS) - 1)
+                        key = hilbert_keys(cells.reshape(-1, DIMS), KEY_BITS)
+                        m = y.shape[1]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.repeat(np.arange(b * CURVES, (b + 1) * CURVES, dtype=np.int32), m)), pa.array(key), pa.array(np.tile(ids[at: at + BLOCK], CURVES)),
+                             pa.array(np.full(m * CURVES, as_query))], names=["curve", "key", "vec_id", "query"])
         return run
 
     schema = "curve int, key long, vec_id long, query boolean"
-    both = rows.mapInArrow(keys(False), schema).union(rows.filter(is_query).mapInArrow(keys(True), schema))
+    # curves of all bands are numbered through
+    both = banded.mapInArrow(keys(False), schema).union(banded.filter(is_query).mapInArrow(keys(True), schema))
     order = ["curve", "key", "vec_id", "query"]
 
     def number(batches):
@@ -172,12 +209,14 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
         if r["part"] not in held:  # queries alone
             starts.append((r["part"], max((s for p, s in starts if p < r["part"]), default=0)))
     offsets = spark.createDataFrame(starts, "part int, start long")
-    # every curve has n candidates, so the place within the curve is what is over n x curve
-    places = places.join(F.broadcast(offsets), "part").withColumn("block", F.expr(f"cast((at + start - curve * {n}L) div {block} as int)"))
-    places = places.withColumn("block", F.least("block", F.lit((n - 1) // block)))
-    to = F.explode(F.when(F.col("query"), F.sequence(F.col("block") - reach, F.col("block") + reach)).otherwise(F.array("block")))
-    last = (n - 1) // block
-    dealt = places.select("curve", "vec_id", "query", to.alias("block")).filter(F.col("block").between(0, last))
+    # every curve of a band has all its vectors, so the place within the curve is what is over those of the curves before
+    before = np.cumsum([0, *np.repeat(sizes, CURVES)]).tolist()
+    per_curve = [(c, before[c], blocks[c // CURVES], reaches[c // CURVES], (sizes[c // CURVES] - 1) // blocks[c // CURVES]) for c in range(len(longest) * CURVES)]
+    per_curve = spark.createDataFrame(per_curve, "curve int, before long, size int, reach int, last int")
+    places = places.join(F.broadcast(offsets), "part").join(F.broadcast(per_curve), "curve")
+    places = places.withColumn("block", F.least(F.expr("cast((at + start - before) div size as int)"), F.col("last")))
+    to = F.explode(F.when(F.col("query"), F.sequence(F.col("block") - F.col("reach"), F.col("block") + F.col("reach"))).otherwise(F.array("block")))
+    dealt = places.select("curve", "vec_id", "query", "last", to.alias("block")).filter("block between 0 and last").drop("last")
     dealt = dealt.join(rows, "vec_id").repartition("curve", "block").sortWithinPartitions("curve", "block", "query")
 
     def score(batches):

@@ -107,3 +107,31 @@ def test_ann_recall_without_structure(spark, monkeypatch):
         found += sum(s[r.vec_id] >= kth - 1e-9 for r in own)
         wanted += 20
     assert found >= 0.9 * wanted
+
+
+def test_ann_recall_beside_very_long_vectors(spark, monkeypatch):
+    monkeypatch.setattr(ann_hilbert, "MIN_WINDOW", 64)
+    r = np.random.default_rng(6)
+    x = r.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[[17, 1234, 5001]] *= [[20.0], [1e4], [1.7]]
+    x = x.astype(np.float32)
+    out = ann_hilbert.search(vectors(spark, list(enumerate(x.tolist()))), F.col("vec_id") % 200 == 0, k=20).collect()
+    x = x.astype(float)
+    found = 0
+    for q in range(0, 6000, 200):
+        s = x @ x[q]
+        s[q] = -np.inf
+        kth = np.sort(s)[-20]
+        found += sum(s[r.vec_id] >= kth - 1e-9 for r in out if r.query_id == q)
+    assert found >= 0.93 * 600
+
+
+def test_bands_of_length():
+    unit, long = [(-1, 4000, 0.99, 0.9999), (0, 5000, 1.0, 1.001)], (69, 1, 400.0, 400.0)
+    assert ann_hilbert.bands(unit) == [(0.99, 1.001)]  # rounding alone makes no band
+    assert ann_hilbert.bands([*unit, long]) == [(400.0, 400.0), (0.99, 1.001)]
+    assert ann_hilbert.bands([*unit, (-700, 3, 0.0, 1e-26)]) == [(0.0, 1.001)]
+    many = [(i, 1 + 1000 // (1 + abs(i)), 2 ** (i / 8), 2 ** ((i + 1) / 8)) for i in range(-200, 200)]
+    parted = ann_hilbert.bands(many)
+    assert parted[0][1] == many[-1][3] and parted[-1][0] == many[0][2] and all(a[0] >= b[1] for a, b in zip(parted, parted[1:], strict=False))
