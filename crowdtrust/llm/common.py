@@ -24,10 +24,21 @@ def per_process(key, build: Callable):
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a zstd Parquet table below the shared checkpoint
     folder and reread: cuts the lineage and survives the loss of executors."""
+    return written_at(df, name)[0]
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As :func:`written`, with the table's folder for :func:`delete_path`."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a table that this library wrote below the checkpoint folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fresh(taken: Iterable[str], base: str) -> str:

@@ -9,7 +9,8 @@ from __future__ import annotations
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import functions as F
 
-from . import ann_hilbert, bpe, chat_repair, exact_topk, grammar, langid, packing, secret_scan, simhash_dedup, suffix_dedup
+from . import (ann_hilbert, bpe, chat_repair, exact_topk, grammar, langid, lexical_search, packing, secret_scan, simhash_dedup, suffix_dedup, url_filter,
+               whitening)
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -62,9 +63,23 @@ def op10_bpe(spark, sf_dir):
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_max_sketch_search(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_whitening(spark, sf_dir):
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"), k=8)
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_url_filter(spark, sf_dir):
+    out = url_filter.judge(table(spark, sf_dir, "pages"))
+    return out.withColumns({c: F.concat_ws(",", c) for c in ("strict_hits", "soft_hits")})
+
+
 SPARK = {f.__name__: f for f in (
     op1_hilbert_ann, op2_suffix_dedup, op3_simhash_dedup, op4_packing, op5_secret_scan, op6_token_files, op7_chat_repair, op8_compression_langid,
-    op9_exact_topk, op10_bpe)}
+    op9_exact_topk, op10_bpe, op11_max_sketch_search, op12_whitening, op13_url_filter)}
 
 
 def _secret_sql() -> str:
@@ -108,7 +123,48 @@ FROM docs LEFT JOIN spans USING (r) GROUP BY r
 """
 
 
+def _lexical_sql() -> str:
+    terms = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {terms} AS ts FROM documents),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) GROUP BY r, t),
+g AS (SELECT count(*) FILTER (len(ts) > 0) AS n, sum(len(ts))::BIGINT AS l FROM d),
+w AS (SELECT t, floor(1000 * ln((2 * n + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), g),
+m AS (SELECT r, doc_id, 100 - 25 + (25 * len(ts) * n) // l AS m FROM d, g WHERE len(ts) > 0),
+i AS (SELECT row_number() OVER () AS q, item_id, {terms} AS ts FROM benchmark),
+asked AS (SELECT q, item_id, t, count(*) AS c FROM (SELECT q, item_id, unnest(ts) AS t FROM i) GROUP BY ALL),
+scored AS (SELECT q, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+           FROM asked JOIN w USING (t) JOIN tf USING (t) JOIN m USING (r) GROUP BY q, r)
+SELECT item_id, (row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
+QUALIFY rank <= 20
+"""
+
+
+def _url_sql() -> str:
+    from .url_filter import RULES, SEVERAL, SOFT, STRICT
+
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+    edge = r"[^a-z0-9\x{80}-\x{10FFFF}]"
+    alone = f"lambda t: regexp_matches(low, '(^|{edge})' || t || '({edge}|$)')"
+    listed = lambda terms: f"list_filter([{', '.join(repr(t) for t in sorted(terms))}], {alone})"
+    host = low.format("regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1)")
+    return f"""
+WITH rules(verdict, host, path) AS (VALUES {rules}),
+p AS (SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS u FROM pages),
+parts AS (SELECT r, page_id, {low.format("u")} AS low, {host} AS host, regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM p),
+fits AS (SELECT r, arg_max(rules.host || rules.path, length(rules.host || rules.path)) AS rule, arg_max(verdict, length(rules.host || rules.path)) AS verdict
+         FROM parts JOIN rules ON (parts.host = rules.host OR ends_with(parts.host, '.' || rules.host)) AND starts_with(parts.path, rules.path) GROUP BY r),
+found AS (SELECT *, {listed(STRICT)} AS strict, {listed(SOFT)} AS soft FROM parts)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN len(strict) > 0 OR len(soft) >= {SEVERAL} THEN 'block' ELSE 'allow' END) AS verdict,
+       array_to_string(strict, ',') AS strict_hits, array_to_string(soft, ',') AS soft_hits
+FROM found LEFT JOIN fits USING (r)
+"""
+
+
 SQL = {
+    "op11_max_sketch_search": _lexical_sql(),
+    "op13_url_filter": _url_sql(),
     "op5_secret_scan": _secret_sql(),
     "op9_exact_topk": """
 WITH v AS (SELECT vec_id, min([x::DOUBLE FOR x IN embedding]) AS e FROM embeddings
