@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import delete_path, written_at
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -23,7 +23,8 @@ def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:
     table gives an empty one.
     """
     e = edges.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).filter("u < v").distinct()
-    e = written(e, "components")
+    spark = edges.sparkSession
+    e, path = written_at(e, "components")
     before = None
     while before != (now := _state(e)) and now[0]:
         before = now
@@ -33,6 +34,8 @@ def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:
         # here u < v: seen from v, its smaller neighbours u
         least = large.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("w"), "m")
         small = large.join(least, F.col("v") == F.col("w"))
-        e = written(small.select(F.col("m").alias("u"), F.col("u").alias("v")).filter("u < v")
-                    .union(least.select(F.col("m").alias("u"), F.col("w").alias("v"))).distinct(), "components")
+        old = path
+        e, path = written_at(small.select(F.col("m").alias("u"), F.col("u").alias("v")).filter("u < v")
+                             .union(least.select(F.col("m").alias("u"), F.col("w").alias("v"))).distinct(), "components")
+        delete_path(spark, old)
     return e.select(F.col("v").alias("node"), F.col("u").alias("root")).union(e.select("u", "u").distinct())

@@ -25,7 +25,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, id_and_text, mix64, written
+from .common import delete_path, fresh, id_and_text, mix64, written, written_at
 from .components import connected_components
 
 BITS = 64
@@ -35,6 +35,8 @@ PARTITIONS = 3
 SLOTS = 1 << 16
 #: Slots with more distinct fingerprints are split by further bits.
 HOT_SLOT = 256
+#: Keys of rows that are broadcast as they are (24 bytes each); 64-bit words of the Bloom filter that takes over beyond.
+BROADCAST_ROWS, BLOOM_WORDS = 1 << 20, 1 << 21
 #: What a probe costs, in candidates.
 PROBE_COST = 2.0
 
@@ -60,10 +62,11 @@ def fingerprint(text: str, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long).  A-Z are lower-cased, words
-    are runs without ASCII white space, shingles of ``width`` words are joined
-    by blanks and hashed by XXH64 (seed 42); a bit is 1 if set in over half of
-    them.  Fewer words: the whole sequence is the shingle; none: zero."""
+    """doc_id, fp (the 64 bits as a signed long), th, th2 (two hashes of the
+    text).  A-Z are lower-cased, words are runs without ASCII white space,
+    shingles of ``width`` words are joined by blanks and hashed by XXH64 (seed
+    42); a bit is 1 if set in over half of them.  Fewer words: the whole
+    sequence is the shingle; none: zero."""
 
     def run(batches):
         import numpy as np
@@ -71,9 +74,14 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
 
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), width) for t in batch.column("text")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "th", "th2")), pa.array(fps.view(np.int64))], names=["doc_id", "th", "th2", "fp"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    rows = id_and_text(docs, id_col, text_col).withColumns(_text_hashes(F.col("text"), "th", "th2"))
+    return rows.mapInArrow(run, "doc_id long, th long, th2 long, fp long")
+
+
+def _text_hashes(text, a: str, b: str) -> dict:
+    return {a: F.xxhash64(text), b: F.xxhash64(F.lit("second"), text)}
 
 
 def unpacked(fps):
@@ -243,6 +251,24 @@ def link_fingerprints(distinct: DataFrame, distance: int = 3) -> DataFrame:
     return near.select("a", "b").distinct()
 
 
+def classes(fps: DataFrame, distance: int) -> DataFrame:
+    """Written table of, first_doc, first_null, first_th, first_th2, n,
+    component_id, root: for each distinct fingerprint (``of``) its first row
+    (smallest id, null ids last, then by the text's hashes), the rows in its
+    component, the component's smallest doc_id, and its smallest fingerprint."""
+    spark = fps.sparkSession
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "th2"))
+    distinct, distinct_path = written_at(fps.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n")), "simhash-distinct")
+    linked = connected_components(link_fingerprints(distinct, distance), "a", "b")
+    rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first", "n")
+    components = rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+    out = rooted.select("fp", "root").join(components, "root").select(
+        F.col("fp").alias("of"), "root", F.col("first.doc_id").alias("component_id"), F.col("first.th").alias("first_th"), F.col("first.th2").alias("first_th2"), "n")
+    out = written(out, "simhash-classes")  # so that a join with it may split a common fingerprint
+    delete_path(spark, distinct_path)
+    return out
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id
     reachable over links, itself included), one row per input row.
@@ -253,30 +279,76 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, id_col:
     empty one; other columns are not read.
     """
     fps = written(fingerprints(docs, width, id_col, text_col), "simhash-fps")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-distinct")
-    linked = connected_components(link_fingerprints(distinct, distance), "a", "b")
-    linked = linked.join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "first_doc")
-    roots = linked.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    linked = linked.join(roots, "root").select("fp", "component_id")
-    classes = distinct.join(linked, "fp", "left").select(F.col("fp").alias("of"), F.coalesce("component_id", "first_doc").alias("component_id"))
-    classes = written(classes, "simhash-classes")  # so that the join below may split a common fingerprint
-    return fps.join(classes, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = classes(fps, distance)
+    return fps.join(of, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, one of each component: the one with the smallest id.
-    Rows with that id but repeated are kept once; rows with a null id cannot
-    be named and stay."""
-    found = written(near_duplicates(docs, width, distance, id_col, text_col), "simhash-found")
-    first = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    # an anti join: what goes is the smaller side, and null ids are never in it
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct().join(first, "doc_id", "left_anti")
-    name = fresh(docs.columns, "gone_id")
-    of = docs[id_col].cast("long")
-    kept = docs.join(gone.select(F.col("doc_id").alias(name)), of == F.col(name), "left_anti")
-    if first.filter("n > 1").isEmpty():
-        return kept
-    again = first.filter("n > 1").select(F.col("doc_id").alias(name))
-    own = kept[id_col].cast("long")
-    once = kept.join(again, own == F.col(name), "left_semi").dropDuplicates([id_col])
-    return kept.join(again, own == F.col(name), "left_anti").union(once)
+    """The documents, one row of each component: that with the smallest id (a
+    null id comes last), of several texts under that id the one with the
+    smallest hash, and of rows equal in id and text one.  A row is told by its
+    id and its text, so different texts under one id, or without one, are
+    documents of their own.
+
+    The rows that go are listed by id and text hashes, and the documents are
+    joined to that list without an exchange of texts: it is broadcast if it
+    has at most ``BROADCAST_ROWS`` rows (counted); beyond, a broadcast Bloom
+    filter of bounded size lets nearly all documents pass that stay, and only
+    the others meet the list."""
+    spark = docs.sparkSession
+    fps, fps_path = written_at(fingerprints(docs, width, id_col, text_col), "simhash-fps")
+    of = classes(fps, distance).filter("n > 1")
+    rows = fps.join(of, F.col("fp") == F.col("of"))
+    chosen = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("first_th")) & (F.col("th2") == F.col("first_th2"))
+    key = [F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "th", "th2"]
+    listed = rows.groupBy(*key, chosen.alias("stays")).agg(F.count("*").alias("n")).filter("not stays or n > 1")
+    listed = written(listed.select("d", "th", "th2", "stays"), "simhash-listed")
+    delete_path(spark, fps_path)
+
+    taken = [*docs.columns]
+    name = {}
+    for x in ("d", "th", "th2", "stays"):
+        name[x] = fresh(taken, x)
+        taken.append(name[x])
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = docs.withColumns({name["d"]: F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), **_text_hashes(text, name["th"], name["th2"])})
+    keys = [name[x] for x in ("d", "th", "th2")]
+    gone = listed.filter("not stays").select(*[F.col(x).alias(name[x]) for x in ("d", "th", "th2")])
+    kept = without_listed(own, gone, keys)
+    again = listed.filter("stays").select(*[F.col(x).alias(name[x]) for x in ("d", "th", "th2")])
+    if not again.isEmpty():  # repeated rows
+        once = with_listed(kept, again, keys).dropDuplicates(keys)
+        kept = without_listed(kept, again, keys).unionByName(once)
+    return kept.select(*docs.columns)
+
+
+def without_listed(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose key is not in the table ``keys``; at most the few that a Bloom filter cannot tell are exchanged."""
+    n = keys.count()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), on, "left_anti")
+    maybe, sure = _told(rows, keys, on, n)
+    return sure.unionByName(maybe.join(keys, on, "left_anti"))
+
+
+def with_listed(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    n = keys.count()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), on, "left_semi")
+    return _told(rows, keys, on, n)[0].join(keys, on, "left_semi")
+
+
+def _told(rows: DataFrame, keys: DataFrame, on: list[str], n: int) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be in the table, rows whose key is not in it), by a
+    Bloom filter of 64-bit words: a key sets four bits of one word.  Its at
+    most ``BLOOM_WORDS`` words are made on Spark and broadcast."""
+    words = min(BLOOM_WORDS, 1 << n.bit_length())
+    word, mask = fresh(rows.columns, "word"), fresh(rows.columns, "mask")
+    h = F.xxhash64(F.lit("bloom"), *on)
+    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * k).bitwiseAND(63).cast("int"))
+    at = F.pmod(F.shiftrightunsigned(h, 24), F.lit(words))
+    bits = one(0).bitwiseOR(one(1)).bitwiseOR(one(2)).bitwiseOR(one(3))
+    table = keys.select(at.alias(word), bits.alias(mask)).groupBy(word).agg(F.bit_or(mask).alias(mask))
+    told = rows.withColumn(word, at).join(F.broadcast(table), word, "left")
+    hit = F.coalesce(F.col(mask).bitwiseAND(bits) == bits, F.lit(False))
+    return told.filter(hit).select(*rows.columns), told.filter(~hit).select(*rows.columns)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from brute import documents, simhash, simhash_classes
+from brute import components, documents, simhash, simhash_classes
 from conftest import SF0001
 from crowdtrust.llm import simhash_dedup as sd
 from crowdtrust.llm.components import connected_components
@@ -32,10 +32,41 @@ def test_null_and_repeated_ids(spark):
     df = documents(spark, rows)
     kept = sd.keep_one(df)
     assert kept.columns == df.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [
-        (0, "a b c d"), (0, "other words here"), (3, ""), (4, "a b c d")]
+        (0, "other words here"), (3, ""), (4, "a b c d")]
     assert sd.near_duplicates(documents(spark, [])).collect() == [] and sd.keep_one(documents(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("limit, words", [(1 << 20, 1 << 21), (0, 1 << 21), (0, 1)])
+def test_a_row_is_told_by_id_and_text(spark, monkeypatch, limit, words):
+    """One id with different texts, near copies among them, null ids and repeated rows; by broadcast list and by Bloom filter (full, too)."""
+    monkeypatch.setattr(sd, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(sd, "BLOOM_WORDS", words)
+    r = random.Random(8)
+    prose = lambda n: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(n))
+    long = prose(4000).split()
+    near_copy = " ".join([*long[:2000], "edit", *long[2001:]])
+    clean = [prose(60) for _ in range(40)]
+    rows = [(1, t) for t in clean[:3]] + [(None, t) for t in clean[3:6]] + [(100 + i, t) for i, t in enumerate(clean[6:])]
+    rows += [(5, " ".join(long)), (9, near_copy), (9, clean[0] + " more"), (9, near_copy), (7, clean[7]), (None, clean[8]), (None, clean[3]), (1, clean[1]), (108, clean[20])]
+    out = [(x.doc_id, x.text) for x in sd.keep_one(documents(spark, rows).repartition(3)).collect()]
+    each = list(dict.fromkeys(rows))
+    fp = [simhash(t) for _, t in each]
+    links = [(i, j) for i in range(len(each)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 3]
+    members: dict = {}
+    for i, root in components(range(len(each)), links).items():
+        members.setdefault(root, []).append(each[i])
+    assert len(members) < len(each) and len(out) == len(members)
+    for of in members.values():
+        kept = [x for x in of if x in out]
+        assert len(kept) == 1 and (kept[0][0] is None, kept[0][0]) == min(((d is None, d) for d, _ in of), key=lambda x: (x[0], x[1] or 0))
+
+
+def test_the_list_of_rows_that_go_moves_no_texts(spark):
+    docs = documents(spark, [(i, f"text {i // 2}") for i in range(50)])
+    plan = sd.keep_one(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
 @pytest.mark.parametrize("n, hot, m", [(300, 256, 3), (3000, 256, 4), (3000, 2, 3), (1500, 16, 2), (40, 1, 4)])
 def test_links_against_brute_force(spark, monkeypatch, n, hot, m):
     """A dense cluster (differences in a few bits), a loose one and scattered fingerprints."""
