@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, mix64, per_process, small_batches, written
+from .common import delete_path, fresh, mix64, per_process, small_batches, written, written_at
 
 #: Words in the grams that minimisers are chosen from, and grams per choice.
 GRAM, WINDOW = 8, 26
@@ -108,17 +108,22 @@ def minimisers(grams):
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """d (the id; null: the least long), th (hash of the text), text, in small batches."""
+    """d (the id; null: the least long), th, tq (96 bits of hash of the text), text, in small batches."""
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("d"), *_text_hash(text), text.alias("text"))
 
 
-def runs(rows: DataFrame, key: list[str], order: list[str], owner: str) -> DataFrame:
-    """Rows that share ``key`` with another row, in ``order``, with ``before``
+def _text_hash(text, th: str = "th", tq: str = "tq") -> list:
+    return [F.xxhash64(text).alias(th), F.shiftright(F.xxhash64(F.lit("second"), text), 32).cast("int").alias(tq)]
+
+
+def runs(rows: DataFrame, key: list[str], order: list[str], owner: str) -> tuple[DataFrame, str]:
+    """(rows, folder of the table they are in).  Rows that share ``key`` with another row, in ``order``, with ``before``
     (an earlier row has that key) and ``partner`` (the ``owner`` of the row
     before, for the first row of the row after).  Rows equal in all of key and
-    order count once.  All columns are integers."""
+    order count once.  All columns are integers.  ``rows`` should be a written
+    table, since they are read twice: once for the bounds of the ranges."""
     names = key + order
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
@@ -173,7 +178,7 @@ def runs(rows: DataFrame, key: list[str], order: list[str], owner: str) -> DataF
 
     ordered = rows.select(*names).repartitionByRange(*names).sortWithinPartitions(*names)
     schema = ", ".join(f"{n} {fields[n]}" for n in names) + ", before boolean, after boolean, partner long, edge int, part int"
-    found = written(ordered.mapInArrow(compare, schema), "suffix-runs")
+    found, path = written_at(ordered.mapInArrow(compare, schema), "suffix-runs")
 
     ends = found.filter("edge > 0").select("part", "edge", *key, owner).collect()  # two rows per partition at most
     firsts = {r["part"]: r for r in ends if r["edge"] & 1}
@@ -195,20 +200,20 @@ def runs(rows: DataFrame, key: list[str], order: list[str], owner: str) -> DataF
     right = is_last & F.coalesce("joins_after", F.lit(False))
     partner = F.when(left, F.col("owner_before")).when(right & ~F.col("before") & ~F.col("after"), F.col("owner_after")).otherwise(F.col("partner"))
     found = found.select(*names, (F.col("before") | left).alias("before"), (F.col("after") | right).alias("after"), partner.alias("partner"))
-    return found.filter("before or after").drop("after")
+    return found.filter("before or after").drop("after"), path
 
 
 def suffixes(docs: DataFrame, min_words: int) -> DataFrame:
-    """Kept suffixes (h, th, x: first word) of all texts and, with null x, a
-    row (th, d, n_words) per document of ``min_words`` or more words."""
+    """Kept suffixes (h, th, tq, x: first word) of all texts and, with null x, a
+    row (th, tq, d, n_words) per document of ``min_words`` or more words."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        schema = pa.schema([("h", pa.int64()), ("th", pa.int64()), ("x", pa.int32()), ("d", pa.int64()), ("n_words", pa.int32())])
+        schema = pa.schema([("h", pa.int64()), ("th", pa.int64()), ("tq", pa.int32()), ("x", pa.int32()), ("d", pa.int64()), ("n_words", pa.int32())])
         for batch in batches:
-            for d, th, text in zip(batch.column("d").to_pylist(), batch.column("th").to_pylist(), batch.column("text"), strict=True):
+            for d, th, tq, text in zip(*(batch.column(c).to_pylist() for c in ("d", "th", "tq")), batch.column("text"), strict=True):
                 raw = text.as_buffer().to_pybytes()
                 w = words(raw)[2]
                 n = len(w)
@@ -220,7 +225,7 @@ def suffixes(docs: DataFrame, min_words: int) -> DataFrame:
                 k = len(at)
                 nulls = pa.nulls(k, pa.int64())
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.append(h[at].view(np.int64), 0)), pa.array(np.full(k + 1, th)),
+                    pa.array(np.append(h[at].view(np.int64), 0)), pa.array(np.full(k + 1, th)), pa.array(np.full(k + 1, tq, dtype=np.int32)),
                     pa.array([*at.tolist(), None], pa.int32()), pa.chunked_array([nulls, pa.array([d], pa.int64())]).combine_chunks(),
                     pa.chunked_array([pa.nulls(k, pa.int32()), pa.array([n], pa.int32())]).combine_chunks()], schema=schema)
 
@@ -238,19 +243,19 @@ def suffixes(docs: DataFrame, min_words: int) -> DataFrame:
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    return docs.mapInArrow(joined, "h long, th long, x int, d long, n_words int")
+    return docs.mapInArrow(joined, "h long, th long, tq int, x int, d long, n_words int")
 
 
 def passages(docs_with_suffixes: DataFrame, min_words: int) -> DataFrame:
-    """From (d, th, text, xs) all passages that begin in the WINDOW words up to
-    a suffix in ``xs``: g, g2 (96 bits of hash), d, th, x."""
+    """From (d, th, tq, text, xs) all passages that begin in the WINDOW words up
+    to a suffix in ``xs``: g, g2 (96 bits of hash), d, th, tq, x."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for d, th, text, xs in zip(batch.column("d").to_pylist(), batch.column("th").to_pylist(), batch.column("text"), batch.column("xs"), strict=True):
+            for d, th, tq, text, xs in zip(*(batch.column(c).to_pylist() for c in ("d", "th", "tq")), batch.column("text"), batch.column("xs"), strict=True):
                 w = words(text.as_buffer().to_pybytes())[2]
                 g = window_hashes(w, min_words)
                 g2 = window_hashes(w, min_words, 2)
@@ -261,38 +266,48 @@ def passages(docs_with_suffixes: DataFrame, min_words: int) -> DataFrame:
                 x = np.flatnonzero(np.cumsum(near)[: len(g)] > 0)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(g[x].view(np.int64)), pa.array((g2[x] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(np.full(len(x), d)),
-                    pa.array(np.full(len(x), th)), pa.array(x.astype(np.int32))], names=["g", "g2", "d", "th", "x"])
+                    pa.array(np.full(len(x), th)), pa.array(np.full(len(x), tq, dtype=np.int32)), pa.array(x.astype(np.int32))], names=["g", "g2", "d", "th", "tq", "x"])
 
-    return docs_with_suffixes.select("d", "th", "text", "xs").mapInArrow(run, "g long, g2 int, d long, th long, x int")
+    return docs_with_suffixes.select("d", "th", "tq", "text", "xs").mapInArrow(run, "g long, g2 int, d long, th long, tq int, x int")
 
 
 def repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(texts, copies).  texts: th, d (the document that stands for the text),
-    n_words, later, first: the passages, by first word, that are later copies
-    and originals.  copies: th, d, n_words, of: documents whose whole text is
-    that of document ``of``."""
+    """(texts, copies), written tables.  texts: th, tq, d (the document that
+    stands for the text), later, first: the passages, by first word, that are
+    later copies and originals.  copies: th, tq, d, n_words, of: documents
+    whose whole text is that of document ``of``.  Every other table that was
+    written on the way is deleted once its reader is written."""
     if min_words < GRAM + WINDOW:
         raise ValueError(f"min_words must be at least {GRAM + WINDOW}")
+    spark, text_key = docs.sparkSession, ["th", "tq"]
     keyed = _keyed(docs, id_col, text_col)
-    kept = written(suffixes(keyed, min_words), "suffix-kept")
-    whole = kept.filter("x is null").select("th", "d", "n_words")
+    kept, kept_path = written_at(suffixes(keyed, min_words), "suffix-kept")
+    whole = kept.filter("x is null").select("th", "tq", "d", "n_words")
     # written, so that the join below may split a text that very many documents have
-    stands = written(whole.groupBy("th").agg(F.min("d").alias("of"), F.count("*").alias("n")), "suffix-texts")
-    copies = whole.join(stands.filter("n > 1").select("th", "of"), "th").filter("d <> of").distinct()
-    hits = runs(kept.filter("x is not null").select("h", "th", "x"), ["h"], ["th", "x"], "th")
-    xs = hits.groupBy("th").agg(F.collect_list("x").alias("xs"))  # one document's suffixes
-    xs = xs.join(stands.select("th", "of"), "th").withColumnRenamed("of", "d")
-    texts = keyed.join(xs, ["th", "d"]).dropDuplicates(["th", "d"]) if _has_repeated_rows(whole) else keyed.join(xs, ["th", "d"])
+    stands, stands_path = written_at(whole.groupBy(*text_key).agg(F.min("d").alias("of"), F.count("*").alias("n")), "suffix-texts")
+    copies = written(whole.join(stands.filter("n > 1").select("th", "tq", "of"), text_key).filter("d <> of").distinct(), "suffix-copies")
+    hits, hits_path = runs(kept.filter("x is not null").select("h", "th", "tq", "x"), ["h"], ["th", "tq", "x"], "th")
+    xs = hits.groupBy(*text_key).agg(F.collect_list("x").alias("xs"))  # one document's suffixes
+    xs = xs.join(stands.select("th", "tq", "of"), text_key).withColumnRenamed("of", "d")
+    texts = keyed.join(xs, [*text_key, "d"])
+    if _has_repeated_rows(whole):
+        texts = texts.dropDuplicates([*text_key, "d"])
+    found, found_path = written_at(passages(texts, min_words), "suffix-passages")
+    for p in (kept_path, hits_path, stands_path):
+        delete_path(spark, p)
     # different texts may share an id (all that have none do): a passage belongs to its text
-    same = runs(passages(texts, min_words), ["g", "g2"], ["d", "th", "x"], "d")
-    found = same.groupBy("th", "d").agg(
+    same, same_path = runs(found, ["g", "g2"], ["d", "th", "tq", "x"], "d")
+    delete_path(spark, found_path)
+    found = same.groupBy("th", "tq", "d").agg(
         F.collect_list(F.when(F.col("before"), F.struct("x", "partner"))).alias("later"),
         F.collect_list(F.when(~F.col("before"), F.struct("x", "partner"))).alias("first"))  # one text's passages
-    return found, copies
+    out = written(found, "suffix-repeats")
+    delete_path(spark, same_path)
+    return out, copies
 
 
 def _has_repeated_rows(whole: DataFrame) -> bool:
-    return not whole.groupBy("th", "d").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    return not whole.groupBy("th", "tq", "d").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
 
 
 def islands(later, first, min_words: int):
@@ -361,24 +376,25 @@ def cut_repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
         import pyarrow as pa
 
         for batch in batches:
-            rows = [(th, [{"lo": lo, "hi": hi} for lo, hi, repeated, _ in islands(later, first, min_words) if repeated])
-                    for th, later, first in zip(*(batch.column(c).to_pylist() for c in ("th", "later", "first")), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()),
-                                              pa.array([r[1] for r in rows], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))], names=["th", "cuts"])
+            cuts = [[{"lo": lo, "hi": hi} for lo, hi, repeated, _ in islands(later, first, min_words) if repeated]
+                    for later, first in zip(*(batch.column(c).to_pylist() for c in ("later", "first")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("th"), batch.column("tq"), pa.array(cuts, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))],
+                                             names=["th", "tq", "cuts"])
 
-    spans = texts.select("th", "later", "first").mapInArrow(run, "th long, cuts array<struct<lo:int,hi:int>>").filter("size(cuts) > 0")
-    stands = copies.groupBy("th").agg(F.min("of").alias("of"))
-    spans = spans.join(stands, "th", "full_outer")
+    spans = texts.select("th", "tq", "later", "first").mapInArrow(run, "th long, tq int, cuts array<struct<lo:int,hi:int>>").filter("size(cuts) > 0")
+    stands = copies.groupBy("th", "tq").agg(F.min("of").alias("of"))
+    spans = spans.join(stands, ["th", "tq"], "full_outer")
 
     taken = [*docs.columns]
     name = {}
-    for x in ("th", "of", "cuts", "key"):
+    for x in ("th", "tq", "of", "cuts", "key", "key2"):
         name[x] = fresh(taken, x)
         taken.append(name[x])
-    spans = spans.select(F.col("th").alias(name["key"]), F.col("of").alias(name["of"]), F.col("cuts").alias(name["cuts"]))
+    spans = spans.select(F.col("th").alias(name["key"]), F.col("tq").alias(name["key2"]), F.col("of").alias(name["of"]), F.col("cuts").alias(name["cuts"]))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63)))
-    all_ = docs.withColumn(name["th"], F.xxhash64(text)).join(spans, F.col(name["th"]) == F.col(name["key"]), "left")
+    all_ = docs.select("*", *_text_hash(text, name["th"], name["tq"]))
+    all_ = all_.join(spans, (F.col(name["th"]) == F.col(name["key"])) & (F.col(name["tq"]) == F.col(name["key2"])), "left")
     all_ = all_.filter(F.col(name["of"]).isNull() | (d == F.col(name["of"])))  # whole copies go
 
     def cut(batches):
@@ -392,7 +408,7 @@ def cut_repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
             columns[t] = pa.array(new, batch.schema.field(t).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    all_ = all_.drop(name["th"], name["key"], name["of"])
+    all_ = all_.drop(*(name[x] for x in ("th", "tq", "key", "key2", "of")))
     was_cut = F.size(F.coalesce(F.col(name["cuts"]), F.array())) > 0
     out = all_.mapInArrow(cut, all_.schema).filter(~was_cut | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
     if length_col in docs.columns:
