@@ -8,8 +8,16 @@ dictionary and not the text's own beginning tells the sizes apart.  The
 relative margin to the runner-up is the score, and a text whose margin is
 narrow is rejected.
 
+A text of a few words is too short for that: zstandard stores it as it is
+under every dictionary, and all sizes are equal.  Where the sizes are equal
+the same method takes a finer measure: the text is put behind pieces of each
+language's own dictionary, which cost a few bytes, and the bytes that it adds
+to them are counted over ``CONTEXTS`` pieces.
+
 Learning reads a bounded sample: ``SAMPLE_DOCS`` documents per language, those
-with the least hash of their id, and ``DICTIONARY_BYTES`` of their text.
+with the least hash of their id, and ``DICTIONARY_BYTES`` of their text, of
+each an even share that begins at a place chosen by hash, so that what all
+texts of a source begin with does not fill the dictionary.
 Prediction is narrow: whole texts, no shuffle, dictionaries by broadcast
 (languages x ``DICTIONARY_BYTES``).
 """
@@ -17,6 +25,7 @@ Prediction is narrow: whole texts, no shuffle, dictionaries by broadcast
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,9 +35,13 @@ from .common import fresh, small_batches
 
 #: Learning documents per language and bytes of each dictionary.
 SAMPLE_DOCS, DICTIONARY_BYTES = 500, 64 << 10
+#: Characters that reach the driver per language, as a multiple of DICTIONARY_BYTES.
+SLACK = 4
 #: Bytes that are compressed at once.
 BLOCK = 2048
 LEVEL = 12
+#: Pieces of a dictionary that a short text is put behind, and their bytes.
+CONTEXTS, CONTEXT_BYTES = 16, 192
 #: A smaller relative margin is too narrow to tell languages apart.
 MIN_MARGIN = 0.003
 UNKNOWN = "und"
@@ -47,12 +60,13 @@ def held_out(id_col: str):
 
 
 def dictionary(texts: list[str]) -> bytes:
-    """Even shares of the texts, so that no long one fills the dictionary."""
+    """Even shares of the texts, so that no long one fills the dictionary, each from a place chosen by hash."""
     parts, room = [], DICTIONARY_BYTES
     encoded = sorted((letters(t).encode() for t in texts), key=lambda b: (len(b), b))
     for k, b in enumerate(encoded):
         take = min(len(b), room // (len(encoded) - k))
-        parts.append(b[:take])
+        at = zlib.crc32(b) % (len(b) - take + 1)
+        parts.append(b[at: at + take])
         room -= take
     return b" ".join(p for p in parts if p)
 
@@ -67,9 +81,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     some = rows.select("l", "t", "i", unit).join(F.broadcast(counts), "l").filter(F.col("u") * F.col("n") < 3 * SAMPLE_DOCS)
     first = Window.partitionBy("l").orderBy("u", "i", "t")  # about 3 x SAMPLE_DOCS rows of each language
     picked = some.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= SAMPLE_DOCS)
-    # what a dictionary can take of a text
+    # what a dictionary can take of a text: a few times its even share, from a place chosen by hash
+    much = F.ceil(F.lit(SLACK * DICTIONARY_BYTES) / F.least("n", F.lit(SAMPLE_DOCS))).cast("int")
+    at = F.pmod(F.xxhash64("t"), F.greatest(F.length("t") - much, F.lit(0)) + 1).cast("int") + 1
     texts: dict[str, list[str]] = {}
-    for r in picked.select("l", F.substring("t", 1, DICTIONARY_BYTES).alias("t")).collect():
+    for r in picked.select("l", F.substring("t", at, much).alias("t")).orderBy("l", "t").collect():
         texts.setdefault(r["l"], []).append(r["t"])
     return {lang: d for lang, t in sorted(texts.items()) if (d := dictionary(t))}
 
@@ -78,11 +94,18 @@ def classifier(dictionaries: dict[str, bytes]):
     """text -> (language, score, accepted)."""
     import zstandard as zstd
 
-    compressors = []
+    compressors, contexts = [], {}
     for lang, content in dictionaries.items():
         d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(level=LEVEL)
         compressors.append((lang, zstd.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False)))
+        step = max((len(content) - CONTEXT_BYTES) // CONTEXTS, 1)
+        pieces = [content[i * step: i * step + CONTEXT_BYTES] for i in range(CONTEXTS)]
+        contexts[lang] = [(p, len(compressors[-1][1].compress(p))) for p in pieces]
+
+    def ranked(sizes):
+        (best, lang), (second, _) = sorted(sizes)[:2]
+        return lang, 1 - best / second if second > 0 else 0.0
 
     def classify(text: str | None):
         plain = letters(text or "")
@@ -90,12 +113,15 @@ def classifier(dictionaries: dict[str, bytes]):
             return UNKNOWN, 0.0, False
         raw = plain.encode()
         blocks = [raw[i: i + BLOCK] for i in range(0, len(raw), BLOCK)]
-        sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in compressors)
-        if len(sizes) == 1:
-            return sizes[0][1], 0.0, True
-        (best, lang), (second, _) = sizes[:2]
-        score = 1 - best / second
-        return lang, score, score >= MIN_MARGIN
+        if len(compressors) == 1:
+            return compressors[0][0], 0.0, True
+        sizes = [(sum(len(c.compress(b)) for b in blocks), lang) for lang, c in compressors]
+        lang, score = ranked(sizes)
+        if score == 0:  # between those that are equal: what the beginning of the text adds to pieces of their dictionaries
+            least = min(sizes)[0]
+            lang, score = ranked([(sum(len(c.compress(p + b" " + blocks[0])) - n for p, n in contexts[x]), x)
+                                  for (size, x), (_, c) in zip(sizes, compressors, strict=True) if size == least])
+        return lang, min(max(score, 0.0), 1.0), score >= MIN_MARGIN
 
     return classify
 
@@ -126,8 +152,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     ``lang_col`` is read by learning alone.  Texts that are null or have no
     letter are ``und`` (score 0, not accepted), and so is every text if there
     is nothing to learn from; with one language learned, all texts with
-    letters are that language.  Equal sizes go to the first language in
-    alphabetical order, with score 0.  Rows with null id or language are
+    letters are that language.  Sizes that are equal by the finer measure, too,
+    go to the first language in alphabetical order, with score 0.  Rows with null id or language are
     predicted, too; an empty table gives an empty one.
     """
     model = learn(docs, id_col, text_col, lang_col)

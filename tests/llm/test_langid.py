@@ -4,6 +4,8 @@ from brute import CLASHING, documents
 from conftest import SF001
 from crowdtrust.llm import langid, queries
 
+SF01 = "/root/testdata/sf0.1"
+
 
 def test_held_out_accuracy(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()}
@@ -47,3 +49,60 @@ def test_whole_texts_count(spark):
     en, de = "the cat sat on the mat and then the dog came home ", "der hund und die katze schlafen auf dem alten dach "
     classify = langid.classifier({"de": langid.dictionary([de * 50]), "en": langid.dictionary([en * 50])})
     assert classify(en * 20 + de * 400)[0] == "de" and classify(de * 20 + en * 400)[0] == "en"
+
+
+def plain_classify(dictionaries, text):
+    """The method once more, in plain steps."""
+    import re
+
+    import zstandard
+
+    raw = re.sub(r"[\W\d_]+", " ", (text or "").lower()).strip().encode()
+    if not re.search(r"[^\W\d_]", text or ""):
+        return "und", 0.0
+
+    def size(lang, data):
+        d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=12)
+        return len(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False).compress(data))
+
+    blocks = [raw[i: i + 2048] for i in range(0, len(raw), 2048)]
+    first = sorted((sum(size(x, b) for b in blocks), x) for x in dictionaries)
+    if first[0][0] < first[1][0]:
+        return first[0][1], 1 - first[0][0] / first[1][0]
+    added = []
+    for n, x in first:
+        if n == first[0][0]:
+            step = max((len(dictionaries[x]) - 192) // 16, 1)
+            pieces = [dictionaries[x][i * step: i * step + 192] for i in range(16)]
+            added.append((sum(size(x, p + b" " + blocks[0]) - size(x, p) for p in pieces), x))
+    added.sort()
+    return added[0][1], 1 - added[0][0] / added[1][0]
+
+
+def test_predictions_are_those_of_the_plain_method(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    model = langid.learn(docs)
+    classify = langid.classifier(model)
+    texts = [r.text for r in docs.collect()]
+    for text in [t for t in texts if t and len(t) < 60][:25] + texts[:25] + [None, "", "12", "a"]:
+        lang, score, _ = classify(text)
+        want = plain_classify(model, text)
+        assert (lang, round(score, 12)) == (want[0], round(want[1], 12))
+
+
+def test_short_documents_are_told_apart(spark):
+    """One to five words: no ties for the alphabet to settle, few of them lost."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF01}/documents.parquet").collect() if r.text}
+    classify = langid.classifier(langid.learn(spark.read.parquet(f"{SF01}/documents.parquet")))
+    short = [(classify(r.text), r.lang) for r in docs.values() if len(r.text.split()) <= 5 and any(map(str.isalpha, r.text))]
+    assert len(short) > 50
+    assert sum(c[0] == lang for c, lang in short) >= 0.75 * len(short) and sum(c[2] for c, _ in short) >= 0.95 * len(short)
+
+
+def test_learning_text_is_not_the_beginning_alone():
+    """A banner that opens every text fills only a share of the dictionary; very long texts give their share, too."""
+    banner, r = "read our terms and conditions before you go on ", __import__("random").Random(1)
+    texts = [banner * 4 + " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(400)) for _ in range(400)] + ["zz " * 200_000]
+    d = langid.dictionary(texts)
+    assert len(d) <= langid.DICTIONARY_BYTES + len(texts) and d.count(b"terms and conditions") < 150 and b"zz zz" in d
