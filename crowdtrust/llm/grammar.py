@@ -18,9 +18,12 @@ File format: Parquet rows, one per shard:
     rules             uint32 pairs: what each rule stands for
     rule_sizes        uint32: the number of ids a rule expands to
     symbols           uint32: what is left of the shard
+    anchors           uint64: how many ids lie before every ``ANCHOR``-th symbol
 
-Any range of ids is read by adding up the symbols' expansion sizes and
-expanding only the symbols that meet the range (:func:`read_range`).
+A range of ids is read from the anchor before it: the sizes of less than
+``ANCHOR`` symbols are added up, and of the rules only those are taken apart
+that meet the range, level by level (:func:`read_range`).  That takes time by
+the length of the range and the depth of the rules, not by the shard's size.
 """
 
 from __future__ import annotations
@@ -41,11 +44,13 @@ WORKER_UNITS = 1_200_000
 MIN_COUNT = 2
 ROUND_SHARE = 4
 _HASH_BITS = 18
+#: Symbols between two anchors.
+ANCHOR = 512
 #: Most bytes of per-part offsets that are broadcast; a shuffled join beyond.
 BROADCAST_BYTES = 32 << 20
 
 FORMAT = ("part int, shard int, ids_before long, n_ids long, terminals long, doc_ids array<long>, doc_sizes array<long>, "
-          "doc_symbols array<long>, rules binary, rule_sizes binary, symbols binary")
+          "doc_symbols array<long>, rules binary, rule_sizes binary, symbols binary, anchors binary")
 
 
 def compress(ids, doc_ends, terminals: int, min_count: int = MIN_COUNT):
@@ -145,22 +150,73 @@ def expand(symbols, rules, terminals: int):
     return out
 
 
+def _sizes(symbols, sizes, terminals: int):
+    """The number of ids that each symbol stands for; ``sizes`` are those of the rules."""
+    import numpy as np
+
+    out = np.ones(len(symbols), dtype=np.int64)
+    big = symbols >= terminals
+    out[big] = sizes[symbols[big] - np.uint32(terminals)]
+    return out
+
+
+def anchors(symbols, sizes, terminals: int):
+    """How many ids lie before every ``ANCHOR``-th symbol."""
+    import numpy as np
+
+    own = _sizes(symbols, sizes, terminals)
+    return (np.cumsum(own) - own)[::ANCHOR]
+
+
 def read_range(shard: dict, lo: int, hi: int):
-    """ids lo to hi (exclusive) of a shard row; expands only what it needs."""
+    """ids lo to hi (exclusive) of a shard row, without those outside it."""
     import numpy as np
 
     t = shard["terminals"]
     rules = np.frombuffer(shard["rules"], dtype="<u4").reshape(-1, 2)
+    sizes = np.frombuffer(shard["rule_sizes"], dtype="<u4")
     symbols = np.frombuffer(shard["symbols"], dtype="<u4")
-    sizes = np.ones(len(symbols), dtype=np.int64)
-    big = symbols >= t
-    sizes[big] = np.frombuffer(shard["rule_sizes"], dtype="<u4")[symbols[big] - np.uint32(t)]
-    start = np.cumsum(sizes) - sizes
-    a = int(np.searchsorted(start, lo, side="right")) - 1 if len(symbols) else 0
-    b = int(np.searchsorted(start, hi, side="left"))
-    if hi <= lo or a >= b:
+    start = np.frombuffer(shard["anchors"], dtype="<u8")
+    lo, hi = max(lo, 0), min(hi, shard["n_ids"])
+    if hi <= lo:
         return symbols[:0]
-    return expand(symbols[a:b], rules, t)[lo - start[a]: hi - start[a]]
+    a = int(np.searchsorted(start, lo, side="right")) - 1
+    b = int(np.searchsorted(start, hi, side="left"))
+    s, before = symbols[a * ANCHOR: b * ANCHOR], int(start[a])
+    while True:
+        own = _sizes(s, sizes, t)
+        at = before + np.cumsum(own) - own
+        meets = (at < hi) & (at + own > lo)
+        s, at = s[meets], at[meets]
+        big = s >= t
+        if not big.any():
+            return s
+        # each rule gives way to what it stands for, one level
+        before, n = int(at[0]), np.where(big, 2, 1)
+        place = (np.cumsum(n) - n)[big]
+        pair = rules[s[big] - np.uint32(t)]
+        s = np.repeat(s, n)
+        s[place], s[place + 1] = pair[:, 0], pair[:, 1]
+
+
+def read_span(spark, path: str, lo: int, hi: int) -> DataFrame:
+    """(start, ids): ids lo to hi (exclusive) of all shards in order, a row per
+    shard that meets the range, ``start`` counted over all; only those shards
+    are read whole, and of them only the range is expanded."""
+    shards = spark.read.schema(FORMAT).parquet(path)
+    at = F.col("part_start") + F.col("ids_before")
+    met = shards.join(_part_starts(shards), "part").withColumn("at", at).filter((F.col("at") < hi) & (F.col("at") + F.col("n_ids") > lo))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                ids = read_range(row, lo - row["at"], hi - row["at"])
+                yield pa.RecordBatch.from_arrays([pa.array([max(lo, row["at"])]), pa.array([ids.astype("<u4").tobytes()], pa.binary())], names=["start", "ids"])
+
+    return met.select("at", "n_ids", "terminals", "rules", "rule_sizes", "symbols", "anchors").mapInArrow(run, "start long, ids binary")
 
 
 def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -183,7 +239,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_c
         end = np.array([end_id], dtype="<u4").tobytes()
         schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("ids_before", pa.int64()), ("n_ids", pa.int64()), ("terminals", pa.int64()),
                             *((c, pa.list_(pa.int64())) for c in ("doc_ids", "doc_sizes", "doc_symbols")),
-                            *((c, pa.binary()) for c in ("rules", "rule_sizes", "symbols"))])
+                            *((c, pa.binary()) for c in ("rules", "rule_sizes", "symbols", "anchors"))])
         before, shard = 0, 0
         names: list = []
         held: list[bytes] = []
@@ -195,10 +251,11 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_c
             ends = np.zeros(len(ids), bool)
             ends[np.cumsum(sizes) - 1] = True
             rules, symbols, last = compress(ids, ends, terminals)
+            own = np.array(rule_sizes(rules, terminals), dtype="<u4")
             row = {"part": part, "shard": shard, "ids_before": before, "n_ids": len(ids), "terminals": terminals,
                    "doc_ids": list(names), "doc_sizes": sizes.tolist(), "doc_symbols": np.diff(np.flatnonzero(last), prepend=-1).tolist(),
-                   "rules": rules.astype("<u4").tobytes(), "rule_sizes": np.array(rule_sizes(rules, terminals), dtype="<u4").tobytes(),
-                   "symbols": symbols.astype("<u4").tobytes()}
+                   "rules": rules.astype("<u4").tobytes(), "rule_sizes": own.tobytes(), "symbols": symbols.astype("<u4").tobytes(),
+                   "anchors": anchors(symbols, own, terminals).astype("<u8").tobytes()}
             before, shard = before + len(ids), shard + 1
             names.clear()
             held.clear()
@@ -222,15 +279,19 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_c
     d.select("doc_id", "text").mapInArrow(run, FORMAT).write.option("compression", "zstd").parquet(path)
 
 
+def _part_starts(shards: DataFrame) -> DataFrame:
+    """(part, part_start): the ids before each part; a row per part."""
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    parts = parts.select("part", F.coalesce(F.sum("n").over(
+        Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_start"))
+    return F.broadcast(parts) if parts.count() * 16 <= BROADCAST_BYTES else parts
+
+
 def read_ids(spark, path: str) -> DataFrame:
     """Every document of the shards below ``path``: doc_id, start (ids of all
     documents before it), n_tokens, ids (little-endian uint32 bytes)."""
     shards = spark.read.schema(FORMAT).parquet(path)
-    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    parts = parts.select("part", F.coalesce(F.sum("n").over(
-        Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_start"))  # a row per part
-    if parts.count() * 16 <= BROADCAST_BYTES:
-        parts = F.broadcast(parts)
+    parts = _part_starts(shards)
 
     def run(batches):
         import numpy as np

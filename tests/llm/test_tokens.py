@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 from brute import documents
 from crowdtrust.llm import bpe, grammar, tokens
+from crowdtrust.session import scratch_path
 
 VOCABULARY = path("byte_bpe_50k.json")
 BITS = ["a", " ", "  ", "\n", "\t", "'s", "'ll", "'", "é", "ß", "ñ", "×", "中", "文", "😀", " ", "​", "²", "٣", "_", "-", "...", ".", ",",
@@ -67,6 +68,44 @@ def test_encode_decode_rows(spark, library):
     assert bpe.encode_decode(documents(spark, []), VOCABULARY).collect() == []
 
 
+def shard_row(ids, rules, symbols, terminals):
+    sizes = np.array(grammar.rule_sizes(rules, terminals), dtype="<u4")
+    return {"terminals": terminals, "n_ids": len(ids), "rules": rules.astype("<u4").tobytes(), "rule_sizes": sizes.tobytes(), "symbols": symbols.astype("<u4").tobytes(),
+            "anchors": grammar.anchors(symbols, sizes, terminals).astype("<u8").tobytes()}
+
+
+@pytest.mark.parametrize("anchor", [1, 3, 512])
+def test_random_access(monkeypatch, anchor):
+    monkeypatch.setattr(grammar, "ANCHOR", anchor)
+    r = np.random.default_rng(anchor)
+    phrases = [r.integers(0, 50, r.integers(2, 40)) for _ in range(60)]
+    ids = np.concatenate([phrases[i] for i in r.integers(0, 60, 900)]).astype(np.uint32)
+    ends = np.arange(len(ids)) % 700 == 699
+    ends[-1] = True
+    rules, symbols, _ = grammar.compress(ids, ends, 50)
+    shard = shard_row(ids, rules, symbols, 50)
+    for lo, hi in [(0, 1), (len(ids) - 1, len(ids)), (0, len(ids)), (-5, 10 ** 9), (7, 7), (9, 3), *(sorted(r.integers(0, len(ids) + 1, 2).tolist()) for _ in range(60))]:
+        assert (grammar.read_range(shard, lo, hi) == ids[max(lo, 0): max(hi, 0)]).all()
+    for i in r.integers(0, len(ids), 300).tolist():
+        assert grammar.read_range(shard, i, i + 1).tolist() == [ids[i]]
+
+
+def test_one_id_costs_the_same_in_a_large_shard():
+    """One id of a shard of eight times the size takes about as long, and far less than expanding the shard."""
+    import timeit
+
+    r = np.random.default_rng(0)
+    phrases = [r.integers(0, 5000, r.integers(2, 60)) for _ in range(3000)]
+    took = []
+    for n in (2000, 16000):
+        ids = np.concatenate([phrases[i] for i in r.integers(0, 3000, n)]).astype(np.uint32)
+        rules, symbols, _ = grammar.compress(ids, np.arange(len(ids)) == len(ids) - 1, 5000)
+        shard = shard_row(ids, rules, symbols, 5000)
+        took.append(min(timeit.repeat(lambda: grammar.read_range(shard, len(ids) // 2, len(ids) // 2 + 1), number=20, repeat=5)) / 20)  # noqa: B023
+        whole = min(timeit.repeat(lambda: grammar.expand(symbols, rules, 5000), number=1, repeat=3))  # noqa: B023
+    assert took[1] < 4 * took[0] and took[1] < whole / 5
+
+
 def test_grammar_round_trip_and_ranges():
     r = np.random.default_rng(1)
     for ids in (r.integers(0, 6, 20000), np.zeros(1000, int), np.arange(500), np.tile([1, 2, 3, 4], 900), np.zeros(0, int), np.array([7])):
@@ -80,7 +119,7 @@ def test_grammar_round_trip_and_ranges():
         sizes = grammar.rule_sizes(rules, 600)
         size = np.array([1 if s < 600 else sizes[s - 600] for s in symbols.tolist()], dtype=int)
         assert (np.cumsum(size)[last] - 1 == np.flatnonzero(ends)).all()  # no pair across a document's end
-        shard = {"terminals": 600, "rules": rules.tobytes(), "rule_sizes": np.array(sizes, dtype="<u4").tobytes(), "symbols": symbols.tobytes()}
+        shard = shard_row(ids, rules, symbols, 600)
         for lo, hi in [(0, len(ids)), (0, 0), *(sorted(r.integers(0, len(ids) + 1, 2).tolist()) for _ in range(20))]:
             assert (grammar.read_range(shard, lo, hi) == ids[lo:hi]).all()
     assert len(grammar.compress(np.tile([1, 2, 3, 4], 9000), np.arange(36000) % 3600 == 3599, 50)[1]) < 1000
@@ -108,6 +147,28 @@ def test_grammar_leaves_no_repeated_pair():
     assert len(grammar.compress(np.arange(5) % 2, np.ones(5, bool), 50)[1]) == 5
 
 
+@pytest.mark.parametrize("broadcast", [32 << 20, 0])
+def test_token_files_of_many_shards(spark, library, monkeypatch, broadcast):
+    """Several shards in a task, read back whole and by any range over all of them; part offsets broadcast or joined."""
+    monkeypatch.setattr(grammar, "SHARD_IDS", 100)
+    monkeypatch.setattr(grammar, "BROADCAST_BYTES", broadcast)
+    r = random.Random(2)
+    words = ["alpha", "beta", "gamma delta", "the", "of", "x1"]
+    rows = [(i, " ".join(r.choices(words, k=r.randint(0, 80)))) for i in range(60)] + [(60, "long " * 2000)]
+    where = scratch_path(spark, "many-shards")
+    grammar.write_ids(documents(spark, rows).repartition(3), where, VOCABULARY, 2)
+    shards = spark.read.schema(grammar.FORMAT).parquet(where).select("part", "shard", "ids_before", "n_ids").collect()
+    assert len(shards) > 20 and max(x.shard for x in shards) > 1 and any(x.ids_before for x in shards)
+    every = [i for _, t in rows for i in [*library.encode(t).ids, 2]]
+    out = sorted(grammar.read_ids(spark, where).collect(), key=lambda x: x.start)
+    assert [x.doc_id for x in out] == list(range(61)) and [i for x in out for i in ids_of(x.ids)] == every
+    assert [x.start for x in out] == np.cumsum([0, *(x.n_tokens for x in out)])[:-1].tolist()
+    for lo, hi in [(0, 1), (0, len(every)), (len(every) - 1, len(every)), (250, 1700), (3, 3)]:
+        pieces = sorted(grammar.read_span(spark, where, lo, hi).collect(), key=lambda x: x.start)
+        assert [i for x in pieces for i in ids_of(x.ids)] == every[lo:hi]
+        assert [x.start for x in pieces] == np.cumsum([lo, *(len(x.ids) // 4 for x in pieces)])[:-1].tolist()
+
+
 def test_token_files(spark, library, monkeypatch):
     rows = [(5, "five " * 400), (2, None), (9, "Nine.\nlines"), (None, "no id"), (3, ""), (7, "seven " * 900), (2, None), (-4, "minus")]
     df = documents(spark, rows).repartition(4)
