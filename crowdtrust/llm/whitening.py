@@ -63,11 +63,11 @@ def sturm_counts(diag, off, x):
     import numpy as np
 
     tiny = np.finfo(float).tiny ** 0.5
-    q = diag[0] - x
-    count = (q < 0).astype(np.int64)
-    for i in range(1, len(diag)):
+    count = np.zeros(len(x), dtype=np.int64)
+    q = np.ones(len(x))
+    for i in range(len(diag)):
+        q = diag[i] - x - (off[i - 1] * off[i - 1] / q if i else 0)
         q = np.where(np.abs(q) < tiny, -tiny, q)
-        q = diag[i] - x - off[i - 1] * off[i - 1] / q
         count += q < 0
     return count
 
@@ -196,7 +196,7 @@ def fit_sums(rows: DataFrame) -> tuple[int, list[int]]:
             sizes = np.diff(batch.column("v").offsets.to_numpy())
             d = int(sizes.max(initial=0))
             n += batch.num_rows
-            x = whole(matrix(batch.column("v"), d))
+            x = whole(matrix(batch.column("v"), d) if d else np.zeros((batch.num_rows, 0)))
             there = np.arange(d) < sizes[:, None]  # beyond its end a vector is zero, counted below
             # halves, so that sums of whole numbers up to 2^53 do not overflow
             high, low = np.where(there, x >> 26, 0).sum(axis=0), np.where(there, x & (1 << 26) - 1, 0).sum(axis=0)
