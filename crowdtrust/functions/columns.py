@@ -53,3 +53,10 @@ def two_class_posterior(log_a, log_b) -> Column:
     m = F.greatest(a, b)
     ea, eb = F.exp(a - m), F.exp(b - m)
     return ea / (ea + eb)
+
+
+def gamma_bin(g, bins: int) -> Column:
+    """The bin of γ among ``bins`` equal ones over [0, 1]; 1 is in the last.
+    Nine decimals count, so that a value on an edge falls alike whatever the
+    order in which its sums were added."""
+    return F.least(F.floor(F.round(_col(g), 9) * bins), F.lit(bins - 1)).cast("int")

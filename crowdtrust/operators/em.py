@@ -2,7 +2,8 @@
 
 One iteration is one Spark job over the vote store:
 
-    E:  votes ⋈ broadcast(params) → group by prompt        (no exchange: bucketed)
+    E:  votes ⋈ params (broadcast, or routed to the votes' buckets)
+        → group by prompt                                  (no exchange of votes: bucketed)
     M:  votes ⋈ posterior (same buckets, shuffle-hash join) → partial sums by
         annotator → small exchange → new params
 
@@ -23,12 +24,13 @@ from the last M-step (one half-step newer), as in the reference.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crowdtrust.functions.columns import clip, two_class_posterior
-from crowdtrust.operators.votes import VoteStore
+from crowdtrust.functions.columns import clip, gamma_bin, two_class_posterior
+from crowdtrust.operators.votes import BUCKET, PromptTable, VoteStore, group_part
 from crowdtrust.session import checkpoint_root
 from crowdtrust.sources.io import dense_ids
 
@@ -156,17 +158,25 @@ class EMResult:
     params: DataFrame         # (group.., annotator_id, params.., inferred_acc)
     history: DataFrame        # (group.., iteration, l1_parameter_loss, max_gamma_shift[, pi1])
     frames: DataFrame | None  # (group.., iteration, annotator_id, inferred_acc) when tracked
-    iterations: dict          # group key tuple -> iterations run
     state: DataFrame          # checkpointed parameter table (cur/prev) for warm steps
+    group_cols: list          # group columns of the caller
+    gamma_histogram: DataFrame | None = None  # (group.., iteration, bin, n_prompts) at the chosen iterations
+
+    @property
+    def iterations(self) -> dict:
+        """Group key tuple -> iterations run; (0,) without groups.  Collects a row per group."""
+        most = self.history.groupBy(*self.group_cols).agg(F.max("iteration").alias("_n"))
+        return {tuple(r[g] for g in self.group_cols) or (0,): r["_n"] for r in most.collect()}
 
 
 class EMEngine:
     """Runs one EM model over a ``VoteStore``."""
 
-    def __init__(self, store: VoteStore, model, prior: DataFrame | None = None):
+    def __init__(self, store: VoteStore, model, prior: DataFrame | PromptTable | None = None, truth: PromptTable | None = None):
         self.store = store
         self.model = model
         self.prior = prior
+        self.truth = truth
         self.gk = store.prompt_keys
         self.ak = store.annotator_keys
         self.spark = store.cold.sparkSession
@@ -189,13 +199,29 @@ class EMEngine:
         return {s: _c(f"{s}_{suffix}") for s in self.model.scalars}
 
     # ----------------------------------------------------------- E-step
-    def _posteriors(self, rows: DataFrame, state: DataFrame, with_prev: bool) -> DataFrame:
-        """Per-prompt posterior γ (and γ of the previous parameters)."""
+    def _with_params(self, state: DataFrame, hot: bool) -> DataFrame:
+        """Vote rows with their annotator's parameters; rows of annotators that are not in the state go."""
+        store, m = self.store, self.model
+        st = state.select(*self.ak, *[f"{p}_{s}" for p in m.params + m.scalars for s in ("cur", "prev")])
+        if store.broadcast_params:
+            return (store.hot if hot else store.cold).join(F.broadcast(st), self.ak)
+        if hot:
+            return store.hot.join(st.repartition(store.num_buckets, *self.ak).hint("shuffle_hash"), self.ak)
+        return store.cold.join(store.params_at_cold(st).hint("shuffle_hash"), [BUCKET, *self.ak])
+
+    def _beside(self, g: DataFrame, values: DataFrame | PromptTable, hot: bool, col: str, name: str) -> DataFrame:
+        """Per-prompt rows with a per-prompt value."""
+        if not isinstance(values, PromptTable):
+            return g.join(values.select(*self.gk, F.col(col).alias(name)), self.gk, "left")
+        if hot:
+            return g.join(F.broadcast(values.hot.select(*self.gk, F.col(col).alias(name))), self.gk, "left")
+        keys = self.store.cold_keys
+        return g.join(values.cold.select(*keys, F.col(col).alias(name)).hint("shuffle_hash"), keys, "left")
+
+    def _posteriors(self, hot: bool, state: DataFrame, with_prev: bool) -> DataFrame:
+        """Per-prompt posterior γ (and γ of the previous parameters) of the hot or the cold prompts."""
         m = self.model
-        pcols = [f"{p}_{s}" for p in m.params + m.scalars for s in ("cur", "prev")]
-        st = state.select(*self.ak, *pcols)
-        st = F.broadcast(st) if self.store.broadcast_params else st
-        j = rows.join(st, self.ak)
+        j = self._with_params(state, hot)
         v, n = _c("vote"), _c("n")
         ta, tb = m.vote_terms(v, self._pdict("cur"))
         aggs = [F.sum(n * ta).alias("_sa"), F.sum(n * tb).alias("_sb"),
@@ -206,11 +232,13 @@ class EMEngine:
             aggs += [F.sum(n * pa).alias("_sa0"), F.sum(n * pb).alias("_sb0"),
                      F.max(F.col(f"{m.params[0]}_prev").isNull().cast("int")).alias("_first")]
             aggs += [F.first(f"{s}_prev").alias(f"{s}_prev") for s in m.scalars]
-        g = j.groupBy(*self.gk).agg(*aggs)
+        g = j.groupBy(*(self.gk if hot else self.store.cold_keys)).agg(*aggs)
         prior = None
         if self.prior is not None:
-            g = g.join(self.prior.select(*self.gk, F.col("prior").alias("_prior")), self.gk, "left")
+            g = self._beside(g, self.prior, hot, "prior", "_prior")
             prior = _c("_prior")
+        if with_prev and self.truth is not None:
+            g = self._beside(g, self.truth, hot, "truth_is_a", "_truth")
         la, lb = m.prior_terms(prior, self._sdict("cur"))
         g = g.withColumn("_g", two_class_posterior(la + _c("_sa"), lb + _c("_sb")))
         if with_prev:
@@ -227,25 +255,26 @@ class EMEngine:
         for p in m.params + m.scalars:
             ren[f"{p}_cur"] = _c(f"{p}_{which}")
         st = state.withColumns(ren)
-        parts = [self._posteriors(self.store.cold, st, False)]
-        if self.store.hot is not None:
-            parts.append(self._posteriors(self.store.hot, st, False))
-        out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        return out.select(*self.gk, _c("_g").alias("trust_weight"))
+        cols = [*self.gk, _c("_g").alias("trust_weight")]
+        out = self._posteriors(False, st, False).select(*cols)
+        return out if self.store.hot is None else out.unionByName(self._posteriors(True, st, False).select(*cols))
 
     # ----------------------------------------------------------- one iteration
-    def _m_rows(self, rows: DataFrame, post: DataFrame, broadcast_post: bool) -> DataFrame:
-        keep = post.select(*self.gk, "_g", "_g0", "_lead")
-        keep = F.broadcast(keep) if broadcast_post else keep.hint("shuffle_hash")
-        return rows.join(keep, self.gk)
-
-    def step(self, state: DataFrame) -> DataFrame:
-        """E-step with ``*_cur`` params, M-step → next state (cur ← new, prev ← cur)."""
+    def _m_rows(self, hot: bool, state: DataFrame) -> DataFrame:
+        """Votes with their prompt's posterior: inside the bucket, the hot ones by broadcast."""
+        keys = self.gk if hot else self.store.cold_keys
+        values = ["_g", "_g0", "_lead"] + (["_truth"] if self.truth is not None else [])
+        keep = self._posteriors(hot, state, True).select(*keys, *values)
+        rows = (self.store.hot if hot else self.store.cold).join(F.broadcast(keep) if hot else keep.hint("shuffle_hash"), keys)
+        return rows.select(*self.gk, "annotator_id", "vote", "n", *values)
+
+    def step(self, state: DataFrame, bins: int | None = None) -> DataFrame:
+        """E-step with ``*_cur`` params, M-step → next state (cur ← new, prev ← cur).
+        ``bins``: also count the prompts' γ in so many equal bins."""
         m = self.model
-        joined = [self._m_rows(self.store.cold, self._posteriors(self.store.cold, state, True), False)]
+        rows = self._m_rows(False, state)
         if self.store.hot is not None:
-            joined.append(self._m_rows(self.store.hot, self._posteriors(self.store.hot, state, True), True))
-        rows = joined[0] if len(joined) == 1 else joined[0].unionByName(joined[1])
+            rows = rows.unionByName(self._m_rows(True, state))
         v, n, g = _c("vote"), _c("n"), _c("_g")
         # exactly one "lead" row per prompt: its smallest (annotator, vote)
         lead = (_c("annotator_id") * 2 + v) == _c("_lead")
@@ -254,6 +283,15 @@ class EMEngine:
         aggs += [F.max(F.abs(g - _c("_g0"))).alias("_shift"),
                  F.sum(F.when(lead, g).otherwise(F.lit(0.0))).alias("_gsum"),
                  F.sum(F.when(lead, F.lit(1)).otherwise(F.lit(0))).cast("double").alias("_gcnt")]
+        extra = []
+        if self.truth is not None:
+            error = F.when(lead, F.pow(g - _c("_truth"), 2))  # null without a label
+            aggs += [F.sum(error).alias("_lse"), F.count(error).alias("_lcnt")]
+            extra += ["_lse", "_lcnt"]
+        if bins:
+            own = gamma_bin(g, bins)
+            aggs += [F.count(F.when(lead & (own == i), 1)).alias(f"_bin{i}") for i in range(bins)]
+            extra += [f"_bin{i}" for i in range(bins)]
         a = rows.groupBy(*self.ak).agg(*aggs)
         # the current params become the previous ones: joined to the aggregate, a row per annotator, not to the votes
         st = state.select(*self.ak, *[_c(f"{p}_cur").alias(f"{p}_prev") for p in m.params])
@@ -261,46 +299,48 @@ class EMEngine:
         newp = m.m_params({k: _c(k) for k in sums})
         a = a.withColumns({f"{p}_cur": e for p, e in newp.items()})
         cols = [*self.ak] + [f"{p}_{s}" for p in m.params for s in ("cur", "prev")]
-        return a.select(*cols, "_shift", "_gsum", "_gcnt")
+        return a.select(*cols, "_shift", "_gsum", "_gcnt", *extra)
 
-    def group_stats(self, stepped: DataFrame, state: DataFrame,
-                    worker_truth: DataFrame | None) -> list:
-        """Per-group shift, L1 against worker truth, next scalars (one small job)."""
+    def group_stats(self, stepped: DataFrame, state: DataFrame, worker_truth: DataFrame | None) -> DataFrame:
+        """A row per group: shift, L1 against worker truth, next scalars; with
+        labels the two parts of 𝓛_EM; the γ histogram where it was counted."""
         m = self.model
         gc = self.store.group_cols
         p = {q: _c(f"{q}_cur") for q in m.params}
-        acc = stepped.select(*self.ak, m.accuracy(p).alias("_acc"), "_shift", "_gsum", "_gcnt")
+        bins = [c for c in stepped.columns if c.startswith("_bin")]
+        acc = stepped.withColumn("_acc", m.accuracy(p))
+        l1 = mse = F.lit(None).cast("double")
         if worker_truth is not None:
             wt = worker_truth.select(*self.ak, F.col("true_acc").cast("double").alias("_true"))
             acc = acc.join(wt, self.ak, "left")
-            l1 = F.avg(F.abs(_c("_true") - _c("_acc")))
-        else:
-            l1 = F.lit(None).cast("double")
+            l1, mse = F.avg(F.abs(_c("_true") - _c("_acc"))), F.avg(F.pow(_c("_true") - _c("_acc"), 2))
         aggs = [F.max("_shift").alias("max_gamma_shift"), l1.alias("l1_parameter_loss"),
                 F.sum("_gsum").alias("_tgs"), F.sum("_gcnt").alias("_tgc")]
+        if self.truth is not None:
+            aggs += [(F.sum("_lse") / F.sum("_lcnt")).alias("label_mse"), mse.alias("worker_mse")]
+        if bins:
+            aggs.append(F.array(*[F.sum(f"_bin{i}") for i in range(len(bins))]).alias("_bins"))
         out = acc.groupBy(*gc).agg(*aggs)
+        if self.truth is not None:
+            out = out.withColumn("em_loss", _c("label_mse") + _c("worker_mse"))
         if m.scalars:
             prev = state.groupBy(*gc).agg(*[F.first(f"{s}_cur").alias(f"{s}_prev") for s in m.scalars])
             out = out.join(prev, gc)
             out = out.withColumns({f"{s}_cur": e for s, e in m.m_scalars(_c("_tgs"), _c("_tgc")).items()})
-        return out.collect()
+        return out
 
-    def with_scalars(self, stepped: DataFrame, stats: list) -> DataFrame:
-        """Next state: stepped params plus the group scalars (a bounded
-        table with one row per group, built from the collected stats)."""
+    def per_group(self, df: DataFrame) -> DataFrame:
+        """A table with a row per group, to be joined: no more groups than (group, annotator) pairs."""
+        return F.broadcast(df) if self.store.broadcast_params else df
+
+    def with_scalars(self, stepped: DataFrame, stats: DataFrame) -> DataFrame:
+        """Next state: stepped params plus the group scalars."""
         m = self.model
         gc = self.store.group_cols
         base = stepped.select(*self.ak, *[f"{p}_{s}" for p in m.params for s in ("cur", "prev")])
         if not m.scalars:
             return base
-        schema = self.store.cold.select(*gc).schema
-        from pyspark.sql.types import DoubleType, StructField, StructType
-        fields = list(schema.fields) + [StructField(f"{s}_{w}", DoubleType()) for s in m.scalars
-                                        for w in ("cur", "prev")]
-        rows = [tuple(r[g] for g in gc) + tuple(float(r[f"{s}_{w}"]) for s in m.scalars for w in ("cur", "prev"))
-                for r in stats]
-        sc = self.spark.createDataFrame(rows, StructType(fields))
-        return base.join(F.broadcast(sc), gc)
+        return base.join(self.per_group(stats.select(*gc, *[f"{s}_{w}" for s in m.scalars for w in ("cur", "prev")])), gc)
 
 
 def _norm_groups(votes: DataFrame, group_cols) -> tuple[DataFrame, list[str], bool]:
@@ -326,7 +366,8 @@ def fit(votes: DataFrame | VoteStore, model: str = "onecoin", *, prior_mode: str
         prior: DataFrame | None = None, worker_truth: DataFrame | None = None,
         group_cols=(), track_frames: bool = False, init: dict | None = None,
         state: DataFrame | None = None, num_buckets: int | None = None,
-        hot_threshold: int | None = None, compacted: bool = False, dense: bool = False) -> EMResult:
+        hot_threshold: int | None = None, compacted: bool = False, dense: bool = False,
+        truth: DataFrame | None = None, histogram_at=(), bins: int = 10) -> EMResult:
     """Run EM until ``max|Δγ| < tol`` or ``max_iter``.
 
     ``votes``: (group.., prompt_id, annotator_id, vote) or a built store.
@@ -338,6 +379,10 @@ def fit(votes: DataFrame | VoteStore, model: str = "onecoin", *, prior_mode: str
     ``dense``: also list the ids below the largest one that have no vote, as
     arrays over 0..max do: γ = 0.5 and the parameters of an empty sum
     (without groups only).
+    ``truth``: optional (prompt_id, truth_is_a); the history then also has
+    ``label_mse``, ``worker_mse`` and their sum ``em_loss`` (𝓛_EM, which needs
+    ``worker_truth``, too) of every iteration.
+    ``histogram_at``: iterations for which γ is counted in ``bins`` bins.
     A store that the fit built itself is gone when it returns.
     """
     em_model = make_model(model, prior_mode)
@@ -361,72 +406,76 @@ def fit(votes: DataFrame | VoteStore, model: str = "onecoin", *, prior_mode: str
     if worker_truth is not None:
         # per-annotator table read by every iteration's stats: materialise once
         worker_truth = worker_truth.select(*store.annotator_keys, "true_acc").checkpoint(eager=True)
-    eng = EMEngine(store, em_model, prior)
+    if prior is not None and max_iter > 1:
+        prior = store.per_prompt(prior.select(*[c for c in prior.columns if c in [*store.prompt_keys, "prior"]]))
+    labels = None if truth is None else store.per_prompt(truth.select("prompt_id", F.col("truth_is_a").cast("double")))
+    eng = EMEngine(store, em_model, prior, labels)
     st = state if state is not None else eng.initial_state(init)
-    history, frames, iters = [], [], {}
-    done: set = set()
-    all_groups = None
-    frozen = None
+    counted = set(histogram_at)
+    history, frames, hists, frozen = [], [], [], []
+    run = eng
     for it in range(1, max_iter + 1):
-        active = None
-        if done:
-            keep = [r for r in all_groups if r not in done]
-            active = spark.createDataFrame(keep, schema=store.cold.select(*gcols).schema)
-        run_eng = EMEngine(store.restrict(active), em_model, prior) if active is not None else eng
-        run_state = st if active is None else st.join(F.broadcast(active), gcols, "left_semi")
-        stepped = run_eng.step(run_state).checkpoint(eager=True)
-        stats = run_eng.group_stats(stepped, run_state, worker_truth)
-        if all_groups is None:
-            all_groups = [tuple(r[g] for g in gcols) for r in stats]
-        for r in stats:
-            key = tuple(r[g] for g in gcols)
-            row = {g: r[g] for g in gcols}
-            row.update(iteration=it, l1_parameter_loss=r["l1_parameter_loss"],
-                       max_gamma_shift=float(r["max_gamma_shift"]))
-            for s in em_model.scalars:
-                row[s] = float(r[f"{s}_cur"])
-            history.append(row)
-            iters[key] = it
-            if tol is not None and r["max_gamma_shift"] < tol:
-                done.add(key)
-        nxt = run_eng.with_scalars(stepped, stats)
-        if frozen is not None:
-            nxt = nxt.unionByName(frozen)
-        if frozen is not None or em_model.scalars:
-            # small table; cut its lineage so frozen groups do not chain up
+        stepped = run.step(st, bins if it in counted else None).checkpoint(eager=True)
+        stats = run.group_stats(stepped, st, worker_truth)
+        if store.single_group:  # one row
+            rows = stats.collect()
+            stats = spark.createDataFrame(rows, stats.schema)
+        else:
+            stats = stats.checkpoint(eager=True)
+        history.append(stats.withColumn("iteration", F.lit(it)))
+        if it in counted:
+            hists.append(stats.select(*gcols, F.lit(it).alias("iteration"), F.posexplode("_bins").alias("bin", "n_prompts")))
+        nxt = run.with_scalars(stepped, stats)
+        if em_model.scalars:
             nxt = nxt.checkpoint(eager=True)
         if track_frames:
             frames.append(_accuracy_table(em_model, nxt, store.annotator_keys)
                           .select(*store.annotator_keys, "inferred_acc").withColumn("iteration", F.lit(it)))
         st = nxt
-        if done:
-            dk = spark.createDataFrame(list(done), schema=store.cold.select(*gcols).schema)
-            frozen = st.join(F.broadcast(dk), gcols, "left_semi")
-            if len(done) == len(all_groups):
+        if tol is None:
+            continue
+        done = F.col("max_gamma_shift") < tol
+        if store.single_group:
+            if rows and rows[0]["max_gamma_shift"] < tol:
                 break
+            continue
+        left = stats.agg(F.count(F.when(done, 1)).alias("done"), F.count(F.when(~done, 1)).alias("active"),
+                         F.collect_set(F.when(~done, group_part(gcols))).alias("parts")).first()  # GROUP_PARTS numbers at most
+        if left["done"]:
+            marked = nxt.join(run.per_group(stats.select(*gcols, done.alias("_done"))), gcols)
+            frozen.append((it, marked.filter("_done").drop("_done").checkpoint(eager=True)))
+            if not left["active"]:
+                st = None
+                break
+            st = marked.filter("not _done").drop("_done").checkpoint(eager=True)
+            run = EMEngine(store.pruned(sorted(left["parts"])), em_model, prior, labels)
+    pieces = [f for _, f in frozen] + ([st] if st is not None else [])
+    st = reduce(DataFrame.unionByName, pieces)
     trust = eng.posterior_table(st, "prev")
-    if owned:  # nothing of the store outlives the fit
+    if owned or truth is not None or isinstance(prior, PromptTable):  # nothing of the store outlives the fit
         trust = trust.checkpoint(eager=True)
+    if owned:
         store.drop()
     params = _accuracy_table(em_model, st, store.annotator_keys)
-    hist_schema = ", ".join([f"{g} {store.cold.schema[g].simpleString().split(':')[-1]}" for g in gcols]
-                            + ["iteration int", "l1_parameter_loss double", "max_gamma_shift double"]
-                            + [f"{s} double" for s in em_model.scalars])
-    hist = spark.createDataFrame(history, schema=hist_schema) if history else spark.createDataFrame([], hist_schema)
+    measures = ["l1_parameter_loss", "max_gamma_shift"] + (["label_mse", "worker_mse", "em_loss"] if truth is not None else [])
+    cols = [*gcols, "iteration", *measures, *[F.col(f"{s}_cur").alias(s) for s in em_model.scalars]]
+    hist = reduce(DataFrame.unionByName, [h.select(*cols) for h in history])
+    gamma_bins = reduce(DataFrame.unionByName, hists).filter("n_prompts > 0") if hists else None
     fr = None
     if frames:
-        fr = frames[0]
-        for f in frames[1:]:
-            fr = fr.unionByName(f)
+        last = len(history)
+        for at, f in frozen:  # a frozen group keeps its parameters in the later frames
+            if at < last:
+                frames.append(_accuracy_table(em_model, f, store.annotator_keys).select(*store.annotator_keys, "inferred_acc")
+                              .withColumn("iteration", F.explode(F.sequence(F.lit(at + 1), F.lit(last)))))
+        fr = reduce(DataFrame.unionByName, frames)
     if internal_group:
         trust, params, hist = trust.drop(_G), params.drop(_G), hist.drop(_G)
+        gamma_bins = gamma_bins.drop(_G) if gamma_bins is not None else None
         if dense:
             unseen = em_model.unseen_params()
             acc = sum(unseen.values()) / len(unseen)
             trust = dense_ids(trust, "prompt_id", {"trust_weight": INIT_GAMMA})
             params = dense_ids(params, "annotator_id", unseen | {"inferred_acc": acc})
         fr = fr.drop(_G) if fr is not None else None
-        st_out = st
-    else:
-        st_out = st
-    return EMResult(trust, params, hist, fr, iters, st_out)
+    return EMResult(trust, params, hist, fr, st, [] if internal_group else gcols, gamma_bins)

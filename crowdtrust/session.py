@@ -60,5 +60,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/crowdtrust/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote below the checkpoint root."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def unique_table_name(prefix: str) -> str:
     return f"{prefix}_{uuid.uuid4().hex[:12]}"
