@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crowdtrust.operators.prepare import dense_index
+from crowdtrust.sources.csv_scan import named_file, read_csv_by_header, read_quoted_csv
 
 VOTES_SCHEMA = T.StructType([T.StructField("prompt_id", T.LongType()), T.StructField("annotator_id", T.LongType()),
                              T.StructField("vote", T.IntegerType())])
@@ -19,6 +20,10 @@ WORKER_TRUTH_SCHEMA = T.StructType([T.StructField("annotator_id", T.LongType()),
                                     T.StructField("true_acc", T.DoubleType())])
 
 
+# Limits of a spine over 0..max(id), see dense_ids.
+SPARSE, SPARSE_FROM = 1_000, 100_000_000
+
+
 def read_pairs(spark: SparkSession, path: str, fmt: str = "parquet", first: int | None = None,
                order_cols: list[str] | None = None) -> DataFrame:
     """IO1: raw (chosen, rejected) pairs of one split; ``first`` keeps the
@@ -41,10 +46,9 @@ def read_votes(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 
 
 def read_prompts_csv(spark: SparkSession, path: str) -> DataFrame:
-    """IO3: prompts whose text holds newlines and quotes (multiLine CSV).
-    multiLine files do not split; prefer parquet for large inputs."""
-    return (spark.read.schema(PROMPTS_SCHEMA).option("header", True).option("multiLine", True)
-            .option("escape", '"').csv(path))
+    """IO3: prompts whose text holds newlines and quotes; a file is read by
+    as many tasks as it has byte ranges."""
+    return read_quoted_csv(spark, path, PROMPTS_SCHEMA)
 
 
 def read_worker_truth(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -83,34 +87,39 @@ def append_frames(frames: DataFrame, path: str, run_id: str) -> None:
 
 def scan_frames_natural(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
     """IO9: read a folder of per-iteration CSV frames; the frame number is
-    the first number in the file name, ordered numerically."""
-    df = spark.read.option("header", True).csv(os.path.join(path, pattern))
+    the first number in the file name, ordered numerically.  Columns are taken
+    by the names in each file's own header."""
+    rows = read_csv_by_header(spark, os.path.join(path, pattern))
     # plain ``frame_<i>.csv`` files or Spark's folders of that name with part files
-    fname, fpath = F.col("_metadata.file_name"), F.col("_metadata.file_path")
-    df = df.withColumn("file_name", F.when(fname.startswith("part-"), F.element_at(F.split(fpath, "/"), -2))
-                       .otherwise(fname))
-    return (df.withColumn("frame", F.regexp_extract("file_name", r"(\d+)", 1).cast("int"))
-            .select(F.col("annotator_id").cast("bigint"), F.col("inferred_acc").cast("double"), "frame", "file_name")
+    rows = rows.withColumn("file_name", named_file(F.col("file"), ".csv"))
+    value = lambda c: F.element_at("fields", c)
+    return (rows.select(value("annotator_id").cast("bigint").alias("annotator_id"), value("inferred_acc").cast("double").alias("inferred_acc"),
+                        F.regexp_extract("file_name", r"(\d+)", 1).cast("int").alias("frame"), "file_name")
             .orderBy("frame", "annotator_id"))
 
 
 def scan_metric_files(spark: SparkSession, path_glob: str) -> DataFrame:
-    """IO10: glob-scan ``*_metrics.csv``; run name from the file name; rows
-    without an epoch are skipped."""
-    df = spark.read.option("header", True).csv(path_glob)
+    """IO10: glob-scan ``*_metrics.csv``; run name from the file name.  Each
+    file's columns go by its own header; files without a column ``epoch`` are
+    left out, as are rows without an epoch; other missing columns are null."""
+    rows = read_csv_by_header(spark, path_glob).filter(F.map_contains_key("fields", "epoch"))
     # a plain file ``<run>_metrics.csv`` or Spark's folder of that name with part files
-    df = df.withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_metrics\.csv(/[^/]*)?$", 1))
-    if "epoch" not in df.columns:
-        return spark.createDataFrame([], "run string, epoch int, train_loss double, test_accuracy double")
-    return df.select("run", F.col("epoch").cast("int"), F.col("train_loss").cast("double"),
-                     F.col("test_accuracy").cast("double")).filter(F.col("epoch").isNotNull())
+    run = F.regexp_replace(named_file(F.col("file"), "_metrics.csv"), r"_metrics\.csv$", "")
+    value = lambda c, t: F.element_at("fields", c).cast(t).alias(c)
+    return rows.select(run.alias("run"), value("epoch", "int"), value("train_loss", "double"),
+                       value("test_accuracy", "double")).filter(F.col("epoch").isNotNull())
 
 
 def dense_ids(df: DataFrame, id_col: str, defaults: dict, max_id: int | None = None) -> DataFrame:
-    """IO13: spine ``0..max(id)`` left-joined to ``df``; missing ids get ``defaults``."""
+    """IO13: spine ``0..max(id)`` left-joined to ``df``; missing ids get
+    ``defaults``.  Ids are taken to be numbers of an array: a spine of over
+    ``SPARSE`` times as many rows as there are ids (and of ``SPARSE_FROM`` or
+    more) is refused unless the caller names ``max_id``."""
     spark = df.sparkSession
     if max_id is None:
-        max_id = df.agg(F.max(id_col)).first()[0]
+        max_id, n = df.agg(F.max(id_col), F.count(id_col)).first()
+        if max_id is not None and max_id >= max(SPARSE_FROM, SPARSE * n):
+            raise ValueError(f"{n} ids up to {max_id}: a row for each number below would be almost all empty; give max_id if that is meant")
     spine = spark.range(0, 0 if max_id is None else max_id + 1).withColumnRenamed("id", id_col)
     out = spine.join(df, id_col, "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
