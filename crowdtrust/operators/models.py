@@ -7,31 +7,36 @@ The DPO objective with a linear policy is a binomial GLM:
 
 so minimising the soft-label loss γ·L_A + (1−γ)·L_B (D5) is a binomial
 regression with fractional label γ, the frozen reference as an offset and
-no intercept.  MLlib's ``GeneralizedLinearRegression`` fits it with IRLS on
-the cluster (its limit is 4096 features); wider
-feature spaces are hashed down to that (K3), which is why no other solver is needed.
+no intercept.  Two solvers on the cluster:
+
+* up to 4,096 features MLlib's ``GeneralizedLinearRegression`` (IRLS), which
+  takes fractional labels and an offset as they are;
+* beyond, on sparse features of any width, L-BFGS on the same loss: each step
+  is one Spark job that adds up loss and gradient over the partitions.  (MLlib's
+  ``LogisticRegression`` has no offset; held in place by equal coefficient
+  bounds, its bound-constrained solver had not converged on 2^18 features
+  after 300 steps: the largest gradient stayed at 0.13.)
+
 Hard-label baselines, oracle fits and static-EM fits differ only in the
 label column.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crowdtrust.functions.columns import sigmoid
 from crowdtrust.operators.preference import DEFAULT_BETA
 
 
-def training_table(features: DataFrame, logps: DataFrame | None, labels: DataFrame, label_col: str,
-                   weight: DataFrame | None = None, beta: float = DEFAULT_BETA) -> DataFrame:
-    """(prompt_id, features vector, offset, label, weight) per prompt.
-
-    ``features``: (prompt_id, phi array<double>[, len_diff]);
-    ``logps``: reference log-probs (ref_a, ref_b) for the offset, or None;
-    ``labels``: (prompt_id, <label_col>) with values in [0, 1];
-    ``weight``: (prompt_id, n) votes per prompt (Q9), default 1."""
+def _labelled(features: DataFrame, logps: DataFrame | None, labels: DataFrame, label_col: str,
+              weight: DataFrame | None, beta: float) -> DataFrame:
+    """Features with offset, label and weight per prompt."""
     t = features.join(labels.select("prompt_id", F.col(label_col).cast("double").alias("label")), "prompt_id")
     if logps is not None:
         t = t.join(logps.select("prompt_id", (-F.lit(beta) * (F.col("ref_a") - F.col("ref_b"))).alias("offset")),
@@ -44,6 +49,18 @@ def training_table(features: DataFrame, logps: DataFrame | None, labels: DataFra
         t = t.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     else:
         t = t.withColumn("weight", F.lit(1.0))
+    return t
+
+
+def training_table(features: DataFrame, logps: DataFrame | None, labels: DataFrame, label_col: str,
+                   weight: DataFrame | None = None, beta: float = DEFAULT_BETA) -> DataFrame:
+    """(prompt_id, features vector, offset, label, weight) per prompt.
+
+    ``features``: (prompt_id, phi array<double>[, len_diff]);
+    ``logps``: reference log-probs (ref_a, ref_b) for the offset, or None;
+    ``labels``: (prompt_id, <label_col>) with values in [0, 1];
+    ``weight``: (prompt_id, n) votes per prompt (Q9), default 1."""
+    t = _labelled(features, logps, labels, label_col, weight, beta)
     extra = [F.col("len_diff")] if "len_diff" in features.columns else []
     vec = F.concat(F.col("phi"), F.array(*extra)) if extra else F.col("phi")
     return t.select("prompt_id", array_to_vector(vec).alias("features"), "offset", "label", "weight")
@@ -58,6 +75,137 @@ def fit_preference_model(train: DataFrame, reg_param: float = 1e-3, max_iter: in
     return glr.fit(train)
 
 
+# ------------------------------------------------------------------ wide feature spaces
+def wide_training_table(features: DataFrame, num_features: int, logps: DataFrame | None, labels: DataFrame, label_col: str,
+                        weight: DataFrame | None = None, beta: float = DEFAULT_BETA) -> DataFrame:
+    """(prompt_id, indices, values, offset, label, weight) from sparse pair
+    features (prompt_id, indices, values[, len_diff]); ``len_diff``, where
+    there is one, becomes feature ``num_features``."""
+    t = _labelled(features, logps, labels, label_col, weight, beta)
+    if "len_diff" in t.columns:
+        t = t.withColumns({"indices": F.concat("indices", F.array(F.lit(num_features))), "values": F.concat("values", F.array("len_diff"))})
+    return t.select("prompt_id", "indices", "values", "offset", "label", "weight")
+
+
+def _products(batch, w):
+    """(row, index, value) of a batch's sparse features and w·x of each row."""
+    import numpy as np
+
+    column = batch.column("indices")
+    size = np.diff(column.offsets.to_numpy())
+    row = np.repeat(np.arange(len(size)), size)
+    index = column.flatten().to_numpy()
+    value = batch.column("values").flatten().to_numpy()
+    return row, index, value, np.bincount(row, weights=w[index] * value, minlength=len(size))
+
+
+@dataclass
+class WidePreferenceModel:
+    """w of a fitted wide model, and the largest gradient of its objective at the end."""
+
+    weights: object
+    gradient: float
+    steps: int
+
+    def probability(self, table: DataFrame) -> DataFrame:
+        """(prompt_id, p_a, beta_z): P(A preferred) and w·Δφ, the logit without the offset."""
+        shared = table.sparkSession.sparkContext.broadcast(self.weights)
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column("prompt_id"), pa.array(_products(batch, shared.value)[3]), batch.column("offset")],
+                                                 names=["prompt_id", "beta_z", "offset"])
+
+        z = table.select("prompt_id", "indices", "values", "offset").mapInArrow(run, "prompt_id long, beta_z double, offset double")
+        return z.select("prompt_id", sigmoid(F.col("beta_z") + F.col("offset")).alias("p_a"), "beta_z")
+
+
+def fit_wide_preference_model(train: DataFrame, width: int, reg_param: float = 1e-3, max_iter: int = 200, tol: float = 1e-6,
+                              memory: int = 10) -> WidePreferenceModel:
+    """T1 on ``width`` sparse features (:func:`wide_training_table`): minimises
+    the weighted mean of the soft-label loss plus reg_param/2·|w|², the offset
+    added to the logit, until no feature's gradient is over ``tol``.
+
+    The driver keeps 2 x ``memory`` vectors of that width; a partition sends
+    the gradients of the features that occur in it, and Spark adds them up."""
+    import numpy as np
+
+    rows = train.select("indices", "values", "offset", "label", "weight").checkpoint(eager=True)
+    spark = train.sparkSession
+    total = float(rows.agg(F.sum("weight")).first()[0] or 1.0)
+
+    def evaluate(w):
+        shared = spark.sparkContext.broadcast(w)
+
+        def run(batches):
+            import pyarrow as pa
+
+            loss, gradient, seen = 0.0, np.zeros(width), np.zeros(width, dtype=bool)
+            for batch in batches:
+                offset, label, weight = (batch.column(c).to_numpy() for c in ("offset", "label", "weight"))
+                row, index, value, z = _products(batch, shared.value)
+                z = z + offset
+                loss += float((weight * (np.logaddexp(0, z) - label * z)).sum())
+                error = weight * (np.exp(-np.logaddexp(0, -z)) - label)
+                gradient += np.bincount(index, weights=error[row] * value, minlength=width)
+                seen[index] = True
+            at = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[loss, gradient[at]])], names=["i", "g"])
+
+        sums = rows.mapInArrow(run, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).toArrow()  # width + 1 rows at most
+        shared.destroy()
+        i, x = sums.column("i").to_numpy(), sums.column("g").to_numpy()
+        g = reg_param * w
+        g[i[i >= 0]] += x[i >= 0] / total
+        return float(x[i < 0].sum()) / total + reg_param / 2 * float(w @ w), g
+
+    w = np.zeros(width)
+    loss, g = evaluate(w)
+    pairs: list = []
+    step = 0
+    while step < max_iter and np.abs(g).max(initial=0.0) > tol:
+        step += 1
+        d, used = -g, []
+        for s, y, r in reversed(pairs):  # the two loops of L-BFGS
+            used.append(r * (s @ d))
+            d = d - used[-1] * y
+        if pairs:
+            s, y, _ = pairs[-1]
+            d = d * ((s @ y) / (y @ y))
+        for (s, y, r), a in zip(pairs, reversed(used), strict=True):
+            d = d + (a - r * (y @ d)) * s
+        length = 1.0 if pairs else min(1.0, 1.0 / np.abs(g).max())
+        slope = float(g @ d)
+        while True:
+            new = w + length * d
+            new_loss, new_g = evaluate(new)
+            if new_loss <= loss + 1e-4 * length * slope or length < 1e-10:
+                break
+            length /= 2
+        s, y = new - w, new_g - g
+        if s @ y > 1e-14 * float(np.sqrt((s @ s) * (y @ y))):
+            pairs = [*pairs, (s, y, 1.0 / (s @ y))][-memory:]
+        if new_loss >= loss and length < 1e-10:
+            break
+        w, loss, g = new, new_loss, new_g
+    return WidePreferenceModel(w, float(np.abs(g).max(initial=0.0)), step)
+
+
+def loss_gradient(train: DataFrame, model: WidePreferenceModel, reg_param: float) -> DataFrame:
+    """(index, gradient) of the objective of :func:`fit_wide_preference_model`
+    for every feature that occurs, by joins and sums of its own.  At the
+    minimum all are zero."""
+    scored = model.probability(train).select("prompt_id", "p_a").join(train, "prompt_id")
+    total = F.lit(float(train.agg(F.sum("weight")).first()[0]))
+    terms = scored.select((F.col("weight") * (F.col("p_a") - F.col("label"))).alias("e"), F.explode(F.arrays_zip(F.col("indices").alias("i"), F.col("values").alias("x"))).alias("z"))
+    sums = terms.groupBy(F.col("z.i").alias("index")).agg((F.sum(F.col("e") * F.col("z.x")) / total).alias("g"))
+    # the coefficients that are not zero: a row each
+    own = train.sparkSession.createDataFrame([(int(i), float(model.weights[i])) for i in model.weights.nonzero()[0]], "index int, w double")
+    return sums.join(own, "index", "left").select("index", (F.col("g") + F.lit(reg_param) * F.coalesce("w", F.lit(0.0))).alias("gradient"))
+
+
 def predict_prior(model: GeneralizedLinearRegressionModel, table: DataFrame) -> DataFrame:
     """P(A preferred) per prompt from a fitted model (the next EM prior, D3)."""
     return model.transform(table).select("prompt_id", F.col("prediction").alias("prior"),

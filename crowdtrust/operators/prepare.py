@@ -3,6 +3,8 @@ votes, vote validation and winner/loser orientation (SURVEY §2.2)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,12 +63,53 @@ def orient_pairs(pairs: DataFrame, seed: int = 42) -> DataFrame:
 def seeded_sample(df: DataFrame, key: str, cap: int | None, seed: int = 42) -> DataFrame:
     """Seeded shuffle and cap ``min(cap, n)`` of a split.  The cap is the
     feature here (a first-N slice of a shuffled split); with ``cap=None``
-    the whole split is returned, ordered by the seeded hash."""
+    the whole split is returned.  Rows come in the order of the seeded hash.
+
+    The cap is found by selection, not by a sort that ends in one task: a
+    histogram of the 32-bit hash is refined three times, to the hash value
+    that holds the cap-th row; rows below it are in.  Of those with that very
+    value the smallest keys go first, of equal keys any rows."""
     h = hash32(F.concat(F.lit(f"{seed}|shuffle|"), F.col(key).cast("string")))
-    ordered = df.withColumn("_h", h).orderBy("_h", key)
+    rows = df.withColumn("_h", h)
     if cap is not None:
-        ordered = ordered.limit(cap)
-    return ordered.drop("_h")
+        rows = _lowest(rows, key, cap)
+    return rows.orderBy("_h", key).drop("_h")
+
+
+def _lowest(rows: DataFrame, key: str, cap: int) -> DataFrame:
+    """The ``cap`` rows with the lowest (``_h``, key); ``_h`` has 32 bits."""
+    if cap <= 0:
+        return rows.limit(0)
+    low, need = 0, cap  # the sought row is the need-th of those with _h >= low
+    for bits in (20, 8, 0):
+        size = 1 << {20: 32, 8: 20, 0: 8}[bits]  # of the interval that holds it
+        inside = (F.col("_h") >= low) & (F.col("_h") < low + size)
+        bins = rows.filter(inside).groupBy(F.shiftright(F.col("_h") - low, bits).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        upto = 0
+        for b, n in sorted(map(tuple, bins.collect())):  # 4,096 rows at most
+            if upto + n >= need:
+                low, need = low + (b << bits), need - upto
+                break
+            upto += n
+        else:
+            return rows  # fewer than cap
+    ties = rows.filter(F.col("_h") == low)
+    # keys that share a hash: one in 2^32 of all
+    keys = ties.groupBy(key).agg(F.count(F.lit(1)).alias("n")).collect()
+    whole, part = [], None
+    for r in sorted(keys, key=lambda r: (r[0] is not None, r[0])):
+        if need >= r["n"]:
+            whole.append(r[0])
+        elif need > 0:
+            part = (r[0], need)
+        need -= min(need, r["n"])
+    has = lambda k: F.col(key).isNull() if k is None else F.col(key) == F.lit(k)
+    out = rows.filter((F.col("_h") < low) | ((F.col("_h") == low) & reduce(Column.__or__, map(has, whole), F.lit(False))))
+    if part is None:
+        return out
+    # rows of the one key of which only some fit are numbered across partitions
+    some = dense_index(ties.filter(has(part[0])).withColumn("_any", F.monotonically_increasing_id()), ["_any"], "_i")
+    return out.unionByName(some.filter(F.col("_i") < part[1]).drop("_any", "_i"))
 
 
 def sequential_prompt_ids(df: DataFrame, order_cols: list[str], name: str = "prompt_id") -> DataFrame:

@@ -265,9 +265,14 @@ def worst_config(matrix: DataFrame, min_l: int = 3) -> Config:
 
 
 def heatmap(matrix: DataFrame, adv_values=ADV_GRID) -> DataFrame:
-    """L × Adv pivot of the error, L descending, percent column labels."""
+    """L × Adv pivot of the error, L descending, percent column labels.
+    A cell with two different errors is a mistake in the matrix: the job fails
+    and names it."""
     h = matrix.filter(F.col("variable_tested") == "Heatmap")
-    p = h.groupBy("L").pivot("Adv", [float(a) for a in adv_values]).agg(F.first("Error"))
+    named = F.concat(F.lit("two errors for L = "), F.col("L").cast("string"), F.lit(", Adv = "), F.col("Adv").cast("string"))
+    cells = h.groupBy("L", "Adv").agg(F.min("Error").alias("_lo"), F.max("Error").alias("_hi"))
+    cells = cells.withColumn("Error", F.when(F.col("_lo") != F.col("_hi"), F.raise_error(named).cast("double")).otherwise(F.col("_lo")))
+    p = cells.groupBy("L").pivot("Adv", [float(a) for a in adv_values]).agg(F.first("Error"))
     ren = {str(float(a)): f"{int(round(a * 100))}%" for a in adv_values}
     for old, new in ren.items():
         if old in p.columns:

@@ -83,35 +83,48 @@ def token_ids(prompts: DataFrame, vocab: DataFrame, vocab_size: int, max_len: in
               pad: bool = True) -> DataFrame:
     """K1: (prompt_id, ids_a, ids_b, n_tok_a, n_tok_b): token ids per side,
     truncated to ``max_len`` and right-padded with ``PAD_ID`` (the reference
-    pads with its end-of-sequence id).  ``max_len=None`` keeps whole texts."""
-    st = side_tokens(prompts)
-    n = st.groupBy("prompt_id", "side").agg(F.count(F.lit(1)).cast("int").alias("n_tok"))
-    if max_len is not None:
-        st = st.filter(F.col("pos") < max_len)
-    st = _vocab_join(st, vocab, vocab_size)
-    arr = st.groupBy("prompt_id", "side").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_s"))
-    arr = arr.select("prompt_id", "side", F.transform("_s", lambda x: x["token_id"]).alias("ids"))
-    if max_len is not None and pad:
-        arr = arr.withColumn("ids", F.concat("ids", F.array_repeat(F.lit(PAD_ID), F.lit(max_len) - F.size("ids"))))
-    base = prompts.select("prompt_id")
-    out = base
-    for s in ("a", "b"):
-        part = arr.filter(F.col("side") == s).select("prompt_id", F.col("ids").alias(f"ids_{s}"))
-        cnt = n.filter(F.col("side") == s).select("prompt_id", F.col("n_tok").alias(f"n_tok_{s}"))
-        out = out.join(part, "prompt_id", "left").join(cnt, "prompt_id", "left")
-    empty = F.array_repeat(F.lit(PAD_ID), F.lit(max_len)) if (max_len is not None and pad) else F.array().cast("array<int>")
-    return out.select("prompt_id",
-                      F.coalesce("ids_a", empty).alias("ids_a"), F.coalesce("ids_b", empty).alias("ids_b"),
-                      F.coalesce("n_tok_a", F.lit(0)).alias("n_tok_a"), F.coalesce("n_tok_b", F.lit(0)).alias("n_tok_b"))
-
-
-def votes_with_text(votes: DataFrame, prompts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Votes joined to their prompt's texts, plus the orphan votes
-    (prompt ids without text) from a left-anti join.  Text-derived
-    features should be computed once per prompt before this fan-out join."""
-    p = prompts.select("prompt_id", "text_a", "text_b")
-    return votes.join(p, "prompt_id"), votes.join(p, "prompt_id", "left_anti")
+    pads with its end-of-sequence id).  ``max_len=None`` keeps whole texts.
+
+    Tokens are counted inside the row; one row per token that gets an id meets
+    the vocabulary, and one aggregation puts both sides together again."""
+    words = {0: tokens("text_a"), 1: tokens("text_b")}
+
+    def listed(side, w):
+        """(side, pos, token) of the tokens that get ids."""
+        w = w if max_len is None else F.slice(w, 1, max_len)
+        return F.transform(w, lambda t, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), t.alias("token")))
+
+    rows = prompts.select("prompt_id", F.size(words[0]).alias("n_tok_a"), F.size(words[1]).alias("n_tok_b"),
+                          F.explode_outer(F.concat(*[F.coalesce(listed(s, w), F.array()) for s, w in words.items()])).alias("t"))
+    rows = _vocab_join(rows.select("prompt_id", "n_tok_a", "n_tok_b", "t.side", "t.pos", "t.token"), vocab, vocab_size)
+
+    def ids(side):
+        got = F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("pos", "token_id"))))
+        got = F.transform(got, lambda x: x["token_id"])
+        if max_len is not None and pad:
+            got = F.concat(got, F.array_repeat(F.lit(PAD_ID), F.lit(max_len) - F.size(got)))
+        return got
+
+    n_tok = lambda c: F.greatest(F.coalesce(F.first(c), F.lit(0)), F.lit(0)).alias(c)
+    return rows.groupBy("prompt_id").agg(ids(0).alias("ids_a"), ids(1).alias("ids_b"), n_tok("n_tok_a"), n_tok("n_tok_b"))
+
+
+def votes_with_text(votes: DataFrame, prompts: DataFrame) -> DataFrame:
+    """Votes joined to their prompt's texts.  A vote on a prompt without
+    text is an error: the job that reads the result fails and names the
+    prompt.  No pass of its own is needed for that; :func:`orphan_votes` lists
+    such votes.  Text-derived features should be computed once per prompt
+    before this fan-out join."""
+    p = prompts.select("prompt_id", "text_a", "text_b", F.lit(True).alias("_there"))
+    out = votes.join(p, "prompt_id", "left")
+    missing = F.raise_error(F.concat(F.lit("no text for prompt "), F.coalesce(F.col("prompt_id").cast("string"), F.lit("null"))))
+    checked = F.when(F.col("_there"), F.col("prompt_id")).otherwise(missing.cast(votes.schema["prompt_id"].dataType))
+    return out.withColumn("prompt_id", checked).drop("_there")
+
+
+def orphan_votes(votes: DataFrame, prompts: DataFrame) -> DataFrame:
+    """The votes on prompts that have no text."""
+    return votes.join(prompts.select("prompt_id"), "prompt_id", "left_anti")
 
 
 PAD_TOKEN = " pad"  # sentinel: contains a space, so the tokeniser never produces it
@@ -231,3 +244,39 @@ def pair_features(prompts: DataFrame, num_features: int = 64) -> DataFrame:
                           .alias("len_diff"))
     return lens.join(per.select("prompt_id", dense.alias("phi")), "prompt_id", "left").withColumn(
         "phi", F.coalesce("phi", F.array_repeat(F.lit(0.0), num_features)))
+
+
+def _run_lengths(sorted_values: Column) -> tuple[Column, Column]:
+    """The different values of a sorted array and how often each occurs."""
+    n = F.size(sorted_values)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get(sorted_values, i) != F.get(sorted_values, i - 1)))
+    ends = F.when(n > 0, F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(n))).otherwise(starts)
+    return F.transform(starts, lambda i: F.get(sorted_values, i)), F.zip_with(starts, ends, lambda a, b: b - a)
+
+
+def sparse_pair_features(prompts: DataFrame, num_features: int) -> DataFrame:
+    """K3, wide: (prompt_id, indices, values, len_diff): the hashed term-count
+    difference φ(A) − φ(B) of :func:`pair_features` without its zeros, indices
+    rising.
+
+    Made inside the row: each side's buckets are sorted and counted by the
+    places where the value changes, the two sides are merged by another sort.
+    No row per token and no exchange; the width costs nothing."""
+    bucket = lambda t: F.pmod(hash32(t), F.lit(num_features)).cast("int")
+    out = prompts.select("prompt_id", tokens("text_a").alias("_a"), tokens("text_b").alias("_b"))
+    out = out.select("prompt_id", (F.size("_a") - F.size("_b")).cast("double").alias("len_diff"),
+                     *[F.array_sort(F.coalesce(F.transform(c, bucket), F.array().cast("array<int>"))).alias(c) for c in ("_a", "_b")])
+    both = []
+    for c, sign in (("_a", 1.0), ("_b", -1.0)):
+        values, times = _run_lengths(F.col(c))
+        both.append(F.zip_with(values, F.transform(times, lambda n: n * sign), lambda v, x: F.struct(v.alias("i"), x.alias("x"))))  # noqa: B023
+    out = out.select("prompt_id", "len_diff", F.array_sort(F.concat(*both)).alias("_m"))  # a bucket is in it twice at most
+    n = F.size("_m")
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    at = lambda i: F.get("_m", i)
+    firsts = F.filter(places, lambda i: (i == 0) | (at(i)["i"] != at(i - 1)["i"]))
+    merged = F.transform(firsts, lambda i: F.struct(
+        at(i)["i"].alias("i"), (at(i)["x"] + F.when(at(i + 1)["i"] == at(i)["i"], at(i + 1)["x"]).otherwise(0.0)).alias("x")))
+    out = out.withColumn("_m", F.filter(merged, lambda e: e["x"] != 0))
+    return out.select("prompt_id", F.transform("_m", lambda e: e["i"]).alias("indices"), F.transform("_m", lambda e: e["x"]).alias("values"), "len_diff")

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from crowdtrust.functions.columns import softplus, unit_hash
 from crowdtrust.operators import em
 from crowdtrust.operators import models as md
+from crowdtrust.operators import scoring as sc
 from crowdtrust.operators import text as tx
 from crowdtrust.operators.preference import DEFAULT_BETA, golden_accuracy
 from crowdtrust.operators.prepare import orient_pairs
@@ -47,6 +48,9 @@ class PreferenceData:
     truth: DataFrame     # (prompt_id, truth_is_a, is_test)
     features: DataFrame  # (prompt_id, phi, len_diff)
     ref: DataFrame       # (prompt_id, ref_a, ref_b)
+    vocab: DataFrame     # (token, token_id) of the reference model
+    vocab_size: int
+    ref_model: DataFrame  # bigram log-probs of the reference model
 
 
 def split_flag(seed: int = 42) -> F.Column:
@@ -66,7 +70,8 @@ def preference_data(spark: SparkSession, sf_dir: str, num_features: int = NUM_FE
     vocab = tx.build_vocab(fx.read_table(spark, sf_dir, "documents"), ["text"], None)
     size = vocab.count() + tx.FIRST_WORD_ID
     big = tx.side_bigrams(prompts, vocab, size, max_len=max_len, include_pad=max_len is not None).checkpoint(eager=True)
-    ref_lp = tx.sequence_logps(big, tx.bigram_model(big, None, size), size, per_tokens=None if max_len else PER_TOKENS)
+    ref_model = tx.bigram_model(big, None, size)
+    ref_lp = tx.sequence_logps(big, ref_model, size, per_tokens=None if max_len else PER_TOKENS)
     ref = tx.logps_table(ref_lp, ref_lp, prompts).select("prompt_id", F.col("pi_a").alias("ref_a"),
                                                          F.col("pi_b").alias("ref_b")).checkpoint(eager=True)
     if num_features:
@@ -75,7 +80,7 @@ def preference_data(spark: SparkSession, sf_dir: str, num_features: int = NUM_FE
         feats = prompts.select("prompt_id", (F.size(tx.tokens("text_a")) - F.size(tx.tokens("text_b"))).cast("double").alias("len_diff"),
                                F.array().cast("array<double>").alias("phi"))
     feats = feats.withColumn("len_diff", F.col("len_diff") / F.lit(LENGTH_UNIT)).checkpoint(eager=True)
-    return PreferenceData(prompts, votes, truth, feats, ref)
+    return PreferenceData(prompts, votes, truth, feats, ref, vocab, size, ref_model)
 
 
 def design(data: PreferenceData, labels: DataFrame, label_col: str, weight: DataFrame | None) -> DataFrame:
@@ -89,6 +94,26 @@ def scoring_table(data: PreferenceData) -> DataFrame:
     return md.training_table(data.features, data.ref, lab, "label")
 
 
+WIDE_FEATURES = 1 << 18  # hashed pair features of the wide fit
+
+
+def wide_design(data: PreferenceData, labels: DataFrame, label_col: str, weight: DataFrame | None = None,
+                num_features: int = WIDE_FEATURES) -> DataFrame:
+    """Training table of the wide fit: sparse features of the whole
+    vocabulary, each prompt's term differences scaled to length 1 (thousands
+    of raw counts beside each other would leave the solver crawling)."""
+    feats = tx.sparse_pair_features(data.prompts, num_features).withColumn("len_diff", F.col("len_diff") / F.lit(LENGTH_UNIT))
+    size = F.sqrt(F.aggregate("values", F.lit(0.0), lambda a, x: a + x * x))
+    feats = feats.withColumn("values", F.transform("values", lambda x: x / size))
+    return md.wide_training_table(feats, num_features, data.ref, labels, label_col, weight)
+
+
+def scoring_pipeline(data: PreferenceData, model, num_features: int):
+    """T5: all that turns raw pairs into the model's probability, as one saveable pipeline."""
+    return sc.scoring_pipeline(sc.PairFeatures(numFeatures=num_features, lengthUnit=LENGTH_UNIT),
+                               sc.ReferenceOffset(data.vocab, data.ref_model, data.vocab_size, PER_TOKENS), model)
+
+
 def run_metrics(run: str, epoch: int, model, train: DataFrame, data: PreferenceData,
                 beta: float = DEFAULT_BETA) -> DataFrame:
     """(run, epoch, train_loss, test_accuracy, test_reward_accuracy,

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crowdtrust.operators import baselines, em, metrics
 from crowdtrust.operators.prepare import hard_label
+from crowdtrust.operators.scoring import score_pairs
 from crowdtrust.operators.votes import compact_votes, vote_profile, votes_per_task_histogram
 from crowdtrust.queries import sql_fixtures as S
 from crowdtrust.sources import fixtures as fx
@@ -205,6 +207,41 @@ def q_oc_deltas(spark, sf):
     return h.select("iteration", r6("l1_parameter_loss").alias("l1_parameter_loss"), r6("l1_delta").alias("l1_delta"))
 
 
+def em_loss_history_sql(k: int) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT {i} AS iteration, round(l, 6) AS label_mse, round(w, 6) AS worker_mse, round(l + w, 6) AS em_loss FROM
+  (SELECT (SELECT avg((g - truth_is_a) ** 2) FROM g{i} JOIN truth USING (prompt_id)) AS l,
+          (SELECT avg((true_acc - alpha) ** 2) FROM a{i} JOIN worker_truth USING (annotator_id)) AS w)""" for i in range(1, k + 1))
+
+
+_WATCHED: dict = {}
+
+
+def watched(spark, sf):
+    """A fit that also follows 𝓛_EM and the γ histogram of some iterations."""
+    key = (id(spark), sf)
+    if key not in _WATCHED:
+        _WATCHED[key] = em.fit(fx.votes(spark, sf), "onecoin", max_iter=K, tol=None, worker_truth=fx.worker_truth(spark, sf),
+                               truth=fx.truth(spark, sf), histogram_at=HISTOGRAM_AT)
+    return _WATCHED[key]
+
+
+HISTOGRAM_AT = (1, 2, K)  # iterations of the γ histogram
+
+
+@register("m5_em_loss_history_k5", _OC + em_loss_history_sql(K))
+def q_em_loss_history(spark, sf):
+    """M5: the two parts of 𝓛_EM and their sum in every iteration."""
+    return watched(spark, sf).history.select("iteration", *[r6(c).alias(c) for c in ("label_mse", "worker_mse", "em_loss")])
+
+
+@register("m9_gamma_histogram_iterations", _OC + " UNION ALL ".join(
+    f"SELECT {i} AS iteration, least(floor(round(g, 9) * 10), 9)::INT AS bin, count(*)::BIGINT AS n_prompts FROM g{i} GROUP BY ALL" for i in HISTOGRAM_AT))
+def q_hist_iterations(spark, sf):
+    """M9: γ in ten bins at chosen iterations."""
+    return watched(spark, sf).gamma_histogram.select("iteration", "bin", "n_prompts")
+
+
 @register("m1_onecoin_summary_k5", _OC + f"""
 SELECT (SELECT round(avg(((g > 0.5)::INT = truth_is_a)::INT), 6) FROM g{K} JOIN truth USING (prompt_id)) AS accuracy,
        (SELECT round(avg(abs(true_acc - alpha)), 6) FROM a{K} JOIN worker_truth USING (annotator_id)) AS l1_parameter_loss""")
@@ -250,7 +287,7 @@ def q_bands(spark, sf):
 
 
 @register("m9_gamma_histogram_k5", _OC + f"""
-SELECT least(floor(g * 10), 9)::INT AS bin, count(*)::BIGINT AS n_prompts FROM g{K} GROUP BY ALL""")
+SELECT least(floor(round(g, 9) * 10), 9)::INT AS bin, count(*)::BIGINT AS n_prompts FROM g{K} GROUP BY ALL""")
 def q_hist(spark, sf):
     return metrics.gamma_histogram(fitted(spark, sf).trust, 10)
 
@@ -461,6 +498,14 @@ def q_seeded(spark, sf):
     return pp.seeded_sample(fx.truth(spark, sf), "prompt_id", 1000).select("prompt_id")
 
 
+@register("p2_seeded_half", S.with_(S.TRUTH) + f"""
+SELECT prompt_id FROM truth ORDER BY {S.h("'7|shuffle|' || prompt_id::VARCHAR")}, prompt_id LIMIT (SELECT count(*) // 2 FROM truth)""")
+def q_seeded_half(spark, sf):
+    """P2 with a cap that grows with the table: half of it."""
+    truth = fx.truth(spark, sf)
+    return pp.seeded_sample(truth, "prompt_id", truth.count() // 2, seed=7).select("prompt_id")
+
+
 @register("p3_dense_prompt_ids", """
 SELECT o_orderkey::BIGINT AS o_orderkey, (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1)::BIGINT AS prompt_id
 FROM orders""")
@@ -517,11 +562,19 @@ FROM pv JOIN prompts USING (prompt_id)""")
 def q_votes_text(spark, sf):
     pr = _prompts(spark, sf)
     from crowdtrust.operators.text import votes_with_text
-    j, _orphans = votes_with_text(fx.pair_votes(pr), pr)
+    j = votes_with_text(fx.pair_votes(pr), pr)
     return j.select("prompt_id", "annotator_id", "vote", F.length("text_a").cast("bigint").alias("a_chars"),
                     F.length("text_b").cast("bigint").alias("b_chars"))
 
 
+@register("j1_orphan_votes", S.with_(S.VOTES, S.PAIRS) + """
+SELECT prompt_id, annotator_id, vote FROM votes ANTI JOIN prompts USING (prompt_id)""")
+def q_orphan_votes(spark, sf):
+    """The votes on orders whose number no text pair has."""
+    from crowdtrust.operators.text import orphan_votes
+    return orphan_votes(fx.votes(spark, sf), _prompts(spark, sf)).select("prompt_id", "annotator_id", "vote")
+
+
 # ------------------------------------------------------------------ text
 from crowdtrust.operators import text as tx  # noqa: E402
 from crowdtrust.plans import joint as jt  # noqa: E402
@@ -677,6 +730,26 @@ def q_pair_features(spark, sf):
     return f.select("prompt_id", "len_diff", F.round(l1, 6).alias("l1_phi"))
 
 
+WIDE = jt.WIDE_FEATURES
+_WIDE_BUCKETS = f"""tk AS (SELECT prompt_id, 1e0 AS s, unnest({S.tokens_sql('text_a')}) AS token FROM prompts
+         UNION ALL SELECT prompt_id, -1e0 AS s, unnest({S.tokens_sql('text_b')}) AS token FROM prompts),
+  bk AS (SELECT * FROM (SELECT prompt_id, {S.h('token')} % {WIDE} AS bucket, sum(s) AS v FROM tk GROUP BY ALL) WHERE v <> 0)"""
+
+
+@register("k3_sparse_pair_features", S.with_(S.PAIRS, _WIDE_BUCKETS) + f"""
+SELECT p.prompt_id, (len({S.tokens_sql('p.text_a')}) - len({S.tokens_sql('p.text_b')}))::DOUBLE AS len_diff,
+       count(bucket)::INT AS n_buckets, coalesce(sum(bucket), 0)::BIGINT AS sum_buckets, coalesce(sum(abs(v)), 0e0) AS l1_phi,
+       coalesce(sum(bucket * v), 0e0) AS dot
+FROM prompts p LEFT JOIN bk USING (prompt_id) GROUP BY ALL""")
+def q_sparse_features(spark, sf):
+    f = tx.sparse_pair_features(_prompts(spark, sf), WIDE)
+    total = lambda c, start, f: F.aggregate(c, start, f)
+    return f.select("prompt_id", "len_diff", F.size("indices").alias("n_buckets"),
+                    total(F.col("indices"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("sum_buckets"),
+                    total(F.col("values"), F.lit(0.0), lambda a, x: a + F.abs(x)).alias("l1_phi"),
+                    total(F.zip_with("indices", "values", lambda i, x: i * x), F.lit(0.0), lambda a, x: a + x).alias("dot"))
+
+
 # ------------------------------------------------------------------ robustness
 from crowdtrust.operators import robustness as rb  # noqa: E402
 from crowdtrust.plans.sweep import run_stress_sweep  # noqa: E402
@@ -876,6 +949,40 @@ def q_soft_fit_one(spark, sf):
     return pred.select("prompt_id", r6("prior").alias("p_a"))
 
 
+_WIDE_FITS: dict = {}
+WIDE_REG = 1e-2  # penalty of the wide fit, which has more features than prompts
+
+
+def _wide_fit(spark, sf):
+    """The static-EM fit on 2^18 hashed features: (data, training table, model)."""
+    key = (id(spark), sf)
+    if key not in _WIDE_FITS:
+        r = _runs(spark, sf, True)
+        data = r["data"]
+        train = jt.wide_design(data, r["static"].trust, "trust_weight", md.baseline_labels(data.votes)[1]).checkpoint(eager=True)
+        _WIDE_FITS[key] = (data, train, md.fit_wide_preference_model(train, WIDE + 1, reg_param=WIDE_REG))
+    return _WIDE_FITS[key]
+
+
+@register("t1_wide_fit")
+def q_wide_fit(spark, sf):
+    """T1 on 2^18 features: P(A preferred) for every prompt, unseen ones included."""
+    data, _, model = _wide_fit(spark, sf)
+    every = jt.wide_design(data, data.truth.select("prompt_id", F.lit(0.5).alias("label")), "label")
+    return model.probability(every).select("prompt_id", F.round("p_a", 4).alias("p_a"))
+
+
+@register("t1_wide_fit_is_minimum", _ONE + f""", {_WIDE_BUCKETS}
+SELECT (SELECT count(*) FROM f WHERE NOT is_test)::BIGINT AS n_prompts,
+       (SELECT count(DISTINCT bucket) FROM bk JOIN f USING (prompt_id) WHERE NOT is_test)::BIGINT AS n_features, 1 AS is_minimum""")
+def q_wide_minimum(spark, sf):
+    """At the wide fit's coefficients no feature's gradient is over 1e-5."""
+    data, train, model = _wide_fit(spark, sf)
+    g = md.loss_gradient(train, model, WIDE_REG)
+    found = g.agg(F.count(F.when(F.col("index") < WIDE, 1)).alias("n_features"), (F.max(F.abs("gradient")) < 1e-5).cast("int").alias("is_minimum"))
+    return train.agg(F.count(F.lit(1)).alias("n_prompts")).crossJoin(found)  # single-row aggregates
+
+
 @register("t3_run_metrics")
 def q_run_metrics(spark, sf):
     return _metric_cols(_runs(spark, sf)["static"].metrics)
@@ -941,6 +1048,26 @@ def q_inference_one(spark, sf):
     return _inference(spark, sf, True)
 
 
+def _pipeline_scores(spark, sf, one_feature):
+    r = _runs(spark, sf, one_feature)
+    path = scratch_path(spark, "scoring_pipeline")
+    jt.scoring_pipeline(r["data"], r["joint"].models["joint"], 0 if one_feature else jt.NUM_FEATURES).write().overwrite().save(path)
+    raw = r["data"].prompts.join(r["data"].truth.filter("is_test").select("prompt_id"), "prompt_id", "left_semi").select("prompt_id", "text_a", "text_b")
+    out = score_pairs(PipelineModel.load(path), raw)
+    return out.select("prompt_id", r6("p_a").alias("p_a"), (F.round("p_a", 6) > 0.5).cast("int").alias("prefers_a"))
+
+
+@register("t5_pipeline_raw_pairs")
+def q_pipeline_scores(spark, sf):
+    """T5: the saved pipeline scores the held-out pairs from their raw texts."""
+    return _pipeline_scores(spark, sf, False)
+
+
+@register("t5_one_feature_pipeline_raw_pairs", SQL["t5_one_feature_inference"])
+def q_pipeline_scores_one(spark, sf):
+    return _pipeline_scores(spark, sf, True)
+
+
 def _comparison(spark, sf, one_feature):
     """IO11 written files → IO10 glob scan → M10 comparison with the oracle gap."""
     r = _runs(spark, sf, one_feature)
@@ -1032,6 +1159,40 @@ def q_scatter(spark, sf):
                      F.col("true_acc").cast("double"))
 
 
+@register("io9_mixed_headers", _OC + "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT {i}::INT AS frame, annotator_id, round(alpha, 6) AS inferred_acc FROM a{i}" for i in range(1, K + 1)) + ")")
+def q_mixed_frames(spark, sf):
+    """IO9: frames whose headers differ in order and number of columns."""
+    res = em.fit(fx.votes(spark, sf), "onecoin", max_iter=K, tol=None, track_frames=True)
+    folder = scratch_path(spark, "mixed_frames")
+    fr = res.frames.checkpoint(eager=True)
+    headers = (["annotator_id", "inferred_acc"], ["inferred_acc", "annotator_id"], ["iteration", "inferred_acc", "annotator_id"])
+    for i in range(1, K + 1):
+        one = fr.filter(F.col("iteration") == i).select(*headers[i % 3])
+        one.write.option("header", True).option("quoteAll", i % 2 == 0).csv(f"{folder}/frame_{i}.csv")
+    return cio.scan_frames_natural(spark, folder, "frame_*.csv").select("frame", "annotator_id", r6("inferred_acc").alias("inferred_acc"))
+
+
+_HISTORY_SQL = "h AS (" + S.onecoin_history(K) + ")"
+
+
+@register("io10_mixed_headers", _OC + "SELECT * FROM (WITH " + _HISTORY_SQL + """
+SELECT 'forward' AS run, iteration AS epoch, l1_parameter_loss AS train_loss, max_gamma_shift AS test_accuracy FROM h
+UNION ALL SELECT 'reversed', iteration, l1_parameter_loss, max_gamma_shift FROM h
+UNION ALL SELECT 'partial', iteration, l1_parameter_loss, NULL FROM h)""")
+def q_mixed_metrics(spark, sf):
+    """IO10: metric files with other column orders, one without accuracy, and
+    one without epoch, which is left out (and read first)."""
+    h = fitted(spark, sf).history.select(F.col("iteration").alias("epoch"), r6("l1_parameter_loss").alias("train_loss"),
+                                         r6("max_gamma_shift").alias("test_accuracy")).checkpoint(eager=True)
+    folder = scratch_path(spark, "mixed_metrics")
+    files = {"forward": ["epoch", "train_loss", "test_accuracy"], "reversed": ["test_accuracy", "train_loss", "epoch"],
+             "partial": ["train_loss", "epoch"], "a_without": ["train_loss", "test_accuracy"]}
+    for run, cols in files.items():
+        h.select(*cols, *([F.lit("x, y").alias("note")] if run == "reversed" else [])).coalesce(1).write.option("header", True).csv(f"{folder}/{run}_metrics.csv")
+    return cio.scan_metric_files(spark, f"{folder}/*_metrics.csv")
+
+
 @register("io8_partitioned_frames_k5", _OC + "SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT 'standalone' AS run_id, {i}::INT AS iteration, annotator_id, round(alpha, 6) AS inferred_acc FROM a{i}"
     for i in range(1, K + 1)) + ")")
@@ -1076,6 +1237,26 @@ def q_stream_trust(spark, sf):
     return _stream_trust(spark, sf).select("prompt_id", "n_votes", r6("trust_weight").alias("trust_weight"))
 
 
+IDLE = "6 hours"  # a prompt without votes for so long is closed
+
+
+@register("x1_closed_prompts", _EV_OC + f"""
+, ordered AS (SELECT *, lag(ts) OVER (PARTITION BY prompt_id ORDER BY ts) AS before FROM ev),
+  numbered AS (SELECT *, sum((before IS NULL OR ts > before + INTERVAL '{IDLE}')::INT) OVER (PARTITION BY prompt_id ORDER BY ts) AS session FROM ordered),
+  sums AS (SELECT prompt_id, min(ts) AS opened, max(ts) + INTERVAL '{IDLE}' AS closed, count(*)::BIGINT AS n_votes,
+                  sum(CASE WHEN vote = 1 THEN ln(alpha) ELSE ln(1 - alpha) END) AS sa, sum(CASE WHEN vote = 1 THEN ln(1 - alpha) ELSE ln(alpha) END) AS sb
+           FROM numbered JOIN a{EV_K} USING (annotator_id) GROUP BY prompt_id, session)
+SELECT prompt_id, epoch_us(opened)::BIGINT AS opened, n_votes, round({S.posterior("ln(0.5e0) + sa", "ln(0.5e0) + sb")}, 6) AS trust_weight
+FROM sums WHERE closed <= (SELECT max(ts) FROM ev)""")
+def q_closed_prompts(spark, sf):
+    """X1 with bounded state: prompts that had no vote for six hours, emitted
+    once each time they were closed."""
+    path = scratch_path(spark, "x1_closed")
+    stream = stm.event_vote_stream(spark, sf, glob="events.parquet")
+    stm.run_changelog(stm.closed_trust(stream, _event_alpha(spark, sf), IDLE), path, output_mode="append")
+    return spark.read.parquet(path).select("prompt_id", F.unix_micros("opened").alias("opened"), "n_votes", r6("trust_weight").alias("trust_weight"))
+
+
 @register("x2_windowed_agreement", _EV_OC + f"""
 , lab AS (SELECT prompt_id, (round(g, 6) > 0.5)::INT AS label FROM g{EV_K + 1})
 SELECT annotator_id, epoch(date_trunc('day', ts))::BIGINT AS window_start, count(*)::BIGINT AS n_votes,

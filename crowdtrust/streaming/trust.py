@@ -4,6 +4,8 @@ X1 – running trust per prompt from a vote stream with frozen annotator
 accuracies: the one-coin E-step is two running sums per prompt
 (Σ ln(v ? α : 1−α), Σ ln(v ? 1−α : α)), so the streaming aggregate is
 incrementally exact and equals the batch E-step on all votes seen so far.
+Either every prompt stays open, or a prompt is closed after a time without
+votes and its state is dropped (:func:`closed_trust`).
 
 X2 – annotator agreement with the trusted label per event-time window,
 without loss in whatever order the files come, or with a watermark that the
@@ -68,6 +70,28 @@ def stream_trust(votes: DataFrame, alpha: DataFrame, alpha_col: str = "alpha") -
                       two_class_posterior(half + F.col("_sa"), half + F.col("_sb")).alias("trust_weight"))
 
 
+def closed_trust(votes: DataFrame, alpha: DataFrame, idle: str, lateness: str = "0 seconds", alpha_col: str = "alpha") -> DataFrame:
+    """X1 with bounded state: (prompt_id, opened, closed, n_votes, trust_weight).
+
+    A prompt is closed when ``idle`` has gone by, in event time, without a
+    vote on it; then its trust is emitted once, as final (append mode), and
+    its state is forgotten.  So the state holds the prompts of the last
+    ``idle`` + ``lateness`` and not all there ever were.  A vote after that
+    opens the prompt anew, in a row of its own; a vote that comes more than
+    ``lateness`` behind the newest one may be dropped, which the caller says
+    by naming it.  On a static frame: the rows of all sessions."""
+    v = votes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    j = vote_accuracy(v, alpha, alpha_col)
+    la, l1a = F.log(F.col("_a")), F.log(1.0 - F.col("_a"))
+    agg = j.groupBy(F.session_window("ts", idle).alias("w"), "prompt_id").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_votes"),
+        F.sum(F.when(F.col("vote") == 1, la).otherwise(l1a)).alias("_sa"),
+        F.sum(F.when(F.col("vote") == 1, l1a).otherwise(la)).alias("_sb"))
+    half = F.log(F.lit(0.5))
+    return agg.select("prompt_id", F.col("w.start").alias("opened"), F.col("w.end").alias("closed"), "n_votes",
+                      two_class_posterior(half + F.col("_sa"), half + F.col("_sb")).alias("trust_weight"))
+
+
 def windowed_agreement(votes: DataFrame, labels: DataFrame, window: str = "1 day",
                        watermark: str | None = None, label_col: str = "label") -> DataFrame:
     """Per (annotator, event-time window) the number of votes and the
