@@ -13,11 +13,15 @@ query as (q, 0) / |q|.  A few long vectors would crowd all others together
 there, so vectors are split into bands of similar length, each with an R, a
 grid and curves of its own.  Every band is searched.
 
-A window is a share of the band's vectors (``WINDOW_SHARE``; ``MIN_WINDOW`` at
-least), since on data without structure the neighbours found depend on the
-share that is looked at.  It is handled in blocks of at most ``BLOCK`` vectors,
-so memory doesn't grow with it.  Vectors that are equal have equal keys and
-are told apart by id, so many copies fill many blocks.
+How many curves are searched, and how wide a window, is measured: for
+``SAMPLE`` queries chosen by hash the true neighbours are found by one pass
+over all vectors, and their places along the curves tell what each number of
+curves needs to hold ``RECALL`` of them.  The cheapest is taken.  Where vectors
+lie in clusters a few narrow windows do; without structure the neighbours found
+depend on the share of vectors that is looked at, and windows grow with the
+table.  They are handled in blocks of at most ``BLOCK`` vectors, so memory does
+not.  Vectors that are equal have equal keys and are told apart by id, so many
+copies fill many blocks.
 """
 
 from __future__ import annotations
@@ -25,17 +29,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import delete_path, written, written_at
 from .vectors import dimension, matrix, top_per_query, usable
 
-CURVES, DIMS, KEY_BITS = 24, 8, 7
-#: Window to either side, as a share of the vectors, and at least.
-WINDOW_SHARE, MIN_WINDOW = 0.016, 256
-BLOCK = 4096
+CURVES, DIMS, KEY_BITS = 48, 10, 6
+#: Queries whose true neighbours are looked up, and the share of them that the windows shall hold.
+SAMPLE, RECALL = 96, 0.94
+#: Numbers of curves to choose from.
+CHOICES = (4, 8, 16, 24, 32, 48)
+#: Copying a vector to a block costs as much as scoring so many pairs.
+COPY_PAIRS = 25
+#: Least window to either side; blocks hold at least and at most so many vectors, a window up to ``REACH`` of less than the most.
+MIN_WINDOW, MIN_BLOCK, BLOCK, REACH = 64, 64, 16384, 4
 #: Lengths are counted in steps of 2^(1 / (2 x LENGTH_STEPS)); a band spans so many steps.
 LENGTH_STEPS, BAND_STEPS = 8, 5
 #: Pairs scored at once.
-PAIRS = 100_000
+PAIRS = 500_000
 SEED = 20
 
 
@@ -72,12 +81,73 @@ def hilbert_keys(cells, bits: int):
 
 
 def curves(dim: int):
-    """(projections CURVES x dim x DIMS, shifts CURVES x DIMS), fixed by SEED."""
+    """(projections CURVES x dim x DIMS, shifts CURVES x DIMS), fixed by SEED.
+    Curves take turns at the directions of random orthogonal bases, so that
+    those of one basis see different parts of a vector."""
     import numpy as np
 
     r = np.random.default_rng(SEED)
-    directions = r.normal(size=(CURVES, dim, DIMS))
-    return directions / np.sqrt((directions ** 2).sum(axis=1, keepdims=True)), r.random((CURVES, DIMS))
+    each = max(1, dim // DIMS)  # curves of one basis
+    out = []
+    while len(out) < CURVES:
+        basis = np.linalg.qr(r.normal(size=(max(dim, DIMS), max(dim, DIMS))))[0][:dim]
+        out += [basis[:, c * DIMS: (c + 1) * DIMS] for c in range(each)]
+    return np.stack(out[:CURVES]), r.random((CURVES, DIMS))
+
+
+def layout(window: int) -> tuple[int, int]:
+    """(vectors of a block, neighbouring blocks to either side) that hold a window."""
+    reach = max(-(-window // BLOCK), min(REACH, max(1, window // MIN_BLOCK)))
+    return -(-window // reach), reach
+
+
+def choose(nearness, sizes: list[int], queries: int) -> tuple[int, list[int]]:
+    """Number of curves and window of each band that cost least, from the
+    distances of true neighbours along each curve (neighbours x CURVES, as
+    shares of their band's vectors)."""
+    import numpy as np
+
+    best_cost, out = None, (1, [MIN_WINDOW] * len(sizes))
+    for c in [c for c in CHOICES if c <= CURVES] or [CURVES]:
+        share = float(np.quantile(nearness[:, :c].min(axis=1), RECALL, method="higher")) if len(nearness) else 0.0
+        windows = [max(MIN_WINDOW, int(np.ceil(share * n)) + 1) for n in sizes]
+        cost = 0
+        for n, w in zip(sizes, windows, strict=True):
+            block, reach = layout(w)
+            cost += c * (queries * min(n, (2 * reach + 1) * block) + COPY_PAIRS * (n + queries * min(2 * reach + 1, -(-n // block))))
+        if best_cost is None or cost < best_cost:
+            best_cost, out = cost, (c, windows)
+    return out
+
+
+def true_neighbours(rows: DataFrame, is_query, k: int, dim: int):
+    """(query ids, vec_ids, scores) of the nearest of ``SAMPLE`` queries, by one pass over all vectors."""
+    import numpy as np
+
+    spark = rows.sparkSession
+    some = rows.filter(is_query).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "v").toArrow()
+    if not some.num_rows:
+        return (np.array([], dtype=np.int64),) * 2 + (np.array([]),)
+    state = spark.sparkContext.broadcast((some.column("vec_id").to_numpy(), matrix(some.column("v").combine_chunks(), dim)))
+
+    def nearest(batches):
+        import pyarrow as pa
+
+        ids, q = state.value
+        held = (np.array([], dtype=np.int64),) * 2 + (np.array([]),)
+        for batch in batches:
+            own, v = batch.column("vec_id").to_numpy(), matrix(batch.column("v"), dim)
+            for at in range(0, len(own), 4096):
+                held = tuple(np.concatenate(x) for x in zip(held, best(ids, q, own[at: at + 4096], v[at: at + 4096], k), strict=True))
+                order = np.lexsort((held[1], -held[2], held[0]))
+                held = tuple(x[order] for x in held)
+                keep = np.arange(len(order)) - np.searchsorted(held[0], held[0]) < k
+                held = tuple(x[keep] for x in held)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["query_id", "vec_id", "score"])
+
+    found = top_per_query(rows.select("vec_id", "v").mapInArrow(nearest, "query_id long, vec_id long, score double"), k).toArrow()  # SAMPLE x k rows at most
+    state.destroy()
+    return tuple(found.column(c).to_numpy() for c in ("query_id", "vec_id", "score"))
 
 
 def bands(steps: list[tuple[int, int, float, float]]) -> list[tuple[float, float]]:
@@ -114,7 +184,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     import numpy as np
 
     spark = vectors.sparkSession
-    rows = usable(vectors, id_col, vector_col, "ann-vectors").filter(F.exists("v", lambda x: x != 0))
+    rows, rows_path = usable(vectors, id_col, vector_col, "ann-vectors")
+    rows = rows.filter(F.exists("v", lambda x: x != 0))
     dim = dimension(rows)
     square = F.expr("aggregate(v, 0d, (s, x) -> s + x * x)")
     lengths = rows.select(square.alias("s")).groupBy(F.floor(F.log2(F.greatest("s", F.lit(1e-300))) * LENGTH_STEPS).alias("step")).agg(F.count("*"), F.min("s"), F.max("s")).collect()  # a row per step
@@ -153,11 +224,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     count, first, second = total.reshape(len(longest), 3, CURVES, DIMS).swapaxes(0, 1)
     mean = first / count
     spread = np.sqrt(np.maximum(second / count - mean ** 2, 1e-18))
-    # vectors, blocks and neighbouring blocks to either side of each band
-    sizes = [int(c) for c in count[:, 0, 0]]
-    windows = [max(MIN_WINDOW, int(np.ceil(n * WINDOW_SHARE))) for n in sizes]
-    reaches = [-(-w // BLOCK) for w in windows]
-    blocks = [-(-w // r) for w, r in zip(windows, reaches, strict=True)]
+    sizes = [int(c) for c in count[:, 0, 0]]  # vectors of each band
 
     def keys(as_query):
         def run(batches):
@@ -170,7 +237,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
                     ids, v = all_ids[own], vs[own]
                     for at in range(0, len(ids), BLOCK):
                         y = (placed(v[at: at + BLOCK], None if as_query else longest[b]) - mean[b][:, None]) / spread[b][:, None]
-                        unit = np.clip((y + 3) / 6, 0, 1) / 2 + shifts[:, None] / 2  # the shift moves the grid by up to half the curve's range
+                        unit = 1 / (1 + np.exp(np.clip(-1.702 * y, -40, 40)))  # about the normal distribution's, so that cells are filled alike
+                        unit = unit / 2 + shifts[:, None] / 2  # the shift moves the grid by up to half the curve's range
                         cells = np.minimum((unit * (1 << KEY_BITS)).astype(np.int64), (1 << KEY_BITS) - 1)
                         key = hilbert_keys(cells.reshape(-1, DIMS), KEY_BITS)
                         m = y.shape[1]
@@ -197,9 +265,10 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part, dtype=np.int32)), *(batch.column(c) for c in ("curve", "vec_id", "query")), pa.array(at)],
                                              names=["part", "curve", "vec_id", "query", "at"])
 
-    both = written(both, "ann-keys")
-    places = written(both.repartitionByRange(*order).sortWithinPartitions(*order)
+    both, keys_path = written_at(both, "ann-keys")
+    places, places_path = written_at(both.repartitionByRange(*order).sortWithinPartitions(*order)
                      .mapInArrow(number, "part int, curve int, vec_id long, query boolean, at long"), "ann-places")
+    delete_path(spark, keys_path)
     start, starts = 0, []
     for r in places.filter("not query").groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # a row per partition
         starts.append((r["part"], start))
@@ -211,10 +280,31 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     offsets = spark.createDataFrame(starts, "part int, start long")
     # every curve of a band has all its vectors, so the place within the curve is what is over those of the curves before
     before = np.cumsum([0, *np.repeat(sizes, CURVES)]).tolist()
-    per_curve = [(c, before[c], blocks[c // CURVES], reaches[c // CURVES], (sizes[c // CURVES] - 1) // blocks[c // CURVES]) for c in range(len(longest) * CURVES)]
-    per_curve = spark.createDataFrame(per_curve, "curve int, before long, size int, reach int, last int")
+    per_curve = spark.createDataFrame([(c, c // CURVES, before[c]) for c in range(len(before) - 1)], "curve int, band int, before long")
     places = places.join(F.broadcast(offsets), "part").join(F.broadcast(per_curve), "curve")
-    places = places.withColumn("block", F.least(F.expr("cast((at + start - before) div size as int)"), F.col("last")))
+    places = places.select("curve", "band", "vec_id", "query", F.expr("at + start - before").alias("place"))
+
+    # distances along the curves between the sample's queries and their true neighbours
+    q_ids, ids, scores = true_neighbours(rows, is_query, k, dim)
+    twice = np.zeros(len(ids), dtype=bool)  # equal scores: copies, of which any is as near
+    if len(ids):
+        order = np.lexsort((scores, q_ids))
+        same = (np.diff(q_ids[order]) == 0) & (np.diff(scores[order]) == 0)
+        twice[order[1:][same]] = twice[order[:-1][same]] = True
+    q_ids, ids = q_ids[~twice], ids[~twice]
+    asked = [(int(x), True) for x in np.unique(q_ids)] + [(int(x), False) for x in np.unique(ids)]  # SAMPLE x (k + 1) rows at most
+    at = places.join(F.broadcast(spark.createDataFrame(asked, "vec_id long, query boolean")), ["vec_id", "query"]).toArrow()
+    at = dict(zip(zip(*(at.column(c).to_pylist() for c in ("vec_id", "query", "curve")), strict=True), at.column("place").to_pylist(), strict=True))
+    band_of = {v: c // CURVES for v, is_q, c in at if not is_q}
+    nearness = np.array([[abs(at[q, True, c] - at[v, False, c]) / sizes[band_of[v]] for c in range(band_of[v] * CURVES, (band_of[v] + 1) * CURVES)]
+                         for q, v in zip(q_ids.tolist(), ids.tolist(), strict=True)]).reshape(-1, CURVES)
+    searched, windows = choose(nearness, sizes, rows.filter(is_query).count())
+    per_band = []
+    for b, w in enumerate(windows):
+        size, reach = layout(w)
+        per_band.append((b, size, reach, (sizes[b] - 1) // size))
+    places = places.filter(F.col("curve") % CURVES < searched).join(F.broadcast(spark.createDataFrame(per_band, "band int, size int, reach int, last int")), "band")
+    places = places.withColumn("block", F.least(F.expr("cast(place div size as int)"), F.col("last")))
     to = F.explode(F.when(F.col("query"), F.sequence(F.col("block") - F.col("reach"), F.col("block") + F.col("reach"))).otherwise(F.array("block")))
     dealt = places.select("curve", "vec_id", "query", "last", to.alias("block")).filter("block between 0 and last").drop("last")
     dealt = dealt.join(rows, "vec_id").repartition("curve", "block").sortWithinPartitions("curve", "block", "query")
@@ -250,7 +340,10 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
 
     found = dealt.mapInArrow(score, "query_id long, vec_id long, score double")
     merged = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return top_per_query(merged, k)
+    out = written(top_per_query(merged, k), "ann-found")  # k rows per query
+    delete_path(spark, places_path)
+    delete_path(spark, rows_path)
+    return out
 
 
 def best(q_ids, q, c_ids, c, k: int):

@@ -58,7 +58,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: s
     import numpy as np
 
     spark = vectors.sparkSession
-    rows = usable(vectors, id_col, vector_col, "topk-vectors")
+    rows, _ = usable(vectors, id_col, vector_col, "topk-vectors")
     dim = dimension(rows)
     largest = rows.agg(F.max(F.expr("array_max(transform(v, x -> abs(x)))"))).first()[0] or 0.0
     exact_float = dim * (largest * scale + 1) ** 2 < 2.0 ** 53

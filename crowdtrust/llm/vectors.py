@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import small_batches, written_at
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str, name: str) -> DataFrame:
-    """Written table (vec_id, v: array<double>) of the vectors that take part:
+def usable(vectors: DataFrame, id_col: str, vector_col: str, name: str) -> tuple[DataFrame, str]:
+    """Written table (vec_id, v: array<double>), and its folder, of the vectors that take part:
     id and vector non-null, no null, infinite or NaN component.  A repeated
     vec_id counts once, with the least of its vectors."""
     small_batches(vectors.sparkSession)
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null")
     rows = rows.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    return written(rows.groupBy("vec_id").agg(F.min("v").alias("v")), name)
+    return written_at(rows.groupBy("vec_id").agg(F.min("v").alias("v")), name)
 
 
 def matrix(column, dim: int):

@@ -135,3 +135,40 @@ def test_bands_of_length():
     many = [(i, 1 + 1000 // (1 + abs(i)), 2 ** (i / 8), 2 ** ((i + 1) / 8)) for i in range(-200, 200)]
     parted = ann_hilbert.bands(many)
     assert parted[0][1] == many[-1][3] and parted[-1][0] == many[0][2] and all(a[0] >= b[1] for a, b in zip(parted, parted[1:], strict=False))
+
+
+def test_layout_holds_the_window():
+    for w in (1, 63, 64, 200, 1000, 65536, 10 ** 6):
+        size, reach = ann_hilbert.layout(w)
+        assert size * reach >= w and size <= ann_hilbert.BLOCK
+
+
+def test_window_is_measured():
+    r = np.random.default_rng(7)
+    near = r.random((1900, ann_hilbert.CURVES)) * 1e-4  # clusters: a few narrow windows
+    curves, (w,) = ann_hilbert.choose(near, [10 ** 6], 50_000)
+    held = (near[:, :curves].min(axis=1) * 10 ** 6 <= w).mean()
+    assert curves == min(ann_hilbert.CHOICES) and held >= ann_hilbert.RECALL and w < 200
+    far = r.random((1900, ann_hilbert.CURVES)) ** 2  # no structure: more curves, windows that grow with the table
+    few, small = ann_hilbert.choose(far, [10 ** 4], 500)
+    many, large = ann_hilbert.choose(far, [10 ** 7], 500_000)
+    assert few <= many == max(ann_hilbert.CHOICES)
+    assert all((far[:, :c].min(axis=1) * n <= w[0]).mean() >= ann_hilbert.RECALL for c, w, n in ((few, small, 10 ** 4), (many, large, 10 ** 7)))
+    assert ann_hilbert.choose(np.zeros((0, ann_hilbert.CURVES)), [5, 100], 1)[1] == [ann_hilbert.MIN_WINDOW] * 2
+
+
+def test_ann_of_clusters_scores_few_pairs(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(60, 32))[r.integers(0, 60, 6000)] + 0.05 * r.normal(size=(6000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    chosen = []
+    monkeypatch.setattr(ann_hilbert, "choose", lambda *a, choose=ann_hilbert.choose: chosen.append(choose(*a)) or chosen[-1])
+    out = ann_hilbert.search(vectors(spark, list(enumerate(x.tolist()))), F.col("vec_id") % 50 == 0, k=20).collect()
+    x, found = x.astype(float), 0
+    for q in range(0, 6000, 50):
+        s = x @ x[q]
+        s[q] = -9
+        found += sum(s[r.vec_id] >= np.sort(s)[-20] - 1e-9 for r in out if r.query_id == q)
+    curves, (w,) = chosen[0]
+    size, reach = ann_hilbert.layout(w)
+    assert found >= 0.9 * 2400 and curves * size * (2 * reach + 1) < 0.5 * 6000
