@@ -16,7 +16,7 @@ grid and curves of its own.  Every band is searched.
 How many curves are searched, and how wide a window, is measured: for
 ``SAMPLE`` queries chosen by hash the true neighbours are found by one pass
 over all vectors, and their places along the curves tell what each number of
-curves needs to hold ``RECALL`` of them.  The cheapest is taken.  Where vectors
+curves needs to hold ``RECALL`` of them; the number that costs least is taken.  Where vectors
 lie in clusters a few narrow windows do; without structure the neighbours found
 depend on the share of vectors that is looked at, and windows grow with the
 table.  They are handled in blocks of at most ``BLOCK`` vectors, so memory does
@@ -32,15 +32,15 @@ from pyspark.sql import functions as F
 from .common import delete_path, written, written_at
 from .vectors import dimension, matrix, top_per_query, usable
 
-CURVES, DIMS, KEY_BITS = 48, 10, 6
+CURVES, DIMS, KEY_BITS = 24, 10, 6
 #: Queries whose true neighbours are looked up, and the share of them that the windows shall hold.
 SAMPLE, RECALL = 96, 0.94
 #: Numbers of curves to choose from.
-CHOICES = (4, 8, 16, 24, 32, 48)
-#: Copying a vector to a block costs as much as scoring so many pairs.
-COPY_PAIRS = 25
+CHOICES = (4, 8, 16, 24)
+#: One more curve costs as much as scoring this share of all pairs.
+CURVE_COST = 0.001
 #: Least window to either side; blocks hold at least and at most so many vectors, a window up to ``REACH`` of less than the most.
-MIN_WINDOW, MIN_BLOCK, BLOCK, REACH = 64, 64, 16384, 4
+MIN_WINDOW, MIN_BLOCK, BLOCK, REACH = 64, 64, 16384, 2
 #: Lengths are counted in steps of 2^(1 / (2 x LENGTH_STEPS)); a band spans so many steps.
 LENGTH_STEPS, BAND_STEPS = 8, 5
 #: Pairs scored at once.
@@ -101,23 +101,18 @@ def layout(window: int) -> tuple[int, int]:
     return -(-window // reach), reach
 
 
-def choose(nearness, sizes: list[int], queries: int) -> tuple[int, list[int]]:
-    """Number of curves and window of each band that cost least, from the
-    distances of true neighbours along each curve (neighbours x CURVES, as
-    shares of their band's vectors)."""
+def choose(nearness) -> tuple[int, float]:
+    """Number of curves that costs least, and the share of a band's vectors
+    that a window to either side must hold, from the distances of true
+    neighbours along each curve (neighbours x CURVES, as such shares).  The
+    size of the table does not count."""
     import numpy as np
 
-    best_cost, out = None, (1, [MIN_WINDOW] * len(sizes))
-    for c in [c for c in CHOICES if c <= CURVES] or [CURVES]:
+    found = []
+    for c in sorted({min(c, CURVES) for c in CHOICES}):
         share = float(np.quantile(nearness[:, :c].min(axis=1), RECALL, method="higher")) if len(nearness) else 0.0
-        windows = [max(MIN_WINDOW, int(np.ceil(share * n)) + 1) for n in sizes]
-        cost = 0
-        for n, w in zip(sizes, windows, strict=True):
-            block, reach = layout(w)
-            cost += c * (queries * min(n, (2 * reach + 1) * block) + COPY_PAIRS * (n + queries * min(2 * reach + 1, -(-n // block))))
-        if best_cost is None or cost < best_cost:
-            best_cost, out = cost, (c, windows)
-    return out
+        found.append((c * (2 * share + CURVE_COST), c, share))
+    return min(found)[1:]
 
 
 def true_neighbours(rows: DataFrame, is_query, k: int, dim: int):
@@ -298,10 +293,10 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     band_of = {v: c // CURVES for v, is_q, c in at if not is_q}
     nearness = np.array([[abs(at[q, True, c] - at[v, False, c]) / sizes[band_of[v]] for c in range(band_of[v] * CURVES, (band_of[v] + 1) * CURVES)]
                          for q, v in zip(q_ids.tolist(), ids.tolist(), strict=True)]).reshape(-1, CURVES)
-    searched, windows = choose(nearness, sizes, rows.filter(is_query).count())
+    searched, share = choose(nearness)
     per_band = []
-    for b, w in enumerate(windows):
-        size, reach = layout(w)
+    for b, n in enumerate(sizes):
+        size, reach = layout(max(MIN_WINDOW, int(np.ceil(share * n)) + 1))
         per_band.append((b, size, reach, (sizes[b] - 1) // size))
     places = places.filter(F.col("curve") % CURVES < searched).join(F.broadcast(spark.createDataFrame(per_band, "band int, size int, reach int, last int")), "band")
     places = places.withColumn("block", F.least(F.expr("cast(place div size as int)"), F.col("last")))

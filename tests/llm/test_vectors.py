@@ -146,15 +146,13 @@ def test_layout_holds_the_window():
 def test_window_is_measured():
     r = np.random.default_rng(7)
     near = r.random((1900, ann_hilbert.CURVES)) * 1e-4  # clusters: a few narrow windows
-    curves, (w,) = ann_hilbert.choose(near, [10 ** 6], 50_000)
-    held = (near[:, :curves].min(axis=1) * 10 ** 6 <= w).mean()
-    assert curves == min(ann_hilbert.CHOICES) and held >= ann_hilbert.RECALL and w < 200
-    far = r.random((1900, ann_hilbert.CURVES)) ** 2  # no structure: more curves, windows that grow with the table
-    few, small = ann_hilbert.choose(far, [10 ** 4], 500)
-    many, large = ann_hilbert.choose(far, [10 ** 7], 500_000)
-    assert few <= many == max(ann_hilbert.CHOICES)
-    assert all((far[:, :c].min(axis=1) * n <= w[0]).mean() >= ann_hilbert.RECALL for c, w, n in ((few, small, 10 ** 4), (many, large, 10 ** 7)))
-    assert ann_hilbert.choose(np.zeros((0, ann_hilbert.CURVES)), [5, 100], 1)[1] == [ann_hilbert.MIN_WINDOW] * 2
+    far = r.random((1900, ann_hilbert.CURVES)) ** 2  # no structure: more curves, wide windows
+    few, narrow = ann_hilbert.choose(near)
+    many, wide = ann_hilbert.choose(far)
+    assert few == min(ann_hilbert.CHOICES) < many and narrow < 1e-4 < wide
+    for x, c, share in ((near, few, narrow), (far, many, wide)):
+        assert (x[:, :c].min(axis=1) <= share).mean() >= ann_hilbert.RECALL
+    assert ann_hilbert.choose(np.zeros((0, ann_hilbert.CURVES))) == (min(ann_hilbert.CHOICES), 0.0)
 
 
 def test_ann_of_clusters_scores_few_pairs(spark, monkeypatch):
@@ -169,6 +167,6 @@ def test_ann_of_clusters_scores_few_pairs(spark, monkeypatch):
         s = x @ x[q]
         s[q] = -9
         found += sum(s[r.vec_id] >= np.sort(s)[-20] - 1e-9 for r in out if r.query_id == q)
-    curves, (w,) = chosen[0]
-    size, reach = ann_hilbert.layout(w)
+    curves, share = chosen[0]
+    size, reach = ann_hilbert.layout(max(ann_hilbert.MIN_WINDOW, math.ceil(share * 6000) + 1))
     assert found >= 0.9 * 2400 and curves * size * (2 * reach + 1) < 0.5 * 6000
