@@ -34,7 +34,7 @@ from .vectors import dimension, matrix, top_per_query, usable
 
 CURVES, DIMS, KEY_BITS = 24, 10, 6
 #: Queries whose true neighbours are looked up, and the share of them that the windows shall hold.
-SAMPLE, RECALL = 96, 0.94
+SAMPLE, RECALL = 96, 0.95
 #: Numbers of curves to choose from.
 CHOICES = (4, 8, 16, 24)
 #: One more curve costs as much as scoring this share of all pairs.
@@ -96,9 +96,10 @@ def curves(dim: int):
 
 
 def layout(window: int) -> tuple[int, int]:
-    """(vectors of a block, neighbouring blocks to either side) that hold a window."""
+    """(vectors of a block, neighbouring blocks to either side).  A query sees
+    ``window`` vectors to either side on average over its places in its block."""
     reach = max(-(-window // BLOCK), min(REACH, max(1, window // MIN_BLOCK)))
-    return -(-window // reach), reach
+    return -(-2 * window // (2 * reach + 1)), reach
 
 
 def choose(nearness) -> tuple[int, float]:
