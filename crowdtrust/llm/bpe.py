@@ -20,13 +20,12 @@ from __future__ import annotations
 
 import array
 import hashlib
-import json
 import re
 
 from pyspark.sql import DataFrame
 
 from .common import id_and_text, per_process
-from .tokens import _PLAIN, _SPLIT_PLAIN, _WORD, Units, byte_alphabet
+from .tokens import _PLAIN, _SPLIT_PLAIN, _WORD, Units, byte_alphabet, byte_level
 
 SCHEMA = "doc_id long, ids binary, n_tokens long, ids_sha256 string, decoded string, decoded_sha256 string"
 #: Pieces of text whose ids a worker remembers (see ``tokens.Units``).
@@ -48,8 +47,7 @@ class BacktrackingBPE(Units):
         from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__(max_units)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = byte_level(path)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         byte_of = {c: b for b, c in byte_alphabet().items()}
         self.to_bytes = {ord(c): b for c, b in byte_of.items()}

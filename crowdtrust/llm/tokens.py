@@ -10,6 +10,7 @@ unit -> ids and asks the library only for units it has not seen.
 from __future__ import annotations
 
 import array
+import json
 import re
 
 from .common import per_process
@@ -145,6 +146,29 @@ class Units(dict):
         return out
 
 
+def byte_level(path: str) -> dict:
+    """The specification in a tokenizer file, if it is of the kind that units
+    are right for: a plain byte-level BPE that splits by the usual pattern and
+    takes text as it is.  Any other raises ValueError."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [what for what, bad in (
+        ("its model is no BPE", model.get("type", "BPE") != "BPE"),
+        ("it changes text first (normalizer)", spec.get("normalizer")),
+        ("its pre-tokenizer is not byte-level with the usual pattern", split.get("type") != "ByteLevel" or not split.get("use_regex", True)),
+        ("it puts a blank before texts", split.get("add_prefix_space", True)),
+        ("its words have prefixes or suffixes", model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")),
+        ("its merges are random or left out", model.get("dropout") or model.get("ignore_merges")),
+        ("its bytes are not all tokens", not set(byte_alphabet().values()) <= set(model.get("vocab", ()))),
+        ("its added tokens hold blanks, match beside them, in words alone or in changed text",
+         any(" " in t["content"] or any(t.get(flag) for flag in ("lstrip", "rstrip", "single_word", "normalized")) for t in spec.get("added_tokens") or ())),
+    ) if bad]
+    if wrong:
+        raise ValueError(f"{path}: not a tokenizer that this operator encodes for: {'; '.join(wrong)}")
+    return spec
+
+
 class UnitEncoder(Units):
     """Units by the ``tokenizers`` library: ids as ``Tokenizer.encode`` gives them."""
 
@@ -152,6 +176,7 @@ class UnitEncoder(Units):
         from tokenizers import Tokenizer
 
         super().__init__(max_units)
+        byte_level(path)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()

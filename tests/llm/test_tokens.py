@@ -1,5 +1,6 @@
 import array
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -46,6 +47,30 @@ def test_units_give_the_librarys_ids(library, texts, monkeypatch):
     assert len(encoder) <= 40 * 100
 
 
+@pytest.mark.parametrize("build", [tokens.UnitEncoder, bpe.BacktrackingBPE])
+def test_unsuitable_vocabularies_are_refused(tmp_path, build):
+    with pytest.raises(ValueError, match="normalizer"):
+        build(path("word_bpe_49k.json"))
+    with open(VOCABULARY, encoding="utf-8") as f:
+        spec = json.load(f)
+    added = spec["added_tokens"][0]
+    for k, (part, change) in enumerate([
+        ("normalizer", {"type": "Lowercase"}),
+        ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}),
+        ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}),
+        ("pre_tokenizer", None),
+        ("model", spec["model"] | {"end_of_word_suffix": "</w>"}),
+        ("model", spec["model"] | {"ignore_merges": True}),
+        ("model", spec["model"] | {"vocab": {t: i for t, i in spec["model"]["vocab"].items() if t != "a"}}),
+        ("added_tokens", [added | {"lstrip": True}]),
+        ("added_tokens", [added | {"content": "two words"}]),
+    ]):
+        file = tmp_path / f"{k}.json"
+        file.write_text(json.dumps(spec | {part: change}))
+        with pytest.raises(ValueError, match="not a tokenizer"):
+            build(str(file))
+
+
 def test_backtracking_gives_the_librarys_ids_and_text(library, texts):
     own = bpe.BacktrackingBPE(VOCABULARY)
     for t in texts:
