@@ -94,8 +94,10 @@ def token_ids(prompts: DataFrame, vocab: DataFrame, vocab_size: int, max_len: in
         w = w if max_len is None else F.slice(w, 1, max_len)
         return F.transform(w, lambda t, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), t.alias("token")))
 
+    # counted below the explode: beside it, Spark would take the texts apart again for every row that comes out
     rows = prompts.select("prompt_id", F.size(words[0]).alias("n_tok_a"), F.size(words[1]).alias("n_tok_b"),
-                          F.explode_outer(F.concat(*[F.coalesce(listed(s, w), F.array()) for s, w in words.items()])).alias("t"))
+                          F.concat(*[F.coalesce(listed(s, w), F.array()) for s, w in words.items()]).alias("_t"))
+    rows = rows.select("prompt_id", "n_tok_a", "n_tok_b", F.explode_outer("_t").alias("t"))
     rows = _vocab_join(rows.select("prompt_id", "n_tok_a", "n_tok_b", "t.side", "t.pos", "t.token"), vocab, vocab_size)
 
     def ids(side):

@@ -1,0 +1,15 @@
+"""Token ids that do no work per token over again."""
+
+from crowdtrust.operators import text as tx
+
+
+def test_token_counts_are_taken_once_per_pair(spark):
+    """K1: above the explode, whose rows are tokens, no text is taken apart."""
+    p = spark.createDataFrame([(1, "a b a", "c"), (2, "", None)], "prompt_id bigint, text_a string, text_b string")
+    vocab = spark.createDataFrame([("a", 2), ("b", 3)], "token string, token_id int")
+    df = tx.token_ids(p, vocab, 4, max_len=3)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[:plan.index("Generate explode")]
+    assert "regexp_replace" not in above and "text_a" not in above
+    got = {r.prompt_id: (r.ids_a, r.ids_b, r.n_tok_a, r.n_tok_b) for r in df.collect()}
+    assert got == {1: ([2, 3, 2], [1, 0, 0], 3, 1), 2: ([0, 0, 0], [0, 0, 0], 0, 0)}
