@@ -1,4 +1,6 @@
-"""Token ids that do no work per token over again."""
+"""Token ids and wide features that do no work per row or value over again."""
+
+import pytest
 
 from crowdtrust.operators import text as tx
 
@@ -13,3 +15,17 @@ def test_token_counts_are_taken_once_per_pair(spark):
     assert "regexp_replace" not in above and "text_a" not in above
     got = {r.prompt_id: (r.ids_a, r.ids_b, r.n_tok_a, r.n_tok_b) for r in df.collect()}
     assert got == {1: ([2, 3, 2], [1, 0, 0], 3, 1), 2: ([0, 0, 0], [0, 0, 0], 0, 0)}
+
+
+def test_wide_values_are_scaled_by_a_length_added_up_once(spark):
+    """The length of a row's values is not added up again for every value."""
+    from crowdtrust.plans import joint as jt
+    p = spark.createDataFrame([(1, "a b a", "c"), (2, "d", "d"), (3, "", "x x")], "prompt_id bigint, text_a string, text_b string")
+    labels = spark.createDataFrame([(1, 0.5), (2, 0.5), (3, 1.0)], "prompt_id bigint, label double")
+    df = jt.wide_design(jt.PreferenceData(p, None, None, None, None, None, 0, None), labels, "label")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    inside = [x for x in plan.split("lambdafunction(")[1:]]
+    assert "array_repeat" in plan and not any("/ SQRT" in x[:80] for x in inside)
+    got = {r.prompt_id: sorted(r["values"][:-1]) for r in df.collect()}
+    six = 6 ** 0.5
+    assert got[1] == pytest.approx([-1 / six, 1 / six, 2 / six]) and got[2] == [] and got[3] == pytest.approx([-1.0])
