@@ -11,8 +11,10 @@ small, fixed list) that take it, and one batched EM fit keyed by
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from crowdtrust.operators.prepare import dense_index, hard_label
 from crowdtrust.operators.votes import BROADCAST_ROW_LIMIT, MIN_HOT_THRESHOLD
 from crowdtrust.session import scratch_path
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # Python workers need not have the package on their path
+
 # Fixed values of the reference sweep.
 BASE_N, BASE_L, BASE_ADV = 400, 3, 0.10
 ERROR_THRESHOLD = 0.15
@@ -188,6 +192,16 @@ def crowd_worker(rank: Column, n_total: int, crowd: Column) -> Column:
     return F.pmod(rank + F.lit(n_total) * share, crowd).cast("bigint")
 
 
+def _ranked_votes(votes: DataFrame, worker_truth: DataFrame, most: int, seed: int, hot_threshold: int) -> tuple[DataFrame, int]:
+    """(the ``most`` first votes of each prompt with ``_rank``, ``crowd_rank``
+    and ``_acc`` of their annotator, the number of annotators)."""
+    ranks = annotator_ranks(votes, seed).checkpoint(eager=True)  # one row per annotator
+    truth = worker_truth.select("annotator_id", F.col("true_acc").cast("double").alias("_acc"))
+    ranked = top_per_group(votes.select("prompt_id", "annotator_id", "vote").withColumn("_h", vote_order(seed)), ["prompt_id"],
+                           ["_h", "annotator_id", "vote"], F.lit(most), hot_threshold, rank_name="_rank").drop("_h")
+    return ranked.join(_ranks_joinable(ranks.join(truth, "annotator_id", "left")), "annotator_id"), ranks.count()
+
+
 def perturbed_votes(votes: DataFrame, worker_truth: DataFrame, configs: list[Config], seed: int = 42,
                     hot_threshold: int = MIN_HOT_THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """All configurations in one written table: (config_id, prompt_id,
@@ -200,13 +214,7 @@ def perturbed_votes(votes: DataFrame, worker_truth: DataFrame, configs: list[Con
     the largest L go first; a vote is then replicated for the configurations
     that take its rank, and for no other."""
     spark = votes.sparkSession
-    ranks = annotator_ranks(votes, seed).checkpoint(eager=True)  # one row per annotator
-    n_total = ranks.count()
-    truth = worker_truth.select("annotator_id", F.col("true_acc").cast("double").alias("_acc"))
-    most = max(c.L for c in configs)
-    ranked = top_per_group(votes.select("prompt_id", "annotator_id", "vote").withColumn("_h", vote_order(seed)), ["prompt_id"],
-                           ["_h", "annotator_id", "vote"], F.lit(most), hot_threshold, rank_name="_rank").drop("_h")
-    ranked = ranked.join(_ranks_joinable(ranks.join(truth, "annotator_id", "left")), "annotator_id")
+    ranked, n_total = _ranked_votes(votes, worker_truth, max(c.L for c in configs), seed, hot_threshold)
     # the configuration list is fixed and small
     cfg = F.array(*[F.struct(F.lit(c.config_id).alias("config_id"), F.lit(c.L).alias("L"), F.lit(float(c.Adv)).alias("Adv"),
                              F.lit(c.N).alias("N")) for c in configs])
@@ -223,15 +231,186 @@ def perturbed_votes(votes: DataFrame, worker_truth: DataFrame, configs: list[Con
     return v.select("config_id", "prompt_id", "annotator_id", "vote"), wt
 
 
+def prompt_votes(votes: DataFrame, worker_truth: DataFrame, most: int, seed: int = 42,
+                 hot_threshold: int = MIN_HOT_THRESHOLD) -> tuple[DataFrame, int]:
+    """A written row per prompt: (prompt_id, share, votes), and the number of
+    annotators.  ``votes`` are the ``most`` first votes of the prompt with all
+    that a configuration needs to perturb them: whether the vote as it is, the
+    flipped vote and the spammer's coin say A (``plain``, ``flipped``,
+    ``coin``); ``share`` deals the prompt in crowds larger than the annotators."""
+    ranked, n_total = _ranked_votes(votes, worker_truth, most, seed, hot_threshold)
+    says_a = lambda c: F.coalesce(c == 1, F.lit(False))
+    one = F.struct(F.col("_rank").alias("rank"), F.col("crowd_rank").cast("bigint").alias("crowd_rank"), says_a(F.col("vote")).alias("plain"),
+                   says_a(1 - F.col("vote")).alias("flipped"), says_a(spam_coin(seed)).alias("coin"), F.col("_acc").alias("acc"))
+    # a prompt without an id has no worker in any configuration
+    packed = ranked.filter("prompt_id is not null").groupBy("prompt_id").agg(F.collect_list(one).alias("votes"))
+    packed = packed.select(F.col("prompt_id").cast("bigint").alias("prompt_id"),
+                           hash32(F.concat(F.lit("crowd share|"), F.col("prompt_id").cast("string"))).alias("share"), "votes")
+    path = scratch_path(votes.sparkSession, "prompt_votes")
+    packed.write.parquet(path)
+    return votes.sparkSession.read.schema(packed.schema).parquet(path), n_total
+
+
+def _perturbed(batch, configs: list[Config], n_total: int):
+    """Per configuration of a batch of :func:`prompt_votes`: (configuration,
+    row, worker, vote is A, true accuracy) of the votes that it takes."""
+    import numpy as np
+
+    column = batch.column("votes")
+    size = np.diff(column.offsets.to_numpy())
+    row = np.repeat(np.arange(len(size)), size)
+    field = dict(zip([f.name for f in column.type.value_type], column.flatten().flatten(), strict=True))
+    rank, crowd = field["rank"].to_numpy(), field["crowd_rank"].to_numpy()
+    plain, flipped, coin = (field[c].to_numpy(zero_copy_only=False) for c in ("plain", "flipped", "coin"))
+    acc = field["acc"].to_numpy(zero_copy_only=False)  # NaN where there is none
+    share = batch.column("share").to_numpy()
+    workers, taken = {}, {}
+    for c in configs:
+        if c.N not in workers:
+            shares = int(np.ceil(c.N / n_total))
+            workers[c.N] = (crowd + n_total * (share % shares)[row]) % c.N
+        if c.L not in taken:
+            taken[c.L] = np.flatnonzero(rank <= c.L)
+        at = taken[c.L]
+        worker = workers[c.N][at]
+        adv, spam = np.floor(c.N * c.Adv), np.floor(c.N * max(0.0, CORRUPT_SHARE - c.Adv))
+        flips = worker < adv
+        guesses = ~flips & (worker < adv + spam)
+        one = np.where(flips, flipped[at], np.where(guesses, coin[at], plain[at]))
+        yield c, row[at], worker, one, np.where(flips, 1.0 - acc[at], np.where(guesses, 0.5, acc[at]))
+
+
+def _posterior(row, one, rows: int, log_odds):
+    """P(A) per row of the batch; ``log_odds`` of each vote's worker."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        return 1.0 / (1.0 + np.exp(-np.bincount(row, weights=np.where(one, log_odds, -log_odds), minlength=rows)))
+
+
+def _log_odds(alpha):
+    import numpy as np
+
+    return np.log(alpha) - np.log(1.0 - alpha)
+
+
+_SUMS = "config_id int, annotator_id long, corr double, tot double, acc double, n_acc double, shift double"
+
+
+def sweep_step(prompts: DataFrame, n_total: int, configs: list[Config], cur: dict, prev: dict) -> DataFrame:
+    """One E and M step of the one-coin model for all ``configs`` in one pass
+    over :func:`prompt_votes`: the perturbed votes are made in the task and
+    never written.  ``cur``, ``prev``: accuracy of every worker by config_id
+    (none in ``prev``: γ was 0.5).  A row per configuration and worker, each task's
+    sums added up by Spark: correct and all votes, true accuracies, max |Δγ|."""
+    start = em.INIT_GAMMA
+    shared = prompts.sparkSession.sparkContext.broadcast({c.config_id: (_log_odds(cur[c.config_id]), _log_odds(prev[c.config_id]) if c.config_id in prev else None)
+                                                          for c in configs})
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        sums = {c.config_id: np.zeros((4, c.N)) for c in configs}
+        shift = dict.fromkeys(sums, 0.0)
+        for batch in batches:
+            for c, row, worker, one, acc in _perturbed(batch, configs, n_total):
+                now, before = shared.value[c.config_id]
+                g = _posterior(row, one, batch.num_rows, now[worker])[row]
+                g0 = start if before is None else _posterior(row, one, batch.num_rows, before[worker])[row]
+                shift[c.config_id] = max(shift[c.config_id], float(np.abs(g - g0).max(initial=0.0)))
+                known = ~np.isnan(acc)
+                for i, w in enumerate((np.where(one, g, 1.0 - g), None, np.where(known, acc, 0.0), known)):
+                    sums[c.config_id][i] += np.bincount(worker, weights=w, minlength=c.N)
+        for i, x in sums.items():
+            at = np.flatnonzero(x[1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, dtype=np.int32)), pa.array(at), *[pa.array(y[at]) for y in x],
+                                              pa.array(np.full(len(at), shift[i]))], names=[c.split()[0] for c in _SUMS.split(", ")])
+
+    return prompts.mapInArrow(run, _SUMS).groupBy("config_id", "annotator_id").agg(
+        *[F.sum(c).alias(c) for c in ("corr", "tot", "acc", "n_acc")], F.max("shift").alias("shift"))
+
+
+def sweep_trust(prompts: DataFrame, n_total: int, configs: list[Config], alpha: dict) -> DataFrame:
+    """(config_id, prompt_id, trust_weight) under the accuracies ``alpha``."""
+    shared = prompts.sparkSession.sparkContext.broadcast({i: _log_odds(a) for i, a in alpha.items()})
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for c, row, worker, one, _ in _perturbed(batch, configs, n_total):
+                has = np.unique(row)
+                g = _posterior(row, one, batch.num_rows, shared.value[c.config_id][worker])[has]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(has), c.config_id, dtype=np.int32)), batch.column("prompt_id").take(pa.array(has)),
+                                                  pa.array(g)], names=["config_id", "prompt_id", "trust_weight"])
+
+    return prompts.mapInArrow(run, "config_id int, prompt_id long, trust_weight double")
+
+
+def fit_sweep(votes: DataFrame, worker_truth: DataFrame, configs: list[Config], max_iter: int = em.DEFAULT_MAX_ITER,
+              tol: float | None = em.DEFAULT_TOL, seed: int = 42, track_frames: bool = False,
+              hot_threshold: int = MIN_HOT_THRESHOLD) -> em.EMResult:
+    """:func:`em.fit` (one-coin) of all configurations without writing a vote
+    per configuration: the ranked votes are written once, a row per prompt, and
+    each iteration is one pass over them (:func:`sweep_step`).  The driver keeps
+    the workers' accuracies, a number per worker of each crowd."""
+    import numpy as np
+
+    spark = votes.sparkSession
+    prompts, n_total = prompt_votes(votes, worker_truth, max(c.L for c in configs), seed, hot_threshold)
+    cur = {c.config_id: np.full(c.N, em.ONECOIN_INIT_ALPHA) for c in configs}
+    prev: dict = {}
+    seen: dict = {}  # workers with votes
+    history, frames, active = [], [], list(configs)
+    for it in range(1, max_iter + 1):
+        table = sweep_step(prompts, n_total, active, cur, prev).toArrow()  # a row per worker of each crowd
+        step = {c: table.column(c).to_numpy() for c in table.column_names}
+        going = []
+        for c in active:
+            own = {k: v[step["config_id"] == c.config_id] for k, v in step.items()}
+            w = own["annotator_id"]
+            if not len(w):  # no vote
+                continue
+            prev[c.config_id], cur[c.config_id], seen[c.config_id] = cur[c.config_id], cur[c.config_id].copy(), w
+            alpha = cur[c.config_id][w] = np.clip(own["corr"] / np.maximum(own["tot"], 1.0), em.ONECOIN_EPS, 1.0 - em.ONECOIN_EPS)
+            known = own["n_acc"] > 0
+            l1 = float(np.abs(own["acc"][known] / own["n_acc"][known] - alpha[known]).mean()) if known.any() else None
+            shift = float(own["shift"].max())
+            history.append((c.config_id, l1, shift, it))
+            if tol is None or not shift < tol:
+                going.append(c)
+        if track_frames:
+            frames += [(i, int(w), float(cur[i][w]), it) for i in seen for w in seen[i]]
+        active = going
+        if not active:
+            break
+    state = [(i, int(w), float(cur[i][w]), float(prev[i][w])) for i in seen for w in seen[i]]
+    state = spark.createDataFrame(state, "config_id int, annotator_id long, alpha_cur double, alpha_prev double")
+    trust = sweep_trust(prompts, n_total, [c for c in configs if c.config_id in seen], prev)
+    params = state.select("config_id", "annotator_id", F.col("alpha_cur").alias("alpha"), F.col("alpha_cur").alias("inferred_acc"))
+    hist = spark.createDataFrame(history, "config_id int, l1_parameter_loss double, max_gamma_shift double, iteration int")
+    frames_table = spark.createDataFrame(frames, "config_id int, annotator_id long, inferred_acc double, iteration int") if track_frames else None
+    return em.EMResult(trust, params, hist.select("config_id", "iteration", "l1_parameter_loss", "max_gamma_shift"), frames_table, state, ["config_id"])
+
+
 def run_sweep(votes: DataFrame, worker_truth: DataFrame, configs: list[Config] | None = None,
               max_iter: int = em.DEFAULT_MAX_ITER, tol: float | None = em.DEFAULT_TOL, seed: int = 42,
               track_frames: bool = False) -> tuple[DataFrame, em.EMResult]:
-    """R4 + E12 + M1: sweep matrix (config_id, variable_tested, L, Adv, N, Error)."""
+    """R4 + E12 + M1: sweep matrix (config_id, variable_tested, L, Adv, N, Error).
+
+    Crowds of more than ``BROADCAST_ROW_LIMIT`` workers in all are too many to
+    broadcast: their votes are written per configuration and fitted by
+    :func:`em.fit`."""
     configs = configs or sweep_configs()
     spark = votes.sparkSession
-    pv, wt = perturbed_votes(votes, worker_truth, configs, seed)
-    res = em.fit(pv, "onecoin", max_iter=max_iter, tol=tol, worker_truth=wt, group_cols=["config_id"],
-                 track_frames=track_frames)
+    if sum(c.N for c in configs) <= BROADCAST_ROW_LIMIT:
+        res = fit_sweep(votes, worker_truth, configs, max_iter, tol, seed, track_frames)
+    else:
+        pv, wt = perturbed_votes(votes, worker_truth, configs, seed)
+        res = em.fit(pv, "onecoin", max_iter=max_iter, tol=tol, worker_truth=wt, group_cols=["config_id"],
+                     track_frames=track_frames)
     err = res.history.groupBy("config_id").agg(F.max_by("l1_parameter_loss", "iteration").alias("Error"),
                                                F.max("iteration").alias("iterations"))
     return config_table(spark, configs).join(err, "config_id", "left"), res

@@ -1,8 +1,67 @@
-"""Token ids and wide features that do no work per row or value over again."""
+"""Sweeps, token ids and wide features that do no work per configuration, row or value over again."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from crowdtrust.operators import text as tx
+from conftest import SF0001, votes_df
+from crowdtrust.operators import em, robustness as rb, text as tx
+from crowdtrust.sources import fixtures as fx
+
+CONFIGS = [rb.Config(0, "Heatmap", 1, 0.05, 20), rb.Config(1, "Heatmap", 3, 0.35, 20), rb.Config(2, "Scale", 99, 0.1, 7),
+           rb.Config(3, "Scale", 2, 0.55, 400), rb.Config(4, "Scale", 3, 0.0, 1)]
+
+
+def rows(df, keys, *cols):
+    return {tuple(r[k] for k in keys): tuple(r[c] for c in cols) for r in df.collect()}
+
+
+def same(a, b):
+    assert set(a) == set(b)
+    for k in a:
+        assert a[k] == pytest.approx(b[k], abs=1e-9), k
+
+
+@pytest.mark.parametrize("tol, odd", [(None, False), (1e-3, False), (None, True)])
+def test_sweep_fit_equals_em_on_written_votes(spark, tol, odd):
+    """The sweep makes perturbed votes in its tasks; all results are those of ``em.fit`` on the written ones."""
+    if odd:  # equal rows, nulls, a hot prompt, truth missing or twice
+        votes = votes_df(spark, [(p, (3 * p + k) % 11, (p + k) % 2) for p in range(30) for k in range(4)] * 2
+                         + [(None, 3, 1), (4, None, 1), (5, 2, None), (6, 1, None)] + [(99, k % 11, int(k % 3 > 0)) for k in range(300)])
+        truth = spark.createDataFrame([(a, 0.6 + a / 50) for a in range(9)] + [(2, 0.9), (10, None)], "annotator_id bigint, true_acc double")
+    else:
+        votes, truth = fx.votes(spark, SF0001), fx.worker_truth(spark, SF0001)
+    pv, wt = rb.perturbed_votes(votes, truth, CONFIGS)
+    kw = {"max_iter": 6, "tol": tol, "track_frames": True}
+    want = em.fit(pv, "onecoin", worker_truth=wt, group_cols=["config_id"], **kw)
+    _, got = rb.run_sweep(votes, truth, CONFIGS, **kw)
+    assert got.iterations == want.iterations and (tol is None or len(set(got.iterations.values())) > 1)
+    same(rows(got.history, ["config_id", "iteration"], "l1_parameter_loss", "max_gamma_shift"),
+         rows(want.history, ["config_id", "iteration"], "l1_parameter_loss", "max_gamma_shift"))
+    same(rows(got.frames, ["config_id", "iteration", "annotator_id"], "inferred_acc"), rows(want.frames, ["config_id", "iteration", "annotator_id"], "inferred_acc"))
+    same(rows(got.params, ["config_id", "annotator_id"], "alpha", "inferred_acc"), rows(want.params, ["config_id", "annotator_id"], "alpha", "inferred_acc"))
+    same(rows(got.trust, ["config_id", "prompt_id"], "trust_weight"), rows(want.trust, ["config_id", "prompt_id"], "trust_weight"))
+    same(rows(got.state, ["config_id", "annotator_id"], "alpha_cur", "alpha_prev"), rows(want.state, ["config_id", "annotator_id"], "alpha_cur", "alpha_prev"))
+
+
+def test_sweep_writes_a_row_per_prompt(spark, monkeypatch):
+    """No vote is written per configuration, however many configurations there are."""
+    def written(*_, **__):
+        raise AssertionError("votes written per configuration")
+    monkeypatch.setattr(rb, "perturbed_votes", written)
+    votes, truth = fx.votes(spark, SF0001), fx.worker_truth(spark, SF0001)
+    matrix, res = rb.run_sweep(votes, truth, max_iter=1, tol=None)
+    assert matrix.filter("Error is not null").count() == len(rb.sweep_configs())
+    packed, _ = rb.prompt_votes(votes, truth, 5)
+    assert packed.count() == votes.select("prompt_id").distinct().count()
+    assert packed.agg(F.max(F.size("votes"))).first()[0] <= 5
+
+
+def test_crowds_too_large_to_broadcast_are_fitted_by_em(spark, monkeypatch):
+    votes, truth = fx.votes(spark, SF0001), fx.worker_truth(spark, SF0001)
+    kw = {"max_iter": 2, "tol": None}
+    a = rows(rb.run_sweep(votes, truth, CONFIGS, **kw)[0], ["config_id"], "Error", "iterations")
+    monkeypatch.setattr(rb, "BROADCAST_ROW_LIMIT", 100)
+    same(a, rows(rb.run_sweep(votes, truth, CONFIGS, **kw)[0], ["config_id"], "Error", "iterations"))
 
 
 def test_token_counts_are_taken_once_per_pair(spark):
