@@ -56,6 +56,30 @@ def test_sweep_writes_a_row_per_prompt(spark, monkeypatch):
     assert packed.agg(F.max(F.size("votes"))).first()[0] <= 5
 
 
+def test_votes_are_ranked_and_counted_once_for_all_iterations(spark, monkeypatch):
+    """Matrix and edge cases share the written votes; after the first iteration only γ is added up."""
+    from crowdtrust.plans.sweep import run_stress_sweep
+    made, counted = [], []
+    make, step = rb.prompt_votes, rb.sweep_step
+    monkeypatch.setattr(rb, "prompt_votes", lambda *a, **k: made.append(a[2]) or make(*a, **k))
+    monkeypatch.setattr(rb, "sweep_step", lambda *a: counted.append(a[5]) or step(*a))
+    votes, truth = fx.votes(spark, SF0001), fx.worker_truth(spark, SF0001)
+    report = run_stress_sweep(votes, truth, CONFIGS[:2], max_iter=3, tol=None)
+    assert made == [max(rb.L_GRID)] and counted == [True, False, False] * 2
+    alone, _ = rb.run_sweep(votes, truth, CONFIGS[:2], max_iter=3, tol=None)
+    same(rows(report.matrix, ["config_id"], "Error"), rows(alone, ["config_id"], "Error"))
+
+
+def test_ranks_without_hot_groups_take_one_exchange(spark):
+    v = votes_df(spark, [(p, a, (p + a) % 2) for p in range(9) for a in range(5)] + [(3, 1, 0)])
+    found = []
+    for threshold in (3, 100):  # every group is hot, none is
+        df = rb.top_per_group(v, ["prompt_id"], ["annotator_id", "vote"], F.lit(3), threshold, rank_name="r")
+        found.append(sorted(map(tuple, df.select("prompt_id", "annotator_id", "vote", "r").collect())))
+    assert found[0] == found[1] and len(found[0]) == 27
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_crowds_too_large_to_broadcast_are_fitted_by_em(spark, monkeypatch):
     votes, truth = fx.votes(spark, SF0001), fx.worker_truth(spark, SF0001)
     kw = {"max_iter": 2, "tol": None}
