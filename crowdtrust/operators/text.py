@@ -43,8 +43,7 @@ TOKEN_PATTERN = r"[^\p{L}\p{N}]+"
 def tokens(text) -> Column:
     """Lower-cased word tokens of a text (letters and digits), empty ones removed."""
     c = F.col(text) if isinstance(text, str) else text
-    words = F.split(F.trim(F.regexp_replace(F.lower(c), TOKEN_PATTERN, " ")), " ")
-    return F.filter(words, lambda w: F.length(w) > 0)
+    return F.array_remove(F.split(F.lower(c), TOKEN_PATTERN), "")
 
 
 def side_tokens(prompts: DataFrame) -> DataFrame:
@@ -137,8 +136,9 @@ def side_bigrams(prompts: DataFrame, vocab: DataFrame, vocab_size: int, max_len:
     """(prompt_id, side, prev_id, token_id, cnt): bigram occurrences per side.
 
     Bigrams are formed inside each row from the token array (slice +
-    arrays_zip, no shuffle), counted per side, then mapped to ids with two
-    broadcast joins against the size-capped vocabulary.  With ``max_len`` and
+    arrays_zip, no shuffle), mapped to ids with two joins against the
+    vocabulary (by broadcast below a counted limit) and counted: one exchange,
+    of ids alone, and none of words.  With ``max_len`` and
     ``include_pad`` the sequence is padded to ``max_len`` and the pad
     positions count, as the reference's unmasked sum does."""
     parts = []
@@ -153,8 +153,7 @@ def side_bigrams(prompts: DataFrame, vocab: DataFrame, vocab_size: int, max_len:
     m = F.greatest(F.size("_t") - 1, F.lit(0))
     pairs = st.select("prompt_id", "side", F.explode(F.arrays_zip(F.slice("_t", 1, m).alias("p"),
                                                                     F.slice("_t", 2, m).alias("q"))).alias("_z"))
-    cnt = pairs.groupBy("prompt_id", "side", F.col("_z.p").alias("prev_tok"), F.col("_z.q").alias("tok")) \
-        .agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
+    pairs = pairs.select("prompt_id", "side", F.col("_z.p").alias("prev_tok"), F.col("_z.q").alias("tok"))
     v = vocab.select("token", "token_id")
     v = F.broadcast(v) if vocab_size <= BROADCAST_ROW_LIMIT else v
 
@@ -163,9 +162,8 @@ def side_bigrams(prompts: DataFrame, vocab: DataFrame, vocab_size: int, max_len:
         return j.withColumn(out, F.when(F.col(col) == PAD_TOKEN, F.lit(PAD_ID))
                             .otherwise(F.coalesce(F.col(out), F.lit(UNK_ID))))
 
-    ids = to_id(to_id(cnt, "prev_tok", "prev_id"), "tok", "token_id")
-    # distinct unknown words share the unk id: add their counts up
-    return ids.groupBy("prompt_id", "side", "prev_id", "token_id").agg(F.sum("cnt").cast("bigint").alias("cnt"))
+    ids = to_id(to_id(pairs, "prev_tok", "prev_id"), "tok", "token_id")
+    return ids.groupBy("prompt_id", "side", "prev_id", "token_id").agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
 
 
 def bigram_model(bigrams: DataFrame, weights: DataFrame | None, vocab_size: int, add_k: float = 1.0) -> DataFrame:

@@ -112,3 +112,17 @@ def test_wide_values_are_scaled_by_a_length_added_up_once(spark):
     got = {r.prompt_id: sorted(r["values"][:-1]) for r in df.collect()}
     six = 6 ** 0.5
     assert got[1] == pytest.approx([-1 / six, 1 / six, 2 / six]) and got[2] == [] and got[3] == pytest.approx([-1.0])
+
+
+def test_bigrams_take_one_exchange_of_ids(spark):
+    """Words are taken apart by one pattern and never exchanged; texts with unknown, equal and no words."""
+    p = spark.createDataFrame([(1, "A b, a b!", "b"), (2, "", None), (3, " é-x zz", "b a q r")], "prompt_id bigint, text_a string, text_b string")
+    vocab = spark.createDataFrame([("a", 2), ("b", 3), ("é", 4)], "token string, token_id int")
+    words = p.select(tx.tokens("text_a"), tx.tokens("text_b"))
+    assert "regexp_replace" not in words._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in words.collect()] == [(["a", "b", "a", "b"], ["b"]), ([], None), (["é", "x", "zz"], ["b", "a", "q", "r"])]
+    big = tx.side_bigrams(p, vocab, 5)
+    exchanges = [x for x in big._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert len(exchanges) == 1 and "tok#" not in exchanges[0]
+    assert sorted(map(tuple, big.collect())) == [(1, "a", 2, 3, 2), (1, "a", 3, 2, 1), (3, "a", 1, 1, 1), (3, "a", 4, 1, 1),
+                                                 (3, "b", 1, 1, 1), (3, "b", 2, 1, 1), (3, "b", 3, 2, 1)]
