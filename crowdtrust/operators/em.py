@@ -17,6 +17,9 @@ survives executor loss).  Scalars such as the two-coin class prior π₁ live
 as columns of the parameter table, which is how batched EM over many
 configurations (``group_cols``) keeps one π₁ per configuration.
 
+A packed store (:mod:`crowdtrust.operators.packed`) takes both steps in one
+pass over a row per prompt; the driver sends the parameters along.
+
 Order is E then M; the outputs are γ from the last E-step and the parameters
 from the last M-step (one half-step newer), as in the reference.
 """
@@ -30,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crowdtrust.functions.columns import clip, gamma_bin, two_class_posterior
+from crowdtrust.operators import packed as pk
 from crowdtrust.operators.votes import BUCKET, PromptTable, VoteStore, group_part
 from crowdtrust.session import checkpoint_root
 from crowdtrust.sources.io import dense_ids
@@ -40,8 +44,8 @@ ONECOIN_EPS = 1e-4
 TWOCOIN_INIT = 0.7
 TWOCOIN_EPS = 1e-6
 INIT_GAMMA = 0.5
-PRIOR_EPS = 1e-9
-LEGACY_PRIOR_EPS = 1e-9
+PRIOR_EPS = pk.PRIOR_EPS
+LEGACY_PRIOR_EPS = pk.LEGACY_PRIOR_EPS
 DEFAULT_MAX_ITER = 20
 DEFAULT_TOL = 1e-4
 
@@ -56,6 +60,7 @@ class OneCoin:
     """α_j = P(correct) for both classes; flat 50/50 prior."""
 
     name = "onecoin"
+    prior_mode = None
     params = ("alpha",)
     scalars: tuple = ()
     init = {"alpha": ONECOIN_INIT_ALPHA}
@@ -81,6 +86,17 @@ class OneCoin:
     def m_scalars(self, gsum: Column, gcnt: Column) -> dict:
         return {}
 
+    def evidence(self, p: dict):
+        """What a vote of each annotator adds to the log odds of A, per kind of vote: the difference of :meth:`vote_terms`."""
+        import numpy as np
+
+        z = np.log(p["alpha"]) - np.log(1.0 - p["alpha"])
+        return np.stack([-z, z, -z], 1).ravel()
+
+    def packed_sums(self) -> dict:
+        """:meth:`m_sums` from the sums of packed votes."""
+        return {"corr": _c("g_yes") + _c("h_no") + _c("h_none"), "tot": _c("tot")}
+
     def accuracy(self, p: dict) -> Column:
         return p["alpha"]
 
@@ -137,6 +153,17 @@ class TwoCoin:
     def m_scalars(self, gsum: Column, gcnt: Column) -> dict:
         return {"pi1": gsum / gcnt}
 
+    def evidence(self, p: dict):
+        import numpy as np
+
+        a, b = p["alpha"], p["beta"]
+        no = np.log(1.0 - a) - np.log(b)
+        return np.stack([no, np.log(a) - np.log(1.0 - b), no], 1).ravel()
+
+    def packed_sums(self) -> dict:
+        return {"an": _c("g_yes"), "ad": _c("g_yes") + _c("g_no") + _c("g_none"),
+                "bn": _c("h_no"), "bd": _c("h_yes") + _c("h_no") + _c("h_none")}
+
     def accuracy(self, p: dict) -> Column:
         return (p["alpha"] + p["beta"]) / 2.0
 
@@ -256,9 +283,46 @@ class EMEngine:
             ren[f"{p}_cur"] = _c(f"{p}_{which}")
         st = state.withColumns(ren)
         cols = [*self.gk, _c("_g").alias("trust_weight")]
-        out = self._posteriors(False, st, False).select(*cols)
+        out = self._packed_posteriors(st) if self.store.packed is not None else self._posteriors(False, st, False).select(*cols)
         return out if self.store.hot is None else out.unionByName(self._posteriors(True, st, False).select(*cols))
 
+    # ----------------------------------------------------------- packed votes
+    def _packed_inputs(self, state: DataFrame):
+        """(packed rows, with their prior where there is one; a broadcast of the
+        annotators' ids in order, and for the current and the previous parameters
+        the evidence of their votes and π₁).  A row per annotator on the driver."""
+        m, packed = self.model, self.store.packed
+        names = [f"{p}_{w}" for p in m.params + m.scalars for w in ("cur", "prev")]
+        rows = state.filter("annotator_id is not null").select("annotator_id", *[_c(c).cast("double") for c in names]).toArrow()
+        got = {c: rows.column(c).to_numpy() for c in rows.column_names}  # NaN for null
+        order = got["annotator_id"].argsort()
+        got = {c: x[order] for c, x in got.items()}
+        sides = [(m.evidence({p: got[f"{p}_{w}"] for p in m.params}),
+                  float(got[f"{m.scalars[0]}_{w}"][0]) if m.scalars and len(order) else 0.5) for w in ("cur", "prev")]
+        if self.prior is not None:
+            bucketed = isinstance(self.prior, PromptTable)
+            prior = (self.prior.cold if bucketed else self.prior).select("prompt_id", _c("prior").cast("double").alias("prior"))
+            packed = packed.join(prior.hint("shuffle_hash") if bucketed else prior, "prompt_id", "left")
+        return packed, self.spark.sparkContext.broadcast((got["annotator_id"], sides))
+
+    def _packed_posteriors(self, state: DataFrame) -> DataFrame:
+        """Per-prompt posterior under the current parameters of ``state``."""
+        packed, shared = self._packed_inputs(state)
+        run = pk.posterior_task(shared, self.model.prior_mode, self.prior is not None, INIT_GAMMA)
+        cols = ["prompt_id", "annotators", "votes", "ns"] + (["prior"] if self.prior is not None else [])
+        out = packed.select(*cols).mapInArrow(run, "prompt_id long, trust_weight double")
+        return out.select(F.lit(0).alias(_G), "prompt_id", "trust_weight")
+
+    def _packed_step(self, state: DataFrame) -> DataFrame:
+        """A row per annotator and task: sums of the M-step, shift, Σγ and its count."""
+        packed, shared = self._packed_inputs(state)
+        run = pk.step_task(shared, self.model.prior_mode, self.prior is not None, INIT_GAMMA)
+        # a prompt without an id has a posterior, but its votes meet none
+        cols = ["annotators", "votes", "ns"] + (["prior"] if self.prior is not None else [])
+        out = packed.filter("prompt_id is not null").select(*cols).mapInArrow(run, pk.SUMS)
+        sums = [e.alias(k) for k, e in self.model.packed_sums().items()]
+        return out.select(F.lit(0).alias(_G), "annotator_id", *sums, "_shift", "_gsum", "_gcnt")
+
     # ----------------------------------------------------------- one iteration
     def _m_rows(self, hot: bool, state: DataFrame) -> DataFrame:
         """Votes with their prompt's posterior: inside the bucket, the hot ones by broadcast."""
@@ -272,9 +336,11 @@ class EMEngine:
         """E-step with ``*_cur`` params, M-step → next state (cur ← new, prev ← cur).
         ``bins``: also count the prompts' γ in so many equal bins."""
         m = self.model
-        rows = self._m_rows(False, state)
+        packed = self.store.packed is not None and self.truth is None and not bins
+        rows = None if packed else self._m_rows(False, state)
         if self.store.hot is not None:
-            rows = rows.unionByName(self._m_rows(True, state))
+            hot = self._m_rows(True, state)
+            rows = hot if rows is None else rows.unionByName(hot)
         v, n, g = _c("vote"), _c("n"), _c("_g")
         # exactly one "lead" row per prompt: its smallest (annotator, vote)
         lead = (_c("annotator_id") * 2 + v) == _c("_lead")
@@ -292,7 +358,13 @@ class EMEngine:
             own = gamma_bin(g, bins)
             aggs += [F.count(F.when(lead & (own == i), 1)).alias(f"_bin{i}") for i in range(bins)]
             extra += [f"_bin{i}" for i in range(bins)]
-        a = rows.groupBy(*self.ak).agg(*aggs)
+        if packed:
+            parts = self._packed_step(state)
+            if rows is not None:
+                parts = parts.unionByName(rows.groupBy(*self.ak).agg(*aggs))
+            a = parts.groupBy(*self.ak).agg(*[F.sum(k).alias(k) for k in (*sums, "_gsum", "_gcnt")], F.max("_shift").alias("_shift"))
+        else:
+            a = rows.groupBy(*self.ak).agg(*aggs)
         # the current params become the previous ones: joined to the aggregate, a row per annotator, not to the votes
         st = state.select(*self.ak, *[_c(f"{p}_cur").alias(f"{p}_prev") for p in m.params])
         a = a.join(F.broadcast(st) if self.store.broadcast_params else st, self.ak)
@@ -395,7 +467,7 @@ def fit(votes: DataFrame | VoteStore, model: str = "onecoin", *, prior_mode: str
     else:
         votes, gcols, internal_group = _norm_groups(votes, group_cols)
         store = VoteStore.build(votes, gcols, num_buckets=num_buckets, hot_threshold=hot_threshold,
-                                compacted=compacted)
+                                compacted=compacted, packed=internal_group and truth is None and not histogram_at)
     gcols = store.group_cols
     internal_group = internal_group or gcols == [_G]
     spark = store.cold.sparkSession

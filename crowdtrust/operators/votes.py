@@ -22,6 +22,9 @@ Layout of the store (the one real engineering decision of the engine):
   the parameters come to them).  Their per-prompt sums are combined map-side
   and the resulting per-prompt table is broadcast back; its size is bounded by
   ``n_votes / hot_threshold`` rows, a proven bound;
+* a **packed** store has its cold votes in a row per prompt instead, arrays of
+  annotators, votes and counts: an iteration then is one pass of array sums
+  (``operators/packed.py``).  For one group whose parameters are broadcast;
 * several groups (configurations) in one store fall into ``GROUP_PARTS``
   partition folders by the hash of their key, so that folders in which no
   group is fitted any more are not read.
@@ -137,6 +140,7 @@ class VoteStore:
     single_group: bool = True
     routes: DataFrame | None = None
     hot_keys: DataFrame | None = None
+    packed: DataFrame | None = None
     tables: list[str] = field(default_factory=list)
     paths: list[str] = field(default_factory=list)
 
@@ -185,15 +189,20 @@ class VoteStore:
         columns) written in the layout of the votes; prompts without votes
         are left out.  Only prompts are exchanged, and only here."""
         on = [c for c in self.prompt_keys if c in values.columns]
+        if self.packed is not None:
+            cold = self.packed.select("prompt_id").join(values.drop(*self.group_cols), "prompt_id")
+            cold = self._write(cold, "ct_values", ["prompt_id"]).withColumns({g: F.lit(0) for g in self.group_cols})
+            return PromptTable(cold, None if self.hot is None else self.hot_keys.join(values, on))
         cold = self.cold.select(*self.cold_keys, *([] if self.single_group else [PART])).distinct().join(values, on)
         keys = [BUCKET] if self.routes is not None else self.prompt_keys
         cold = self._write(cold, "ct_values", keys)
         return PromptTable(cold, None if self.hot is None else self.hot_keys.join(values, on))
 
-    def _write(self, df: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
+    def _write(self, df: DataFrame, prefix: str, keys: list[str], dealt: bool = False) -> DataFrame:
+        """``dealt``: the rows lie in the partitions of the buckets already."""
         name, spark = unique_table_name(prefix), df.sparkSession
         path = scratch_path(spark, name)
-        w = df.repartition(self.num_buckets, *keys).write.mode("overwrite").option("path", path)
+        w = (df if dealt else df.repartition(self.num_buckets, *keys)).write.mode("overwrite").option("path", path)
         if not self.single_group:
             w = w.partitionBy(PART)
         w.bucketBy(self.num_buckets, *keys).saveAsTable(name)
@@ -221,10 +230,16 @@ class VoteStore:
     @classmethod
     def build(cls, votes: DataFrame, group_cols: list[str] | tuple = (), *,
               num_buckets: int | None = None, hot_threshold: int | None = None,
-              compacted: bool = False) -> "VoteStore":
+              compacted: bool = False, packed: bool = False) -> "VoteStore":
+        """``packed``: a packed store, where the annotators are few enough
+        (the one group must be 0 then)."""
         spark = votes.sparkSession
         checkpoint_root(spark)
         group_cols = list(group_cols)
+        if packed:
+            store = cls._build_packed(votes, group_cols, num_buckets, hot_threshold, compacted)
+            if store is not None:
+                return store
         pkeys = group_cols + ["prompt_id"]
         comp = votes if compacted else compact_votes(votes, group_cols)
         comp = comp.select(*group_cols, F.col("prompt_id").cast("bigint"), F.col("annotator_id").cast("bigint"),
@@ -270,3 +285,47 @@ class VoteStore:
                 store.hot = store._write(hot_src, "hot_votes", store.annotator_keys)
         comp.unpersist()
         return store
+
+    @classmethod
+    def _build_packed(cls, votes: DataFrame, group_cols: list[str], num_buckets: int | None, hot_threshold: int | None,
+                      compacted: bool) -> "VoteStore | None":
+        """A packed store; None where there are too many annotators.
+
+        Prompts and annotators are counted on their own columns alone; the
+        votes are exchanged once, by prompt, and compacted and packed where
+        they arrive.  Votes without an annotator never count and stay away."""
+        spark = votes.sparkSession
+        pkeys = group_cols + ["prompt_id"]
+        n = F.col("n").cast("bigint") if compacted else F.lit(1).cast("bigint")
+        raw = votes.select(*group_cols, F.col("prompt_id").cast("bigint"), F.col("annotator_id").cast("bigint"),
+                           F.col("vote").cast("int"), n.alias("n"))
+        n_ann = raw.select("annotator_id").distinct().count()
+        if n_ann > BROADCAST_ROW_LIMIT:
+            return None
+        per_prompt = raw.groupBy(*pkeys).agg(F.sum("n").alias("cnt"))
+        n_votes, largest = per_prompt.agg(F.coalesce(F.sum("cnt"), F.lit(0)), F.coalesce(F.max("cnt"), F.lit(0))).first()
+        b = num_buckets or min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_votes / ROWS_PER_BUCKET)))
+        t = hot_threshold if hot_threshold is not None else max(MIN_HOT_THRESHOLD, n_votes // (4 * b))
+        store = cls(raw, None, group_cols, n_votes, n_votes, n_ann, 0, b, t)
+        raw = raw.filter("annotator_id is not null")
+        cold = raw
+        if largest > t:
+            # at most n_votes / t prompts: a bounded table
+            store.hot_keys = per_prompt.filter(F.col("cnt") > t).select(*pkeys).checkpoint(eager=True)
+            store.n_hot_prompts = store.hot_keys.count()
+            cold = raw.join(F.broadcast(store.hot_keys), pkeys, "left_anti")
+            path = scratch_path(spark, "hot_votes")
+            hot = raw.join(F.broadcast(store.hot_keys), pkeys, "left_semi").groupBy(*pkeys, "annotator_id", "vote").agg(F.sum("n").alias("n"))
+            hot.repartition(b, *pkeys, "annotator_id", "vote").write.parquet(path)
+            store.hot = spark.read.parquet(path)
+            store.paths.append(path)
+        # compacted and packed in the partitions of the buckets: no exchange but this one
+        cold = cold.select("prompt_id", "annotator_id", "vote", "n").repartition(b, "prompt_id")
+        cold = cold.groupBy("prompt_id", "annotator_id", "vote").agg(F.sum("n").alias("n"))
+        cold = cold.groupBy("prompt_id").agg(F.collect_list(F.struct("annotator_id", "vote", "n")).alias("v"))
+        cold = cold.select("prompt_id", F.col("v.annotator_id").alias("annotators"), F.col("v.vote").alias("votes"), F.col("v.n").alias("ns"))
+        store.packed = store._write(cold, "ct_votes", ["prompt_id"], dealt=True)
+        one = [F.lit(0).alias(g) for g in group_cols]
+        store.cold = store.packed.select("prompt_id", F.explode(F.arrays_zip("annotators", "votes", "ns")).alias("z")).select(
+            *one, "prompt_id", F.col("z.annotators").alias("annotator_id"), F.col("z.votes").alias("vote"), F.col("z.ns").alias("n"))
+        return store

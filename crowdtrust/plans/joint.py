@@ -187,7 +187,7 @@ def joint_run(data: PreferenceData, epochs: int = 3, beta: float = DEFAULT_BETA,
     train_truth = data.truth.filter(~F.col("is_test"))
     state, model = None, None
     rows, frames = [], []
-    with em.build_store(data.votes) as store:
+    with em.build_store(data.votes, packed=True) as store:
         for epoch in range(1, epochs + 1):
             if model is None:
                 prior = None
