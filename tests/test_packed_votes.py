@@ -25,7 +25,7 @@ def odd_votes(spark):
 def test_packed_fit_equals_the_row_wise_one(spark, monkeypatch, model, mode, hot, prior):
     v = odd_votes(spark)
     p = spark.createDataFrame([(i, None if i % 7 == 0 else (i % 10) / 9) for i in range(25)] + [(99, 0.3)], "prompt_id bigint, prior double") if prior else None
-    truth = spark.createDataFrame([(a, 0.6 + a / 50) for a in range(11)], "annotator_id bigint, true_acc double")
+    truth = spark.createDataFrame([(a, 0.6 + a / 50) for a in [*range(11), 2, 2]], "annotator_id bigint, true_acc double")
     kw = {"prior_mode": mode, "max_iter": 4, "tol": None, "hot_threshold": hot, "prior": p, "worker_truth": truth, "track_frames": True}
     measures = ["l1_parameter_loss", "max_gamma_shift"] + (["pi1"] if model == "twocoin" else [])
 

@@ -64,3 +64,11 @@ def test_pair_features_are_counted_in_the_row(spark):
         assert diff == wide[p].len_diff and len(phi) == 16
         assert {i: x for i, x in enumerate(phi) if x} == dict(zip(wide[p].indices, wide[p]["values"], strict=True))
     assert [len(r.phi) for r in tx.pair_features(prompts(spark), 0).collect()] == [0] * 4
+
+
+def test_rows_under_one_id_share_their_features(spark):
+    p = spark.createDataFrame([(1, "a b", "c"), (1, "a d", ""), (2, "a", ""), (None, "a", "b")], "prompt_id bigint, text_a string, text_b string")
+    rows = {(r.prompt_id, r.len_diff): r.phi for r in tx.row_pair_features(p, 8).collect()}
+    got = {(r.prompt_id, r.len_diff): r.phi for r in tx.pair_features(p, 8).collect()}
+    both = [x + y for x, y in zip(rows[1, 1.0], rows[1, 2.0], strict=True)]
+    assert got == {(1, 1.0): both, (1, 2.0): both, (2, 1.0): rows[2, 1.0], (None, 0.0): [0.0] * 8}
