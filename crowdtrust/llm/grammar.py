@@ -54,29 +54,42 @@ FORMAT = ("part int, shard int, ids_before long, n_ids long, terminals long, doc
 
 
 def compress(ids, doc_ends, terminals: int, min_count: int = MIN_COUNT):
-    """(rules r x 2, symbols, mask of symbols that end a document)."""
+    """(rules r x 2, symbols, mask of symbols that end a document).
+
+    A pair that was found only once is not looked at again, unless one of its
+    symbols is replaced: no other replacement makes it more frequent."""
     import numpy as np
 
     s, last = np.array(ids, dtype=np.uint32), np.array(doc_ends, dtype=bool)
+    live = ~last  # places whose pair may occur twice
+    live[-1:] = False
     rules = [np.zeros((0, 2), np.uint32)]
     n_rules, turn, ceiling = 0, 0, len(s)
     slots = 1 << _HASH_BITS
     while len(s) > 1:
-        free = ~last[:-1]
         # of a run of one symbol every other pair, from the left
-        same = np.flatnonzero((s[:-1] == s[1:]) & free)
+        same = np.flatnonzero((s[:-1] == s[1:]) & ~last[:-1])
         run = np.flatnonzero(np.diff(same, prepend=-2) != 1)
-        free[same[(same - same[np.repeat(run, np.diff(run, append=len(same)))]) % 2 == 1]] = False
-        at = np.flatnonzero(free)
+        skip = same[(same - same[np.repeat(run, np.diff(run, append=len(same)))]) % 2 == 1]
+        held = skip[live[skip]]
+        live[skip] = False
+        at = np.flatnonzero(live)
+        live[held] = True
         # a slot counts at least as much as each of its pairs
-        h = ((s[:-1] * np.uint32(0x9E3779B1) + s[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - _HASH_BITS))[at]
+        h = s[:-1] * np.uint32(0x9E3779B1)
+        h += s[1:] * np.uint32(0x85EBCA77)
+        h >>= np.uint32(32 - _HASH_BITS)
+        h = h.take(at).astype(np.intp)
         counts = np.bincount(h, minlength=slots)
         least = max(min_count, 2, min(int(counts.max()), ceiling) // ROUND_SHARE)
-        at = at[counts[h] >= least]
-        pair = s[at].astype(np.uint64) << np.uint64(32) | s[at + 1]
-        order = np.argsort(pair)
-        first = np.flatnonzero(np.diff(pair[order], prepend=~pair[order[:1]]) != 0)
+        slot = counts.astype(np.int32).take(h)
+        live[at] = slot > 1
+        at = at.take(np.flatnonzero(slot >= least))
+        pair = s.take(at).astype(np.uint64) << np.uint64(32) | s.take(at + 1)
+        order, pair = _sorted(pair, terminals + n_rules)
+        first = np.flatnonzero(np.diff(pair, prepend=~pair[:1]) != 0)
         n = np.diff(first, append=len(at))
+        live[at[order[first[n < 2]]]] = False
         often = n >= least
         if not often.any():
             if least <= max(min_count, 2):
@@ -84,8 +97,8 @@ def compress(ids, doc_ends, terminals: int, min_count: int = MIN_COUNT):
             ceiling = least - 1
             continue
         ceiling = int(n.max())
-        # a pair's number, or -1; and its rank: more frequent ones first, else by a hash that changes
-        names = pair[order[first[often]]]
+        # a pair's number; and its rank: more frequent ones first, else by a hash that changes
+        names = pair[first[often]]
         which = np.empty(len(at), dtype=np.int64)
         which[order] = np.repeat(np.where(often, np.cumsum(often) - 1, -1), n)
         at, which = at[which >= 0], which[which >= 0]
@@ -103,21 +116,50 @@ def compress(ids, doc_ends, terminals: int, min_count: int = MIN_COUNT):
         taken = left >= 2
         s[at] = (terminals + n_rules - 1 + np.cumsum(taken)[which]).astype(np.uint32)
         last[at] = last[at + 1]
+        # the new symbol makes new pairs on both sides
+        live[at] = True
+        live[at[at > 0] - 1] = True
         stay = np.ones(len(s), bool)
         stay[at + 1] = False
-        s, last = s[stay], last[stay]
+        stay = np.flatnonzero(stay)
+        s, last, live = s.take(stay), last.take(stay), live.take(stay)
+        live &= ~last
+        live[-1:] = False
         new = names[taken]
         rules.append(np.stack([new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         n_rules += len(new)
     return np.concatenate(rules), s, last
 
 
+def _sorted(pair, symbols: int):
+    """(order, sorted pairs); pair and place are sorted as one number where 64 bits hold both."""
+    import numpy as np
+
+    bits, place = int(symbols).bit_length(), len(pair).bit_length()
+    if 2 * bits + place > 64:
+        order = np.argsort(pair)
+        return order, pair[order]
+    low, one, at = np.uint64(32), np.uint64((1 << bits) - 1), np.uint64(place)
+    both = np.sort(((pair >> low) << np.uint64(bits) | pair & np.uint64(0xFFFFFFFF)) << at | np.arange(len(pair), dtype=np.uint64))
+    order = (both & np.uint64((1 << place) - 1)).astype(np.int64)
+    both >>= at
+    return order, (both >> np.uint64(bits)) << low | both & one
+
+
 def rule_sizes(rules, terminals: int):
     """Number of ids each rule stands for (a rule only names earlier ones)."""
-    sizes: list[int] = []
-    for a, b in rules.tolist():
-        sizes.append(sum(1 if x < terminals else sizes[x - terminals] for x in (a, b)))
-    return sizes
+    import numpy as np
+
+    pairs = np.asarray(rules, dtype=np.int64).reshape(-1, 2)
+    sizes = np.zeros(len(pairs), dtype=np.int64)
+    todo = np.arange(len(pairs))
+    while len(todo):  # those whose two symbols are known, level by level
+        part = pairs[todo]
+        own = np.where(part < terminals, 1, sizes[np.maximum(part - terminals, 0)])
+        known = (own > 0).all(axis=1)
+        sizes[todo[known]] = own[known].sum(axis=1)
+        todo = todo[~known]
+    return sizes.tolist()
 
 
 def expand(symbols, rules, terminals: int):

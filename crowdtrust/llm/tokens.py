@@ -126,7 +126,7 @@ class Units(dict):
         cut = pc.split_pattern(texts, " ")
         first = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
         words = cut.flatten().dictionary_encode()
-        code, different = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
+        code, different = words.indices.to_numpy().astype(np.int64), words.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.__getitem__, different))
         found += [b"" if o else self.bare(different[k]) for o, k in zip(odd, code[first], strict=True)]  # no blank before a text's first word
         code[first] = len(different) + np.arange(len(first))
@@ -187,8 +187,19 @@ class UnitEncoder(Units):
         #: tokens of their own, without a merge (the vocabulary's words in its alphabet)
         self.whole = {t: array.array("I", [i]).tobytes() for t, i in self.library.get_vocab(with_added_tokens=False).items() if [x.id for x in self.merge(t)] == [i]}
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        #: whether no added token goes beyond a line
+        self.lines = not any("\n" in a for a in self.added)
 
     def ids(self, unit: str) -> bytes:
+        bare = unit[1:] if unit[:1] == " " else unit
+        if bare.isascii() and bare.isalpha():  # letters stand for themselves
+            mapped = unit if bare is unit else self.spelled[32] + bare
+            return self.whole.get(mapped) or array.array("I", [t.id for t in self.merge(mapped)]).tobytes()
+        if "\n" in unit and self.lines:
+            # a line end between characters that are no white space is a piece of its own
+            a, b = unit.split("\n", 1)
+            if a and b and not a[-1].isspace() and not b[0].isspace():
+                return (self[a[1:]] if a[0] == " " else self.bare(a)) + self.bare("\n") + self.bare(b)
         word = _WORD.fullmatch(unit)
         if word or _PLAIN.fullmatch(unit) and not any(a in unit for a in self.added):
             pieces = [unit] if word else _SPLIT_PLAIN.findall(unit)

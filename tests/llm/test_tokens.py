@@ -47,6 +47,14 @@ def test_units_give_the_librarys_ids(library, texts, monkeypatch):
     assert len(encoder) <= 40 * 100
 
 
+def test_lines_are_remembered_by_their_words(library):
+    """What stands on both sides of a line end is remembered apart, so a known word at it costs no new unit."""
+    encoder = tokens.UnitEncoder(VOCABULARY)
+    for text in ("so thly.\nErat", " thly.\nAnd", "a.\n\nb", "x \ny", "\nA", "a\n", "\'s\n\'s", "a\x1c\nb", "é\nÉa\n1", "a\r\nb", "A\nB\nC D"):
+        assert ids_of(encoder.encode(text)) == library.encode(text, add_special_tokens=False).ids
+    assert "thly" in encoder and "thly." in encoder and {"Erat", "And", "\n"} <= set(encoder.bares)
+
+
 @pytest.mark.parametrize("build", [tokens.UnitEncoder, bpe.BacktrackingBPE])
 def test_unsuitable_vocabularies_are_refused(tmp_path, build):
     with pytest.raises(ValueError, match="normalizer"):
@@ -172,6 +180,27 @@ def test_grammar_leaves_no_repeated_pair():
     assert len(grammar.compress(np.arange(5) % 2, np.ones(5, bool), 50)[1]) == 5
 
 
+def test_pairs_found_once_are_not_looked_at_again(monkeypatch):
+    """Rounds that replace little sort little: what occurs once stays out of them."""
+    looked = []
+    real = grammar._sorted
+    monkeypatch.setattr(grammar, "_sorted", lambda pair, symbols: looked.append(len(pair)) or real(pair, symbols))
+    r = np.random.default_rng(3)
+    ids = r.zipf(1.3, 60_000).astype(np.uint32) % 5000
+    ends = np.arange(len(ids)) % 500 == 499
+    rules, symbols, last = grammar.compress(ids, ends, 5000)
+    assert (grammar.expand(symbols, rules, 5000) == ids).all() and not repeated_pairs(symbols, last)
+    assert len(looked) > 3 and looked[-1] < 300  # though thousands of the pairs that occur once share a slot
+
+
+def test_pairs_are_sorted_alike_where_64_bits_do_not_hold_them():
+    r = np.random.default_rng(4)
+    pair = r.integers(0, 300, 5000).astype(np.uint64) << np.uint64(32) | r.integers(0, 300, 5000).astype(np.uint64)
+    for symbols in (300, 1 << 31):
+        order, values = grammar._sorted(pair, symbols)
+        assert (values == np.sort(pair)).all() and (pair[order] == values).all()
+
+
 @pytest.mark.parametrize("broadcast", [32 << 20, 0])
 def test_token_files_of_many_shards(spark, library, monkeypatch, broadcast):
     """Several shards in a task, read back whole and by any range over all of them; part offsets broadcast or joined."""
