@@ -129,6 +129,14 @@ def orphan_votes(votes: DataFrame, prompts: DataFrame) -> DataFrame:
 
 
 PAD_TOKEN = " pad"  # sentinel: contains a space, so the tokeniser never produces it
+SPREAD = 1 << 16  # keys over which rows that meet nothing are dealt in a shuffled join
+
+
+def spread_key(key: str, by: list[str], number: bool = False) -> Column:
+    """``key``, or where it is null one of ``SPREAD`` keys that no word (with
+    ``number``: no id) has: null keys would all go to one task."""
+    salt = F.pmod(F.xxhash64(*by), F.lit(SPREAD))
+    return F.coalesce(F.col(key), -1 - salt if number else F.concat(F.lit(" "), salt.cast("string")))
 
 
 def side_bigrams(prompts: DataFrame, vocab: DataFrame, vocab_size: int, max_len: int | None = None,
@@ -160,13 +168,17 @@ def side_bigrams(prompts: DataFrame, vocab: DataFrame, vocab_size: int, max_len:
     few = vocab_size <= BROADCAST_ROW_LIMIT
     common = F.broadcast(v if few else v.filter(F.col("token_id") < BROADCAST_ROW_LIMIT))
 
+    keys = ["prompt_id", "side", "prev_id", "token_id"]
+
     def to_id(df, col, out, words, known=None):
-        j = df.join(words.select(F.col("token").alias(col), F.col("token_id").alias("_id")), col, "left")
+        key = col
+        if known:
+            key, df = "_key", df.withColumn("_key", spread_key(col, keys))
+        j = df.join(words.select(F.col("token").alias(key), F.col("token_id").alias("_id")), key, "left")
         found = F.coalesce(*([] if known is None else [F.col(known)]), "_id", *([F.lit(UNK_ID)] if few or known else []))
-        return j.withColumn(out, F.when(F.col(col) == PAD_TOKEN, F.lit(PAD_ID)).otherwise(found)).drop("_id")
+        return j.withColumn(out, F.when(F.col(col) == PAD_TOKEN, F.lit(PAD_ID)).otherwise(found)).drop("_id", "_key")
 
     ids = to_id(to_id(pairs, "prev_tok", "prev_id", common), "tok", "token_id", common)
-    keys = ["prompt_id", "side", "prev_id", "token_id"]
     if few:
         return ids.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
     ids = ids.select(*keys, *[F.when(F.col(i).isNull(), F.col(c)).alias(c) for i, c in (("prev_id", "prev_tok"), ("token_id", "tok"))])
@@ -227,6 +239,8 @@ def sequence_logps(bigrams: DataFrame, model: DataFrame, vocab_size: int, add_k:
     j = bigrams.join(seen, ["prev_id", "token_id"], "left")
     parts = j.groupBy("prompt_id", "side", F.when(F.col("logp").isNull(), F.col("prev_id")).alias("prev_id")).agg(
         F.sum(F.col("cnt") * F.col("logp")).alias("_seen"), F.sum("cnt").alias("cnt"))
+    if min(n_model_rows, vocab_size) > BROADCAST_ROW_LIMIT:
+        parts = parts.withColumn("prev_id", spread_key("prev_id", ["prompt_id", "side"], number=True))
     parts = parts.join(ctx, "prev_id", "left")
     total = F.sum(F.coalesce("_seen", F.col("cnt") * F.coalesce("unseen_logp", F.lit(-math.log(vocab_size)))))
     if per_tokens:

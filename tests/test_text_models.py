@@ -16,6 +16,21 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_rows_that_meet_nothing_are_dealt_to_all_tasks(spark, monkeypatch):
+    """In the joins with a vocabulary or contexts that are shuffled, rows without a key do not go to one task."""
+    rows = spark.range(4000).select(F.col("id").alias("prompt_id"), F.lit("a").alias("side"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("prev_id"))
+    for key in (tx.spread_key("word", ["prompt_id", "side"]), tx.spread_key("prev_id", ["prompt_id", "side"], number=True)):
+        sizes = [r["count"] for r in rows.select(key.alias("k")).repartition(8, "k").groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 8 and max(sizes) < 1000
+    known = spark.createDataFrame([("x", 5)], "word string, prev_id bigint").withColumn("prompt_id", F.lit(1))
+    assert known.select(tx.spread_key("word", ["prompt_id"]), tx.spread_key("prev_id", ["prompt_id"], number=True)).first() == ("x", 5)
+    p, vocab = prompts(spark), spark.createDataFrame([("b", 2), ("a", 3), ("q", 4), ("é", 5), ("zz", 6)], "token string, token_id int")
+    monkeypatch.setattr(tx, "BROADCAST_ROW_LIMIT", 4)
+    big = tx.side_bigrams(p, vocab, 7)
+    lp = tx.sequence_logps(big, tx.bigram_model(big, None, 7), 7)
+    assert "xxhash64" in plan(big) and "xxhash64" in plan(lp)
+
+
 @pytest.mark.parametrize("pad", [False, True])
 def test_vocabulary_too_large_to_broadcast(spark, monkeypatch, pad):
     """The commonest words come by broadcast: bigrams of these are exchanged as ids alone, once; results are the same."""
