@@ -195,7 +195,7 @@ class UnitEncoder(Units):
         if bare.isascii() and bare.isalpha():  # letters stand for themselves
             mapped = unit if bare is unit else self.spelled[32] + bare
             return self.whole.get(mapped) or array.array("I", [t.id for t in self.merge(mapped)]).tobytes()
-        if "\n" in unit and self.lines:
+        if unit.count("\n") == 1 and self.lines:
             # a line end between characters that are no white space is a piece of its own
             a, b = unit.split("\n", 1)
             if a and b and not a[-1].isspace() and not b[0].isspace():
